@@ -6,16 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pii
+from . import avi, licenses, pii
 from .common import table
 
 
+def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return avi.media_features(table(spark, sf_dir, "documents"))
+
+
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_pii": op5_pii}
+    return {"op1_media": op1_media, "op2_licenses": op2_licenses, "op5_pii": op5_pii}
 
 
 def oracle_sql() -> dict[str, str]:
