@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import avi, licenses, pii
+from . import avi, licenses, mixing, packing, pii
 from .common import table
 
 
@@ -22,8 +22,16 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_media": op1_media, "op2_licenses": op2_licenses, "op5_pii": op5_pii}
+    return {"op1_media": op1_media, "op2_licenses": op2_licenses, "op5_pii": op5_pii, "op7_packing": op7_packing, "op9_mixing": op9_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
