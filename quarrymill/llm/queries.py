@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import avi, licenses, mixing, packing, pii, toxicity
+from . import avi, bagminhash, licenses, mixing, packing, pii, toxicity
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
 
+def op6_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bagminhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -35,7 +39,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_media": op1_media, "op2_licenses": op2_licenses, "op4_toxicity": op4_toxicity, "op5_pii": op5_pii, "op7_packing": op7_packing, "op9_mixing": op9_mixing}
+    return {"op1_media": op1_media, "op2_licenses": op2_licenses, "op4_toxicity": op4_toxicity, "op5_pii": op5_pii, "op6_bagminhash": op6_bagminhash, "op7_packing": op7_packing, "op9_mixing": op9_mixing}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -202,7 +202,7 @@ class Model:
         return (1 / (1 + np.exp(-np.clip(raw, -30, 30)))).tolist()
 
 
-def fit_weights(rows: list[np.ndarray], labels: np.ndarray, *, least_rows: int = 5, least_z: float = 4.0, steps: int = 200, penalty: float = 0.5) -> tuple[float, dict[int, float]]:
+def fit_weights(rows: list[np.ndarray], labels: np.ndarray, *, least_rows: int = 3, least_z: float = 3.0, steps: int = 200, penalty: float = 0.5) -> tuple[float, dict[int, float]]:
     """Bias and weights of the features that labels tell apart (a two-sample z of least_z), by gradient ascent."""
     n, n1 = len(rows), int(labels.sum())
     share = n1 / n if n else 0.0
