@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import avi, bagminhash, licenses, mixing, packing, pii, toxicity
+from . import ann, avi, bagminhash, licenses, mixing, packing, pii, toxicity
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op3_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -39,7 +43,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_media": op1_media, "op2_licenses": op2_licenses, "op4_toxicity": op4_toxicity, "op5_pii": op5_pii, "op6_bagminhash": op6_bagminhash, "op7_packing": op7_packing, "op9_mixing": op9_mixing}
+    return {"op1_media": op1_media, "op2_licenses": op2_licenses, "op3_learned_partitions": op3_learned_partitions, "op4_toxicity": op4_toxicity, "op5_pii": op5_pii, "op6_bagminhash": op6_bagminhash, "op7_packing": op7_packing, "op9_mixing": op9_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
