@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, avi, bagminhash, licenses, mixing, packing, pii, toxicity
+from . import ann, avi, bagminhash, licenses, mixing, packing, pii, suffixdedup, toxicity
 from .common import table
 
 
@@ -42,8 +42,12 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_media": op1_media, "op2_licenses": op2_licenses, "op3_learned_partitions": op3_learned_partitions, "op4_toxicity": op4_toxicity, "op5_pii": op5_pii, "op6_bagminhash": op6_bagminhash, "op7_packing": op7_packing, "op9_mixing": op9_mixing}
+    return {"op1_media": op1_media, "op2_licenses": op2_licenses, "op3_learned_partitions": op3_learned_partitions, "op4_toxicity": op4_toxicity, "op5_pii": op5_pii, "op6_bagminhash": op6_bagminhash, "op7_packing": op7_packing, "op9_mixing": op9_mixing, "op10_suffix_dedup": op10_suffix_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
