@@ -152,3 +152,19 @@ def mix(docs: DataFrame, **options: object) -> DataFrame:
     """One row per document: its words, its source's words and target, and the words the mix takes of it."""
     out = copies(docs, cut_last=True, **options)
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies") + F.col("part")).alias("taken"))
+
+
+def repeat_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options: object) -> DataFrame:
+    """The rows of docs, all columns, each as often as the mix takes it. The text joins the copies in one exchange; rows
+    alike in id, text and source share their copies evenly. A source's last document is taken or not, never cut."""
+    tag = F.xxhash64(F.col(text_col))
+    counted = copies(docs.withColumn("__tag", tag), id_col=id_col, text_col=text_col, source_col=source_col, carry=("__tag",), **options)
+    counted = counted.groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("__tag").alias("__text")).agg(F.sum("copies").alias("__copies"), F.count("*").alias("__alike")).filter("__copies > 0")
+    rows = docs.withColumn("__tag", tag)
+    match = rows[id_col].cast("long").eqNullSafe(F.col("__id")) & rows[source_col].cast("string").eqNullSafe(F.col("__source")) & (rows["__tag"] == F.col("__text"))
+    joined = rows.join(counted, match)
+    single = joined.filter("__alike = 1").withColumn("__n", F.col("__copies"))
+    order = Window.partitionBy("__id", "__source", "__text").orderBy(F.lit(0))
+    alike = joined.filter("__alike > 1").withColumn("__n", F.expr("__copies div __alike") + (F.row_number().over(order) <= F.col("__copies") % F.col("__alike")).cast("long"))
+    out = single.unionByName(alike)
+    return out.withColumn("__k", F.explode(F.array_repeat(F.lit(0), F.col("__n").cast("int")))).select(*[out[c] for c in docs.columns])

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, avi, bagminhash, licenses, mixing, packing, pii, suffixdedup, toxicity
+from . import ann, avi, bagminhash, licenses, mixing, packing, pii, quality, suffixdedup, toxicity
 from .common import table
 
 
@@ -38,6 +38,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op8_empirical_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -47,7 +51,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_media": op1_media, "op2_licenses": op2_licenses, "op3_learned_partitions": op3_learned_partitions, "op4_toxicity": op4_toxicity, "op5_pii": op5_pii, "op6_bagminhash": op6_bagminhash, "op7_packing": op7_packing, "op9_mixing": op9_mixing, "op10_suffix_dedup": op10_suffix_dedup}
+    return {"op1_media": op1_media, "op2_licenses": op2_licenses, "op3_learned_partitions": op3_learned_partitions, "op4_toxicity": op4_toxicity, "op5_pii": op5_pii, "op6_bagminhash": op6_bagminhash, "op7_packing": op7_packing, "op8_empirical_bayes": op8_empirical_bayes, "op9_mixing": op9_mixing, "op10_suffix_dedup": op10_suffix_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
