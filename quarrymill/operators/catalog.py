@@ -28,17 +28,18 @@ ALIASES = {
 }
 
 
-def aliases(word: Column, tokens: Column) -> Column:
-    """The tokens, and those that stand for the same things as any of them or the word."""
-    more = [F.when((word == k) | F.array_contains(tokens, k), F.array(*map(F.lit, v))).otherwise(F.array().cast("array<string>")) for k, v in ALIASES.items()]
-    return F.array_distinct(F.concat(tokens, *more))
+def with_aliases(word: Column) -> Column:
+    """A word and what may stand for it."""
+    table = F.create_map(*[x for k, v in ALIASES.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    return F.concat(F.array(word), F.coalesce(table[word], F.array().cast("array<string>")))
 
 
 def module_relates(resource_type: Column, module: Column, types: Column) -> Column:
     """Whether a module's name or provider types share a word with a resource type, aliases counted, `aws` not."""
     ignored = F.array(F.lit("aws"))
     split = lambda c: F.array_except(plain_tokens(F.translate(c, "_-", "  ")), ignored)
-    want = F.array_except(aliases(F.lower(resource_type), split(resource_type)), ignored)
+    words = F.concat(F.array(F.lower(resource_type)), split(resource_type))
+    want = F.array_except(F.array_distinct(F.flatten(F.transform(words, with_aliases))), ignored)
     return F.arrays_overlap(want, split(F.concat_ws(" ", module, F.concat_ws(" ", types))))
 
 
@@ -89,14 +90,15 @@ def _words(df: DataFrame, text: str) -> list[str]:
 
 def planner_rank(modules: DataFrame, id_col: str, name: Column, types: Column, reuse: Column, intent: str, top: int = 3) -> DataFrame:
     """(id, score): twice the request words among a module's types plus those in its name; a request of five words at most
-    must have half of them covered. Ties by reuse, then id."""
+    must have half of them, aliases counted, covered. Ties by reuse, then id."""
     generic = F.array(*map(F.lit, GENERIC))
     words = F.array_except(plain_tokens(F.lit(intent)), generic)
-    want = aliases(F.lit(""), words)
+    want = F.array_except(F.array_distinct(F.flatten(F.transform(words, with_aliases))), generic)
     type_words = F.array_except(plain_tokens(F.translate(F.concat_ws(" ", types), "_-", "  ")), generic)
     name_words = F.array_except(plain_tokens(F.translate(name, "_-", "  ")), generic)
     in_types, in_name = F.size(F.array_intersect(want, type_words)), F.size(F.array_intersect(want, name_words))
-    covered = F.size(F.array_intersect(words, F.array_union(type_words, name_words)))
+    hay = F.array_union(type_words, name_words)
+    covered = F.size(F.filter(words, lambda w: F.arrays_overlap(with_aliases(w), hay)))
     rows = modules.select(F.col(id_col).alias("id"), (2 * in_types + in_name).alias("score"), covered.alias("covered"), F.size(words).alias("n"), reuse.alias("reuse"))
     rows = rows.filter((F.col("score") > 0) & ((F.col("n") > 5) | (2 * F.col("covered") >= F.col("n"))))
     return rows.orderBy(F.desc("score"), F.desc("reuse"), "id").limit(top).select("id", "score")

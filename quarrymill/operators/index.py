@@ -5,6 +5,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from ..functions import hcl
 from ..functions.text import basename, dirname, resolve_relative
@@ -52,7 +53,7 @@ def clean_text(files: DataFrame) -> DataFrame:
     return files.select("file", "text").mapInPandas(run, "file string, clean string")
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def sound(texts: pd.Series) -> pd.Series:
     """Whether texts have no structural problem."""
     return texts.map(lambda t: not hcl.problems(t or ""))

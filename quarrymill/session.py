@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 
-def build_session(app: str = "quarrymill", *, cores: str = "*", shuffle_partitions: int = 8, driver_memory: str = "8g") -> SparkSession:
-    """A local session: UTC, Arrow on, AQE on, no UI."""
+def build_session(app: str = "quarrymill", *, cores: str = "*", shuffle_partitions: int = 8, driver_memory: str = "8g", shared_dir: str | None = None) -> SparkSession:
+    """A local session: UTC, Arrow on, AQE on, no UI. shared_dir: what spark.checkpoint.dir is to name."""
+    builder = SparkSession.builder
+    if shared_dir:
+        builder = builder.config("spark.checkpoint.dir", shared_dir)
     spark = (
-        SparkSession.builder.master(f"local[{cores}]")
+        builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
