@@ -186,6 +186,9 @@ Signed, [name Robert Miller]
 Name: [name Sarah Jones]
 The patient, [name Mr. Thomas Gray], was seen.
 Regards, [name Laura White]
+We saw [name Mr. Henry Ford].
+I know [name Dr. Susan Clark]. She is here.
+It was sent by [name Ms. Grace Hill].
 [name Herr Klaus Weber] wohnt hier.
 [name Madame Marie Dubois] est ici.
 [name Senor Carlos Lopez] vive aqui.
