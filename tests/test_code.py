@@ -152,3 +152,32 @@ def test_refresh_of_named_paths(spark):
     new = spark.createDataFrame([("a", 2), ("c", 2)], "file string, v int")
     named = spark.createDataFrame([("a",), ("b",)], "file string")
     assert {tuple(r) for r in index.refresh(old, new, named).collect()} == {("a", 2), ("c", 1)}
+
+
+def test_search_and_its_expansion(files, blocks, edges):
+    from quarrymill.operators import search
+
+    chunks = search.build_chunks(files, blocks, edges)
+    assert {(r.symbol, r.kind) for r in chunks.collect()} >= {("aws_instance.web", "resource"), ("inputs.hcl", "component")}
+    assert all(r.text.startswith(r.file + " " + r.symbol + "\n") for r in chunks.collect())
+    got = search.search_and_expand(chunks, files, edges, "find the aws_instance web ami").collect()
+    assert got[0].file == "modules/aws/web/main.tf" and got[0].reason == "retrieved"
+    assert len({r.file for r in got}) == len(got)
+    left = search.residual_tokens(files.filter("file like 'bill/%'").select("text"), ["bill", "T3.large", "w1"])
+    assert [tuple(r) for r in left.collect()] == [(3, "t3.large")]
+
+
+def test_verbs(files):
+    from quarrymill import cli
+
+    ask = lambda verb, *words, **kw: cli.answer(files, verb, list(words), **kw).collect()
+    assert {r.kind for r in ask("stats")} >= {"resource", "module_source", "var_ref"}
+    assert {r.file for r in ask("importers", "modules/aws/web")} == {r.file for r in ask("related", "modules/aws/web/main.tf")}
+    assert [r.name for r in ask("outline", "modules/aws/web/outputs.tf")] == ["id"]
+    assert ask("find", "sg", kind="resource")[0].name == "aws_security_group.sg"
+    assert {r.edge_type for r in ask("imports", "modules/aws/web/main.tf")} == {"var_ref"}
+    assert ask("plan", "an", "ec2", "instance")[0].decision == "reuse"
+    assert ask("catalog", "security", "group")[0].id in ("modules/aws/sg", "modules/aws/web")
+    assert len(ask("list", "web", project="bill")) == 1
+    assert ask("convention")[0].kind == "terragrunt"
+    assert ask("search", "aws_eip")[0].file == "modules/aws/web/main.tf"
