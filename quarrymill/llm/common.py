@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -32,9 +34,21 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(there)  # results may read it as long as the driver lives
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidy() -> None:
+    """Give freed memory back at a task's end: Python workers live on and serve later stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def slices(batches: Iterator[pa.RecordBatch], chars: int = SLICE_CHARS) -> Iterator[tuple[list, list[str]]]:
     """(ids, texts) of a bounded number of characters, a single longer text alone; null texts are empty."""
     ids: list = []
@@ -50,6 +64,8 @@ def slices(batches: Iterator[pa.RecordBatch], chars: int = SLICE_CHARS) -> Itera
                 ids, texts, n = [], [], 0
     if ids:
         yield ids, texts
+    ids, texts = [], []
+    tidy()
 
 
 def held_out_remainder(id_col: str = "doc_id") -> F.Column:

@@ -11,8 +11,10 @@ included; extra columns are ignored; tables without rows give none.
 
 from __future__ import annotations
 
+import array
 import bisect
 import re
+import sys
 import zlib
 from collections.abc import Iterator
 
@@ -24,22 +26,33 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, materialise, slices
+from .common import id_text, materialise, slices, tidy
 
 WINDOW = 2048
 OPEN_WINDOWS = 256
 END_ID = 1
 #: Partitions whose leftovers are merged together.
 MERGE_FAN_IN = 64
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 800_000
 _UNUSUAL_SPACE = re.compile(r"\s\s")
 
 
+_CLOSERS = frozenset(".,")
+
+
+def _le(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit."""
+    a = array.array("I", ids)
+    if sys.byteorder == "big":
+        a.byteswap()
+    return a.tobytes()
+
+
 class WordTokenizer:
     """Ids of a byte-level BPE file, as little-endian unsigned 32-bit bytes, with a cache of words.
 
-    The pre-tokeniser always begins a new piece at a single space or line end between other characters, so texts
-    without two white-space characters in a row are encoded word by word; others go to the tokenizer whole.
+    The pre-tokeniser always begins a new piece at a single space between other characters, so texts without two
+    white-space characters in a row are encoded word by word; others go to the tokenizer whole.
     """
 
     _made: dict[str, WordTokenizer] = {}
@@ -50,6 +63,7 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.cache: dict[str, bytes] = {}
+        self.closers = dict(zip(sorted(_CLOSERS), self._encode(sorted(_CLOSERS)), strict=True))
 
     @classmethod
     def of(cls, path: str) -> WordTokenizer:
@@ -59,7 +73,7 @@ class WordTokenizer:
         return cls._made[path]
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [_le(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
@@ -69,16 +83,24 @@ class WordTokenizer:
                 out[k] = b
         if len(self.cache) > _CACHE_WORDS:
             self.cache.clear()
-        cache = self.cache
-        parts = {k: t.replace("\n", " \n").replace(" ", "\0 ").replace("\0 \n", "\0\n\0").split("\0") if "\0" not in t else None for k, t in enumerate(texts) if out[k] is None}
-        for k in [k for k, p in parts.items() if p is None]:
-            out[k] = self._encode([texts[k]])[0]
-            del parts[k]
-        new = list({w for p in parts.values() for w in p if w not in cache})
+        cache = self.cache  # of words with the space before them; a text's first word stands without one
+        parts = {k: t.split(" ") for k, t in enumerate(texts) if out[k] is None}
+        heads = list(parts)
+        for at in range(0, len(heads), 4096):
+            firsts = self._encode([parts[k][0] for k in heads[at : at + 4096]])
+            for k, b in zip(heads[at : at + 4096], firsts, strict=True):
+                out[k] = b
+        missing = {w for p in parts.values() for w in p[1:] if w not in cache}
+        # a full stop or comma after a letter is always a piece of its own
+        closed = [w for w in missing if w[-1:] in _CLOSERS and w[-2:-1].isalpha()]
+        missing.difference_update(closed)
+        missing.update(w[:-1] for w in closed if w[:-1] not in cache)
+        new = list(missing)
         for at in range(0, len(new), 4096):
-            cache.update(zip(new[at : at + 4096], self._encode(new[at : at + 4096]), strict=True))
+            cache.update(zip(new[at : at + 4096], self._encode([" " + w for w in new[at : at + 4096]]), strict=True))
+        cache.update((w, cache[w[:-1]] + self.closers[w[-1]]) for w in closed)
         for k, p in parts.items():
-            out[k] = b"".join(map(cache.__getitem__, p))
+            out[k] += b"".join(map(cache.__getitem__, p[1:]))
         return out
 
 
@@ -119,8 +141,13 @@ def pack(
     window: int = WINDOW,
     open_windows: int = OPEN_WINDOWS,
     end_id: int = END_ID,
+    keep_words: bool = True,
 ) -> DataFrame:
-    """One row per piece: where its ids begin in the document and in which sequence they lie."""
+    """One row per piece: where its ids begin in the document and in which sequence they lie.
+
+    keep_words: let Python workers keep their word caches from task to task; without, they give the memory back, for
+    workers that serve other stages too.
+    """
     path = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
     names = [x.split()[0] for x in _PIECE.split(", ")] + ["part", "open"]
     end = np.array([end_id], "<u4").tobytes()
@@ -158,6 +185,10 @@ def pack(
                 done = []
         if held:
             yield batch([r for rows in held.values() for r in rows], True)
+        if not keep_words:
+            del words
+            WordTokenizer._made.clear()
+            tidy()
 
     pieces = materialise(id_text(docs, id_col, text_col).mapInArrow(run, f"{_PIECE}, part long, open boolean"), "pieces")
     columns = [c for c in names[:-2]]
