@@ -8,9 +8,11 @@ signature; two signatures agree in a place with the weighted Jaccard similarity
 ascending order and only as far as the last place to fill needs, for all documents of a slice at once.
 
 Whole job: exact copies are folded first; representatives that share a band are candidates. In each bucket everything is
-checked against the smallest member, links are folded into components, and then only members of different components
-that share a bucket are paired, so no bucket's pairs are all made, and no link between different texts is lost but by
-banding (at similarity 0.8 with 32 bands of 4: one in 2e7). Candidates are verified on whole multisets.
+checked against a member drawn by hash, another in each bucket, links are folded into components, and so again; then
+members of different components that still share a bucket are compared inside the tasks, by signature and then on their
+multisets, large buckets block by block, and only links leave them. So no bucket's pairs are all made, and no link between different texts is lost
+but by banding (at similarity 0.8 with 32 bands of 4: one in 2e7) and the signature's margin of 4.5 deviations. Candidates
+are verified on whole multisets.
 
 Words: A-Z lower-cased, then runs of digits, letters and non-ASCII characters; a shingle is five words, or all words of
 a shorter text. Edge cases: texts without words (null is empty) are copies of equal texts only; null ids get rows and
@@ -22,6 +24,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +34,9 @@ from .common import id_text, materialise, slices
 SHINGLE = 5
 BANDS, ROWS = 32, 4
 THRESHOLD = 0.8
+STAR_ROUNDS = 2
+BLOCK_ROWS = 1024
+GROUP_ROWS = 5_000
 
 _U = np.uint64
 _IS_WORD = np.zeros(256, bool)
@@ -188,6 +194,75 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(b, "b").join(a, "a").select("a", "b", "grams_a", "grams_b").mapInArrow(run, "a long, b long")
 
 
+def _key_filter(needed: DataFrame) -> np.ndarray:
+    """Packed bits, one for each of a number of key hashes: whether a needed key has it. Some 64 bits a key, and eight
+    megabytes at most whatever the number of keys; with so many that all bits are set, it lets everything through."""
+    bits = 1 << min(26, max(15, (needed.count() * 64).bit_length()))
+    bit = F.pmod(F.xxhash64("key"), F.lit(bits)) + 1  # the functions count from 1
+    maps = needed.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("n")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+    out = np.zeros(bits // 8, np.uint8)
+    for n, found in maps.collect():
+        out[(n - 1) * 4096 : n * 4096] = np.frombuffer(bytes(found), np.uint8)
+    return out
+
+
+def _open_buckets(crowded: DataFrame, label: DataFrame | None) -> DataFrame:
+    """(bucket, band, n, node, component) of the buckets that hold more than one component."""
+    if label is None:
+        return crowded.withColumn("component", F.col("node"))
+    placed = materialise(crowded.join(label, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
+    mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("bucket")
+    return materialise(placed.join(mixed, "bucket"), "open")
+
+
+def _bucket_links(members: DataFrame, bands: int, rows: int, threshold: float) -> DataFrame:
+    """Links (a, b) between different components in a bucket. Pairs whose signatures agree in as many places as pairs at
+    the threshold do, but for 4.5 standard deviations, are verified on their multisets at once, likeliest first, until a
+    member has a link to a component; only links leave the task. A pair is looked at in the first band it shares only.
+    Small buckets are dealt many to a group; large ones are cut into blocks, each pair of blocks a group."""
+    places = bands * rows
+    least = threshold * places - 4.5 * (places * threshold * (1 - threshold)) ** 0.5
+    total = members.count()
+    groups = max(1, total // GROUP_ROWS)
+    cuts = F.ceil(F.col("n") / BLOCK_ROWS)
+    block = F.pmod(F.xxhash64("node"), cuts)
+    small = F.col("n") <= BLOCK_ROWS
+    other = F.explode(F.when(small, F.array(F.lit(-1).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), cuts.cast("long") - 1)))
+    cells = members.withColumn("block", F.when(small, F.lit(-1)).otherwise(block).cast("long")).withColumn("other", other)
+    cells = cells.select(F.when(F.col("block") < 0, F.pmod("bucket", F.lit(groups))).otherwise(F.col("bucket")).alias("group"), F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "bucket", "band", "node", "component", "short", "grams")
+
+    def compare(cell: pd.DataFrame) -> pd.DataFrame:
+        cell = cell.sort_values(["bucket", "node"], kind="stable")
+        bucket, band, node = (cell[c].to_numpy() for c in ("bucket", "band", "node"))
+        component, block_ = cell["component"].to_numpy(), cell["block"].to_numpy()
+        names = np.frombuffer(b"".join(cell["short"]), np.uint16).reshape(len(cell), places)
+        grams = cell["grams"].tolist()
+        across = len(cell) > 0 and cell["lo"].iloc[0] != cell["hi"].iloc[0]
+        a_out, b_out = [], []
+        cuts_ = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(cell))
+        for lo, hi in zip(cuts_[:-1], cuts_[1:], strict=True):
+            for i in range(lo, hi - 1):
+                rest = np.arange(i + 1, hi)
+                rest = rest[(component[rest] != component[i]) & ((block_[rest] != block_[i]) | (not across))]
+                if not len(rest):
+                    continue
+                same = names[rest] == names[i]
+                enough = same.sum(1) >= least
+                if enough.any():
+                    rest, same = rest[enough], same[enough]
+                    first = same.reshape(len(rest), bands, rows).all(2).argmax(1)
+                    mine = np.flatnonzero(first == band[i])
+                    linked: set[int] = set()
+                    for r in rest[mine[np.argsort(-same[mine].sum(1), kind="stable")]].tolist():
+                        if component[r] not in linked and jaccard(grams[i], grams[r]) >= threshold:
+                            linked.add(component[r])
+                            a_out.append(node[i])
+                            b_out.append(node[r])
+        return pd.DataFrame({"a": np.array(a_out, np.int64), "b": np.array(b_out, np.int64)})
+
+    return cells.groupBy("group", "lo", "hi").applyInPandas(compare, "a long, b long")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of every node in links (a, b), the component named by its smallest node.
 
@@ -231,32 +306,47 @@ def text_classes(mine: DataFrame, *, shingle: int = SHINGLE, bands: int = BANDS,
     folded = signed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
     nodes = materialise(folded.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
-    members = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.min("node").alias("a"), F.count("*").alias("n")).filter("n > 1").select("bucket", "a")
-    crowded = materialise(members.join(shared, "bucket"), "crowded")
-    pairs = materialise(crowded.filter("node <> a").select("a", F.col("node").alias("b")).distinct(), "pairs")
+    members = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
+    crowd = members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    crowded = materialise(members.join(crowd, "bucket"), "crowded")
 
-    # the multisets of nodes that share a bucket, one text for each
-    needed = crowded.select("node").distinct().join(nodes.select("node", "key", "rep"), "node")
-    needed = materialise(needed, "needed")
+    # the multisets and short signatures of nodes that share a bucket, one text for each
+    needed = materialise(crowded.select("node").distinct().join(nodes.select("node", "key", "rep"), "node"), "needed")
+    wanted = _key_filter(needed)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in slices(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(occurrence_sets(texts, shingle), pa.binary())], names=["node", "grams"])
-
-    one = mine.join(needed, (mine["key"] == needed["key"]) & mine["doc_id"].eqNullSafe(needed["rep"])).select("node", "text")
-    sets = materialise(one.mapInArrow(gather, "node long, grams binary").dropDuplicates(["node"]), "sets")
+        for batch in batches:
+            bit = batch.column(3).to_numpy(zero_copy_only=False)
+            batch = batch.filter(pa.array((wanted[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)))
+            at = 0
+            for ids, texts in slices(iter([batch])):
+                names = signatures(*shingles(texts, shingle), len(texts), bands * rows)
+                short = [x.tobytes() for x in (names >> _U(48)).astype(np.uint16)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), batch.column(2).slice(at, len(ids)), pa.array(occurrence_sets(texts, shingle), pa.binary()), pa.array(short, pa.binary())], names=["doc_id", "key", "grams", "short"])
+                at += len(ids)
 
-    links = materialise(_verified(pairs, sets, threshold), "links")
-    label = components(links)
-    placed = crowded.select("bucket", "node").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("bucket")
-    open_ = materialise(placed.join(mixed, "bucket"), "open")
-    x, y = open_.withColumnsRenamed({"node": "a", "component": "ca"}), open_.withColumnsRenamed({"node": "b", "component": "cb"})
-    more = x.join(y, "bucket").filter("a < b and ca <> cb").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-    more = materialise(more, "more")
+    spotted = mine.withColumn("bit", F.pmod(F.xxhash64("key"), F.lit(len(wanted) * 8)).cast("int")).mapInArrow(gather, "doc_id long, key binary, grams binary, short binary")
+    n = needed.select("node", F.col("key").alias("k"), "rep")
+    one = spotted.join(n, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "grams", "short")
+    sets = materialise(one.dropDuplicates(["node"]), "sets")
+    grams = sets.select("node", "grams")
+
+    links = tested = label = None
+    for turn in range(STAR_ROUNDS):
+        open_ = _open_buckets(crowded, label)
+        centre = open_.groupBy("bucket").agg(F.min_by("node", F.xxhash64("node", "bucket", F.lit(turn))).alias("centre"), F.min_by("component", F.xxhash64("node", "bucket", F.lit(turn))).alias("theirs"))
+        pairs = open_.join(centre, "bucket").filter("component <> theirs").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+        pairs = materialise(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        found = _verified(pairs, grams, threshold)
+        links = materialise(found if links is None else links.unionByName(found), "links")
+        label = components(links)
+
+    # what is left: members of different components in one bucket, compared inside the tasks, block by block
+    open_ = _open_buckets(crowded, label).join(sets, "node")
+    more = materialise(_bucket_links(open_, bands, rows, threshold).distinct(), "more")
     if not more.isEmpty():
-        label = components(links.unionByName(_verified(more, sets, threshold)))
+        label = components(links.unionByName(more))
 
     classes = nodes.select("node", "key", "rep").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     best = classes.groupBy("component").agg(F.min(F.struct(F.isnull("rep").alias("none"), "rep", "key")).alias("best"))
