@@ -63,6 +63,7 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.cache: dict[str, bytes] = {}
+        self.most = _CACHE_WORDS
         self.closers = dict(zip(sorted(_CLOSERS), self._encode(sorted(_CLOSERS)), strict=True))
 
     @classmethod
@@ -81,7 +82,7 @@ class WordTokenizer:
         for at in range(0, len(whole), 64):
             for k, b in zip(whole[at : at + 64], self._encode([texts[k] for k in whole[at : at + 64]]), strict=True):
                 out[k] = b
-        if len(self.cache) > _CACHE_WORDS:
+        if len(self.cache) > self.most:
             self.cache.clear()
         cache = self.cache  # of words with the space before them; a text's first word stands without one
         parts = {k: t.split(" ") for k, t in enumerate(texts) if out[k] is None}
@@ -142,11 +143,12 @@ def pack(
     open_windows: int = OPEN_WINDOWS,
     end_id: int = END_ID,
     keep_words: bool = True,
+    cache_words: int = _CACHE_WORDS,
 ) -> DataFrame:
     """One row per piece: where its ids begin in the document and in which sequence they lie.
 
-    keep_words: let Python workers keep their word caches from task to task; without, they give the memory back, for
-    workers that serve other stages too.
+    keep_words: let Python workers keep their word caches, of cache_words at most, from task to task; without, they give
+    the memory back, for workers that serve other stages too.
     """
     path = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
     names = [x.split()[0] for x in _PIECE.split(", ")] + ["part", "open"]
@@ -154,6 +156,7 @@ def pack(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordTokenizer.of(path)
+        words.most = cache_words
         part = TaskContext.get().partitionId()
         windows = OpenWindows(window, open_windows)
         held: dict[int, list[tuple]] = {}  # pieces of windows that are open

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import id_text, slices
+from .common import id_text, slices, tidy
 
 #: Kinds in output order. The last three come from the random field.
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -521,5 +521,6 @@ def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", l
                 if n_at is not None:
                     cols[n_at] = pa.array([None if t is None else len(t) for t in clean], pa.int64())
                 yield pa.RecordBatch.from_arrays(cols, names=names)
+        tidy()
 
     return docs.mapInArrow(run, docs.schema)

@@ -24,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out_remainder, id_text, slices
+from .common import held_out_remainder, id_text, slices, tidy
 
 MAX_TRAIN = 8000
 N_CHARS = 27  # a-z from 1; 0 is everything else
 _STRIP = ".,;:!?\"'()[]{}<>%*&$#|-_=+~`^/\\@"
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 150_000
 
 #: What signs may stand for, in the order of likelihood.
 SIGNS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "tl", "8": "b", "9": "g", "2": "z", "@": "a", "$": "s", "!": "il", "|": "li", "+": "t", "(": "c", "€": "e"}
@@ -197,6 +197,11 @@ class Model:
             self.hidden[r] = f if keep is None else tuple(x for x in f if x in keep)
         return [{x for w in ws for x in plain[w]} | {x for r in rs for x in self.hidden[r]} for ws, rs in zip(sets, runs, strict=True)]
 
+    def forget(self) -> None:
+        """Empty the word caches."""
+        self.plain.clear()
+        self.hidden.clear()
+
     def scores(self, texts: list[str]) -> list[float]:
         raw = [self.bias + sum(self.weights[x] for x in sorted(f)) for f in self.features(texts)]
         return (1 / (1 + np.exp(-np.clip(raw, -30, 30)))).tolist()
@@ -241,6 +246,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", max_tra
         for batch in batches:
             found = model.features([t or "" for t in batch.column(0).to_pylist()], all_kinds=True)
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([np.array(sorted(f), np.uint32).tobytes() for f in found], pa.binary())], names=["label", "features"])
+        model.forget()
+        tidy()
 
     # about max_train rows of two numbers, so it can be broadcast
     rows = docs.join(F.broadcast(sample), "doc_id").select("text", "label").mapInArrow(run, "label int, features binary").toPandas()
@@ -275,5 +282,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", te
             for begin in range(0, whole.num_rows, 512):
                 batch = whole.slice(begin, 512)
                 yield batch.filter(pa.array([x < 0.5 for x in model.scores([t or "" for t in batch.column(at).to_pylist()])]))
+        model.forget()
+        tidy()
 
     return docs.mapInArrow(run, docs.schema)
