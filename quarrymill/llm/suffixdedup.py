@@ -29,9 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 LENGTH = 50
 GRAM = 24
-PART_BYTES = 32_000_000
+PART_BYTES = 12_000_000
 BUCKET_WINDOWS = 1_000_000
 SLICE_BYTES = 1_000_000
 _LAST = (1 << 63) - 1
@@ -202,6 +204,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa
             if n >= SLICE_BYTES or k + 1 == len(texts):
                 yield batch.slice(at, k + 1 - at), [x.encode("utf-8", "surrogatepass") for x in texts[at : k + 1]]
                 at, n = k + 1, 0
+    tidy()
 
 
 def _ints(batch: pa.RecordBatch, column: int) -> np.ndarray:
@@ -292,7 +295,7 @@ def find_covered(mine: DataFrame, parts: int, length: int) -> DataFrame:
             out = []
             for p, found in by_part.items():
                 docs = np.array([f[2] for f in found])
-                out.append((p, b"".join(f[1] for f in found), np.array([len(f[1]) for f in found], np.uint32).tobytes(), np.array([f[0] for f in found], np.uint32).tobytes(), ids[docs].tobytes(), tags[docs].tobytes(), np.array([len(f[3]) for f in found], np.uint32).tobytes(), np.array([s for f in found for s in f[3]], np.uint32).tobytes()))
+                out.append((p, pa.compress(b"".join(f[1] for f in found), codec="zstd", asbytes=True), np.array([len(f[1]) for f in found], np.uint32).tobytes(), np.array([f[0] for f in found], np.uint32).tobytes(), ids[docs].tobytes(), tags[docs].tobytes(), np.array([len(f[3]) for f in found], np.uint32).tobytes(), np.array([s for f in found for s in f[3]], np.uint32).tobytes()))
             for k, runs in direct.items():  # already known: goes along
                 out.append((k % parts, b"", b"", b"", ids[k : k + 1].tobytes(), tags[k : k + 1].tobytes(), b"", np.array(runs, np.uint32).tobytes()))
             if out:
@@ -307,6 +310,7 @@ def find_covered(mine: DataFrame, parts: int, length: int) -> DataFrame:
         group = group[~known]
         if len(group):
             out += _covered(group, length)
+        tidy()
         ids, tags, runs = zip(*out, strict=True) if out else ((), (), ())
         return pd.DataFrame({"doc_id": np.array(ids, np.int64), "tag": np.array(tags, np.int64), "runs": list(runs)})
 
@@ -323,11 +327,25 @@ def _covered(group: pd.DataFrame, length: int) -> list[tuple[int, int, bytes]]:
     sizes, keys = _joined(group["sizes"], "u4").astype(np.int64), _joined(group["keys"], "u4")
     ids, tags = _joined(group["ids"], "i8"), _joined(group["tags"], "i8")
     count, starts = _joined(group["counts"], "u4").astype(np.int64), _joined(group["starts"], "u4").astype(np.int64)
-    text = b"".join(group["text"])
+    n_text = [int(np.frombuffer(x, "u4").sum(dtype=np.int64)) for x in group["sizes"]]
+    text = b"".join(pa.decompress(x, n, codec="zstd", asbytes=True) for x, n in zip(group["text"], n_text, strict=True))
     begin, first = np.cumsum(sizes) - sizes, np.cumsum(count) - count
+    # equal surroundings: all but those of the least document go whole, and need no sorting
+    least: dict[bytes, int] = {}
+    same = np.zeros(len(sizes), np.int64)
+    ends = begin + sizes
+    for k, (a, b) in enumerate(zip(begin.tolist(), ends.tolist(), strict=True)):
+        same[k] = least.setdefault(text[a:b], k)
+    smallest = np.full(len(sizes), _LAST)
+    np.minimum.at(smallest, same, ids)
+    later = ids > smallest[same]
+    out = []
+    whole = np.flatnonzero(later)
+    if len(whole):
+        out += _runs(whole, np.zeros(len(whole), np.int64), sizes[whole], ids, tags, count, first, starts)
     order = np.argsort(keys, kind="stable")
+    order = order[~later[order]]
     total = np.cumsum((sizes - length + 1)[order])
-    out = []
     at = 0
     while at < len(order):
         end = int(np.searchsorted(total, (total[at - 1] if at else 0) + BUCKET_WINDOWS, side="right"))
@@ -357,18 +375,22 @@ def _covered(group: pd.DataFrame, length: int) -> list[tuple[int, int, bytes]]:
         new[1:] = (which[1:] != which[:-1]) | (j[1:] != j[:-1] + 1)
         lead = np.flatnonzero(new)
         tail = np.append(lead[1:], len(which)) - 1
-        context, a, b = mine[which[lead]], j[lead], j[tail] + length
-        times = count[context]
-        rep = np.repeat(np.arange(len(context)), times)
-        s = starts[first[context][rep] + np.arange(len(rep)) - np.repeat(np.cumsum(times) - times, times)]
-        doc, tag, a, b = ids[context][rep], tags[context][rep], s + a[rep], s + b[rep]
-        by = np.lexsort((a, tag, doc))
-        doc, tag, pair = doc[by], tag[by], np.stack((a[by], b[by]), axis=1).astype(np.uint32)
-        cut = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])))
-        out += [(int(doc[x]), int(tag[x]), pair[x:y].tobytes()) for x, y in zip(cut, np.append(cut[1:], len(doc)), strict=True)]
+        out += _runs(mine[which[lead]], j[lead], j[tail] + length, ids, tags, count, first, starts)
     return out
 
 
+def _runs(context: np.ndarray, a: np.ndarray, b: np.ndarray, ids: np.ndarray, tags: np.ndarray, count: np.ndarray, first: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, bytes]]:
+    """Ranges within contexts as ranges of their documents, at each place where a context stands."""
+    times = count[context]
+    rep = np.repeat(np.arange(len(context)), times)
+    s = starts[first[context][rep] + np.arange(len(rep)) - np.repeat(np.cumsum(times) - times, times)]
+    doc, tag, a, b = ids[context][rep], tags[context][rep], s + a[rep], s + b[rep]
+    by = np.lexsort((a, tag, doc))
+    doc, tag, pair = doc[by], tag[by], np.stack((a[by], b[by]), axis=1).astype(np.uint32)
+    cut = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])))
+    return [(int(doc[x]), int(tag[x]), pair[x:y].tobytes()) for x, y in zip(cut, np.append(cut[1:], len(doc)), strict=True)]
+
+
 def merged(runs: np.ndarray) -> np.ndarray:
     """Maximal ranges of (start, end) pairs."""
     runs = runs[np.argsort(runs[:, 0], kind="stable")].astype(np.int64)
