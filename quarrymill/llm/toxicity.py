@@ -3,7 +3,9 @@
 Three steps. (1) A character trigram model is counted over all documents (one pass, 27^3 counts whatever the corpus).
 (2) Disguised words - signs and digits for letters, letters spelled out with spaces or signs between them, stretched
 letters - become lattices of what each character may stand for; Viterbi search under the character model restores them,
-a batch of lattices at a time. (3) A logistic model over words and word beginnings, of the plain and the restored words,
+a batch of lattices at a time. Every word with a sign next to a letter or three equal letters in a row takes this way,
+whatever its length and other characters; letters beyond a-z pass as themselves, under the model as their base letter.
+Only words without any letter are left alone: they are numbers or punctuation. (3) A logistic model over words and word beginnings, of the plain and the restored words,
 scores the text. It is fitted on the driver from a bounded sample of labelled rows (``max_train``, 8,000 documents), of
 which only those beginnings and words are kept that labels tell apart.
 
@@ -15,9 +17,11 @@ labelled share of toxic rows (0 without any); repeated rows repeat; extra column
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,14 +39,30 @@ _CACHE_WORDS = 150_000
 SIGNS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "tl", "8": "b", "9": "g", "2": "z", "@": "a", "$": "s", "!": "il", "|": "li", "+": "t", "(": "c", "€": "e"}
 
 _SIGN = "".join(map(re.escape, SIGNS))
-_DISGUISED = re.compile(rf"(?:^|[a-z])[{_SIGN}]{{1,2}}[a-z]|[a-z][0-9@$]$|([a-z])\1\1")
-_SPELLED = re.compile(rf"(?<![^\W_])(?:[a-z{_SIGN}](?:[.\-_*]| {{1,2}})){{3,}}[a-z{_SIGN}](?![^\W_])")
-_LONGEST = 24
+_LETTER = r"[^\W\d_]"
+_DISGUISED = re.compile(rf"{_LETTER}[{_SIGN}]|[{_SIGN}]{_LETTER}|({_LETTER})\1\1")
+_ONE = rf"(?:[^\W_]|[{_SIGN}])"
+_SPELLED = re.compile(rf"(?<![^\W_])(?:{_ONE}(?:[.\-_*]| {{1,2}})){{3,}}{_ONE}(?![^\W_])")
+_STRETCHED = re.compile(r"(.)\1{3,}")
+_PART = re.compile(rf"{_ONE}+")
 _PIECE, _STEP = 64, 32
 
-_BYTE_CHAR = np.zeros(256, np.int64)
-_BYTE_CHAR[97:123] = np.arange(1, 27)
-_BYTE_CHAR[65:91] = np.arange(1, 27)
+def _base_letters() -> dict[int, str]:
+    out = dict(zip(map(ord, "ßæøœłđ"), "saoold", strict=True))
+    for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
+        x = unicodedata.normalize("NFD", chr(c).lower())[0]
+        if "a" <= x <= "z":
+            out[c] = x
+    return out
+
+
+#: Letters beyond a-z: the letter that the character model takes them for. Others count as a boundary.
+_BASE = _base_letters()
+_CHAR = np.zeros(1 << 16, np.int16)  # of each UTF-16 unit
+for _c in range(26):
+    _CHAR[[65 + _c, 97 + _c]] = _c + 1
+for _c, _x in _BASE.items():
+    _CHAR[_c] = ord(_x) - 96
 
 
 # ---------------------------------------------------------------------------------------------------------------
@@ -51,7 +71,7 @@ _BYTE_CHAR[65:91] = np.arange(1, 27)
 
 def trigram_counts(texts: list[str]) -> np.ndarray:
     """Counts of three characters in a row, texts joined by a boundary."""
-    c = _BYTE_CHAR[np.frombuffer((" " + "  ".join(texts) + " ").encode("utf-8", "surrogatepass"), np.uint8)]
+    c = _CHAR[np.frombuffer((" " + "  ".join(texts) + " ").encode("utf-16-le", "surrogatepass"), "<u2")].astype(np.int32)
     return np.bincount(c[:-2] * (N_CHARS * N_CHARS) + c[1:-1] * N_CHARS + c[2:], minlength=N_CHARS**3)
 
 
@@ -91,9 +111,11 @@ def _lattice(word: str) -> tuple[list[tuple[tuple[int, float], ...]], list[float
             options.append(((ord(ch) - 96, -0.01),))
         elif ch in SIGNS:
             options.append(tuple((ord(x) - 96, -0.2 - 0.7 * j) for j, x in enumerate(SIGNS[ch])))
+        elif ch.isalpha():
+            options.append(((ord(_BASE[ord(ch)]) - 96 if ord(ch) in _BASE else 0, -0.01),))
         else:
             options.append(((0, -2.5),))
-        if not ("a" <= ch <= "z" or ch in SIGNS):
+        if not (ch in SIGNS or ch.isalpha()):
             drop.append(-0.1)
         elif k and word[k - 1] == ch:
             run = len(re.match(re.escape(ch) + "*", word[k:]).group()) + len(word[:k]) - len(word[:k].rstrip(ch))
@@ -103,55 +125,64 @@ def _lattice(word: str) -> tuple[list[tuple[tuple[int, float], ...]], list[float
     return options, drop
 
 
-def restore(model: np.ndarray, words: list[str], batch: int = 48) -> list[str]:
-    """The likeliest plain form of each word, a blank where its lattice holds a boundary."""
-    out = [""] * len(words)
-    order = sorted(range(len(words)), key=lambda k: len(words[k]))
-    for at in range(0, len(order), batch):
-        part = order[at : at + batch]
-        n, longest = len(part), len(words[part[-1]])
-        emit = np.full((n, longest, N_CHARS), -1e9, np.float32)
-        skip = np.zeros((n, longest), np.float32)
-        for i, k in enumerate(part):
-            options, drop = _lattice(words[k])
-            for t, (os, d) in enumerate(zip(options, drop, strict=True)):
-                skip[i, t] = d
-                for c, p in os:
-                    emit[i, t, c] = p
-        score = np.full((n, N_CHARS, N_CHARS), -1e9, np.float32)
-        score[:, 0, 0] = 0
-        came = np.zeros((longest, n, N_CHARS, N_CHARS), np.uint8)
-        kept = np.zeros((longest, n, N_CHARS, N_CHARS), bool)
-        for t in range(longest):
-            best = score[:, 0, :, None] + model[0]
-            for a in range(1, N_CHARS):
-                x = score[:, a, :, None] + model[a]
-                better = x > best
-                came[t][better] = a
-                np.maximum(best, x, out=best)
-            best += emit[:, t, None, :]
-            dropped = score + skip[:, t, None, None]
-            kept[t] = best >= dropped
-            score = np.where(kept[t], best, dropped)
-        final = (score + model[:, :, 0]).reshape(n, -1).argmax(1)
-        for i, k in enumerate(part):
-            b, c = divmod(int(final[i]), N_CHARS)
-            letters = []
-            for t in range(longest - 1, -1, -1):
-                if kept[t, i, b, c]:
-                    letters.append(c)
-                    b, c = int(came[t, i, b, c]), b
-            out[k] = "".join(chr(96 + x) if x else " " for x in reversed(letters)).strip()
+def restore(model: np.ndarray, words: list[str]) -> list[str]:
+    """The likeliest plain form of each word, a blank where its lattice holds a boundary, letters beyond a-z as they are.
+
+    Viterbi search over the last two characters kept; only those that the lattice allows are states, a handful at most.
+    """
+    if not words:
+        return []
+    logp, square, out = model.ravel().tolist(), N_CHARS * N_CHARS, []
+    for word in words:
+        states: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}
+        for ch, options, d in zip(word, *_lattice(word), strict=True):
+            itself = ch > "z" and ch not in SIGNS and ch.isalpha()
+            # the tie goes to the kept character, then to the smaller letter
+            after = {} if d < -1e8 else {k: (s + d, back) for k, (s, back) in states.items()}
+            kept: dict[int, tuple[float, tuple | None]] = {}
+            for k, (s, back) in sorted(states.items()) if len(states) > 1 else states.items():
+                for c, p in options:
+                    to, score = k * N_CHARS + c, s + p
+                    score += logp[to]
+                    to %= square
+                    if to not in kept or score > kept[to][0]:
+                        kept[to] = (score, (ch if itself else chr(96 + c) if c else " ", back))
+            for to, best in kept.items():
+                if to not in after or best[0] >= after[to][0]:
+                    after[to] = best
+            states = after
+        back = states[max(sorted(states), key=lambda k: states[k][0] + logp[k * N_CHARS])][1]
+        letters = []
+        while back is not None:
+            letters.append(back[0])
+            back = back[1]
+        out.append("".join(reversed(letters)).strip())
     return out
 
 
+def _pieces(run: str) -> list[str]:
+    """A run as it is, or overlapping pieces of a longer one. Four and more equal characters are three: none but the dropped ones differ."""
+    run = _STRETCHED.sub(r"\1\1\1", run)
+    return [run[a : a + _PIECE] for a in range(0, max(1, len(run) - _PIECE + _STEP), _STEP)]
+
+
+@lru_cache(_CACHE_WORDS // 2)
+def _forms(word: str) -> tuple[str, ...]:
+    """What a word may hide: itself, without the signs around it, and its parts between other characters."""
+    if not _DISGUISED.search(word):
+        return ()
+    bare = word.strip(".,;:?\"'")
+    forms = {bare, bare.strip(_STRIP), *(_PART.findall(bare))}
+    return tuple(sorted({x for f in forms if _DISGUISED.search(f) for x in _pieces(f) if _DISGUISED.search(x)}))
+
+
 def disguised(lower: str, words: set[str]) -> list[str]:
-    """Words and spelled-out runs of a lower-cased text that may hide others. Longer runs are cut into overlapping pieces."""
-    found = [w for w in (w.strip(".,;:?\"'") for w in words) if len(w) <= _LONGEST and _DISGUISED.search(w) and sum("a" <= c <= "z" for c in w) >= 1 and all("a" <= c <= "z" or c in SIGNS for c in w)]
+    """Words and spelled-out runs of a lower-cased text that may hide others. Longer ones are cut into overlapping pieces."""
+    found = [x for w in words for x in _forms(w)]
     for m in _SPELLED.finditer(lower):
         run = m.group()
-        if sum("a" <= c <= "z" for c in run) >= 2:
-            found += [run[a : a + _PIECE] for a in range(0, max(1, len(run) - _PIECE + _STEP), _STEP)]
+        if sum(map(str.isalpha, run)) >= 2:
+            found += _pieces(run)
     return found
 
 
@@ -201,6 +232,7 @@ class Model:
         """Empty the word caches."""
         self.plain.clear()
         self.hidden.clear()
+        _forms.cache_clear()
 
     def scores(self, texts: list[str]) -> list[float]:
         raw = [self.bias + sum(self.weights[x] for x in sorted(f)) for f in self.features(texts)]
@@ -268,6 +300,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
             s = model.scores(texts)
             cols = [pa.array(ids, pa.int64()), pa.array([i is not None and zlib.crc32(str(i).encode()) % 5 == 0 for i in ids]), pa.array(s, pa.float64()), pa.array([int(x >= 0.5) for x in s], pa.int32())]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "held_out", "score", "predicted"])
+        model.forget()
 
     return mine.mapInArrow(run, _OUT)
 

@@ -91,6 +91,19 @@ def test_restoration_is_the_best_path():
         assert toxicity.restore(model, [word]) == [said]
 
 
+def test_every_kind_of_disguise_reaches_the_lattice():
+    plain = "loser idiot asshole bloody shit pathetic blöder scum moron consectetur dumb the said "
+    model = toxicity.smoothed(toxicity.trigram_counts([plain * 200]).astype(float))
+    hidden = {"sc" + "u" * 25 + "m": "scum", "l053r": "loser", "1053r": "loser", "idi07": "idiot", "455hole": "asshole", "b100dy": "bloody", "shi+": "shit", "pathet1(": "pathetic", "blöd3r": "blöder", "(idi0t!!)": "idiot", "dumb-1d10t": "idiot", "1d-10t": "idiot"}
+    for word, want in hidden.items():
+        assert want in toxicity.restore(model, toxicity.disguised(word, {word})), word
+    long = "consectetur" * 9 + "m0r0n" + "consectetur" * 9
+    found = toxicity.disguised(long, {long})
+    assert max(map(len, found)) <= 64 and any("moron" in x for x in toxicity.restore(model, found))
+    for word in ("idiot", "2024", "$50", "..."):
+        assert toxicity.disguised(word, {word}) == []
+
+
 @needs_data
 def test_quality_on_held_out_rows(spark):
     got = {r.doc_id: r for r in quality.score_quality(table(spark, SF, "documents"), table(spark, SF, "labels")).collect()}
