@@ -9,7 +9,7 @@ enough rows, and reranked there by exact cosine in double precision.
 Parts and the queries sent to them are cut into blocks by counts taken beforehand, so a part that holds a third of all
 rows is many tasks; equal vectors of a block are scored once. Edge cases: vectors that are null, zero, of another length
 than most, or hold null or non-finite components take no part; null ids neither; ties go to the smaller id; a query
-with fewer candidates than k gets all of them; rows that repeat a vec_id count as that many candidates, but for the
+with fewer candidates than k gets all of them; tables of fewer than 64 vectors are one part, without a network; rows that repeat a vec_id count as that many candidates, but for the
 query's own id; tables without rows give none.
 """
 
@@ -29,6 +29,8 @@ from .common import materialise
 SAMPLE = 4096
 NEIGHBOURS = 10
 ROWS_PER_PART = 2000
+FEWEST_PARTS = 8
+PART_SAMPLE = 32
 MOST_PARTS = 256
 PROBES = 0.75
 BLOCK_ROWS = 8192
@@ -168,6 +170,11 @@ def top_k(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids:
     return np.array(got_q, np.int64), np.array(got_r, np.int64), np.array(got_s)
 
 
+def part_count(total: int, sampled: int, rows_per_part: int = ROWS_PER_PART) -> int:
+    """Parts of about rows_per_part rows, FEWEST_PARTS at least, as far as the sample has PART_SAMPLE vectors for each."""
+    return int(min(MOST_PARTS, max(FEWEST_PARTS, total // rows_per_part), max(1, sampled // PART_SAMPLE)))
+
+
 def nearest(
     vectors: DataFrame,
     *,
@@ -195,7 +202,7 @@ def nearest(
     mine = mine.filter(F.size("vec") == dim)
     share = min(1.0, sample / total)
     taken = mine.filter(F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(1 << 30)) < int(share * (1 << 30))).orderBy("vec_id").toPandas()
-    parts = int(min(MOST_PARTS, max(1, total // rows_per_part), max(1, len(taken) // 32)))
+    parts = part_count(total, len(taken), rows_per_part)
     router = None
     if parts > 1:
         rng = np.random.default_rng(seed)

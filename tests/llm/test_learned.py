@@ -151,6 +151,34 @@ def test_recall_of_neighbours(spark):
     assert hit / (5 * len(queries)) >= 0.9
 
 
+def recall(vectors, got, every=50):
+    ids, x = np.array([v[0] for v in vectors]), np.array([v[1] for v in vectors])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    found = {}
+    for r in got:
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = []
+    for at in np.flatnonzero(ids % every == 0):
+        s = u @ u[at]
+        s[at] = -2
+        hits.append(len(found[ids[at]] & set(ids[np.argsort(-s)[:5]].tolist())) / 5)
+    return np.mean(hits)
+
+
+@pytest.mark.parametrize(("n", "parts"), [(500, 8), (26_000, 13)])
+def test_small_and_large_tables_are_dealt_alike(spark, monkeypatch, n, parts):
+    """Production parameters; vectors like the test data's, noise around few centres."""
+    asked, fit = [], ann.Router.fit.__func__
+    monkeypatch.setattr(ann.Router, "fit", classmethod(lambda cls, x, graph, label, parts, rng: asked.append(parts) or fit(cls, x, graph, label, parts, rng)))
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(20, 64))
+    x = (centres[rng.integers(20, size=n)] + 0.5 * rng.normal(size=(n, 64))).astype(np.float32)
+    vectors = [(k, v.tolist()) for k, v in enumerate(x)]
+    got = ann.nearest(spark.createDataFrame(vectors, "vec_id long, embedding array<float>")).collect()
+    assert asked == [parts]
+    assert recall(vectors, got) >= 0.9
+
+
 def test_neighbours_of_odd_vectors(spark):
     rows = [(0, [1.0, 0.0]), (50, [0.0, 2.0]), (1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [1.0, 1.0]), (4, [0.0, 0.0]), (5, None), (6, [1.0, float("nan")]), (7, [1.0, None]), (100, [float("inf"), 1.0]), (8, [1.0, 0.0, 0.0]), (None, [1.0, 0.0]), (150, [])]
     df = spark.createDataFrame([(*r, 3) for r in rows], "vec_id long, embedding array<float>, rank int")
