@@ -10,7 +10,8 @@ Parts and the queries sent to them are cut into blocks by counts taken beforehan
 rows is many tasks; equal vectors of a block are scored once. Edge cases: vectors that are null, zero, of another length
 than most, or hold null or non-finite components take no part; null ids neither; ties go to the smaller id; a query
 with fewer candidates than k gets all of them; tables of fewer than 64 vectors are one part, without a network; rows that repeat a vec_id count as that many candidates, but for the
-query's own id; tables without rows give none.
+query's own id; an id of several rows asks once, with the smallest of its vectors (compared component by component);
+tables without rows give none.
 """
 
 from __future__ import annotations
@@ -149,19 +150,26 @@ def top_k(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids:
     _, first, same = np.unique(rows.view(np.dtype((np.void, rows.shape[1] * 8))).ravel(), return_index=True, return_inverse=True)
     members = np.argsort(same, kind="stable")  # of each distinct row, by id
     begin = np.searchsorted(same[members], np.arange(len(first) + 1))
+    member_ids = row_ids[members]
+    lowest, highest = member_ids[begin[:-1]], member_ids[begin[1:] - 1]
     distinct = rows[first]
     norm_r, norm_q = np.sqrt((distinct * distinct).sum(1)), np.sqrt((queries * queries).sum(1))
     scaled = (distinct / norm_r[:, None]).T
     got_q, got_r, got_s = [], [], []
-    want = min(k + 1, len(first))
+    want = min(k, len(first))
     for at in range(0, len(queries), 256):
         s = (queries[at : at + 256] / norm_q[at : at + 256, None]) @ scaled
+        s[(query_ids[at : at + 256, None] == lowest) & (lowest == highest)] = -np.inf  # rows of the query's own id only
         least = np.partition(s, len(first) - want, axis=1)[:, len(first) - want]
         for i, row in enumerate(s):
             q = at + i
             short = np.flatnonzero(row >= least[i] - 1e-9)
             exact = (distinct[short] * queries[q]).sum(1) / (norm_r[short] * norm_q[q])
-            found = [(-e, int(row_ids[m])) for e, d in zip(exact, short, strict=True) for m in members[begin[d] : min(begin[d + 1], begin[d] + k + 1)] if row_ids[m] != query_ids[q]]
+            found = []
+            for e, d in zip(exact, short, strict=True):
+                ids = member_ids[begin[d] : begin[d + 1]]
+                own = np.searchsorted(ids, query_ids[q]), np.searchsorted(ids, query_ids[q], "right")
+                found += [(-e, r) for r in (*ids[: min(own[0], k)].tolist(), *ids[own[1] : own[1] + k].tolist())[:k]]
             found.sort()
             for e, r in found[:k]:
                 got_q.append(query_ids[q])
@@ -229,7 +237,7 @@ def nearest(
             lists = [o[: max(least, int(np.searchsorted(np.cumsum(held[o]), k + 1)) + 1)].tolist() for o in order]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lists, pa.list_(pa.int32()))], names=["query_id", "q", "parts"])
 
-    asked = index.filter(F.pmod("vec_id", F.lit(every)) == 0).select(F.col("vec_id").alias("query_id"), F.col("vec").alias("q"))
+    asked = index.filter(F.pmod("vec_id", F.lit(every)) == 0).select(F.col("vec_id").alias("query_id"), F.col("vec").alias("q")).groupBy("query_id").agg(F.min("q").alias("q"))
     routed = materialise(asked.mapInArrow(route, "query_id long, q array<double>, parts array<int>"), "routed")
     visits = routed.select("query_id", "q", F.explode("parts").alias("part"))
     cuts = np.maximum(1, -(-held // BLOCK_ROWS))

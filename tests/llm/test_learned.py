@@ -189,6 +189,19 @@ def test_neighbours_of_odd_vectors(spark):
     assert ann.nearest(df.limit(0)).count() == 0
 
 
+def test_ids_of_many_rows_lose_no_neighbours(spark):
+    def found(rows, query):
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+        return [(r.vec_id, round(r.score, 6)) for r in sorted(ann.nearest(df).collect(), key=lambda r: r["rank"]) if r.query_id == query]
+
+    others = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [1.0, 1.0]), (4, [0.0, 1.0])]
+    want = [(1, 1.0), (2, 1.0), (3, 0.707107), (4, 0.0)]
+    assert found([(0, [1.0, 0.0])] * 9 + others, 0) == want  # equal rows of the query's id
+    own = [(0, [1.0, k / 1000]) for k in range(9)]  # differing ones: the smallest asks
+    assert found(own[::-1] + others, 0) == want
+    assert found([(50, [1.0, 0.0])] * 2 + others, 50) == want and found([(50, [1.0, 0.0])] + others + [(1, [1.0, 0.0])], 50) == [(1, 1.0), *want]
+
+
 def test_hot_vectors_keep_the_smallest_ids(spark, monkeypatch):
     monkeypatch.setattr(ann, "BLOCK_ROWS", 40)
     monkeypatch.setattr(ann, "BLOCK_QUERIES", 3)
