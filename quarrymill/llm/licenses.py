@@ -28,38 +28,78 @@ _LOWER = {c: c + 32 for c in range(65, 91)}
 #: The base phrases and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: Licence wordings (public texts) with the markup described above, by the label they add.
+_MIT_WARRANTY = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED
+    TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS
+    <<optional>>OR COPYRIGHT HOLDERS<<end>> BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF
+    CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+    SOFTWARE."""
+
+_ISC_WARRANTY = """THE SOFTWARE IS PROVIDED "AS IS" AND <<any 12>> DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE
+    INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL <<any 12>> BE LIABLE FOR ANY SPECIAL,
+    DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER
+    IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE
+    OF THIS SOFTWARE."""
+
+_BSD_CONDITIONS = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that
+    the following conditions are met: <<optional>>1.<<end>> Redistributions of source code must retain the above copyright
+    notice, this list of conditions and the following disclaimer. <<optional>>2.<<end>> Redistributions in binary form must
+    reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or
+    other materials provided with the distribution."""
+
+_BSD_ADVERTISING = """<<optional>>3.<<end>> All advertising materials mentioning features or use of this software must display the
+    following <<optional>>acknowledgement<<end>> <<optional>>acknowledgment<<end>>: This product includes software developed
+    by <<any 20>>"""
+
+_BSD_NAMES = """<<optional>>3.<<end>> <<optional>>4.<<end>> Neither the name of <<any 16>> nor the names of
+    <<optional>>its<<end>> contributors may be used to endorse or promote products derived from this software without
+    specific prior written permission."""
+
+_BSD_DISCLAIMER = """THIS SOFTWARE IS PROVIDED BY <<any 16>> "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT
+    LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT
+    SHALL <<any 16>> BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING,
+    BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION)
+    HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR
+    OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+
+#: Licence wordings (public texts) with the markup described above, by the label they add. A licence's own
+#: label takes its whole mandatory wording; notices, dedications and mentions that point to a licence are references.
 TEMPLATES = {
     "mit": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and
         associated documentation files (the "Software"), to deal in the Software without restriction, including
         without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies
         of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following
         conditions: The above copyright notice and this permission notice <<optional>>(including the next
-        paragraph)<<end>> shall be included in all copies or substantial portions of the Software.
-        <<optional>>THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED<<end>>""",
+        paragraph)<<end>> shall be included in all copies or substantial portions of the Software. """
+    + _MIT_WARRANTY,
     "isc": """Permission to use, copy, modify, <<optional>>and<<end>> <<optional>>/or<<end>> distribute this software
         for any purpose with or without fee is hereby granted, provided that the above copyright notice and this
-        permission notice appear in all copies.""",
+        permission notice appear in all copies. """
+    + _ISC_WARRANTY,
     "0bsd": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is
-        hereby granted. THE SOFTWARE IS PROVIDED "AS IS\"""",
-    "bsd-2-clause": """Redistribution and use in source and binary forms, with or without modification, are permitted
-        provided that the following conditions are met: <<optional>>1.<<end>> Redistributions of source code must
-        retain the above copyright notice, this list of conditions and the following disclaimer.
-        <<optional>>2.<<end>> Redistributions in binary form must reproduce the above copyright notice, this list of
-        conditions and the following disclaimer in the documentation and/or other materials provided with the
-        distribution.""",
-    "apache-2.0": """Licensed under the Apache License, <<optional>>Version<<end>> 2.0 <<optional>>(the "License")<<end>>""",
-    "gpl-3.0": """<<optional>>This work is<<end>> licensed under the <<optional>>terms of the<<end>> GNU General Public
+        hereby granted. """
+    + _ISC_WARRANTY,
+    "bsd-2-clause": f"{_BSD_CONDITIONS} {_BSD_DISCLAIMER}",
+    "bsd-3-clause": f"{_BSD_CONDITIONS} {_BSD_NAMES} {_BSD_DISCLAIMER}",
+    "bsd-4-clause": f"{_BSD_CONDITIONS} {_BSD_ADVERTISING} {_BSD_NAMES} {_BSD_DISCLAIMER}",
+    "unlicense": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify,
+        publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for
+        any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the
+        author or authors of this software dedicate any and all copyright interest in the software to the public domain.
+        We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors.
+        We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to
+        this software under copyright law. """
+    + _MIT_WARRANTY,
+    "apache-2.0-reference": """Licensed under the Apache License, <<optional>>Version<<end>> 2.0 <<optional>>(the "License")<<end>>""",
+    "gpl-3.0-reference": """<<optional>>This work is<<end>> licensed under the <<optional>>terms of the<<end>> GNU General Public
         License, version 3""",
-    "gpl-2.0-or-later": """under the terms of the GNU General Public License as published by the Free Software
+    "gpl-2.0-or-later-reference": """under the terms of the GNU General Public License as published by the Free Software
         Foundation; either version 2 of the License, or (at your option) any later version""",
-    "mpl-2.0": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.""",
-    "unlicense": """This is free and unencumbered software released into the public domain.""",
-    "cc-by-nc-4.0": """Licensed under <<optional>>a<<end>> <<optional>>the<<end>> CC BY-NC 4.0""",
-    "cc-by-sa-4.0": """Licensed under <<optional>>a<<end>> <<optional>>the<<end>> CC BY-SA 4.0""",
-    "cc-by-4.0": """Licensed under <<optional>>a<<end>> <<optional>>the<<end>> Creative Commons Attribution 4.0
+    "mpl-2.0-reference": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.""",
+    "cc-by-nc-4.0-reference": """Licensed under <<optional>>a<<end>> <<optional>>the<<end>> CC BY-NC 4.0""",
+    "cc-by-sa-4.0-reference": """Licensed under <<optional>>a<<end>> <<optional>>the<<end>> CC BY-SA 4.0""",
+    "cc-by-4.0-reference": """Licensed under <<optional>>a<<end>> <<optional>>the<<end>> Creative Commons Attribution 4.0
         <<optional>>International<<end>> <<optional>>License<<end>>""",
-    "cc0-1.0": """dedicated to the public domain under CC0 <<optional>>1.0<<end>>""",
+    "cc0-1.0-reference": """dedicated to the public domain under CC0 <<optional>>1.0<<end>>""",
     "mit-reference": """released under the <<optional>>terms of the<<end>> MIT License""",
     "copyright-notice": """Copyright <<optional>>(c)<<end>> <<any 8>> All rights reserved""",
 }

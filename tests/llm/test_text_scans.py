@@ -54,6 +54,18 @@ def test_optional_wording_may_be_missing_mandatory_may_not():
     assert labels("Copyright one two three four five six seven eight nine all rights reserved") == "reserved"
 
 
+def test_a_licence_is_its_whole_mandatory_wording():
+    whole = {k: re.sub(r"<<any \d+>>", "Some Name", re.sub(r"<<optional>>|<<end>>", "", v)) for k, v in licenses.TEMPLATES.items()}
+    licences = [k for k in whole if not k.endswith(("-reference", "-notice"))]
+    assert {"mit", "isc", "0bsd", "bsd-2-clause", "bsd-3-clause", "bsd-4-clause", "unlicense"} == set(licences)
+    for k in licences:
+        assert labels(whole[k]) == k
+        tokens = licenses.words(whole[k])
+        assert labels(" ".join(tokens[:-1])) == "" and labels(" ".join([*tokens[:-12], "changed", *tokens[-11:]])) == "", k
+    assert labels("Licensed under the Apache License, Version 2.0") == "apache-2.0-reference"
+    assert labels("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.") == "mpl-2.0-reference"
+
+
 def test_nested_and_adjacent_regions():
     t = {"n": "a <<optional>>b <<optional>>c<<end>> <<end>> <<optional>>d<<end>> <<any 2>> e"}
     for text, ok in (("a e", 1), ("a b e", 1), ("a b c d e", 1), ("a x y e", 1), ("a c x y e", 0), ("a x y z e", 0), ("a b c d x y e", 1)):
