@@ -73,7 +73,12 @@ def search_and_expand(chunks: DataFrame, files: DataFrame, edges: DataFrame, que
         more = retrieval.expand(hits, edge, files.filter(keep)).join(seen, "file", "left_anti")
         out = out.unionByName(more.select("file", F.lit(reason).alias("reason")), allowMissingColumns=True)
         seen = seen.unionByName(more.select("file"))
-    return out
+    # the first file of a hit's own directory that defines a variable the hit names
+    named = edges.filter("edge_type = 'var_ref'").join(hits.select("file"), "file", "left_semi").select(dirname(F.col("file")).alias("dir"), "name").distinct()
+    near = files.withColumn("dir", dirname(F.col("file"))).join(named.select("dir").distinct(), "dir", "left_semi")
+    variables = index.symbols(index.parse_blocks(near)).filter("kind = 'variable'").select("file", dirname(F.col("file")).alias("dir"), "name")
+    more = named.join(variables, ["dir", "name"]).groupBy("dir", "name").agg(F.min("file").alias("file")).select("file").distinct().join(seen, "file", "left_anti")
+    return out.unionByName(more.select("file", F.lit("dep:var_ref").alias("reason")), allowMissingColumns=True)
 
 
 def residual_tokens(text: DataFrame, tokens: list[str]) -> DataFrame:

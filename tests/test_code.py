@@ -167,6 +167,22 @@ def test_search_and_its_expansion(files, blocks, edges):
     assert [tuple(r) for r in left.collect()] == [(3, "t3.large")]
 
 
+def test_expansion_meets_the_files_that_define_variables(spark):
+    from quarrymill.operators import index, search
+
+    rows = [
+        ("app/main.tf", 'resource "aws_instance" "web" {\n  ami = var.image\n  size = var.size\n}\n'),
+        ("app/settings.tf", 'variable "image" {\n  type = string\n}\n'),
+        ("app/twice.tf", 'variable "image" {\n  type = string\n}\nvariable "unused" {}\n'),
+        ("other/settings.tf", 'variable "size" {\n  type = string\n}\n'),
+    ]
+    files = spark.createDataFrame(rows, "file string, text string")
+    blocks = index.parse_blocks(files)
+    edges = index.edges(files, blocks)
+    got = search.search_and_expand(search.build_chunks(files, blocks, edges), files, edges, "aws_instance web").collect()
+    assert [(r.file, r.reason) for r in got] == [("app/main.tf", "retrieved"), ("app/settings.tf", "dep:var_ref")]
+
+
 def test_verbs(files):
     from quarrymill import cli
 
