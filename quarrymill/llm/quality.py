@@ -106,6 +106,15 @@ def _strength(groups: DataFrame, rate: F.Column, centre: F.Column) -> float:
     return float(np.clip(scale / n / max(between, 1e-9) - 1, 1.0, 1e4))
 
 
+def site_of(url: F.Column) -> tuple[F.Column, F.Column]:
+    """(host, path prefix) of a URL: the host in lower case without user and port, and the first folder of the path, "/" if
+    there is none; both null for what has no host."""
+    host = F.lower(F.regexp_extract(url, r"^\s*[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]+)", 1))
+    folder = F.regexp_extract(url, r"^\s*[^/?#]+//[^/?#]*(/[^/?#]+)/", 1)
+    known = F.coalesce(host, F.lit("")) != ""
+    return F.when(known, host), F.when(known, F.when(folder == "", "/").otherwise(folder))
+
+
 def score_quality(
     docs: DataFrame,
     labels: DataFrame,

@@ -151,6 +151,12 @@ def test_recall_of_neighbours(spark):
     assert hit / (5 * len(queries)) >= 0.9
 
 
+def test_sites_of_urls(spark):
+    rows = [("https://Me:pw@Ex.org:8080/blog/2020/a.html?x=/y/", "ex.org", "/blog"), ("http://ex.org", "ex.org", "/"), ("http://ex.org/a.html", "ex.org", "/"), ("http://ex.org?q=/a/b", "ex.org", "/"), ("http://[::1]:80/a/b", "[::1]", "/a"), ("no url", None, None), ("", None, None), (None, None, None)]
+    df = spark.createDataFrame(rows, "url string, host string, path string")
+    assert all(r[0] == r[2] and r[1] == r[3] for r in df.select(*quality.site_of(df["url"]), "host", "path").collect())
+
+
 def recall(vectors, got, every=50):
     ids, x = np.array([v[0] for v in vectors]), np.array([v[1] for v in vectors])
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
