@@ -11,8 +11,9 @@ Whole job: exact copies are folded first; representatives that share a band are
 checked against a member drawn by hash, another in each bucket, links are folded into components, and so again; then
 members of different components that still share a bucket are compared inside the tasks, by signature and then on their
 multisets, large buckets block by block, and only links leave them. So no bucket's pairs are all made, and no link between different texts is lost
-but by banding (at similarity 0.8 with 32 bands of 4: one in 2e7) and the signature's margin of 4.5 deviations. Candidates
-are verified on whole multisets.
+but by banding (at similarity 0.8 with 32 bands of 4: one in 2e7) and by the signature's margin of 4.5 deviations, under
+which pairs that reach the last comparison are not verified: 20 in a million of those at similarity 0.8 exactly, fewer above. The sum
+of both is the margin's, for pairs that no star round linked. Candidates are verified on whole multisets.
 
 Words: A-Z lower-cased, then runs of digits, letters and non-ASCII characters; a shingle is five words, or all words of
 a shorter text. Edge cases: texts without words (null is empty) are copies of equal texts only; null ids get rows and
@@ -155,6 +156,11 @@ def band_keys(names: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return h
 
 
+def short_signatures(names: np.ndarray, bands: int, rows: int) -> list[bytes]:
+    """Of each text, the leading 16 bits of its names, then its 64-bit band keys."""
+    return [a.tobytes() + b.tobytes() for a, b in zip((names >> _U(48)).astype(np.uint16), band_keys(names, bands, rows), strict=True)]
+
+
 def occurrence_sets(texts: list[str], size: int = SHINGLE) -> list[bytes]:
     """Each text's multiset as ascending distinct 32-bit names of (shingle, occurrence), for exact comparison."""
     owner, h, times = shingles(texts, size)
@@ -235,7 +241,8 @@ def _bucket_links(members: DataFrame, bands: int, rows: int, threshold: float) -
         cell = cell.sort_values(["bucket", "node"], kind="stable")
         bucket, band, node = (cell[c].to_numpy() for c in ("bucket", "band", "node"))
         component, block_ = cell["component"].to_numpy(), cell["block"].to_numpy()
-        names = np.frombuffer(b"".join(cell["short"]), np.uint16).reshape(len(cell), places)
+        short = np.frombuffer(b"".join(cell["short"]), np.uint8).reshape(len(cell), 2 * places + 8 * bands)
+        names, keys = np.ascontiguousarray(short[:, : 2 * places]).view(np.uint16), np.ascontiguousarray(short[:, 2 * places :]).view(_U)
         grams = cell["grams"].tolist()
         across = len(cell) > 0 and cell["lo"].iloc[0] != cell["hi"].iloc[0]
         a_out, b_out = [], []
@@ -250,7 +257,7 @@ def _bucket_links(members: DataFrame, bands: int, rows: int, threshold: float) -
                 enough = same.sum(1) >= least
                 if enough.any():
                     rest, same = rest[enough], same[enough]
-                    first = same.reshape(len(rest), bands, rows).all(2).argmax(1)
+                    first = (keys[rest] == keys[i]).argmax(1)
                     mine = np.flatnonzero(first == band[i])
                     linked: set[int] = set()
                     for r in rest[mine[np.argsort(-same[mine].sum(1), kind="stable")]].tolist():
@@ -321,7 +328,7 @@ def text_classes(mine: DataFrame, *, shingle: int = SHINGLE, bands: int = BANDS,
             at = 0
             for ids, texts in slices(iter([batch])):
                 names = signatures(*shingles(texts, shingle), len(texts), bands * rows)
-                short = [x.tobytes() for x in (names >> _U(48)).astype(np.uint16)]
+                short = short_signatures(names, bands, rows)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), batch.column(2).slice(at, len(ids)), pa.array(occurrence_sets(texts, shingle), pa.binary()), pa.array(short, pa.binary())], names=["doc_id", "key", "grams", "short"])
                 at += len(ids)
 

@@ -184,3 +184,18 @@ def test_equal_windows_share_their_anchor():
             of.setdefault(texts[t][k : k + 50], set()).add(int(a))
     assert all(len(v) == 1 for v in of.values())
     assert sum(windows) == sum(len(t) - 49 for t in texts)
+
+
+def test_a_chance_match_of_short_names_loses_no_pair(spark):
+    from quarrymill.llm import bagminhash as bag
+
+    rng = np.random.default_rng(0)
+    names = np.tile(rng.integers(1, 1 << 63, 128, dtype=np.uint64), (2, 1))
+    names[1, :4] ^= np.uint64(1)  # the first band is shared by its leading 16 bits only
+    keys = bag.band_keys(names, 32, 4).view(np.int64)
+    assert keys[0, 0] != keys[1, 0] and keys[0, 1] == keys[1, 1]
+    grams = np.arange(50, dtype=np.uint32).tobytes()
+    short = bag.short_signatures(names, 32, 4)
+    rows = [(int(keys[k, 1]), 1, 2, k, k, bytearray(short[k]), bytearray(grams)) for k in range(2)]
+    members = spark.createDataFrame(rows, "bucket long, band int, n long, node long, component long, short binary, grams binary")
+    assert [tuple(r) for r in bag._bucket_links(members, 32, 4, 0.8).collect()] == [(0, 1)]
