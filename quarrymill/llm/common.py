@@ -49,8 +49,8 @@ def tidy() -> None:
         pass
 
 
-def slices(batches: Iterator[pa.RecordBatch], chars: int = SLICE_CHARS) -> Iterator[tuple[list, list[str]]]:
-    """(ids, texts) of a bounded number of characters, a single longer text alone; null texts are empty."""
+def slices(batches: Iterator[pa.RecordBatch], chars: int = SLICE_CHARS, rows: int = 4096) -> Iterator[tuple[list, list[str]]]:
+    """(ids, texts) of a bounded number of characters and rows; null texts are empty."""
     ids: list = []
     texts: list[str] = []
     n = 0
@@ -59,7 +59,7 @@ def slices(batches: Iterator[pa.RecordBatch], chars: int = SLICE_CHARS) -> Itera
             ids.append(i)
             texts.append(t or "")
             n += len(t or "")
-            if n >= chars or len(ids) >= 4096:
+            if n >= chars or len(ids) >= rows:
                 yield ids, texts
                 ids, texts, n = [], [], 0
     if ids:
