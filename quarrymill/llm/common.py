@@ -7,12 +7,15 @@ import gc
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of text are worked on in slices of about this many characters, whatever Arrow hands over at once.
 SLICE_CHARS = 2_000_000
+BATCH_BYTES = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +71,24 @@ def slices(batches: Iterator[pa.RecordBatch], chars: int = SLICE_CHARS, rows: in
     tidy()
 
 
+def batch_slices(batches: Iterator[pa.RecordBatch], column: int, size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of a bounded number of bytes in one column, a single longer text alone."""
+    for batch in batches:
+        total = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy().astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + size, side="right")))
+            yield batch.slice(at, end - at)
+            at = end
+    tidy()
+
+
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns to add, which none of df's has: longer rows of underscores, then each name."""
+    most = max([len(c) - len(c.lstrip("_")) for c in df.columns], default=0)
+    return ["_" * (most + 1) + n for n in names]
+
+
 def held_out_remainder(id_col: str = "doc_id") -> F.Column:
     """crc32 of the id as text, modulo 5."""
     return F.crc32(F.col(id_col).cast("string")) % 5

@@ -12,17 +12,19 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import id_text, slices, tidy
+from .common import batch_slices, id_text, slices
 
-#: Kinds in output order. The last three come from the random field.
+#: Kinds in output order. The last four come from the random field.
 BASE_KINDS = ("email", "ip", "card", "phone")
-MODEL_KINDS = ("name", "address", "identifier")
+MODEL_KINDS = ("name", "address", "identifier", "secret")
 KINDS = BASE_KINDS + MODEL_KINDS
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -93,7 +95,11 @@ NAME_CUES = "name named signed sincerely regards contact patient customer employ
 ID_CUES = "ssn passport iban nif dni nin insurance licence license identifier account"
 FIRST_NAMES = "john mary james anna peter maria robert linda michael sarah david laura thomas julia paul emma hans klaus pierre marie jean carlos ana luis"
 FILLERS = "number no id is was the of security social and at in lives born"
-LEXICON = [x.split() for x in (TITLES, STREETS, NAME_CUES, ID_CUES, FIRST_NAMES, FILLERS)]
+SECRET_CUES = "token secret password passwd pwd key apikey auth bearer credential credentials"
+LEXICON = [x.split() for x in (TITLES, STREETS, NAME_CUES, ID_CUES, FIRST_NAMES, FILLERS, SECRET_CUES)]
+
+#: A run of at least so many ASCII letters and digits that holds both is one token.
+LONG_RUN = 16
 
 #: Byte classes: 0 space, 1 lower, 2 upper, 3 digit, 4 other sign; bytes of non-ASCII letters count as lower.
 _CLASS = np.full(256, 4, np.uint8)
@@ -104,12 +110,15 @@ _CLASS[48:58] = 3
 _CLASS[128:] = 1
 _LOWER_8 = np.uint64(0x2020202020202020)
 _MASK_8 = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+_HEX = np.zeros(256, bool)
+_HEX[[*range(48, 58), *range(65, 71), *range(97, 103)]] = True
 _SIGNS = np.zeros(256, np.int64)
 for _k, _c in enumerate(".,:-/#()'"):
     _SIGNS[ord(_c)] = _k + 1
 
-#: Shapes: 0 edge, 1 lower, 2 Capitalised, 3 CAPS, 4 other letters, 5-9 digits by length (1, 2, 3, 4, 5+), 10-19 signs.
-N_SHAPES = 20
+#: Shapes: 0 edge, 1 lower, 2 Capitalised, 3 CAPS, 4 other letters, 5-9 digits by length (1, 2, 3, 4, 5+), 10-19 signs,
+#: 20 long runs of hexadecimal digits, 21 other long runs of letters and digits.
+N_SHAPES = 22
 N_OBS = N_SHAPES * (len(LEXICON) + 1)
 
 
@@ -122,10 +131,24 @@ _LEX_KEY = np.array([x[0] for x in _LEX], np.uint64)
 _LEX_LENGTH, _LEX_ID = np.array([x[1] for x in _LEX]), np.array([x[2] for x in _LEX])
 
 
+def _long_runs(data: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of ASCII letters and digits that are one token."""
+    plain = ((group == 1) & (data < 128)) | (group == 3)
+    turn = np.flatnonzero(np.diff(plain.view(np.int8), prepend=0, append=0))
+    a, b = turn[::2], turn[1::2]
+    a, b = a[b - a >= LONG_RUN], b[b - a >= LONG_RUN]
+    if not len(a):
+        return a, b
+    digits = np.concatenate(([0], np.cumsum(group == 3, dtype=np.int64)))
+    n = digits[b] - digits[a]
+    mixed = (n > 0) & (n < b - a)
+    return a[mixed], b[mixed]
+
+
 def tokens(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Start and end bytes, observation ids and sequence numbers of the tokens of a UTF-8 buffer.
 
-    Tokens are runs of letters, runs of digits and single signs. A sequence ends at a line end or at a full stop
+    Tokens are runs of letters, runs of digits, long runs of both, and single signs. A sequence ends at a line end or at a full stop
     that does not follow a title or an initial.
     """
     cls = _CLASS[data]
@@ -138,6 +161,13 @@ def tokens(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     edge[0] = True
     np.not_equal(group[1:], group[:-1], out=edge[1:])
     edge |= group == 4
+    runs, run_ends = _long_runs(data, group)
+    if len(runs):  # their inner edges go
+        inside = np.zeros(len(data) + 1, np.int8)
+        inside[runs + 1] += 1
+        inside[run_ends] -= 1
+        edge &= np.cumsum(inside[:-1], dtype=np.int8) == 0
+        edge[run_ends[run_ends < len(data)]] = True
     starts = np.flatnonzero(edge)
     ends = np.append(starts[1:], len(data))
     keep = group[starts] > 0
@@ -155,6 +185,10 @@ def tokens(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     shape[digits] = 4 + np.minimum(length[digits], 5)
     signs = kind == 4
     shape[signs] = 10 + _SIGNS[data[starts[signs]]]
+    if len(runs):
+        hexadecimal = np.concatenate(([0], np.cumsum(_HEX[data], dtype=np.int64)))
+        long_ = np.searchsorted(starts, runs)
+        shape[long_] = np.where(hexadecimal[run_ends] - hexadecimal[runs] == run_ends - runs, 20, 21)
     lex = np.zeros(len(starts), np.int64)
     words = np.flatnonzero(letters & (length <= 10))
     if len(words):  # the first eight bytes, lower-cased, and the length tell lexicon words apart
@@ -247,6 +281,21 @@ $$$ ntin.### St%%% heanea account$$$ number%%%
 He is in *** the street &&& name ### no %%% passport
 An account | of | the | road | name | is | here.
 Its id = number = "12ab34cd56ef" here
+token = "[secret 3f786850e387550fdab836ed7e6dc881de23001b]" here
+the token: [secret 89E6C98D92887913CADF06B2ADB97F26CDE4849B], and so on
+api_key = '[secret aB3dE6gH9jK2mN5pQ8sT]'
+secret = [secret 2e7d2c03a9507ae265ecf5b5356885a5]
+PASSWORD="[secret Xy7Zw9Qv4Rt6Ku8Lm2]"
+Authorization: Bearer [secret eyJhbGciOiJIUzI1NiIsInR5cCI6]
+It said token = "[secret 0b1f9d2c8e7a6f5d4c3b2a190817263544536271]" the.
+my key is [secret 4c9a82b1d7e6f5031827364554637281]
+auth: [secret q1w2e3r4t5y6u7i8o9p0]
+The commit 9fceb02d0ae598e95dc970b74767f19372d61af8 was merged.
+Its sha1 is da39a3ee5e6b4b0d3255bfef95601890afd80709 as shown.
+File d41d8cd98f00b204e9800998ecf8427e was removed.
+The token was lost, and the key is on the table.
+A secret is no secret, said the password.
+The build 20240115abcdef0123 ran.
 """
 
 _BRACKET = re.compile(r"\[(\w+) ([^\]]*)\]")
@@ -433,23 +482,28 @@ def model_spans(model: tuple[np.ndarray, np.ndarray], texts: list[str]) -> list[
         return out
     sizes = np.array([len(b) for b in blobs], np.int64)
     offset = np.cumsum(sizes + 1) - sizes - 1
+    points = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80, dtype=np.int64)))  # code points before each byte
     for h in heads:
         kind = (labels[h] - 1) // 2
         t = h
         while t + 1 < len(labels) and labels[t + 1] == labels[h] + 1 and seq[t + 1] == seq[h]:
             t += 1
         row = int(np.searchsorted(offset, starts[h], side="right")) - 1
-        a = len(blobs[row][: starts[h] - offset[row]].decode("utf-8", "surrogatepass"))
-        b = a + len(blobs[row][starts[h] - offset[row] : ends[t] - offset[row]].decode("utf-8", "surrogatepass"))
+        a, b = (int(points[x] - points[offset[row]]) for x in (starts[h], ends[t]))
         if plausible(int(kind), texts[row][a:b]):
             out[row].append((a, len(BASE_KINDS) + int(kind), b))
     return out
 
 
 def plausible(kind: int, span: str) -> bool:
-    """The check after decoding: identifiers have six digits, addresses a digit and two words, names a capital."""
+    """The check after decoding: names have a capital, addresses begin with a digit and have three words, identifiers
+    have six digits, secrets are a long run of letters and digits."""
     digits = len(_DIGITS.findall(span))
-    return digits >= 6 if kind == 2 else digits and span.count(" ") >= 2 and span[0].isdigit() if kind == 1 else any(c.isupper() for c in span)
+    if kind == 0:
+        return any(c.isupper() for c in span)
+    if kind == 1:
+        return span[0].isdigit() and span.count(" ") >= 2
+    return digits >= 6 if kind == 2 else digits > 0 and len(span) >= LONG_RUN
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
@@ -460,15 +514,19 @@ def all_spans(model: tuple[np.ndarray, np.ndarray], texts: list[str]) -> Iterato
     """(base spans, all spans) of each text. A span of the field that overlaps a base span gives way to it."""
     for text, extra in zip(texts, model_spans(model, texts), strict=True):
         base = base_spans(text)
-        free = [x for x in extra if all(x[2] <= a or x[0] >= b for a, _, b in base)]
-        yield base, sorted(base + free)
+        if extra and base:
+            starts, reach = [a for a, _, _ in base], list(accumulate((b for _, _, b in base), max))
+            before = [bisect_left(starts, b) for _, _, b in extra]  # base spans that begin before a span's end
+            extra = [x for x, n in zip(extra, before, strict=True) if not n or reach[n - 1] <= x[0]]
+        yield base, sorted(base + extra)
 
 
-_OUT = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+_OUT = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_model long, n_spans long"
 
 
 def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", labelled: str = LABELLED) -> DataFrame:
-    """One row per document: counts of the base kinds, the hash of the base span list, and all spans."""
+    """One row per document: counts of the base kinds, the hash of the base span list, all spans, and how many of them
+    come from the field and in all."""
     model = train(labelled)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -478,15 +536,15 @@ def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                 n = [0, 0, 0, 0]
                 for _, k, _ in base:
                     n[k] += 1
-                rows.append((i, *n, hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans)))
-            yield _batch(rows, ("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"), "llllldd")
+                rows.append((i, *n, hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), len(spans) - len(base), len(spans)))
+            yield _batch(rows, [x.split()[0] for x in _OUT.split(", ")], "lllllddll")
 
     return id_text(docs, id_col, text_col).mapInArrow(run, _OUT)
 
 
-def _batch(rows: list[tuple], names: tuple[str, ...], kinds: str) -> pa.RecordBatch:
+def _batch(rows: list[tuple], names: list[str], kinds: str) -> pa.RecordBatch:
     cols = list(zip(*rows, strict=True))
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k == "l" else pa.string()) for c, k in zip(cols, kinds, strict=True)], names=list(names))
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k == "l" else pa.string()) for c, k in zip(cols, kinds, strict=True)], names=names)
 
 
 def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", labelled: str = LABELLED) -> DataFrame:
@@ -499,28 +557,23 @@ def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", l
     n_at = names.index("n_chars") if "n_chars" in names else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            begin = 0
-            while begin < whole.num_rows:
-                batch = whole.slice(begin, 512)
-                begin += 512
-                texts = batch.column(at).to_pylist()
-                clean = []
-                for t, (_, spans) in zip(texts, all_spans(model, [t or "" for t in texts]), strict=True):
-                    if not spans or t is None:
-                        clean.append(t)
-                        continue
-                    parts, last = [], 0
-                    for a, k, b in spans:
-                        if a >= last:
-                            parts += [t[last:a], f"<{KINDS[k].upper()}>"]
-                        last = max(last, b)
-                    clean.append("".join(parts) + t[last:])
-                cols = list(batch.columns)
-                cols[at] = pa.array(clean, pa.string())
-                if n_at is not None:
-                    cols[n_at] = pa.array([None if t is None else len(t) for t in clean], pa.int64())
-                yield pa.RecordBatch.from_arrays(cols, names=names)
-        tidy()
+        for batch in batch_slices(batches, at):
+            texts = batch.column(at).to_pylist()
+            clean = []
+            for t, (_, spans) in zip(texts, all_spans(model, [t or "" for t in texts]), strict=True):
+                if not spans or t is None:
+                    clean.append(t)
+                    continue
+                parts, last = [], 0
+                for a, k, b in spans:
+                    if a >= last:
+                        parts += [t[last:a], f"<{KINDS[k].upper()}>"]
+                    last = max(last, b)
+                clean.append("".join(parts) + t[last:])
+            cols = list(batch.columns)
+            cols[at] = pa.array(clean, pa.string())
+            if n_at is not None:
+                cols[n_at] = pa.array([None if t is None else len(t) for t in clean], pa.int64()).cast(cols[n_at].type)
+            yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return docs.mapInArrow(run, docs.schema)

@@ -160,3 +160,52 @@ def test_redaction_keeps_columns(spark):
     got = {r.doc_id: r for r in pii.redact(df).collect()}
     assert got[1].text == "a <EMAIL>!" and got[1].n_chars == 10 and got[2].text is None and got[3].text == "no"
     assert pii.redact(df).columns == df.columns
+
+
+def planted_rows(n):
+    """Sentences of words, names and numbers that the labelled table doesn't hold, with their spans."""
+    rng = random.Random(3)
+    first, last = "Oliver Noah Ruth Ines Felix Clara Otto Nora".split(), "Grant Berger Costa Lind Moreau Fisher Novak Sato".split()
+    out = []
+    for _ in range(n):
+        name = f"{rng.choice(['Mr.', 'Mrs.', 'Dr.', 'Ms.'])} {rng.choice(first)} {rng.choice(last)}"
+        street = f"{rng.randrange(2, 999)} {rng.choice('Birch Mill Church Elm Station'.split())} {rng.choice('Street Lane Road Avenue'.split())}"
+        ssn = f"{rng.randrange(100, 999)}-{rng.randrange(10, 99)}-{rng.randrange(1000, 9999)}"
+        key = "".join(rng.choices("0123456789abcdef", k=rng.choice([32, 40, 64])))
+        mixed = "A1" + "".join(rng.choices("ABCDEFGHabcdefgh0123456789", k=20))
+        out += [
+            (f"We wrote to {name} last week.", name),
+            (f"The house at {street} is old.", street),
+            (f"Her SSN {ssn} was found.", ssn),
+            (f'cfg token = "{key}" and more', key),
+            (f'cfg token = "{key.upper()}" and more', key.upper()),
+            (f"api_key: {mixed}", mixed),
+            (f"The commit {key} was merged.", None),
+            (f"There were {rng.randrange(2, 99)} of them on the road to {rng.choice(last)}.", None),
+            (f"Chapter {rng.randrange(2, 99)}, table {rng.randrange(10**6, 10**8)}.", None),
+        ]
+    return out
+
+
+def test_precision_and_recall_on_planted_rows():
+    rows = planted_rows(60)
+    found = pii.model_spans(pii.train(), [t for t, _ in rows])
+    wanted = sum(s is not None for _, s in rows)
+    exact = sum(s is not None and any(t[a:b] == s for a, _, b in got) for (t, s), got in zip(rows, found, strict=True))
+    assert exact >= 0.9 * wanted
+    assert exact >= 0.9 * sum(map(len, found))
+
+
+def test_redaction_leaves_no_part_of_a_token(spark):
+    rows = [(k, t) for k, (t, s) in enumerate(planted_rows(20)) if s and "token" in t]
+    df = spark.createDataFrame([(*r, len(r[1])) for r in rows], "doc_id long, text string, n_chars int")
+    out = pii.redact(df)
+    assert out.schema == df.schema
+    assert {(r.text, r.n_chars) for r in out.collect()} == {('cfg token = "<SECRET>" and more', 31)}
+
+
+def test_many_spans_stay_linear():
+    text = "Mr. John Smith wrote a@b.cc and é. " * 30_000
+    base, spans = next(pii.all_spans(pii.train(), [text]))
+    assert len(base) == 30_000 and len(spans) >= 45_000
+    assert all(text[a:b] in ("a@b.cc", "Mr. John Smith") for a, _, b in spans)
