@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out_remainder, id_text, slices, tidy
+from .common import batch_slices, held_out_remainder, id_text, slices, tidy
 
 MAX_TRAIN = 8000
 N_CHARS = 27  # a-z from 1; 0 is everything else
@@ -306,15 +306,14 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_train: int = MAX_TRAIN) -> DataFrame:
-    """The documents that are not predicted toxic, with all their columns."""
+    """The documents that are not predicted toxic, with all their columns and in all their rows; null and empty texts are
+    scored as texts without words, null ids are kept or dropped like others, other columns are not read."""
     model = fit(id_text(docs, id_col, text_col), labels, max_train=max_train)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for begin in range(0, whole.num_rows, 512):
-                batch = whole.slice(begin, 512)
-                yield batch.filter(pa.array([x < 0.5 for x in model.scores([t or "" for t in batch.column(at).to_pylist()])]))
+        for batch in batch_slices(batches, at):
+            yield batch.filter(pa.array([x < 0.5 for x in model.scores([t or "" for t in batch.column(at).to_pylist()])], pa.bool_()))
         model.forget()
         tidy()
 
