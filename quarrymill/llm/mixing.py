@@ -8,7 +8,7 @@ side, largest documents first, so what each block leaves over is one small docum
 reduction tree. A hot source is just more blocks.
 
 Edge cases: a null source is a source of its own, last in order; null or empty texts have size 0 and are never taken;
-repeated rows are settled each on its own; without rows or words every target is 0; extra columns are ignored.
+repeated rows are settled each on its own, and rows alike in id, source and text are interchangeable; without rows or words every target is 0; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, spare
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -96,21 +96,27 @@ def settle(size: np.ndarray, due: np.ndarray, rng: np.random.Generator) -> tuple
     return np.array(p, float), u
 
 
-_ROW = "doc_id long, source string, size long, source_size long, target double, block long, sure long, due double, left boolean"
+_ROW = "doc_id long, tag long, nth long, source string, size long, source_size long, target double, block long, sure long, due double, left boolean"
+_ALIKE = 1 << 16
 
 
-def copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = SEED, carry: tuple[str, ...] = (), cut_last: bool = False) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies, part) of each row; columns named in carry come along.
+def _numbered(sized: DataFrame) -> DataFrame:
+    """Each row with nth, its number among rows that are alike, which are counted rather than brought together."""
+    counted = sized.groupBy("doc_id", "tag", "source", "size").agg(F.count("*").alias("alike"))
+    runs = counted.withColumn("run", F.explode(F.expr(f"sequence(0L, (alike - 1) div {_ALIKE})")))  # many alike become rows in two steps
+    rows = runs.withColumn("nth", F.explode(F.expr(f"sequence(run * {_ALIKE}, least(alike, (run + 1) * {_ALIKE}) - 1)")))
+    return rows.drop("alike", "run")
+
+
+def copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = SEED, cut_last: bool = False) -> DataFrame:
+    """(doc_id, tag, source, size, source_size, target, copies, part) of each row; tag is a 64-bit hash of its text.
 
     The one document of each source that the tree's root leaves over is taken or not at random by its due or, with
     cut_last, cut: part is how many of its words are taken besides its copies, so that the source meets its target.
     """
-    kept = [docs[c].alias(f"carry_{k}") for k, c in enumerate(carry)]
-    sized = materialise(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[source_col].cast("string").alias("source"), word_count(docs[text_col]).alias("size"), *kept), "sizes")
+    sized = docs.select(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(docs[text_col]).alias("tag"), docs[source_col].cast("string").alias("source"), word_count(docs[text_col]).alias("size"))
+    sized = materialise(_numbered(sized), "sizes")
     targets = source_targets(sized, weights, most)
-    named = [f"carry_{k}" for k in range(len(carry))]
-    types = "".join(f", {n} {sized.schema[n].dataType.simpleString()}" for n in named)
-    schema = _ROW + types
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     blocks = F.greatest(F.ceil(F.col("n_docs") / BLOCK_ROWS), F.lit(1))
     t = targets.withColumnRenamed("source", "of")
@@ -118,13 +124,13 @@ def copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", s
         sized.join(t, F.col("source").eqNullSafe(F.col("of")))
         .withColumn("sure", F.floor(ratio + 1e-12).cast("long"))
         .withColumn("due", F.when(F.col("size") > 0, F.greatest(ratio - F.col("sure"), F.lit(0.0))).otherwise(0.0))
-        .withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(seed)), blocks).cast("long"))
+        .withColumn("block", F.pmod(F.xxhash64("doc_id", "tag", "nth", F.lit(seed)), blocks).cast("long"))
         .withColumn("left", F.lit(True))
-        .select("doc_id", "source", "size", "source_size", "target", "block", "sure", "due", "left", *named)
+        .select(*[x.split()[0] for x in _ROW.split(", ")])
     )
 
     def pair(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        order = np.lexsort((group["doc_id"].fillna(-1), -group["size"]))
+        order = np.lexsort((group["nth"], group["tag"], group["doc_id"].fillna(-1), -group["size"]))
         group = group.iloc[order].reset_index(drop=True)
         name = 0 if key[0] is None or key[0] != key[0] else int.from_bytes(str(key[0]).encode("utf-8", "surrogatepass"), "big") + 1
         due, at = settle(group["size"].to_numpy(), group["due"].to_numpy(), np.random.default_rng([seed, int(key[1]), name]))
@@ -135,17 +141,17 @@ def copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", s
 
     largest = targets.agg(F.max("n_docs")).first()[0] or 0
     levels = max(1, math.ceil(math.log(max(largest / BLOCK_ROWS, 1), FAN_IN) - 1e-9) + 1)
-    out = None
+    out = rows.filter("due <= 0").withColumn("left", F.lit(False))  # whole already: without words, or due whole copies
+    rows = rows.filter("due > 0")
     for level in range(levels):
-        settled = materialise(rows.groupBy("source", "block").applyInPandas(pair, schema), f"level{level}")
-        whole = settled.filter("not left")
-        out = whole if out is None else out.unionByName(whole)
+        settled = materialise(rows.groupBy("source", "block").applyInPandas(pair, _ROW), f"level{level}")
+        out = out.unionByName(settled.filter("not left"))
         rows = settled.filter("left")
-    draw = F.pmod(F.xxhash64("doc_id", "source", F.lit(seed + 1)), F.lit(1 << 30)) / float(1 << 30)
+    draw = F.pmod(F.xxhash64("doc_id", "tag", "source", F.lit(seed + 1)), F.lit(1 << 30)) / float(1 << 30)
     last = rows.withColumn("part", F.round(F.col("due") * F.col("size")).cast("long"))
     last = last.withColumn("due", F.when((draw < F.col("due")) & ~F.lit(cut_last), 1.0).otherwise(0.0)).withColumn("part", F.when(F.lit(cut_last), F.col("part")).otherwise(F.lit(0)))
     out = out.withColumn("part", F.lit(0).cast("long")).unionByName(last)
-    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("sure") + F.round("due").cast("long")).alias("copies"), "part", *[F.col(n).alias(c) for n, c in zip(named, carry, strict=True)])
+    return out.select("doc_id", "tag", "source", "size", "source_size", "target", (F.col("sure") + F.round("due").cast("long")).alias("copies"), "part")
 
 
 def mix(docs: DataFrame, **options: object) -> DataFrame:
@@ -157,14 +163,14 @@ def mix(docs: DataFrame, **options: object) -> DataFrame:
 def repeat_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options: object) -> DataFrame:
     """The rows of docs, all columns, each as often as the mix takes it. The text joins the copies in one exchange; rows
     alike in id, text and source share their copies evenly. A source's last document is taken or not, never cut."""
-    tag = F.xxhash64(F.col(text_col))
-    counted = copies(docs.withColumn("__tag", tag), id_col=id_col, text_col=text_col, source_col=source_col, carry=("__tag",), **options)
-    counted = counted.groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("__tag").alias("__text")).agg(F.sum("copies").alias("__copies"), F.count("*").alias("__alike")).filter("__copies > 0")
-    rows = docs.withColumn("__tag", tag)
-    match = rows[id_col].cast("long").eqNullSafe(F.col("__id")) & rows[source_col].cast("string").eqNullSafe(F.col("__source")) & (rows["__tag"] == F.col("__text"))
+    tag, ident, source, text, n_copies, alike, n, k = spare(docs, "tag", "id", "source", "text", "copies", "alike", "n", "k")
+    counted = copies(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
+    counted = counted.groupBy(F.col("doc_id").alias(ident), F.col("source").alias(source), F.col("tag").alias(text)).agg(F.sum("copies").alias(n_copies), F.count("*").alias(alike)).filter(F.col(n_copies) > 0)
+    rows = docs.withColumn(tag, F.xxhash64(docs[text_col]))
+    match = rows[id_col].cast("long").eqNullSafe(counted[ident]) & rows[source_col].cast("string").eqNullSafe(counted[source]) & (rows[tag] == counted[text])
     joined = rows.join(counted, match)
-    single = joined.filter("__alike = 1").withColumn("__n", F.col("__copies"))
-    order = Window.partitionBy("__id", "__source", "__text").orderBy(F.lit(0))
-    alike = joined.filter("__alike > 1").withColumn("__n", F.expr("__copies div __alike") + (F.row_number().over(order) <= F.col("__copies") % F.col("__alike")).cast("long"))
-    out = single.unionByName(alike)
-    return out.withColumn("__k", F.explode(F.array_repeat(F.lit(0), F.col("__n").cast("int")))).select(*[out[c] for c in docs.columns])
+    single = joined.filter(F.col(alike) == 1).withColumn(n, F.col(n_copies))
+    order = Window.partitionBy(ident, source, text).orderBy(F.lit(0))
+    several = joined.filter(F.col(alike) > 1).withColumn(n, F.expr(f"`{n_copies}` div `{alike}`") + (F.row_number().over(order) <= F.col(n_copies) % F.col(alike)).cast("long"))
+    out = single.unionByName(several)
+    return out.withColumn(k, F.explode(F.array_repeat(F.lit(0), F.col(n).cast("int")))).select(*[out[c] for c in docs.columns])
