@@ -30,14 +30,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, materialise, slices
+from .common import id_text, materialise, slices, spare, tidy
 
 SHINGLE = 5
 BANDS, ROWS = 32, 4
 THRESHOLD = 0.8
 STAR_ROUNDS = 2
-BLOCK_ROWS = 1024
-GROUP_ROWS = 5_000
+#: What is compared in one task at a time: members of a bucket, and bytes of their multisets.
+BLOCK_ROWS, BLOCK_BYTES = 1024, 4_000_000
+GROUP_BYTES = 8_000_000
+SIGN_CHARS = 500_000
 
 _U = np.uint64
 _IS_WORD = np.zeros(256, bool)
@@ -162,17 +164,17 @@ def short_signatures(names: np.ndarray, bands: int, rows: int) -> list[bytes]:
 
 
 def occurrence_sets(texts: list[str], size: int = SHINGLE) -> list[bytes]:
-    """Each text's multiset as ascending distinct 32-bit names of (shingle, occurrence), for exact comparison."""
+    """Each text's multiset as ascending distinct 64-bit names of (shingle, occurrence), for exact comparison."""
     owner, h, times = shingles(texts, size)
     item = np.repeat(np.arange(len(h)), times)
     nth = np.arange(len(item)) - np.repeat(np.cumsum(times) - times, times)
-    names = (mix(h[item] + nth.astype(_U) * _U(0x2545F4914F6CDD1D)) >> _U(32)).astype(np.uint32)
+    names = mix(h[item] + nth.astype(_U) * _U(0x2545F4914F6CDD1D))
     cuts = np.searchsorted(owner[item], np.arange(len(texts) + 1))
     return [np.unique(names[a:b]).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 def jaccard(a: bytes, b: bytes) -> float:
-    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+    x, y = np.frombuffer(a, _U), np.frombuffer(b, _U)
     if not len(x) or not len(y):
         return 0.0
     small, large = (x, y) if len(x) <= len(y) else (y, x)
@@ -213,7 +215,7 @@ def _key_filter(needed: DataFrame) -> np.ndarray:
 
 
 def _open_buckets(crowded: DataFrame, label: DataFrame | None) -> DataFrame:
-    """(bucket, band, n, node, component) of the buckets that hold more than one component."""
+    """(bucket, band, n, bytes, size, node, component) of the buckets that hold more than one component."""
     if label is None:
         return crowded.withColumn("component", F.col("node"))
     placed = materialise(crowded.join(label, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
@@ -225,14 +227,15 @@ def _bucket_links(members: DataFrame, bands: int, rows: int, threshold: float) -
     """Links (a, b) between different components in a bucket. Pairs whose signatures agree in as many places as pairs at
     the threshold do, but for 4.5 standard deviations, are verified on their multisets at once, likeliest first, until a
     member has a link to a component; only links leave the task. A pair is looked at in the first band it shares only.
-    Small buckets are dealt many to a group; large ones are cut into blocks, each pair of blocks a group."""
+    Small buckets are dealt many to a group, of bounded bytes; large ones are cut into blocks, each pair of blocks a group."""
     places = bands * rows
     least = threshold * places - 4.5 * (places * threshold * (1 - threshold)) ** 0.5
-    total = members.count()
-    groups = max(1, total // GROUP_ROWS)
-    cuts = F.ceil(F.col("n") / BLOCK_ROWS)
+    row_bytes = F.col("size") * 8 + 2 * places + 8 * bands
+    cuts = F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil((F.col("bytes") + F.col("n") * (2 * places + 8 * bands)) / BLOCK_BYTES))
+    small = cuts <= 1
+    total = members.filter(small).agg(F.sum(row_bytes)).first()[0] or 0
+    groups = max(1, int(total // GROUP_BYTES))
     block = F.pmod(F.xxhash64("node"), cuts)
-    small = F.col("n") <= BLOCK_ROWS
     other = F.explode(F.when(small, F.array(F.lit(-1).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), cuts.cast("long") - 1)))
     cells = members.withColumn("block", F.when(small, F.lit(-1)).otherwise(block).cast("long")).withColumn("other", other)
     cells = cells.select(F.when(F.col("block") < 0, F.pmod("bucket", F.lit(groups))).otherwise(F.col("bucket")).alias("group"), F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "bucket", "band", "node", "component", "short", "grams")
@@ -265,6 +268,8 @@ def _bucket_links(members: DataFrame, bands: int, rows: int, threshold: float) -
                             linked.add(component[r])
                             a_out.append(node[i])
                             b_out.append(node[r])
+        del cell, names, keys, short, grams
+        tidy()
         return pd.DataFrame({"a": np.array(a_out, np.int64), "b": np.array(b_out, np.int64)})
 
     return cells.groupBy("group", "lo", "hi").applyInPandas(compare, "a long, b long")
@@ -299,22 +304,23 @@ def text_classes(mine: DataFrame, *, shingle: int = SHINGLE, bands: int = BANDS,
         for batch in batches:
             keys = batch.column(2)
             at = 0
-            for ids, texts in slices(iter([batch])):
+            for ids, texts in slices(iter([batch]), SIGN_CHARS):
                 owner, h, times = shingles(texts, shingle)
+                size = np.bincount(owner, weights=times, minlength=len(texts)).astype(np.int64)
                 keyed = band_keys(signatures(owner, h, times, len(texts), bands * rows), bands, rows).view(np.int64)
                 full = np.zeros(len(texts), np.int64)
                 full[owner] = bands
                 offsets = np.concatenate(([0], np.cumsum(full))).astype(np.int32)
                 values = pa.array(keyed[full > 0].reshape(-1))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), keys.slice(at, len(ids)), pa.ListArray.from_arrays(pa.array(offsets), values)], names=["doc_id", "key", "bands"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), keys.slice(at, len(ids)), pa.array(size), pa.ListArray.from_arrays(pa.array(offsets), values)], names=["doc_id", "key", "size", "bands"])
                 at += len(ids)
 
-    signed = mine.mapInArrow(sign, "doc_id long, key binary, bands array<long>")
-    folded = signed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
+    signed = mine.mapInArrow(sign, "doc_id long, key binary, size long, bands array<long>")
+    folded = signed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("bands").alias("bands"))
     nodes = materialise(folded.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
-    members = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
-    crowd = members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    members = nodes.select("node", "size", F.posexplode("bands").alias("band", "bucket"))
+    crowd = members.groupBy("bucket").agg(F.count("*").alias("n"), (F.sum("size") * 8).alias("bytes")).filter("n > 1")
     crowded = materialise(members.join(crowd, "bucket"), "crowded")
 
     # the multisets and short signatures of nodes that share a bucket, one text for each
@@ -326,7 +332,7 @@ def text_classes(mine: DataFrame, *, shingle: int = SHINGLE, bands: int = BANDS,
             bit = batch.column(3).to_numpy(zero_copy_only=False)
             batch = batch.filter(pa.array((wanted[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)))
             at = 0
-            for ids, texts in slices(iter([batch])):
+            for ids, texts in slices(iter([batch]), SIGN_CHARS):
                 names = signatures(*shingles(texts, shingle), len(texts), bands * rows)
                 short = short_signatures(names, bands, rows)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), batch.column(2).slice(at, len(ids)), pa.array(occurrence_sets(texts, shingle), pa.binary()), pa.array(short, pa.binary())], names=["doc_id", "key", "grams", "short"])
@@ -370,7 +376,8 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """One row of each class, with all columns: the row of its smallest id (of its least key, if several texts of the
     class have that id; of rows alike in both, any)."""
     mine = id_text(docs, id_col, text_col).withColumn("key", _text_key())
-    kept = text_classes(mine, **options).filter("key = kept").select(F.col("key").alias("__key"), F.col("class_id").alias("__id"))
-    here = docs.withColumn("__own", _text_key(text_col))
-    match = (here["__own"] == kept["__key"]) & here[id_col].cast("long").eqNullSafe(kept["__id"])
-    return here.join(kept, match, "left_semi").dropDuplicates(["__own"]).drop("__own")
+    own, key, ident = spare(docs, "own", "key", "id")
+    kept = text_classes(mine, **options).filter("key = kept").select(F.col("key").alias(key), F.col("class_id").alias(ident))
+    here = docs.withColumn(own, _text_key(text_col))
+    match = (here[own] == kept[key]) & here[id_col].cast("long").eqNullSafe(kept[ident])
+    return here.join(kept, match, "left_semi").dropDuplicates([own]).drop(own)

@@ -7,6 +7,8 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -102,7 +104,7 @@ def test_classes_against_brute_force(spark):
 def test_large_groups_in_blocks(spark, monkeypatch):
     """Small blocks, so that groups are cut; the classes stay the same."""
     monkeypatch.setattr(B, "BLOCK_ROWS", 3)
-    monkeypatch.setattr(B, "GROUP_ROWS", 5)
+    monkeypatch.setattr(B, "GROUP_BYTES", 20_000)
     monkeypatch.setattr(B, "STAR_ROUNDS", 1)
     rows = near_rows()
     df = spark.createDataFrame(rows, "doc_id long, text string")
@@ -177,7 +179,7 @@ def test_equal_windows_share_their_anchor():
     rng = random.Random(1)
     shared = bytes(rng.choice(b"abc ") for _ in range(90))
     texts = [bytes(rng.choice(b"abc ") for _ in range(rng.randrange(100))) + shared + bytes(rng.choice(b"abc ") for _ in range(50)) for _ in range(6)]
-    text, start, windows, name = S.anchors(texts)
+    text, start, windows, name, _ = S.anchors(texts)
     of = {}
     for t, s, n, a in zip(text, start, windows, name, strict=True):
         for k in range(s, s + n):
@@ -194,8 +196,28 @@ def test_a_chance_match_of_short_names_loses_no_pair(spark):
     names[1, :4] ^= np.uint64(1)  # the first band is shared by its leading 16 bits only
     keys = bag.band_keys(names, 32, 4).view(np.int64)
     assert keys[0, 0] != keys[1, 0] and keys[0, 1] == keys[1, 1]
-    grams = np.arange(50, dtype=np.uint32).tobytes()
+    grams = np.arange(50, dtype=np.uint64).tobytes()
     short = bag.short_signatures(names, 32, 4)
-    rows = [(int(keys[k, 1]), 1, 2, k, k, bytearray(short[k]), bytearray(grams)) for k in range(2)]
-    members = spark.createDataFrame(rows, "bucket long, band int, n long, node long, component long, short binary, grams binary")
+    rows = [(int(keys[k, 1]), 1, 2, 800, 50, k, k, bytearray(short[k]), bytearray(grams)) for k in range(2)]
+    members = spark.createDataFrame(rows, "bucket long, band int, n long, bytes long, size long, node long, component long, short binary, grams binary")
     assert [tuple(r) for r in bag._bucket_links(members, 32, 4, 0.8).collect()] == [(0, 1)]
+
+
+def test_long_texts_in_pieces_and_the_largest_id(spark, monkeypatch):
+    """Pieces of a text that is longer than a slice, many partitions, and the largest id beside a null one."""
+    rng = random.Random(1)
+    words = ["".join(rng.choice("abcde") for _ in range(6)) for _ in range(400)]
+    long_ = " ".join(rng.choice(words) for _ in range(300))
+    rows = [(5, long_), (7, "x" + long_[300:1500] + "y"), (LAST, long_[:700]), (None, "q" * 70 + long_[:100]), (9, "q" * 90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_removal(rows)
+    assert sorted((tuple(r) for r in S.remove_repeats(df).collect()), key=str) == want
+    tables = pa.table({"doc_id": [LAST if i is None else i for i, _ in rows], "none": [i is None for i, _ in rows], "tag": list(range(5)), "text": [t for _, t in rows]})
+    monkeypatch.setattr(S, "SLICE_BYTES", 128)
+    group = S.Group(tables, 50)
+    group.enter(3)
+    entries = [(p, 0, *(x[group.cuts[p] : group.cuts[p + 1]].tobytes() for x in (group.key, group.context, group.holder))) for p in range(3)]
+    said = pa.concat_tables([S.replies(p, pa.Table.from_pylist([dict(zip(S._ENTRIES.names, entries[p], strict=True))], S._ENTRIES)) for p in range(3)])
+    found = S.surroundings(0, group, said, 3)
+    marks = pa.concat_tables([S.sorted_marks(found.filter(pc.equal(found["p"], p)), 50) for p in range(3)])
+    assert sorted((tuple(r.values()) for r in S.cut(group, marks).to_pylist()), key=str) == want
