@@ -34,9 +34,9 @@ END_ID = 1
 #: Partitions whose leftovers are merged together.
 MERGE_FAN_IN = 64
 #: Texts are encoded in slices of this many characters.
-ENCODE_CHARS = 4_000_000
+ENCODE_CHARS = 2_000_000
 #: Words whose ids a Python worker keeps from slice to slice, some 50 bytes each.
-KNOWN_WORDS = 1_500_000
+KNOWN_WORDS = 400_000
 _UNUSUAL_SPACE = re.compile(r"\s\s")
 #: A full stop or comma after one of these letters is always a piece of its own.
 _CLOSED = r"[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}][.,]$"
