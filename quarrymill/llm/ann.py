@@ -1,10 +1,14 @@
 """Approximate nearest neighbours by learned partitions.
 
-A bounded sample (``sample`` vectors, 4,096) is joined to its nearest neighbours into a graph; the graph is cut into
+A bounded sample (``sample`` vectors, 16,384) is joined to its nearest neighbours into a graph; the graph is cut into
 equal parts that keep neighbours together (balanced label propagation under a size cap, from balanced centres); a small
 network learns to tell a vector's part from the vector. Every row of the table is then indexed by the network: each goes
-to its likeliest part. A query is routed to its most probable parts, as many as ``probes`` and until they hold
-enough rows, and reranked there by exact cosine in double precision.
+to its likeliest part. How many parts a query visits is calibrated: the network is fitted without a quarter of the
+sample, and the fewest probable parts are taken that hold ``target`` of that quarter's nearest neighbours in the sample
+(which lie further off than those in the table, so the table's are found more often). A query is routed to so many of
+its most probable parts, and until they hold enough rows, and reranked there by exact cosine in double precision. So
+clustered vectors are searched in few parts, vectors without structure in many, and the share of the table that a query
+visits falls as parts become more.
 
 Parts and the queries sent to them are cut into blocks by counts taken beforehand, so a part that holds a third of all
 rows is many tasks; equal vectors of a block are scored once. Edge cases: vectors that are null, zero, of another length
@@ -27,15 +31,16 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
-SAMPLE = 4096
+SAMPLE = 16_384
 NEIGHBOURS = 10
-ROWS_PER_PART = 2000
+ROWS_PER_PART = 100
 FEWEST_PARTS = 8
-PART_SAMPLE = 32
-MOST_PARTS = 256
-PROBES = 0.75
-BLOCK_ROWS = 8192
-BLOCK_QUERIES = 2048
+PART_SAMPLE = 24
+TARGET = 0.94
+HELD = 4
+BLOCK_ROWS = 32_768
+BLOCK_QUERIES = 32_768
+_CANDIDATES = 32
 K = 5
 
 
@@ -48,10 +53,10 @@ def neighbour_graph(x: np.ndarray, k: int = NEIGHBOURS) -> np.ndarray:
     u = unit(x)
     k = min(k, len(u) - 1)
     out = np.zeros((len(u), k), np.int64)
-    for at in range(0, len(u), 1024):
-        s = u[at : at + 1024] @ u.T
+    for at in range(0, len(u), 256):
+        s = u[at : at + 256] @ u.T
         s[np.arange(len(s)), np.arange(at, at + len(s))] = -2
-        out[at : at + 1024] = np.argpartition(-s, k - 1, axis=1)[:, :k] if k else 0
+        out[at : at + 256] = np.argpartition(-s, k - 1, axis=1)[:, :k] if k else 0
     return out
 
 
@@ -63,15 +68,15 @@ def balanced_parts(x: np.ndarray, graph: np.ndarray, parts: int, rng: np.random.
     centres = u[rng.choice(n, parts, replace=False)]
     for _ in range(4):
         s = u @ centres.T
-        ranked = np.argsort(-s, axis=1, kind="stable").tolist()
+        ranked = np.argsort(-s, axis=1, kind="stable")[:, :_CANDIDATES].tolist()
         label = np.full(n, -1)
-        room = [cap] * parts
+        room = np.full(parts, cap)
         for v in np.argsort(-s.max(1), kind="stable"):
-            for p in ranked[v]:
-                if room[p] > 0:
-                    label[v] = p
-                    room[p] -= 1
-                    break
+            best = next((p for p in ranked[v] if room[p] > 0), -1)
+            if best < 0:
+                best = int(np.argmax(np.where(room > 0, s[v], -2)))
+            label[v] = best
+            room[best] -= 1
         centres = unit(np.array([u[label == p].mean(0) if (label == p).any() else u[rng.integers(n)] for p in range(parts)]) + 1e-12)
     back: list[list[int]] = [[] for _ in range(n)]
     for v, row in enumerate(graph.tolist()):
@@ -107,7 +112,7 @@ class Router:
         return np.maximum(unit(x) @ self.w1 + self.b1, 0) @ self.w2 + self.b2
 
     @classmethod
-    def fit(cls, x: np.ndarray, graph: np.ndarray, label: np.ndarray, parts: int, rng: np.random.Generator, hidden: int = 128, steps: int = 400, rate: float = 0.01) -> Router:
+    def fit(cls, x: np.ndarray, graph: np.ndarray, label: np.ndarray, parts: int, rng: np.random.Generator, hidden: int = 128, steps: int = 600, rate: float = 0.01) -> Router:
         """Learn, for each vector, the shares of its part and its neighbours' parts."""
         u = unit(x)
         goal = np.zeros((len(u), parts))
@@ -178,9 +183,32 @@ def top_k(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids:
     return np.array(got_q, np.int64), np.array(got_r, np.int64), np.array(got_s)
 
 
-def part_count(total: int, sampled: int, rows_per_part: int = ROWS_PER_PART) -> int:
+def part_count(total: int, fitted: int, rows_per_part: int = ROWS_PER_PART) -> int:
     """Parts of about rows_per_part rows, FEWEST_PARTS at least, as far as the sample has PART_SAMPLE vectors for each."""
-    return int(min(MOST_PARTS, max(FEWEST_PARTS, total // rows_per_part), max(1, sampled // PART_SAMPLE)))
+    return int(min(max(FEWEST_PARTS, total // rows_per_part), max(1, fitted // PART_SAMPLE)))
+
+
+def fit(x: np.ndarray, total: int, *, k: int = K, target: float = TARGET, rows_per_part: int = ROWS_PER_PART, seed: int = 11) -> tuple[Router | None, int, int]:
+    """(router, parts, parts to visit) from a sample in random order."""
+    held = len(x) // HELD
+    parts = part_count(total, len(x) - held, rows_per_part)
+    if parts < 2:
+        return None, 1, 1
+    rng = np.random.default_rng(seed)
+    mine = x[held:]
+    graph = neighbour_graph(mine)
+    router = Router.fit(mine, graph, balanced_parts(mine, graph, parts, rng), parts, rng)
+    order = np.argsort(-router.logits(x), axis=1, kind="stable")
+    place = np.empty_like(order)
+    np.put_along_axis(place, order, np.arange(parts)[None, :], 1)
+    u, found = unit(x), []
+    for at in range(0, held, 256):
+        s = u[at : min(at + 256, held)] @ u.T
+        s[np.arange(len(s)), np.arange(at, at + len(s))] = -2
+        near = np.argpartition(-s, min(k, len(u) - 1) - 1, axis=1)[:, :k]
+        found.append(place[np.arange(at, at + len(s))[:, None], order[near, 0]].ravel())
+    found = np.sort(np.concatenate(found))
+    return router, parts, int(found[min(len(found) - 1, int(np.ceil(target * len(found))))]) + 1
 
 
 def nearest(
@@ -191,13 +219,13 @@ def nearest(
     every: int = 50,
     k: int = K,
     sample: int = SAMPLE,
-    probes: float = PROBES,
+    target: float = TARGET,
     rows_per_part: int = ROWS_PER_PART,
     seed: int = 11,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows found for each row whose id is divisible by `every`.
 
-    probes: the share of the parts that a query visits at least.
+    target: the share of the sample's own nearest neighbours that the visited parts have to hold.
     """
     spark = vectors.sparkSession
     mine = vectors.select(vectors[id_col].cast("long").alias("vec_id"), vectors[vector_col].cast("array<double>").alias("vec"))
@@ -209,14 +237,9 @@ def nearest(
     dim, total = sizes[0]
     mine = mine.filter(F.size("vec") == dim)
     share = min(1.0, sample / total)
-    taken = mine.filter(F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(1 << 30)) < int(share * (1 << 30))).orderBy("vec_id").toPandas()
-    parts = part_count(total, len(taken), rows_per_part)
-    router = None
-    if parts > 1:
-        rng = np.random.default_rng(seed)
-        x = np.array(taken["vec"].tolist(), np.float64)
-        graph = neighbour_graph(x)
-        router = Router.fit(x, graph, balanced_parts(x, graph, parts, rng), parts, rng)
+    draw = F.xxhash64("vec_id", F.lit(seed))
+    taken = mine.filter(F.pmod(draw, F.lit(1 << 30)) < int(share * (1 << 30))).orderBy(draw, "vec_id", "vec").limit(2 * sample).toPandas()  # about sample rows
+    router, parts, least = fit(np.array(taken["vec"].tolist(), np.float64).reshape(-1, dim), total, k=k, target=target, rows_per_part=rows_per_part, seed=seed)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -228,7 +251,6 @@ def nearest(
     held = np.zeros(parts, np.int64)
     for p, n in index.groupBy("part").count().collect():  # one row per part
         held[p] = n
-    least = max(1, int(np.ceil(probes * parts)))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -245,7 +267,7 @@ def nearest(
     for p, n in visits.groupBy("part").count().collect():
         come[p] = n
     groups = np.maximum(1, -(-come // BLOCK_QUERIES))
-    plan = spark.createDataFrame([(p, int(cuts[p]), int(groups[p])) for p in range(parts)], "part int, cuts int, groups int")  # MOST_PARTS rows at most
+    plan = spark.createDataFrame([(p, int(cuts[p]), int(groups[p])) for p in range(parts)], "part int, cuts int, groups int")  # sample / PART_SAMPLE rows at most
     plan = F.broadcast(plan)
     right = index.join(plan, "part").withColumn("cut", F.pmod(F.xxhash64("vec_id"), F.col("cuts")).cast("int")).withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
     left = visits.join(plan, "part").withColumn("group", F.pmod(F.xxhash64("query_id"), F.col("groups")).cast("int")).withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))

@@ -136,7 +136,7 @@ def test_quality_shrinks_sparse_sites(spark):
 @needs_data
 def test_recall_of_neighbours(spark):
     vectors = table(spark, "/root/testdata/sf0.1", "embeddings")
-    got = ann.nearest(vectors, rows_per_part=250).collect()
+    got = ann.nearest(vectors).collect()
     e = vectors.toPandas().sort_values("vec_id")
     ids, x = e["vec_id"].to_numpy(), np.stack(e["embedding"]).astype(float)
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -171,7 +171,7 @@ def recall(vectors, got, every=50):
     return np.mean(hits)
 
 
-@pytest.mark.parametrize(("n", "parts"), [(500, 8), (26_000, 13)])
+@pytest.mark.parametrize(("n", "parts"), [(500, 8), (26_000, 260)])
 def test_small_and_large_tables_are_dealt_alike(spark, monkeypatch, n, parts):
     """Production parameters; vectors like the test data's, noise around few centres."""
     asked, fit = [], ann.Router.fit.__func__
@@ -217,3 +217,22 @@ def test_hot_vectors_keep_the_smallest_ids(spark, monkeypatch):
     df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
     got = [(r.query_id, r["rank"], r.vec_id) for r in ann.nearest(df, rows_per_part=100).collect() if r.query_id in (200, 250, 450)]
     assert sorted(got) == [(200, k + 1, v) for k, v in enumerate((201, 202, 203, 204, 205))] + [(q, k + 1, 200 + k) for q in (250, 450) for k in range(5)]
+
+
+@pytest.mark.parametrize(("n", "centres", "most"), [(3000, 0, 1.0), (12_000, 0, 0.75), (40_000, 0, 0.6), (12_000, 200, 0.05), (40_000, 200, 0.03)])
+def test_the_share_of_rows_visited_falls(n, centres, most):
+    """Production parameters, queries out of the sample: recall holds without structure and with it, and fewer rows are visited."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(n, 64))
+    if centres:
+        x = rng.normal(size=(centres, 64))[rng.integers(centres, size=n)] + 0.4 * x
+    router, parts, least = ann.fit(x[: ann.SAMPLE], n)
+    part, u = router.logits(x).argmax(1), ann.unit(x)
+    queries = np.arange(n - 200, n)
+    s = u[queries] @ u.T
+    s[np.arange(200), queries] = -2
+    near = np.argpartition(-s, 5, axis=1)[:, :5]
+    visited = np.argsort(-router.logits(x[queries]), axis=1)[:, :least]
+    hit = np.mean([np.isin(part[a], b).mean() for a, b in zip(near, visited, strict=True)])
+    share = np.bincount(part, minlength=parts)[visited].sum(1).mean() / n
+    assert hit >= 0.9 and share <= most
