@@ -10,8 +10,8 @@ its most probable parts, and until they hold enough rows, and reranked there by
 clustered vectors are searched in few parts, vectors without structure in many, and the share of the table that a query
 visits falls as parts become more.
 
-Parts and the queries sent to them are cut into blocks by counts taken beforehand, so a part that holds a third of all
-rows is many tasks; equal vectors of a block are scored once. Edge cases: vectors that are null, zero, of another length
+Parts are searched some together, and large ones and the queries sent to them are cut into blocks by counts taken
+beforehand, so a part that holds a third of all rows is many tasks; equal vectors of a block are scored once. Edge cases: vectors that are null, zero, of another length
 than most, or hold null or non-finite components take no part; null ids neither; ties go to the smaller id; a query
 with fewer candidates than k gets all of them; tables of fewer than 64 vectors are one part, without a network; rows that repeat a vec_id count as that many candidates, but for the
 query's own id; an id of several rows asks once, with the smallest of its vectors (compared component by component);
@@ -40,6 +40,8 @@ TARGET = 0.94
 HELD = 4
 BLOCK_ROWS = 32_768
 BLOCK_QUERIES = 32_768
+#: Parts are searched in bins of a number of rows, which give one list of neighbours together.
+LEAST_BIN, BINS = 4096, 64
 _CANDIDATES = 32
 K = 5
 
@@ -160,27 +162,44 @@ def top_k(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids:
     distinct = rows[first]
     norm_r, norm_q = np.sqrt((distinct * distinct).sum(1)), np.sqrt((queries * queries).sum(1))
     scaled = (distinct / norm_r[:, None]).T
-    got_q, got_r, got_s = [], [], []
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
     want = min(k, len(first))
     for at in range(0, len(queries), 256):
+        q_ids = query_ids[at : at + 256]
         s = (queries[at : at + 256] / norm_q[at : at + 256, None]) @ scaled
-        s[(query_ids[at : at + 256, None] == lowest) & (lowest == highest)] = -np.inf  # rows of the query's own id only
+        s[(q_ids[:, None] == lowest) & (lowest == highest)] = -np.inf  # rows of the query's own id only
         least = np.partition(s, len(first) - want, axis=1)[:, len(first) - want]
-        for i, row in enumerate(s):
-            q = at + i
-            short = np.flatnonzero(row >= least[i] - 1e-9)
-            exact = (distinct[short] * queries[q]).sum(1) / (norm_r[short] * norm_q[q])
-            found = []
-            for e, d in zip(exact, short, strict=True):
-                ids = member_ids[begin[d] : begin[d + 1]]
-                own = np.searchsorted(ids, query_ids[q]), np.searchsorted(ids, query_ids[q], "right")
-                found += [(-e, r) for r in (*ids[: min(own[0], k)].tolist(), *ids[own[1] : own[1] + k].tolist())[:k]]
-            found.sort()
-            for e, r in found[:k]:
-                got_q.append(query_ids[q])
-                got_r.append(r)
-                got_s.append(-e)
-    return np.array(got_q, np.int64), np.array(got_r, np.int64), np.array(got_s)
+        q, d = np.nonzero(s >= least[:, None] - 1e-9)
+        exact = (distinct[d] * queries[at + q]).sum(1) / (norm_r[d] * norm_q[at + q])
+        one = (begin[d + 1] - begin[d] == 1) & (lowest[d] != q_ids[q])
+        found.append((q_ids[q[one]], lowest[d[one]], exact[one]))
+        more = np.flatnonzero(begin[d + 1] - begin[d] > 1)
+        for i, j, e in zip(q[more].tolist(), d[more].tolist(), exact[more].tolist(), strict=True):
+            ids = member_ids[begin[j] : begin[j + 1]]
+            own = np.searchsorted(ids, q_ids[i]), np.searchsorted(ids, q_ids[i], "right")
+            ids = np.concatenate((ids[: min(own[0], k)], ids[own[1] : own[1] + k]))[:k]
+            found.append((np.full(len(ids), q_ids[i]), ids, np.full(len(ids), e)))
+    return best(*(np.concatenate(x) for x in zip(*found, strict=True)), k)
+
+
+def best(query: np.ndarray, row: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k first rows of each query by score, then id."""
+    by = np.lexsort((row, -score, query))
+    query, row, score = query[by], row[by], score[by]
+    begin = np.flatnonzero(np.append(True, query[1:] != query[:-1])[: len(query)])
+    keep = np.arange(len(query)) - np.repeat(begin, np.diff(np.append(begin, len(query)))) < k
+    return query[keep], row[keep], score[keep]
+
+
+def bins_of(held: np.ndarray, most: int) -> np.ndarray:
+    """A bin for each part: parts in order, as many in one bin as have `most` rows together."""
+    out, at, rows = np.zeros(len(held), np.int64), 0, 0
+    for p, n in enumerate(held.tolist()):
+        if rows and rows + n > most:
+            at, rows = at + 1, 0
+        out[p] = at
+        rows += n
+    return out
 
 
 def part_count(total: int, fitted: int, rows_per_part: int = ROWS_PER_PART) -> int:
@@ -252,33 +271,52 @@ def nearest(
     for p, n in index.groupBy("part").count().collect():  # one row per part
         held[p] = n
 
+    bin_of = bins_of(held, min(BLOCK_ROWS, max(LEAST_BIN, total // BINS)))
+    bins = int(bin_of.max()) + 1
+
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = _matrix(batch.column(1), dim)
             order = np.argsort(-router.logits(x), axis=1, kind="stable") if router and len(x) else np.zeros((len(x), 1), np.int64)
-            lists = [o[: max(least, int(np.searchsorted(np.cumsum(held[o]), k + 1)) + 1)].tolist() for o in order]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lists, pa.list_(pa.int32()))], names=["query_id", "q", "parts"])
+            row, to, lists = [], [], []
+            for i, o in enumerate(order):
+                visited = np.sort(o[: max(least, int(np.searchsorted(np.cumsum(held[o]), k + 1)) + 1)])
+                cut = np.flatnonzero(np.append(True, np.diff(bin_of[visited]) > 0))
+                row += [i] * len(cut)
+                to += bin_of[visited[cut]].tolist()
+                lists += [v.tolist() for v in np.split(visited, cut[1:])]
+            taken = batch.take(pa.array(row, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(to, pa.int32()), pa.array(lists, pa.list_(pa.int32()))], names=["query_id", "q", "bin", "parts"])
 
     asked = index.filter(F.pmod("vec_id", F.lit(every)) == 0).select(F.col("vec_id").alias("query_id"), F.col("vec").alias("q")).groupBy("query_id").agg(F.min("q").alias("q"))
-    routed = materialise(asked.mapInArrow(route, "query_id long, q array<double>, parts array<int>"), "routed")
-    visits = routed.select("query_id", "q", F.explode("parts").alias("part"))
-    cuts = np.maximum(1, -(-held // BLOCK_ROWS))
-    come = np.zeros(parts, np.int64)
-    for p, n in visits.groupBy("part").count().collect():
-        come[p] = n
-    groups = np.maximum(1, -(-come // BLOCK_QUERIES))
-    plan = spark.createDataFrame([(p, int(cuts[p]), int(groups[p])) for p in range(parts)], "part int, cuts int, groups int")  # sample / PART_SAMPLE rows at most
-    plan = F.broadcast(plan)
+    visits = materialise(asked.mapInArrow(route, "query_id long, q array<double>, bin int, parts array<int>"), "visits")
+    cuts = np.maximum(1, -(-np.bincount(bin_of, held, bins).astype(np.int64) // BLOCK_ROWS))
+    groups = np.ones(bins, np.int64)
+    for b, n in visits.groupBy("bin").count().collect():  # one row per bin
+        groups[b] = -(-n // BLOCK_QUERIES)
+    # sample / PART_SAMPLE rows at most
+    plan = F.broadcast(spark.createDataFrame([(p, int(b), int(cuts[b]), int(groups[b])) for p, b in enumerate(bin_of)], "part int, bin int, cuts int, groups int"))
     right = index.join(plan, "part").withColumn("cut", F.pmod(F.xxhash64("vec_id"), F.col("cuts")).cast("int")).withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
-    left = visits.join(plan, "part").withColumn("group", F.pmod(F.xxhash64("query_id"), F.col("groups")).cast("int")).withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    left = visits.join(plan.drop("part").distinct(), "bin").withColumn("group", F.pmod(F.xxhash64("query_id"), F.col("groups")).cast("int")).withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
 
     def search(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(r):
-            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
-        found = top_k(np.stack(q["q"].to_numpy()), q["query_id"].to_numpy(), np.stack(r["vec"].to_numpy()), r["vec_id"].to_numpy(), k)
-        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), found, strict=True)))
-
-    cell = ["part", "cut", "group"]
-    found = left.select(*cell, "query_id", "q").groupBy(cell).cogroup(right.select(*cell, "vec_id", "vec").groupBy(cell)).applyInPandas(search, "query_id long, vec_id long, score double")
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if len(q) and len(r):
+            r = r.sort_values("part", kind="stable")
+            vec, row_ids, part = np.stack(r["vec"].to_numpy()), r["vec_id"].to_numpy(), r["part"].to_numpy()
+            asked, query_ids = np.stack(q["q"].to_numpy()), q["query_id"].to_numpy()
+            visit = np.concatenate(q["parts"].to_numpy())
+            who = np.repeat(np.arange(len(q)), [len(x) for x in q["parts"]])
+            who, visit = who[np.argsort(visit, kind="stable")], np.sort(visit)
+            for p in np.unique(part).tolist():
+                mine = who[np.searchsorted(visit, p) : np.searchsorted(visit, p, "right")]
+                rows = slice(np.searchsorted(part, p), np.searchsorted(part, p, "right"))
+                if len(mine):
+                    found.append(top_k(asked[mine], query_ids[mine], vec[rows], row_ids[rows], k))
+        query, row, score = best(*(np.concatenate(x) for x in zip(*found, strict=True)), k)
+        return pd.DataFrame({"query_id": query, "vec_id": row, "score": score})
+
+    cell = ["bin", "cut", "group"]
+    found = left.select(*cell, "query_id", "q", "parts").groupBy(cell).cogroup(right.select(*cell, "part", "vec_id", "vec").groupBy(cell)).applyInPandas(search, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
