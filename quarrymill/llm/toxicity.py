@@ -21,7 +21,6 @@ import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -65,6 +64,10 @@ for _c, _x in _BASE.items():
     _CHAR[_c] = ord(_x) - 96
 
 
+#: UTF-16 units that may stand beside others in a word: letters, digits (surrogates as well) and signs.
+_JOINS = np.array([chr(c).isalnum() or 0xD800 <= c < 0xE000 or chr(c) in SIGNS for c in range(1 << 16)])
+
+
 # ---------------------------------------------------------------------------------------------------------------
 # The character model
 
@@ -166,7 +169,6 @@ def _pieces(run: str) -> list[str]:
     return [run[a : a + _PIECE] for a in range(0, max(1, len(run) - _PIECE + _STEP), _STEP)]
 
 
-@lru_cache(_CACHE_WORDS // 2)
 def _forms(word: str) -> tuple[str, ...]:
     """What a word may hide: itself, without the signs around it, and its parts between other characters."""
     if not _DISGUISED.search(word):
@@ -176,23 +178,38 @@ def _forms(word: str) -> tuple[str, ...]:
     return tuple(sorted({x for f in forms if _DISGUISED.search(f) for x in _pieces(f) if _DISGUISED.search(x)}))
 
 
+def _spelled(lower: str) -> list[str]:
+    """The spelled-out runs of a lower-cased text."""
+    return [x for m in _SPELLED.finditer(lower) if sum(map(str.isalpha, m.group())) >= 2 for x in _pieces(m.group())]
+
+
+def _may_spell(texts: list[str]) -> list[bool]:
+    """Whether a text has two characters in a row, each alone between separators, as the inner ones of a spelled-out run
+    are, or letters beyond the first plane: without, nothing is spelled out."""
+    blobs = [t.encode("utf-16-le", "surrogatepass") for t in texts]
+    ends = np.cumsum([len(b) // 2 + 1 for b in blobs])
+    units = np.frombuffer(b"\n\0".join(blobs) + b"\n\0" * 5, "<u2")
+    apart = ~_JOINS[units]
+    alone = np.zeros(len(units), bool)
+    alone[1:-1] = apart[:-2] & apart[2:] & ~apart[1:-1]
+    n = len(units) - 3
+    at = np.flatnonzero((alone[:n] & (alone[2 : n + 2] | alone[3 : n + 3])) | (units[:n] & 0xF800 == 0xD800))
+    out = np.zeros(len(texts), bool)
+    out[np.searchsorted(ends, at, side="right")] = True
+    return out.tolist()
+
+
 def disguised(lower: str, words: set[str]) -> list[str]:
     """Words and spelled-out runs of a lower-cased text that may hide others. Longer ones are cut into overlapping pieces."""
-    found = [x for w in words for x in _forms(w)]
-    for m in _SPELLED.finditer(lower):
-        run = m.group()
-        if sum(map(str.isalpha, run)) >= 2:
-            found += _pieces(run)
-    return found
+    return [x for w in words for x in _forms(w)] + _spelled(lower)
 
 
 # ---------------------------------------------------------------------------------------------------------------
 # The linear score
 
 
-def word_features(word: str) -> tuple[int, ...]:
-    """Hashes of a word and of its beginnings of four to six letters."""
-    w = word.strip(_STRIP)
+def word_features(w: str) -> tuple[int, ...]:
+    """Hashes of a word without signs around it and of its beginnings of four to six letters."""
     if not w:
         return ()
     return tuple(zlib.crc32(x.encode("utf-8", "surrogatepass")) for x in [w, *("^" + w[:k] for k in (4, 5, 6) if len(w) > k)])
@@ -203,36 +220,51 @@ class Model:
     characters: np.ndarray
     bias: float = 0.0
     weights: dict[int, float] = field(default_factory=dict)
+    #: Words seen, those of them that have features or may hide others, and what beginnings and lattices gave.
+    seen: set[str] = field(default_factory=set)
     plain: dict[str, tuple[int, ...]] = field(default_factory=dict)
+    forms: dict[str, tuple[str, ...]] = field(default_factory=dict)
+    begins: dict[str, tuple[int, ...]] = field(default_factory=dict)
     hidden: dict[str, tuple[int, ...]] = field(default_factory=dict)
 
+    def _kept(self, word: str, keep: dict[int, float] | None) -> tuple[int, ...]:
+        """word_features of a word that have a weight; those of beginnings are looked up by the longest."""
+        w = word.strip(_STRIP)
+        if keep is None:
+            return word_features(w)
+        first = w[:7]  # tells a word of six letters from a longer one
+        begins = self.begins.get(first)
+        if begins is None:
+            begins = self.begins[first] = tuple(x for x in word_features(first)[1:] if x in keep)
+        x = zlib.crc32(w.encode("utf-8", "surrogatepass"))
+        return (x, *begins) if x in keep and w else begins
+
     def features(self, texts: list[str], *, all_kinds: bool = False) -> list[set[int]]:
         """Feature hashes of each text; only those that have a weight, unless all_kinds."""
         keep = None if all_kinds else self.weights
-        for cache in (self.plain, self.hidden):
-            if len(cache) > _CACHE_WORDS:
-                cache.clear()
-        plain, sets, runs = self.plain, [], []
-        for t in texts:
-            lower = t.lower()
+        if max(len(self.seen), len(self.begins), len(self.hidden)) > _CACHE_WORDS:
+            self.forget()
+        sets, runs, disguises = [], [], _DISGUISED.search
+        lowered = [t.lower() for t in texts]
+        for lower, spells in zip(lowered, _may_spell(lowered), strict=True):
             ws = set(lower.split())
-            for w in ws:
-                if w not in plain:
-                    f = word_features(w)
-                    plain[w] = f if keep is None else tuple(x for x in f if x in keep)
-            sets.append(ws)
-            runs.append(disguised(lower, ws))
+            for w in ws - self.seen:
+                if f := self._kept(w, keep):
+                    self.plain[w] = f
+                if disguises(w) and (f := _forms(w)):
+                    self.forms[w] = f
+            self.seen |= ws
+            sets.append([self.plain[w] for w in ws & self.plain.keys()])
+            runs.append([x for w in ws & self.forms.keys() for x in self.forms[w]] + (_spelled(lower) if spells else []))
         new = sorted({r for rs in runs for r in rs if r not in self.hidden})
         for r, back in zip(new, restore(self.characters, new), strict=True):
-            f = tuple(x for w in {back.replace(" ", ""), *back.split()} for x in word_features(w))
-            self.hidden[r] = f if keep is None else tuple(x for x in f if x in keep)
-        return [{x for w in ws for x in plain[w]} | {x for r in rs for x in self.hidden[r]} for ws, rs in zip(sets, runs, strict=True)]
+            self.hidden[r] = tuple(x for w in {back.replace(" ", ""), *back.split()} for x in self._kept(w, keep))
+        return [{x for f in fs for x in f} | {x for r in rs for x in self.hidden[r]} for fs, rs in zip(sets, runs, strict=True)]
 
     def forget(self) -> None:
         """Empty the word caches."""
-        self.plain.clear()
-        self.hidden.clear()
-        _forms.cache_clear()
+        for cache in (self.seen, self.plain, self.forms, self.begins, self.hidden):
+            cache.clear()
 
     def scores(self, texts: list[str]) -> list[float]:
         raw = [self.bias + sum(self.weights[x] for x in sorted(f)) for f in self.features(texts)]
