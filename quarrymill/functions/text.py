@@ -58,6 +58,24 @@ def tokenize_code(text: Column) -> Column:
     return F.flatten(F.transform(words, lambda w: F.concat(F.array(w), F.filter(F.split(w, "_"), lambda x: x != ""))))
 
 
+def token_bag(text: Column) -> Column:
+    """The tokens of tokenize_code in another order: words, then all runs between underscores. Its array is built without
+    a function call for each word, so this is the form for whole corpora."""
+    low = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.concat(F.regexp_extract_all(low, F.lit("[a-z0-9_]+"), F.lit(0)), F.regexp_extract_all(low, F.lit("[a-z0-9]+"), F.lit(0)))
+
+
+def token_count(text: Column) -> Column:
+    """How many tokens tokenize_code gives."""
+    return F.regexp_count(text, F.lit("[A-Za-z0-9_]+")) + F.regexp_count(text, F.lit("[A-Za-z0-9]+"))
+
+
+def term_count(text: Column, term: str) -> Column:
+    """How often tokenize_code gives a term: as a word, and as a run between underscores."""
+    whole = F.regexp_count(text, F.lit(f"(?i)(?<![a-z0-9_]){term}(?![a-z0-9_])"))
+    return whole if "_" in term else whole + F.regexp_count(text, F.lit(f"(?i)(?<![a-z0-9]){term}(?![a-z0-9])"))
+
+
 def plain_tokens(text: Column) -> Column:
     """Distinct runs of letters and digits, lower-cased."""
     return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0)))

@@ -2,48 +2,89 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections import Counter
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import QUERY_STOPWORDS, cosine, query_terms, tokenize_code
+from ..functions.text import QUERY_STOPWORDS, ancestors, cosine, query_terms, term_count, token_bag, token_count, tokenize_code
 
 K1, B = 1.5, 0.75
 RRF_K = 60
 CANDIDATES, TOP_K = 40, 8
+MIN_WINDOW = 500
 RERANK_WEIGHT, RRF_WEIGHT, PATH_WEIGHT = 0.45, 0.15, 0.40
 
 
 def postings(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
     """(id, term, tf, dl) of every document with a token."""
-    t = docs.select(F.col(id_col).alias("id"), tokenize_code(text).alias("tokens"))
+    t = docs.select(F.col(id_col).alias("id"), token_bag(text).alias("tokens"))
     return t.select("id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("id", "term", "dl").agg(F.count("*").alias("tf"))
 
 
-def _times(tokens: Column, term: str) -> Column:
-    return F.size(F.filter(tokens, lambda x: x == F.lit(term)))
+def term_stats(docs: DataFrame, text: Column) -> DataFrame:
+    """(term, df, tf) over documents that are rows. Distinct terms and all tokens of a row are exploded side by side, so
+    one shuffle, of partial sums by term, is all."""
+    t = docs.select(token_bag(text).alias("tokens"))
+    kinds = F.array(F.struct(F.lit(1).alias("df"), F.lit(0).alias("tf"), F.array_distinct("tokens").alias("terms")), F.struct(F.lit(0).alias("df"), F.lit(1).alias("tf"), F.col("tokens").alias("terms")))
+    rows = t.select(F.explode(kinds).alias("k")).select("k.df", "k.tf", F.explode("k.terms").alias("term"))
+    return rows.groupBy("term").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf"))
 
 
-def bm25(docs: DataFrame, id_col: str, text: Column, query: str, *, top: int | None = CANDIDATES) -> DataFrame:
-    """(id, score) of documents that hold a query term, best first, ties by id.
+def query_weights(spark: SparkSession, query: str) -> list[tuple[str, int]]:
+    """(term, times) of a query as the tokeniser gives it, without stop words unless there is nothing else."""
+    tokens = spark.range(1).select(tokenize_code(F.lit(query)).alias("t")).first()["t"]
+    return sorted(Counter([t for t in tokens if t not in QUERY_STOPWORDS] or tokens).items())
 
-    Only the query's terms are exploded, so the shuffle carries matching postings; document frequencies come from the
-    same rows. A term counts as often as the tokeniser gives it in the query. N and the mean length are one aggregate.
-    """
-    spark = docs.sparkSession
-    stop = F.array(*map(F.lit, QUERY_STOPWORDS))
-    q = spark.range(1).select(tokenize_code(F.lit(query)).alias("all")).select(F.filter("all", lambda t: ~F.array_contains(stop, t)).alias("kept"), "all")
-    q = q.select(F.explode(F.when(F.size("kept") > 0, F.col("kept")).otherwise(F.col("all"))).alias("term")).groupBy("term").agg(F.count("*").alias("qn"))
-    terms = sorted((r["term"], r["qn"]) for r in q.collect())  # the query's own words
-    base = docs.select(F.col(id_col).alias("id"), tokenize_code(text).alias("tokens"))
-    stats = base.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
-    hits = base.select("id", F.size("tokens").alias("dl"), F.explode(F.array(*[F.struct(F.lit(t).alias("term"), F.lit(n).alias("qn"), _times(F.col("tokens"), t).alias("tf")) for t, n in terms])).alias("p")).select("id", "dl", "p.*").filter("tf > 0")
+
+def _scored(hits: DataFrame, stats: DataFrame, terms: list[tuple[str, int]], top: int | None) -> DataFrame:
+    """(id, score) from (id, dl, term, tf) of the query's terms and the one row of (n, avgdl)."""
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
+    times = F.create_map(*[x for t, n in terms for x in (F.lit(t), F.lit(n))])[F.col("term")] if terms else F.lit(0)
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = F.col("qn") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    part = times * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = hits.join(F.broadcast(df), "term").join(F.broadcast(stats)).groupBy("id").agg(F.sum(part).alias("score")).filter("score > 0")  # a row per query term; one row
     return scored if top is None else scored.orderBy(F.desc("score"), "id").limit(top)
 
 
+def bm25(docs: DataFrame, id_col: str, text: Column, query: str, *, top: int | None = CANDIDATES) -> DataFrame:
+    """(id, score) of documents that hold a query term, best first, ties by id, by one scan of the texts.
+
+    Only the query's terms are counted, so the shuffle carries matching postings; document frequencies come from the
+    same rows. A term counts as often as the tokeniser gives it in the query. N and the mean length are one aggregate.
+    For more than a query or two, build_postings makes a table that a query reads a few buckets of.
+    """
+    terms = query_weights(docs.sparkSession, query)
+    base = docs.select(F.col(id_col).alias("id"), token_count(text).alias("dl"), text.alias("text"))
+    stats = base.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    counts = F.array(*[F.struct(F.lit(t).alias("term"), term_count(F.col("text"), t).alias("tf")) for t, _ in terms]) if terms else F.array().cast("array<struct<term:string,tf:int>>")
+    hits = base.select("id", "dl", F.explode(counts).alias("p")).select("id", "dl", "p.*").filter("tf > 0")
+    return _scored(hits, stats, terms, top)
+
+
+BUCKETS = 64
+
+
+def build_postings(docs: DataFrame, id_col: str, text: Column, path: str, buckets: int = BUCKETS) -> None:
+    """Write the postings under path, partitioned by a hash of the term and sorted by term, and the one row of (n, avgdl).
+
+    The folder has to be one that all executors share."""
+    rows = postings(docs, id_col, text).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+    rows.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("bucket", "term", "id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    docs.agg(F.count("*").alias("n"), F.avg(token_count(text)).alias("avgdl"), F.lit(buckets).alias("buckets")).write.mode("overwrite").parquet(f"{path}/stats")
+
+
+def bm25_indexed(spark: SparkSession, path: str, query: str, *, top: int | None = CANDIDATES) -> DataFrame:
+    """What bm25 gives, from a table of build_postings: only the buckets of the query's terms are read."""
+    terms = query_weights(spark, query)
+    stats = spark.read.parquet(f"{path}/stats")
+    words = [t for t, _ in terms]
+    buckets = stats.first()["buckets"]
+    wanted = [r[0] for r in spark.createDataFrame([(w,) for w in words], "term string").select(F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")).distinct().collect()]
+    hits = spark.read.parquet(f"{path}/postings").filter(F.col("bucket").isin(wanted) & F.col("term").isin(words)).select("id", "dl", "term", "tf")
+    return _scored(hits, stats.select("n", "avgdl"), terms, top)
+
+
 def dense(vectors: DataFrame, id_col: str, vector_col: str, query: Column, k: int) -> DataFrame:
     """(id, score) by cosine, ties by id."""
     return vectors.select(F.col(id_col).alias("id"), cosine(F.col(vector_col), query).alias("score")).orderBy(F.desc("score"), "id").limit(k)
@@ -89,21 +130,24 @@ def collapse(hits: DataFrame, file_col: str, score_col: str, position_col: str,
     return hits.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn").orderBy(F.desc(score_col), position_col).limit(k)
 
 
-def chunk_windows(text: Column, max_chars: int) -> Column:
-    """Lines gathered greedily into windows of max_chars at most; a longer line stands alone, never split.
+def chunk_windows(text: Column, max_chars: int | Column) -> Column:
+    """Lines gathered greedily into windows: (first, last, chars) of each, lines from 1.
 
+    A line counts a character more than it has, for its end; a window holds as many as max_chars (500 at least) allows,
+    and a longer line stands alone, never split. chars: what the window's lines count together.
     A fold, as each window's start depends on the one before: the last entry is the open window.
     """
-    start = F.array(F.struct(F.lit(0).alias("first"), F.lit(0).alias("last"), F.lit(-1).alias("chars")))
+    room = F.greatest(max_chars if isinstance(max_chars, Column) else F.lit(max_chars), F.lit(MIN_WINDOW))
+    start = F.array(F.struct(F.lit(0).alias("first"), F.lit(0).alias("last"), F.lit(0).alias("chars")))
 
     def step(acc: Column, line: Column) -> Column:
         last = F.element_at(acc, -1)
-        size = F.length(line)
+        size = F.length(line) + 1
         number = last["last"] + 1
-        fits = last["chars"] + 1 + size <= max_chars
-        grown = F.struct(F.when(last["chars"] < 0, F.lit(1)).otherwise(last["first"]).alias("first"), number.alias("last"), F.when(last["chars"] < 0, size).otherwise(last["chars"] + 1 + size).alias("chars"))
+        grown = F.struct(F.greatest(last["first"], F.lit(1)).alias("first"), number.alias("last"), (last["chars"] + size).alias("chars"))
         fresh = F.struct(number.alias("first"), number.alias("last"), size.alias("chars"))
-        return F.when((last["chars"] < 0) | fits, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(grown))).otherwise(F.concat(acc, F.array(fresh)))
+        joins = (last["chars"] == 0) | (last["chars"] + size <= room)
+        return F.when(joins, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(grown))).otherwise(F.concat(acc, F.array(fresh)))
 
     return F.aggregate(F.split(text, "\n"), start, step)
 
@@ -114,12 +158,7 @@ def expand(hits: DataFrame, edges: DataFrame, files: DataFrame) -> DataFrame:
     hits: (file, ...); edges: (file, target); files: (file). Targets are directories, so files are joined by their
     ancestors, not by a prefix test.
     """
-    under = files.select("file", F.explode(_dirs(F.col("file"))).alias("target"))
+    under = files.select("file", F.explode(ancestors(F.col("file"))).alias("target"))
     found = hits.select("file").distinct().join(edges, "file").select("target", F.col("file").alias("via")).join(under, "target")
     return found.join(hits.select("file"), "file", "left_anti").groupBy("file").agg(F.min("via").alias("via"))
 
-
-def _dirs(path: Column) -> Column:
-    from ..functions.text import ancestors
-
-    return ancestors(path)

@@ -1,4 +1,4 @@
-"""Hybrid search over a code tree: chunks, fused ranks, locality, collapse, one hop along dependencies, and agent tools."""
+"""Hybrid search over a code tree: chunks, fused ranks, locality, collapse, one hop along dependencies."""
 
 from __future__ import annotations
 
@@ -42,8 +42,8 @@ def build_chunks(files: DataFrame, blocks: DataFrame, edges: DataFrame) -> DataF
 def search(chunks: DataFrame, query: str, *, top_k: int = retrieval.TOP_K, candidates: int = retrieval.CANDIDATES, dense: Callable[[str, int], DataFrame] | None = None, rerank: Callable[[str, DataFrame], DataFrame] | None = None) -> DataFrame:
     """The best chunk of each file for a query, best first.
 
-    dense gives (id, score) of chunks for a query; rerank gives (id, rerank) for candidate chunks. Both are optional, and
-    without a reranker its weight is nothing.
+    dense gives (id, score) of chunks for a query; rerank gives (id, rerank) for candidate chunks, which counts as it is.
+    Both are optional, and without a reranker its weight is nothing.
     """
     lists = [retrieval.bm25(chunks, "chunk_id", F.col("text"), query, top=candidates)]
     if dense is not None:
@@ -55,14 +55,15 @@ def search(chunks: DataFrame, query: str, *, top_k: int = retrieval.TOP_K, candi
     if rerank is None:
         score = retrieval.blend(F.col("n"), F.col("locality"))
     else:
-        hits = hits.join(rerank(query, hits), "id", "left").withColumn("r", retrieval.normalised(F.coalesce("rerank", F.lit(0.0))))
+        hits = hits.join(rerank(query, hits), "id", "left").withColumn("r", F.coalesce("rerank", F.lit(0.0)))
         score = retrieval.blend(F.col("n"), F.col("locality"), F.col("r"))
     return retrieval.collapse(hits.withColumn("score", score), "file", "score", "seen", top_k)
 
 
 def search_and_expand(chunks: DataFrame, files: DataFrame, edges: DataFrame, query: str, **options: object) -> DataFrame:
     """Hits with rounded scores, then what one hop along their module sources, templates and variables meets besides."""
-    hits = search(chunks, query, **options).cache()  # eight rows, used thrice
+    found = search(chunks, query, **options)
+    hits = found.sparkSession.createDataFrame(found.collect(), found.schema)  # top_k rows, used several times
     shown = hits.select("file", "symbol", "line_start", "line_end", F.round("score", 5).alias("score"), F.round("rrf", 5).alias("rrf"), F.round("locality", 3).alias("locality"), F.lit("retrieved").alias("reason"))
     source = edges.filter("edge_type = 'module_source'").select("file", F.col("module").alias("target")).join(hits.select("file"), "file", "left_semi")
     template = hits.filter("source_dir is not null").select("file", F.col("source_dir").alias("target"))

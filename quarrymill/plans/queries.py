@@ -223,7 +223,7 @@ SEARCH = "create the stupid clown trash in the story of pathetic"
 @query(f"""WITH {_TOKENS_SQL}, t AS (SELECT id, unnest(tokens) AS term FROM tok), p AS (SELECT id, term, count(*) AS tf FROM t GROUP BY ALL)
 SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS tf FROM p GROUP BY term""")
 def tokenize_terms(spark: SparkSession, sf: str) -> DataFrame:
-    return retrieval.postings(table(spark, sf, "documents"), "doc_id", F.col("text")).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+    return retrieval.term_stats(table(spark, sf, "documents"), F.col("text"))
 
 
 _BM25_SQL = f"""{_TOKENS_SQL}, q AS (SELECT * FROM (VALUES ('stupid', 2), ('clown', 2), ('trash', 2), ('story', 2), ('pathetic', 2)) v(term, qn)),
@@ -249,7 +249,7 @@ den AS (SELECT id, list_dot_product(v, q) / (sqrt(list_dot_product(v, v)) * sqrt
 
 def _dense(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings")
-    q = e.filter("vec_id = 0").select(F.col("embedding").alias("q"))  # one row
+    q = e.filter("vec_id = 0").select(F.col("embedding").alias("q")).limit(1)
     return retrieval.dense(e.join(F.broadcast(q)), "vec_id", "embedding", F.col("q"), 40)
 
 
@@ -290,7 +290,11 @@ def blend_collapse(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.collapse(hits, "file", "score", "seen").select("id", "file", F.round("score", 5).alias("score"))
 
 
-@query()
+@query("""WITH l AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda line, k: [{'first': k, 'last': k, 'chars': length(line) + 1}]) AS lines FROM documents WHERE text IS NOT NULL),
+w AS (SELECT doc_id, list_reduce(lines, lambda a, x: CASE WHEN a[-1].chars + x[1].chars <= 2000
+  THEN list_concat(a[1:len(a) - 1], [{'first': a[-1].first, 'last': x[1].last, 'chars': a[-1].chars + x[1].chars}]) ELSE list_concat(a, x) END) AS windows FROM l),
+u AS (SELECT doc_id, generate_subscripts(windows, 1) - 1 AS chunk, unnest(windows) AS v FROM w)
+SELECT doc_id, CAST(chunk AS INT) AS chunk, CAST(v.first AS INT) AS first, CAST(v.last AS INT) AS last, CAST(v.chars AS INT) AS chars FROM u""")
 def chunk_windows(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents").select("doc_id", F.posexplode(retrieval.chunk_windows(F.col("text"), 2000)).alias("chunk", "w"))
     return d.select("doc_id", "chunk", "w.first", "w.last", "w.chars")

@@ -37,23 +37,5 @@ def test_same_rows(spark, db, name):
     assert rows(df.columns, df.collect()) == rows(columns, got.fetchall())
 
 
-def test_chunk_windows_against_a_fold(spark):
-    text = {r.doc_id: r.text for r in plans.table(spark, SF, "documents").collect()}
-    got: dict[int, list] = {}
-    for r in plans.chunk_windows(spark, SF).collect():
-        got.setdefault(r.doc_id, []).append((r.chunk, r.first, r.last, r.chars))
-    for doc, t in text.items():
-        want, first, chars = [], 1, -1
-        lines = t.split("\n")
-        for k, line in enumerate(lines, 1):
-            if chars >= 0 and chars + 1 + len(line) > 2000:
-                want.append((first, k - 1, chars))
-                first, chars = k, len(line)
-            else:
-                chars = len(line) if chars < 0 else chars + 1 + len(line)
-        want.append((first, len(lines), chars))
-        assert [x[1:] for x in sorted(got[doc])] == want
-
-
 def test_secret_patterns_compile():
     assert len(SECRET_PATTERNS) == 5
