@@ -67,13 +67,21 @@ def token_bag(text: Column) -> Column:
 
 def token_count(text: Column) -> Column:
     """How many tokens tokenize_code gives."""
-    return F.regexp_count(text, F.lit("[A-Za-z0-9_]+")) + F.regexp_count(text, F.lit("[A-Za-z0-9]+"))
+    words = F.regexp_count(text, F.lit("[A-Za-z0-9_]+"))
+    return words + F.when(F.contains(text, F.lit("_")), F.regexp_count(text, F.lit("[A-Za-z0-9]+"))).otherwise(words)
 
 
-def term_count(text: Column, term: str) -> Column:
-    """How often tokenize_code gives a term: as a word, and as a run between underscores."""
-    whole = F.regexp_count(text, F.lit(f"(?i)(?<![a-z0-9_]){term}(?![a-z0-9_])"))
-    return whole if "_" in term else whole + F.regexp_count(text, F.lit(f"(?i)(?<![a-z0-9]){term}(?![a-z0-9])"))
+def spaced(text: Column, kept: str = "A-Za-z0-9_") -> Column:
+    """The runs of the kept characters, lower-cased, two blanks between them and one at each end."""
+    return F.concat(F.lit(" "), F.trim(F.lower(F.regexp_replace(text, f"[^{kept}]+", "  "))), F.lit(" "))
+
+
+def term_count(words: Column, runs: Column, term: str) -> Column:
+    """How often tokenize_code gives a term, as a word and as a run between underscores, by byte search: words is
+    spaced(text), runs is spaced(text, "A-Za-z0-9")."""
+    part = f" {term} "
+    found = [((F.octet_length(x) - F.octet_length(F.replace(x, F.lit(part), F.lit("")))) / len(part)).cast("int") for x in (words, runs)]
+    return found[0] if "_" in term else found[0] + found[1]
 
 
 def plain_tokens(text: Column) -> Column:

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections import Counter
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import QUERY_STOPWORDS, ancestors, cosine, query_terms, term_count, token_bag, token_count, tokenize_code
+from ..functions.text import QUERY_STOPWORDS, ancestors, cosine, query_terms, spaced, term_count, token_bag, token_count, tokenize_code
 
 K1, B = 1.5, 0.75
 RRF_K = 60
@@ -37,29 +38,34 @@ def query_weights(spark: SparkSession, query: str) -> list[tuple[str, int]]:
     return sorted(Counter([t for t in tokens if t not in QUERY_STOPWORDS] or tokens).items())
 
 
-def _scored(hits: DataFrame, stats: DataFrame, terms: list[tuple[str, int]], top: int | None) -> DataFrame:
-    """(id, score) from (id, dl, term, tf) of the query's terms and the one row of (n, avgdl)."""
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    times = F.create_map(*[x for t, n in terms for x in (F.lit(t), F.lit(n))])[F.col("term")] if terms else F.lit(0)
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = times * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = hits.join(F.broadcast(df), "term").join(F.broadcast(stats)).groupBy("id").agg(F.sum(part).alias("score")).filter("score > 0")  # a row per query term; one row
-    return scored if top is None else scored.orderBy(F.desc("score"), "id").limit(top)
+def _score(terms: list[tuple[str, int]], tf: list[Column], df: list[Column], dl: Column, n: Column, avgdl: Column) -> Column:
+    """BM25 of one document from its counts of the query's terms."""
+    def part(times: int, f: Column, d: Column) -> Column:
+        idf = F.log(1 + (n - d + 0.5) / (d + 0.5))
+        return times * idf * f * (K1 + 1) / (f + K1 * (1 - B + B * dl / avgdl))
+
+    return sum((F.when(f > 0, part(times, f, d)).otherwise(0.0) for (_, times), f, d in zip(terms, tf, df, strict=True)), F.lit(0.0))
 
 
 def bm25(docs: DataFrame, id_col: str, text: Column, query: str, *, top: int | None = CANDIDATES) -> DataFrame:
     """(id, score) of documents that hold a query term, best first, ties by id, by one scan of the texts.
 
-    Only the query's terms are counted, so the shuffle carries matching postings; document frequencies come from the
-    same rows. A term counts as often as the tokeniser gives it in the query. N and the mean length are one aggregate.
-    For more than a query or two, build_postings makes a table that a query reads a few buckets of.
+    Each document becomes its length and its counts of the query's terms, which are dealt out once and read twice: for
+    document frequencies, N and the mean length, and for the scores. A term counts as often as the tokeniser gives it in
+    the query. Texts without any of the terms are not spelled out. For more than a query or two, build_postings makes a
+    table that a query reads a few buckets of.
     """
     terms = query_weights(docs.sparkSession, query)
-    base = docs.select(F.col(id_col).alias("id"), token_count(text).alias("dl"), text.alias("text"))
-    stats = base.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    counts = F.array(*[F.struct(F.lit(t).alias("term"), term_count(F.col("text"), t).alias("tf")) for t, _ in terms]) if terms else F.array().cast("array<struct<term:string,tf:int>>")
-    hits = base.select("id", "dl", F.explode(counts).alias("p")).select("id", "dl", "p.*").filter("tf > 0")
-    return _scored(hits, stats, terms, top)
+    names = [f"tf{k}" for k in range(len(terms))]
+    low = F.lower(text)
+    maybe = reduce(lambda a, b: a | b, [F.contains(low, F.lit(t)) for t, _ in terms], F.lit(False))
+    rows = docs.select(F.col(id_col).alias("id"), token_count(text).alias("dl"), F.when(maybe, spaced(text)).alias("words"), F.when(maybe, spaced(text, "A-Za-z0-9")).alias("runs"))
+    counts = [F.coalesce(term_count(F.col("words"), F.col("runs"), t), F.lit(0)).alias(c) for (t, _), c in zip(terms, names, strict=True)]
+    dealt = rows.select("id", "dl", *counts).repartition("id")  # one exchange, used by both
+    stats = dealt.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(c) > 0).alias(f"df_{c}") for c in names])
+    score = _score(terms, [F.col(c) for c in names], [F.col(f"df_{c}") for c in names], F.col("dl"), F.col("n"), F.col("avgdl"))
+    scored = dealt.join(F.broadcast(stats)).select("id", score.alias("score")).filter("score > 0").groupBy("id").agg(F.sum("score").alias("score")).filter("score > 0")  # one row
+    return scored if top is None else scored.orderBy(F.desc("score"), "id").limit(top)
 
 
 BUCKETS = 64
@@ -82,7 +88,11 @@ def bm25_indexed(spark: SparkSession, path: str, query: str, *, top: int | None
     buckets = stats.first()["buckets"]
     wanted = [r[0] for r in spark.createDataFrame([(w,) for w in words], "term string").select(F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")).distinct().collect()]
     hits = spark.read.parquet(f"{path}/postings").filter(F.col("bucket").isin(wanted) & F.col("term").isin(words)).select("id", "dl", "term", "tf")
-    return _scored(hits, stats.select("n", "avgdl"), terms, top)
+    df = hits.groupBy("term").agg(F.count("*").alias("df"))
+    times = F.create_map(*[x for t, n in terms for x in (F.lit(t), F.lit(n))])[F.col("term")]
+    part = times * _score([("", 1)], [F.col("tf")], [F.col("df")], F.col("dl"), F.col("n"), F.col("avgdl"))
+    scored = hits.join(F.broadcast(df), "term").join(F.broadcast(stats)).groupBy("id").agg(F.sum(part).alias("score")).filter("score > 0")  # a row per query term; one row
+    return scored if top is None else scored.orderBy(F.desc("score"), "id").limit(top)
 
 
 def dense(vectors: DataFrame, id_col: str, vector_col: str, query: Column, k: int) -> DataFrame:

@@ -197,3 +197,22 @@ def test_verbs(files):
     assert len(ask("list", "web", project="bill")) == 1
     assert ask("convention")[0].kind == "terragrunt"
     assert ask("search", "aws_eip")[0].file == "modules/aws/web/main.tf"
+
+
+def test_postings_as_a_table_and_counts_without_arrays(spark, tmp_path):
+    texts = ["Foo_bar foo FOO__BAR _x_ éfoo foo", "", None, "foo foo_foo\tbar-foo", "Kelvin foo a_b a b", "nothing here", "_", "foo"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "k int, text string").cache()
+    same = lambda c: F.array_sort(c)
+    equal = lambda t: lambda x: x == t
+    for r in docs.select("text", same(T.tokenize_code(F.col("text"))).alias("a"), same(T.token_bag(F.col("text"))).alias("b"), *[F.size(F.filter(T.tokenize_code(F.col("text")), equal(t))).alias(f"n_{t}") for t in ("foo", "foo_bar", "b")], *[T.term_count(T.spaced(F.col("text")), T.spaced(F.col("text"), "A-Za-z0-9"), t).alias(f"m_{t}") for t in ("foo", "foo_bar", "b")], T.token_count(F.col("text")).alias("dl")).collect():
+        if r.text is not None:
+            assert r.a == r.b and r.dl == len(r.a)
+            assert all(r[f"n_{t}"] == r[f"m_{t}"] for t in ("foo", "foo_bar", "b")), r.text
+    path = f"file://{tmp_path}/index"
+    retrieval.build_postings(docs, "k", F.col("text"), path, buckets=4)
+    for said in ("foo bar", "the foo_bar", "create", "zzz"):
+        want = [tuple(r) for r in retrieval.bm25(docs, "k", F.col("text"), said).collect()]
+        got = [tuple(r) for r in retrieval.bm25_indexed(spark, path, said).collect()]
+        assert [g[0] for g in got] == [w[0] for w in want] and all(abs(g[1] - w[1]) < 1e-9 for g, w in zip(got, want, strict=True))
+    stats = {r.term: (r.df, r.tf) for r in retrieval.term_stats(docs, F.col("text")).collect()}
+    assert stats["foo_bar"] == (1, 1) and stats["foo"][0] == 4
