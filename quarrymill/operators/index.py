@@ -1,5 +1,9 @@
 """Symbols and dependency edges of code files, and the lookups over them."""
 
+from __future__ import annotations
+
+import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,6 +20,7 @@ NESTED_KINDS = ("dynamic", "ingress", "egress", "lifecycle", "provisioner", "con
 
 # Patterns of references.
 SOURCE = r'source\s*=\s*"([^"]+)"'
+INCLUDE_PATH = r"path\s*=\s*([^\n]+)"
 CONFIG_PATH = r'config_path\s*=\s*"([^"]+)"'
 VAR = r"\bvar\.([A-Za-z_][\w-]*)"
 REMOTE_STATE = r'module\.remote_state\.components\[\s*var\.upstream_modules\.([A-Za-z_][\w-]*)\s*\]\s*\[\s*"([^"]+)"\s*\]'
@@ -43,14 +48,36 @@ def parse_blocks(files: DataFrame) -> DataFrame:
     return files.select("file", "text").mapInPandas(run, _BLOCKS)
 
 
-def clean_text(files: DataFrame) -> DataFrame:
-    """(file, clean): texts with comments blanked."""
+#: What each reference pattern means: its edge type, and which groups name the module and the output.
+REFERENCES = (
+    ("remote_state", REMOTE_STATE, 2),
+    ("var_ref", VAR, None),
+    ("output_ref", MODULE_OUTPUT, 2),
+    ("output_ref", DEPENDENCY_OUTPUT, 2),
+    ("terragrunt", TOOL_CALLS, None),
+)
+_REFERENCE = "file string, edge_type string, module string, name string, output string, line int, raw string, target_file string, pos int"
+
+
+def references(files: DataFrame) -> DataFrame:
+    """Edges that stand in the text itself, wherever lines end: values read from elsewhere, and tool functions."""
+    compiled = [(kind, re.compile(pattern), output) for kind, pattern, output in REFERENCES]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"file": batch["file"], "clean": [hcl.blank_comments(t or "") for t in batch["text"]]})
+            rows = []
+            for file, text in zip(batch["file"], batch["text"], strict=True):
+                clean = hcl.blank_comments(text or "")
+                ends = [m.start() for m in re.finditer("\n", clean)]
+                for kind, pattern, output in compiled:
+                    for m in pattern.finditer(clean):
+                        if kind == "output_ref" and m.group().startswith("module.remote_state."):
+                            continue
+                        raw = m.group() + ")" * (kind == "terragrunt")
+                        rows.append((file, kind, m[1], m[1], m[output] if output else None, bisect_left(ends, m.start()) + 1, raw, None, m.start()))
+            yield pd.DataFrame(rows, columns=[x.split()[0] for x in _REFERENCE.split(", ")])
 
-    return files.select("file", "text").mapInPandas(run, "file string, clean string")
+    return files.select("file", "text").mapInPandas(run, _REFERENCE)
 
 
 @F.pandas_udf(BooleanType())
@@ -72,38 +99,36 @@ def symbols(blocks: DataFrame) -> DataFrame:
     return named.join(parents, ["file", "parent_id"], "left").select("file", "name", kind.alias("kind"), "line_start", "line_end", F.col("header").alias("signature"), "parent")
 
 
-def _line_matches(clean: DataFrame, pattern: str, groups: int) -> DataFrame:
-    """(file, line, m): all matches of a pattern that stays within a line, their groups joined by a newline."""
-    lines = clean.select("file", F.posexplode(F.split("clean", "\n")).alias("line", "code")).filter(F.col("code").rlike(pattern))
-    got = [F.regexp_extract_all("code", F.lit(pattern), F.lit(g + 1)) for g in range(groups)]
-    zipped = got[0] if groups == 1 else F.zip_with(got[0], got[1], lambda a, b: F.concat_ws("\n", a, b))
-    return lines.select("file", (F.col("line") + 1).alias("line"), F.explode(zipped).alias("m"))
-
-
 def edges(files: DataFrame, blocks: DataFrame, *, strict: bool = False) -> DataFrame:
-    """(file, edge_type, module, name, output, line), distinct.
+    """(file, edge_type, module, name, output, line, raw, target_file), one row for each of the first six.
 
     Types: module_source, remote_state, var_ref, output_ref, terragrunt. A module's source is the first `source = "..."`
-    in its block, wherever it stands; with strict, `data_source = ...` and the like don't count.
+    in its block, wherever it stands; with strict, `data_source = ...` and the like don't count. A reference names what it
+    refers to as module and as name; raw is the code it was read from (of repeated rows, the first), target_file a resolved
+    path. An include and a dependency without a path name themselves as module; inputs.hcl files get a row as such.
     """
-    clean = clean_text(files)
     null = F.lit(None).cast("string")
     pattern = r'(?m)^\s*source\s*=\s*"([^"]+)"' if strict else SOURCE
-    source = blocks.filter(F.col("type").isin("module", "terraform") & F.col("body").rlike(pattern))
-    source = source.select("file", F.lit("module_source").alias("edge_type"), resolve_relative(F.col("file"), F.regexp_extract("body", pattern, 1)).alias("module"), symbol_name().alias("name"), null.alias("output"), F.col("line_start").alias("line"))
-    head, tail = F.split("m", "\n")[0], F.split("m", "\n")[1]
-    remote = _line_matches(clean, REMOTE_STATE, 2).select("file", F.lit("remote_state").alias("edge_type"), head.alias("module"), null.alias("name"), tail.alias("output"), "line")
-    var = _line_matches(clean, VAR, 1).select("file", F.lit("var_ref").alias("edge_type"), null.alias("module"), F.col("m").alias("name"), null.alias("output"), "line")
-    out = _line_matches(clean, MODULE_OUTPUT, 2).filter(~F.col("m").startswith("remote_state\n")).unionByName(_line_matches(clean, DEPENDENCY_OUTPUT, 2))
-    out = out.select("file", F.lit("output_ref").alias("edge_type"), head.alias("module"), null.alias("name"), tail.alias("output"), "line")
-    calls = _line_matches(clean, TOOL_CALLS, 1).select("file", F.lit("terragrunt").alias("edge_type"), null.alias("module"), F.col("m").alias("name"), null.alias("output"), "line")
-    tool = blocks.filter(F.col("type").isin("include", "dependency")).select(
-        "file", F.lit("terragrunt").alias("edge_type"), F.when(F.col("type") == "dependency", resolve_relative(F.col("file"), F.regexp_extract("body", CONFIG_PATH, 1))).alias("module"), F.col("type").alias("name"), F.col("labels")[0].alias("output"), F.col("line_start").alias("line")
-    )
-    all_ = source
-    for x in (remote, var, out, calls, tool):
-        all_ = all_.unionByName(x)
-    return all_.dropDuplicates(list(_EDGE))
+    body, label, at = F.col("body"), F.coalesce(F.get("labels", F.lit(0)), F.lit("")), F.col("char_start").alias("pos")
+
+    def rows(df: DataFrame, kind: str, module: Column, name: Column, raw: Column, target: Column, line: Column, pos: Column) -> DataFrame:
+        return df.select("file", F.lit(kind).alias("edge_type"), module.alias("module"), name.alias("name"), null.alias("output"), line.cast("int").alias("line"), raw.alias("raw"), target.alias("target_file"), pos)
+
+    said = F.regexp_extract("body", pattern, 1)
+    key, first = resolve_relative(F.col("file"), said), F.col("line_start")
+    source = rows(blocks.filter(F.col("type").isin("module", "terraform") & body.rlike(pattern)), "module_source", key, symbol_name(), said, key, first, at)
+    found = F.coalesce(F.nullif(F.regexp_extract("body", SOURCE, 0), F.lit("")), F.nullif(F.trim(F.regexp_extract("body", INCLUDE_PATH, 0)), F.lit("")), F.lit("include"))
+    include = rows(blocks.filter("type = 'include'"), "terragrunt", F.lit("include"), label, found, null, first, at)
+    there = F.nullif(resolve_relative(F.col("file"), F.regexp_extract("body", CONFIG_PATH, 1)), F.lit(""))
+    path = F.coalesce(F.nullif(F.regexp_extract("body", CONFIG_PATH, 0), F.lit("")), F.lit("dependency"))
+    dependency = rows(blocks.filter("type = 'dependency'"), "terragrunt", F.coalesce(there, F.lit("dependency")), label, path, there, first, at)
+    inputs = F.lit("inputs.hcl")
+    marker = rows(files.filter(basename(F.col("file")) == inputs), "terragrunt", inputs, inputs, inputs, null, F.lit(1), F.lit(0).alias("pos"))
+    out = references(files)
+    for x in (source, include, dependency, marker):
+        out = out.unionByName(x)
+    best = F.min(F.struct("pos", "raw", "target_file")).alias("best")
+    return out.groupBy(*_EDGE).agg(best).select(*_EDGE, "best.raw", "best.target_file")
 
 
 def find_symbol(table: DataFrame, query: str, kind: str | None = None) -> DataFrame:

@@ -148,9 +148,10 @@ _SYMBOLS_SQL = """WITH f AS (SELECT 'live/n' || s_nationkey || '/s' || s_suppkey
 symbols AS (SELECT file, 's' || k AS name, 'module' AS kind, 2 AS line_start, 5 AS line_end, 'module "s' || k || '"' AS signature, NULL AS parent FROM f
 UNION ALL SELECT file, 'aws_t' || k % 4 || '.r', 'resource', 6, 11, 'resource "aws_t' || k % 4 || '" "r"', NULL FROM f
 UNION ALL SELECT file, 'x', 'dynamic', 8, 10, 'dynamic "x"', 'aws_t' || k % 4 || '.r' FROM f),
-edges AS (SELECT file, 'module_source' AS edge_type, 'live/n' || n % 5 || '/m' || k % 7 AS module, 's' || k AS name, NULL AS output, 2 AS line FROM (SELECT file, k, n FROM f)
-UNION ALL SELECT file, 'var_ref', NULL, 'size_' || k % 3, NULL, 4 FROM f
-UNION ALL SELECT file, 'output_ref', 's' || k, NULL, 'id', 9 FROM f)"""
+edges AS (SELECT file, 'module_source' AS edge_type, 'live/n' || n % 5 || '/m' || k % 7 AS module, 's' || k AS name, NULL AS output, 2 AS line,
+  '../../n' || n % 5 || '/m' || k % 7 AS raw, 'live/n' || n % 5 || '/m' || k % 7 AS target_file FROM f
+UNION ALL SELECT file, 'var_ref', 'size_' || k % 3, 'size_' || k % 3, NULL, 4, 'var.size_' || k % 3, NULL FROM f
+UNION ALL SELECT file, 'output_ref', 's' || k, 's' || k, 'id', 9, 'module.s' || k || '.id', NULL FROM f)"""
 
 
 @query(_SYMBOLS_SQL + "SELECT * FROM symbols")

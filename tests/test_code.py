@@ -61,12 +61,12 @@ def test_all_five_edge_types(edges):
     web = "live/nonprod/pay/web/terragrunt.hcl"
     e = {(r.edge_type, r.module, r.name, r.output) for r in edges.collect() if r.file == web}
     assert ("module_source", "modules/aws/web", "terraform", None) in e
-    assert ("remote_state", "sg", None, "sg_id") in e
-    assert ("output_ref", "net", None, "vpc_id") in e
-    assert ("terragrunt", None, "find_in_parent_folders", None) in e
-    assert ("terragrunt", None, "include", "root") in e
-    assert ("terragrunt", "live/nonprod/pay/net", "dependency", "net") in e
-    assert ("var_ref", None, "ami", None) in {(r.edge_type, r.module, r.name, r.output) for r in edges.collect()}
+    assert ("remote_state", "sg", "sg", "sg_id") in e
+    assert ("output_ref", "net", "net", "vpc_id") in e
+    assert ("terragrunt", "find_in_parent_folders", "find_in_parent_folders", None) in e
+    assert ("terragrunt", "include", "root", None) in e
+    assert ("terragrunt", "live/nonprod/pay/net", "net", None) in e
+    assert ("var_ref", "ami", "ami", None) in {(r.edge_type, r.module, r.name, r.output) for r in edges.collect()}
 
 
 def test_lookups(files, blocks, edges):
@@ -216,3 +216,15 @@ def test_postings_as_a_table_and_counts_without_arrays(spark, tmp_path):
         assert [g[0] for g in got] == [w[0] for w in want] and all(abs(g[1] - w[1]) < 1e-9 for g, w in zip(got, want, strict=True))
     stats = {r.term: (r.df, r.tf) for r in retrieval.term_stats(docs, F.col("text")).collect()}
     assert stats["foo_bar"] == (1, 1) and stats["foo"][0] == 4
+
+
+def test_references_run_over_line_ends_and_inputs_are_marked(spark):
+    texts = {"a/b/inputs.hcl": "x = 1\n", "a/b/terragrunt.hcl": 'include {\n  path = find_in_parent_folders\n  (\n"r")\n}\ndependency "d" {\n}\ny = module.remote_state.components[\n  var.upstream_modules.sg\n]["id"] # var.no\nz = var.k + var.k\n'}
+    files = spark.createDataFrame(list(texts.items()), "file string, text string")
+    got = {tuple(r) for r in index.edges(files, index.parse_blocks(files)).collect()}
+    t = "a/b/terragrunt.hcl"
+    assert ("a/b/inputs.hcl", "terragrunt", "inputs.hcl", "inputs.hcl", None, 1, "inputs.hcl", None) in got
+    assert (t, "terragrunt", "include", "", None, 1, "path = find_in_parent_folders", None) in got
+    assert (t, "terragrunt", "dependency", "d", None, 6, "dependency", None) in got
+    assert (t, "terragrunt", "find_in_parent_folders", "find_in_parent_folders", None, 2, "find_in_parent_folders\n  ()", None) in got
+    assert {(r[1], r[2], r[4], r[5]) for r in got if r[1] in ("remote_state", "output_ref", "var_ref")} == {("remote_state", "sg", "id", 8), ("var_ref", "upstream_modules", None, 9), ("var_ref", "k", None, 11)}
