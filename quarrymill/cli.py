@@ -21,7 +21,9 @@ def answer(files: DataFrame, verb: str, words: list[str], *, kind: str | None =
     if verb == "convention":
         return layout.convention(files.withColumn("repo", F.lit(".")))
     if verb == "list":
-        return inventory.find(trees.components(files), words[0], project=project, where=where)[0]
+        found, unresolved = inventory.find(trees.components(files), words[0], project=project, where=where)
+        warnings = unresolved.select(F.concat(F.lit("no component has "), "key").alias("warning"))
+        return found.unionByName(warnings, allowMissingColumns=True)
     blocks = index.parse_blocks(files)
     if verb in ("outline", "find"):
         s = index.symbols(blocks)

@@ -487,13 +487,19 @@ def verify_edits(text: str, edits: list[dict]) -> list[dict]:
 
 
 def coerce(value: object, kind: str) -> object:
-    """A value as its declared type asks: bool, number or string; others, and what can't be read so, stay."""
-    if kind == "bool" and isinstance(value, str) and value.strip().lower() in ("true", "false", "yes", "no", "1", "0"):
-        return value.strip().lower() in ("true", "yes", "1")
-    if kind == "number" and isinstance(value, str) and _NUMBER.fullmatch(value.strip()):
-        return float(value) if re.search(r"[.eE]", value) else int(value)
-    if kind == "string" and isinstance(value, (int, float, bool)):
-        return render(value)
+    """A value as its declared type asks, of which the beginning counts: bool, number or string. A bool is true, 1 or yes
+    and else false; a number without a fraction is whole; what is no number, and values of other types, stay."""
+    said = (kind or "").lower()
+    if said.startswith("bool"):
+        return value if isinstance(value, bool) else str(value).strip().lower() in ("true", "1", "yes")
+    if (said.startswith("number") or said in ("int", "integer", "float")) and not isinstance(value, bool):
+        try:
+            number = float(value)
+        except (TypeError, ValueError):
+            return value
+        return int(number) if number.is_integer() else number
+    if said.startswith("string") and not isinstance(value, str):
+        return str(value)
     return value
 
 

@@ -18,8 +18,9 @@ SECRET_PATTERNS = (
 
 # Words of a request that say nothing about what is sought.
 QUERY_STOPWORDS = (
-    "create make build add want need new similar like please the a an for to of in on with and me my our give set up setup some"
-).split()
+    "create", "make", "build", "add", "want", "need", "new", "similar", "like", "please", "the", "a", "an", "for", "to", "of", "in", "on",
+    "with", "and", "me", "my", "our", "give", "set", "up", "setup", "some",
+)
 
 # Hints of what a request wants done, in the order they are tried.
 OPERATION_HINTS = (
@@ -32,24 +33,66 @@ OPERATION_HINTS = (
 # Inputs that may name a component, by priority.
 NAME_INPUTS = ("cluster_name", "bucket_name", "identifier", "function_name", "db_name", "repository_name", "name")
 
-# Provider types by request keyword, in the order they are tried.
+# Provider types by request keyword, in the order they are tried, and the type of requests that hold none.
 TYPE_KEYWORDS = {
-    "ec2": "aws_instance", "instance": "aws_instance", "security group": "aws_security_group", "sg": "aws_security_group",
-    "s3": "aws_s3_bucket", "bucket": "aws_s3_bucket", "rds": "aws_db_instance", "database": "aws_db_instance", "alb": "aws_lb",
-    "load balancer": "aws_lb", "lambda": "aws_lambda_function", "sqs": "aws_sqs_queue",
-}
-
-# Further keywords of plain layouts, where the longest match wins.
-PLAIN_TYPE_KEYWORDS = TYPE_KEYWORDS | {
-    "vm": "aws_instance", "postgres": "aws_db_instance", "nlb": "aws_lb", "function": "aws_lambda_function", "queue": "aws_sqs_queue",
-    "sns": "aws_sns_topic", "topic": "aws_sns_topic", "iam role": "aws_iam_role", "role": "aws_iam_role", "vpc": "aws_vpc",
-    "network": "aws_vpc", "subnet": "aws_subnet", "ecs": "aws_ecs_cluster", "ecs cluster": "aws_ecs_cluster",
-    "dynamodb": "aws_dynamodb_table", "dynamo": "aws_dynamodb_table", "cloudfront": "aws_cloudfront_distribution",
-    "api gateway": "aws_api_gateway_rest_api", "resource group": "azurerm_resource_group", "aks": "azurerm_kubernetes_cluster",
-    "kubernetes": "azurerm_kubernetes_cluster", "key vault": "azurerm_key_vault", "cosmos": "azurerm_cosmosdb_account",
-    "container registry": "azurerm_container_registry", "gke": "google_container_cluster", "gcs": "google_storage_bucket",
+    "ec2": "aws_instance",
+    "instance": "aws_instance",
+    "security group": "aws_security_group",
+    "sg": "aws_security_group",
+    "s3": "aws_s3_bucket",
+    "bucket": "aws_s3_bucket",
+    "rds": "aws_db_instance",
+    "database": "aws_db_instance",
+    "alb": "aws_lb",
+    "load balancer": "aws_lb",
+    "lambda": "aws_lambda_function",
+    "sqs": "aws_sqs_queue",
+}
+UNKNOWN_TYPE = "aws_RESOURCE"
+
+# The keywords of plain layouts, where the longest match wins, and of equals the first.
+PLAIN_TYPE_KEYWORDS = {
+    "ec2": "aws_instance",
+    "instance": "aws_instance",
+    "vm": "aws_instance",
+    "security group": "aws_security_group",
+    "sg": "aws_security_group",
+    "s3": "aws_s3_bucket",
+    "bucket": "aws_s3_bucket",
+    "rds": "aws_db_instance",
+    "database": "aws_db_instance",
+    "postgres": "aws_db_instance",
+    "alb": "aws_lb",
+    "load balancer": "aws_lb",
+    "nlb": "aws_lb",
+    "lambda": "aws_lambda_function",
+    "function": "aws_lambda_function",
+    "sqs": "aws_sqs_queue",
+    "queue": "aws_sqs_queue",
+    "sns": "aws_sns_topic",
+    "topic": "aws_sns_topic",
+    "iam role": "aws_iam_role",
+    "role": "aws_iam_role",
+    "vpc": "aws_vpc",
+    "network": "aws_vpc",
+    "subnet": "aws_subnet",
+    "ecs": "aws_ecs_cluster",
+    "ecs cluster": "aws_ecs_cluster",
+    "dynamodb": "aws_dynamodb_table",
+    "dynamo": "aws_dynamodb_table",
+    "cloudfront": "aws_cloudfront_distribution",
+    "api gateway": "aws_api_gateway_rest_api",
+    "resource group": "azurerm_resource_group",
+    "aks": "azurerm_kubernetes_cluster",
+    "kubernetes": "azurerm_kubernetes_cluster",
+    "key vault": "azurerm_key_vault",
+    "cosmos": "azurerm_cosmosdb_account",
+    "container registry": "azurerm_container_registry",
+    "gke": "google_container_cluster",
+    "gcs": "google_storage_bucket",
     "cloud run": "google_cloud_run_service",
-}
+}
+UNKNOWN_PLAIN_TYPE = "UNKNOWN_RESOURCE"
 
 
 def tokenize_code(text: Column) -> Column:
@@ -171,11 +214,11 @@ def classify_operation(text: Column) -> Column:
 
 
 def guess_type(text: Column, *, longest: bool = False) -> Column:
-    """The provider type a request's keywords stand for: the first keyword of the table, or the longest; null if none."""
+    """The provider type a request's keywords stand for: the first keyword of the table, or the longest of the plain one."""
     table = PLAIN_TYPE_KEYWORDS if longest else TYPE_KEYWORDS
-    keys = sorted(table, key=lambda k: -len(k)) if longest else list(table)
+    keys = sorted(table, key=len, reverse=True) if longest else list(table)
     low = F.lower(text)
-    return F.coalesce(*[F.when(low.contains(k), F.lit(table[k])) for k in keys])
+    return F.coalesce(*[F.when(F.contains(low, F.lit(k)), F.lit(table[k])) for k in keys], F.lit(UNKNOWN_PLAIN_TYPE if longest else UNKNOWN_TYPE))
 
 
 def pick_name(values: Column) -> Column:

@@ -16,9 +16,10 @@ TOKEN_BOOST, REUSE_BOOST = 3.0, 0.25
 
 # Request words that say nothing about a module's type.
 GENERIC = (
-    "aws azurerm google resource resources module modules main this the a an for in of to with and or on at create deploy provision new my i we want need please "
-    "project like similar same as env environment nonprod prod dev staging just some add make set up"
-).split()
+    "aws", "azurerm", "google", "resource", "resources", "module", "modules", "main", "this", "the", "a", "an", "for", "in", "of", "to", "with",
+    "and", "or", "on", "at", "create", "deploy", "provision", "new", "my", "i", "we", "want", "need", "please", "project", "like", "similar", "same",
+    "as", "env", "environment", "nonprod", "prod", "dev", "staging", "just", "some", "add", "make", "set", "up",
+)
 
 # Words that name the same thing in a directory and in a provider's type.
 ALIASES = {

@@ -100,9 +100,9 @@ def dense(vectors: DataFrame, id_col: str, vector_col: str, query: Column, k: in
     return vectors.select(F.col(id_col).alias("id"), cosine(F.col(vector_col), query).alias("score")).orderBy(F.desc("score"), "id").limit(k)
 
 
-def ranks(scored: DataFrame) -> DataFrame:
-    """(id, rank from 0) of a short ranked list."""
-    return scored.select("id", (F.row_number().over(Window.orderBy(F.desc("score"), "id")) - 1).alias("rank"))
+def ranks(scored: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., id, rank from 0) of short ranked lists, one for each value of by, or one in all."""
+    return scored.select(*by, "id", (F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "id")) - 1).alias("rank"))
 
 
 def fuse(lists: list[DataFrame], k: int = RRF_K) -> DataFrame:
