@@ -7,11 +7,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import catalog, corpus, dataset, index, inventory, layout, retrieval
+from ..operators import catalog, corpus, dataset, index, inventory, layout, requests, retrieval, search
+from ..sources import trees
 from ..streaming import events as streaming
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -203,15 +204,48 @@ def link_edges(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""SELECT target, count(DISTINCT page_id) AS n, min(page_id) AS first_page FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS target FROM pages) GROUP BY target""")
 def link_importers(spark: SparkSession, sf: str) -> DataFrame:
-    return link_edges(spark, sf).groupBy("target").agg(F.count_distinct("page_id").alias("n"), F.min("page_id").alias("first_page"))
+    links = link_edges(spark, sf).select(F.lit("module_source").alias("edge_type"), F.col("target").alias("module"), F.col("page_id").alias("file"))
+    return index.importers(links).select(F.col("module").alias("target"), F.size("files").cast("long").alias("n"), F.get("files", F.lit(0)).alias("first_page"))
 
 
-@query("""WITH e AS (SELECT DISTINCT page_id, target FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS target FROM pages)),
-mine AS (SELECT target FROM e WHERE page_id = 0)
-SELECT DISTINCT e.page_id FROM e JOIN mine USING (target) WHERE e.page_id <> 0""")
-def related_pages(spark: SparkSession, sf: str) -> DataFrame:
-    e = link_edges(spark, sf).distinct()
-    return e.filter("page_id <> 0").join(e.filter("page_id = 0").select("target"), "target", "left_semi").select("page_id").distinct()
+#: Parts in the role of modules that the suppliers' files import.
+_MODULE = """CONCAT('variable "size" {', CHR(10), '  type = number', CHR(10), '}', CHR(10), 'variable "v', p_partkey % 3, '" {', CHR(10), '  description = "A value"', CHR(10), '  default = 1', CHR(10), '}', CHR(10),
+  'resource "aws_t', p_partkey % 4, '" "r" {', CHR(10), '}', CHR(10), 'resource "aws_u" "r" {', CHR(10), '}', CHR(10), 'output "id" {', CHR(10), '  value = 1', CHR(10), '}', CHR(10))"""
+_BOTH_SQL = _SYMBOLS_SQL + """, parts AS (SELECT p_partkey AS p, 'live/n' || p_partkey % 5 || '/m' || p_partkey % 7 AS dir FROM part WHERE p_partkey BETWEEN 1 AND 35)"""
+
+
+def _both(spark: SparkSession, sf: str) -> DataFrame:
+    """Suppliers' files and the modules: as many as the files name."""
+    modules = table(spark, sf, "part").filter("p_partkey between 1 and 35").selectExpr("concat('live/n', p_partkey % 5, '/m', p_partkey % 7, '/main.tf') AS file", f"{_MODULE} AS text")
+    return _tree(spark, sf).unionByName(modules)
+
+
+@query(_BOTH_SQL + """SELECT file, 'importer' AS how FROM f WHERE k % 7 = 3""")
+def related_files(spark: SparkSession, sf: str) -> DataFrame:
+    files = _both(spark, sf)
+    return index.related(index.edges(files, index.parse_blocks(files)), "live/n1/m3/main.tf")
+
+
+@query(_BOTH_SQL + """SELECT DISTINCT regexp_replace(file, '/main.tf$', '') AS dir FROM f UNION SELECT dir FROM parts""")
+def module_directories(spark: SparkSession, sf: str) -> DataFrame:
+    return index.module_dirs(index.symbols(index.parse_blocks(_both(spark, sf))))
+
+
+@query(_BOTH_SQL + """SELECT dir || '/main.tf' AS file, min(file) AS via FROM f JOIN parts ON dir = 'live/n' || n % 5 || '/m' || k % 7 WHERE k % 2 = 0 GROUP BY dir""")
+def expand_hop(spark: SparkSession, sf: str) -> DataFrame:
+    """One hop from every second supplier's file along its module source."""
+    files = _both(spark, sf)
+    hits = files.filter(F.regexp_extract("file", r"/s(\d+)/", 1).try_cast("long") % 2 == 0).select("file")
+    edges = index.edges(files, index.parse_blocks(files)).filter("edge_type = 'module_source'").select("file", F.col("module").alias("target"))
+    return retrieval.expand(hits, edges, files.select("file"))
+
+
+@query(_BOTH_SQL + """SELECT file, 's' || k AS symbol, 'module' AS kind, 2 AS line_start, 5 AS line_end FROM f UNION ALL SELECT file, 'aws_t' || k % 4 || '.r', 'resource', 6, 11 FROM f
+UNION ALL SELECT dir || '/main.tf', 'aws_t' || p % 4 || '.r', 'resource', 8, 9 FROM parts UNION ALL SELECT dir || '/main.tf', 'aws_u.r', 'resource', 10, 11 FROM parts""")
+def code_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    files = _both(spark, sf)
+    blocks = index.parse_blocks(files)
+    return search.build_chunks(files, blocks, index.edges(files, blocks)).select("file", "symbol", "kind", "line_start", "line_end")
 
 
 # ---------------------------------------------------------------------------------------------------------------
@@ -312,17 +346,31 @@ def _catalog(spark: SparkSession, sf: str) -> DataFrame:
     return p.join(reuse, "p_partkey", "left").withColumn("reuse_count", F.coalesce("reuse_count", F.lit(0)))
 
 
-@query("""SELECT p_brand, string_agg(DISTINCT p_type, ',' ORDER BY p_type) AS resource_types, count(*) AS n_inputs, count(*) FILTER (WHERE p_size < 10) AS n_required,
-  arg_min(p_name, p_partkey) AS first_name FROM part GROUP BY p_brand""")
+_MODULES_SQL = _BOTH_SQL + """, modules AS (SELECT dir, regexp_extract(dir, '[^/]*$') AS name, 'aws_t' || p % 4 || ',aws_u' AS resource_types, 'size,v' || p % 3 AS inputs, 'size' AS required, 'id' AS outputs FROM parts
+UNION ALL SELECT regexp_replace(file, '/main.tf$', ''), 's' || k, 'aws_t' || k % 4, '', '', '' FROM f),
+used AS (SELECT DISTINCT m.dir, f.file FROM modules m JOIN f ON m.name = 'm' || k % 7)"""
+
+
+def _catalog_of_both(spark: SparkSession, sf: str) -> DataFrame:
+    files = _both(spark, sf)
+    blocks = index.parse_blocks(files)
+    return catalog.build(blocks, index.edges(files, blocks), "live/")
+
+
+@query(_MODULES_SQL + "SELECT * FROM modules")
 def catalog_agg(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "part").groupBy("p_brand").agg(
-        F.array_join(F.array_sort(F.collect_set("p_type")), ",").alias("resource_types"), F.count("*").alias("n_inputs"), F.count_if(F.col("p_size") < 10).alias("n_required"), F.min_by("p_name", "p_partkey").alias("first_name")
-    )
+    names = F.transform("inputs", lambda i: i["name"])
+    return _catalog_of_both(spark, sf).select("dir", "name", F.array_join("resource_types", ",").alias("resource_types"), F.array_join(names, ",").alias("inputs"), F.array_join(catalog.required_inputs(F.col("inputs")), ",").alias("required"), F.array_join("outputs", ",").alias("outputs"))
 
 
-@query("""SELECT p.p_partkey, count(DISTINCT l_suppkey) AS reuse_count FROM part p LEFT JOIN lineitem ON l_partkey = p.p_partkey GROUP BY ALL""")
+@query(_MODULES_SQL + "SELECT m.dir, count(file) AS reuse_count, coalesce(string_agg(file, ',' ORDER BY file), '') AS used_by FROM modules m LEFT JOIN used USING (dir) GROUP BY m.dir")
 def reuse_count(spark: SparkSession, sf: str) -> DataFrame:
-    return _catalog(spark, sf).select("p_partkey", "reuse_count")
+    return _catalog_of_both(spark, sf).select("dir", F.col("reuse_count").cast("long"), F.array_join("used_by", ",").alias("used_by"))
+
+
+@query(_MODULES_SQL + """SELECT m.dir, count(file) AS reuse_count FROM modules m LEFT JOIN used USING (dir) WHERE list_contains(string_split(resource_types, ','), 'aws_t2') GROUP BY m.dir ORDER BY 2 DESC, 1 LIMIT 1""")
+def module_choice(spark: SparkSession, sf: str) -> DataFrame:
+    return requests.find_module(_catalog_of_both(spark, sf), "AWS_T2").select("dir", F.col("reuse_count").cast("long"))
 
 
 @query("""WITH c AS (SELECT p.p_partkey AS id, p_name, p_type, count(DISTINCT l_suppkey) AS reuse FROM part p LEFT JOIN lineitem ON l_partkey = p.p_partkey GROUP BY ALL),
@@ -409,9 +457,32 @@ def where_predicates(spark: SparkSession, sf: str) -> DataFrame:
     return _inventory(spark, sf).filter(inventory.predicate(F.col("values"), ["k=7", "k!=8", "k"])).select("event_id", "event_type")
 
 
-@query("SELECT 'nope' AS key")
+@query("SELECT DISTINCT w.key FROM (VALUES ('k'), ('nope'), ('also')) w(key) WHERE NOT EXISTS (SELECT 1 FROM events WHERE json_extract_string(props, '$.' || w.key) IS NOT NULL)")
 def unresolved_keys(spark: SparkSession, sf: str) -> DataFrame:
-    return inventory.unresolved(_inventory(spark, sf), F.col("values"), ["k=7", "nope"])
+    return inventory.unresolved(_inventory(spark, sf), F.col("values"), ["k=7", "nope", "also!=1", "k"])
+
+
+#: Customers in the role of components.
+_INPUTS = """CONCAT('inputs = {', CHR(10), '  cluster_name = "c', c_custkey, '"', CHR(10), '  size = ', c_custkey % 5, CHR(10), '  on = TRUE', CHR(10), '  tags = {', CHR(10), '    seg = "', c_mktsegment, '"', CHR(10), '  }', CHR(10),
+  '  nets = [{ id = ', c_nationkey, ' }, "x"]', CHR(10), '}', CHR(10))"""
+
+
+def _components(spark: SparkSession, sf: str) -> DataFrame:
+    file = "concat('p', c_custkey, CASE WHEN c_custkey % 10 = 0 THEN '/x/aws/e' ELSE '/aws/e' END, c_nationkey, '/t', c_custkey % 3, '/inputs.hcl')"
+    return trees.components(table(spark, sf, "customer").selectExpr(f"{file} AS file", f"{_INPUTS} AS text"))
+
+
+@query("""SELECT 'p' || c_custkey AS project, 'e' || c_nationkey AS env, 'c' || c_custkey AS name, CAST(c_custkey % 5 AS VARCHAR) AS size, c_mktsegment AS "tags.seg", 'true' AS on_, CAST(c_nationkey AS VARCHAR) AS net FROM customer
+WHERE c_custkey % 10 <> 0 AND c_custkey % 3 = 1 AND c_custkey % 5 <> 2 AND c_mktsegment = 'BUILDING'""")
+def inventory_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Values are read from the text by path: plain, nested and indexed ones."""
+    found = inventory.find(_components(spark, sf), "t1", where=["size!=2", "tags.seg=BUILDING"])[0]
+    return found.select("project", "env", "name", "size", F.col("`tags.seg`"), T.norm_value(F.col("values")["on"]).alias("on_"), F.col("values")["nets[0].id"].alias("net"))
+
+
+@query("SELECT 'p' || c_custkey AS project, 'aws' AS provider, 'e' || c_nationkey AS env FROM customer WHERE c_custkey % 10 <> 0 AND c_custkey % 3 = 2")
+def envs_with_component(spark: SparkSession, sf: str) -> DataFrame:
+    return requests.envs_with(_components(spark, sf), "t2")
 
 
 @query("SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 'delete' WHEN '2-HIGH' THEN 'add' WHEN '3-MEDIUM' THEN 'update' ELSE 'create' END AS operation FROM orders")
@@ -421,11 +492,14 @@ def operation_classify(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").select("o_orderkey", T.classify_operation(said).alias("operation"))
 
 
-@query("SELECT c_custkey, CASE c_mktsegment WHEN 'MACHINERY' THEN 'aws_instance' WHEN 'FURNITURE' THEN 'aws_security_group' WHEN 'HOUSEHOLD' THEN 'aws_db_instance' END AS resource_type FROM customer")
+@query("""WITH r AS (SELECT c_custkey, c_custkey % 9 AS k FROM customer)
+SELECT c_custkey, ['aws_instance', 'aws_security_group', 'aws_security_group', 'aws_instance', 'aws_lb', 'aws_lambda_function', 'aws_s3_bucket', 'aws_RESOURCE', 'aws_db_instance'][k + 1] AS first,
+  ['aws_instance', 'aws_security_group', 'aws_instance', 'aws_instance', 'aws_lb', 'aws_lambda_function', 'aws_s3_bucket', 'azurerm_key_vault', 'aws_db_instance'][k + 1] AS longest FROM r""")
 def type_guess(spark: SparkSession, sf: str) -> DataFrame:
-    s = F.col("c_mktsegment")
-    said = F.when(s == "MACHINERY", "An EC2 box").when(s == "FURNITURE", "a security group").when(s == "HOUSEHOLD", "one RDS").otherwise("a thing")
-    return table(spark, sf, "customer").select("c_custkey", T.guess_type(said).alias("resource_type"))
+    """Requests with one keyword and with several, of equal and of different lengths."""
+    said = ["An EC2 box", "a security group for the bucket", "a VM with SG", "ec2 behind an alb", "load balancer on alb", "lambda queue function", "S3", "a key vault", "one RDS postgres"]
+    text = F.get(F.array(*map(F.lit, said)), (F.col("c_custkey") % 9).cast("int"))
+    return table(spark, sf, "customer").select("c_custkey", T.guess_type(text).alias("first"), T.guess_type(text, longest=True).alias("longest"))
 
 
 # ---------------------------------------------------------------------------------------------------------------
@@ -473,21 +547,19 @@ def incremental_refresh(spark: SparkSession, sf: str) -> DataFrame:
     return index.refresh(old, new, d.filter("doc_id % 2 = 0").select("doc_id"), key="doc_id")
 
 
-@query("SELECT c_custkey FROM customer ANTI JOIN orders ON o_custkey = c_custkey")
-def customers_without_orders(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "customer").join(table(spark, sf, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
-
-
-@query("SELECT c_custkey, c_name FROM customer SEMI JOIN orders ON o_custkey = c_custkey")
-def customers_with_orders(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "customer").join(table(spark, sf, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey", "c_name")
+@query("""SELECT s_suppkey, ['ec2,instance', 'security_group,security,group', 'vpc,network', 'zebra', 'db,rds'][s_suppkey % 5 + 1] AS words FROM supplier""")
+def alias_expansion(spark: SparkSession, sf: str) -> DataFrame:
+    word = F.get(F.array(*map(F.lit, ["ec2", "security_group", "vpc", "zebra", "db"])), (F.col("s_suppkey") % 5).cast("int"))
+    names = F.array_sort(F.array_distinct(catalog.with_aliases(word)))
+    order = F.array_distinct(F.concat(F.array(word), F.array_except(catalog.with_aliases(word), F.array(word))))
+    return table(spark, sf, "supplier").filter(F.size(names) > 0).select("s_suppkey", F.array_join(order, ",").alias("words"))
 
 
-@query("""SELECT s_suppkey, n_name, r_name, list_intersect([n_name, r_name], ['ASIA', 'AFRICA']) = ['ASIA'] AS asia FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
-def set_algebra(spark: SparkSession, sf: str) -> DataFrame:
-    s, n, r = (table(spark, sf, t) for t in ("supplier", "nation", "region"))
-    j = s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey"))
-    return j.select("s_suppkey", "n_name", "r_name", (F.array_intersect(F.array("n_name", "r_name"), F.array(F.lit("ASIA"), F.lit("AFRICA"))) == F.array(F.lit("ASIA"))).alias("asia"))
+@query("""SELECT user_id, bool_and(NOT (value < 20) OR event_type = 'view') AS ok, coalesce(string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY CAST(event_id AS VARCHAR)) FILTER (WHERE value < 20 AND event_type <> 'view'), '') AS failed FROM events GROUP BY user_id""")
+def gate_verdict(spark: SparkSession, sf: str) -> DataFrame:
+    """Events in the role of stages: views are skipped, small values fail."""
+    e = table(spark, sf, "events").select("user_id", F.col("event_id").cast("string").alias("stage"), (F.col("value") >= 20).alias("ok"), (F.col("event_type") == "view").alias("skipped"))
+    return requests.verdict(e, ("user_id",)).select("user_id", "ok", F.array_join("failed", ",").alias("failed"))
 
 
 @query("SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
@@ -496,7 +568,7 @@ def event_windows(spark: SparkSession, sf: str) -> DataFrame:
     return w.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-@query("""SELECT user_id, event_type, count(*) AS n, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, event_type) - 1 AS rank FROM events GROUP BY user_id, event_type""")
+@query("""SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, event_type) - 1 AS rank FROM events GROUP BY user_id, event_type""")
 def rank_positions(spark: SparkSession, sf: str) -> DataFrame:
-    g = table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
-    return g.withColumn("rank", (F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("n"), "event_type")) - 1).cast("long"))
+    g = table(spark, sf, "events").groupBy("user_id", F.col("event_type").alias("id")).agg(F.count("*").alias("score"))
+    return retrieval.ranks(g, ("user_id",)).select("user_id", F.col("id").alias("event_type"), F.col("rank").cast("long"))
