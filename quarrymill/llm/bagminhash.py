@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, materialise, slices, spare, tidy
+from .common import Scratch, id_text, slices, spare, tidy
 
 SHINGLE = 5
 BANDS, ROWS = 32, 4
@@ -214,13 +214,13 @@ def _key_filter(needed: DataFrame) -> np.ndarray:
     return out
 
 
-def _open_buckets(crowded: DataFrame, label: DataFrame | None) -> DataFrame:
+def _open_buckets(crowded: DataFrame, label: DataFrame | None, scratch: Scratch) -> DataFrame:
     """(bucket, band, n, bytes, size, node, component) of the buckets that hold more than one component."""
     if label is None:
         return crowded.withColumn("component", F.col("node"))
-    placed = materialise(crowded.join(label, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
+    placed = scratch(crowded.join(label, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("bucket")
-    return materialise(placed.join(mixed, "bucket"), "open")
+    return scratch(placed.join(mixed, "bucket"), "open")
 
 
 def _bucket_links(members: DataFrame, bands: int, rows: int, threshold: float) -> DataFrame:
@@ -275,21 +275,22 @@ def _bucket_links(members: DataFrame, bands: int, rows: int, threshold: float) -
     return cells.groupBy("group", "lo", "hi").applyInPandas(compare, "a long, b long")
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(node, component) of every node in links (a, b), the component named by its smallest node.
 
     Each round joins every node to its smallest neighbour and contracts the links, which at least halves the nodes
     that still have any; rounds are written out, and nothing is collected.
     """
+    scratch = scratch or Scratch()
     label = None
-    edges = materialise(links.select("a", "b").filter("a <> b").distinct(), "edges")
+    edges = scratch(links.select("a", "b").filter("a <> b").distinct(), "edges")
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        up = materialise(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("up")).withColumnRenamed("a", "node"), "up")
+        up = scratch(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("up")).withColumnRenamed("a", "node"), "up")
         label = up.withColumnRenamed("up", "component") if label is None else label.join(up.withColumnRenamed("node", "component"), "component", "left").select("node", F.coalesce("up", "component").alias("component"))
-        label = materialise(label, "label")
+        label = scratch(label, "label")
         x, y = up.select(F.col("node").alias("a"), F.col("up").alias("ua")), up.select(F.col("node").alias("b"), F.col("up").alias("ub"))
-        edges = materialise(edges.join(x, "a").join(y, "b").filter("ua <> ub").select(F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b")).distinct(), "edges")
+        edges = scratch(edges.join(x, "a").join(y, "b").filter("ua <> ub").select(F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b")).distinct(), "edges")
     if label is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return label
@@ -299,6 +300,7 @@ def text_classes(mine: DataFrame, *, shingle: int = SHINGLE, bands: int = BANDS,
     """(key, class_id, kept) of every distinct text of (doc_id, text, key): its class and the key of the class's smallest id."""
     if not 0.5 <= threshold <= 1:
         raise ValueError("threshold must be from 0.5 to 1")
+    scratch = Scratch()
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -317,14 +319,14 @@ def text_classes(mine: DataFrame, *, shingle: int = SHINGLE, bands: int = BANDS,
 
     signed = mine.mapInArrow(sign, "doc_id long, key binary, size long, bands array<long>")
     folded = signed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("bands").alias("bands"))
-    nodes = materialise(folded.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    nodes = scratch(folded.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
     members = nodes.select("node", "size", F.posexplode("bands").alias("band", "bucket"))
     crowd = members.groupBy("bucket").agg(F.count("*").alias("n"), (F.sum("size") * 8).alias("bytes")).filter("n > 1")
-    crowded = materialise(members.join(crowd, "bucket"), "crowded")
+    crowded = scratch(members.join(crowd, "bucket"), "crowded")
 
     # the multisets and short signatures of nodes that share a bucket, one text for each
-    needed = materialise(crowded.select("node").distinct().join(nodes.select("node", "key", "rep"), "node"), "needed")
+    needed = scratch(crowded.select("node").distinct().join(nodes.select("node", "key", "rep"), "node"), "needed")
     wanted = _key_filter(needed)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -341,29 +343,29 @@ def text_classes(mine: DataFrame, *, shingle: int = SHINGLE, bands: int = BANDS,
     spotted = mine.withColumn("bit", F.pmod(F.xxhash64("key"), F.lit(len(wanted) * 8)).cast("int")).mapInArrow(gather, "doc_id long, key binary, grams binary, short binary")
     n = needed.select("node", F.col("key").alias("k"), "rep")
     one = spotted.join(n, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "grams", "short")
-    sets = materialise(one.dropDuplicates(["node"]), "sets")
+    sets = scratch(one.dropDuplicates(["node"]), "sets")
     grams = sets.select("node", "grams")
 
     links = tested = label = None
     for turn in range(STAR_ROUNDS):
-        open_ = _open_buckets(crowded, label)
+        open_ = _open_buckets(crowded, label, scratch)
         centre = open_.groupBy("bucket").agg(F.min_by("node", F.xxhash64("node", "bucket", F.lit(turn))).alias("centre"), F.min_by("component", F.xxhash64("node", "bucket", F.lit(turn))).alias("theirs"))
         pairs = open_.join(centre, "bucket").filter("component <> theirs").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-        pairs = materialise(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        pairs = scratch(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
         found = _verified(pairs, grams, threshold)
-        links = materialise(found if links is None else links.unionByName(found), "links")
-        label = components(links)
+        links = scratch(found if links is None else links.unionByName(found), "links")
+        label = components(links, scratch)
 
     # what is left: members of different components in one bucket, compared inside the tasks, block by block
-    open_ = _open_buckets(crowded, label).join(sets, "node")
-    more = materialise(_bucket_links(open_, bands, rows, threshold).distinct(), "more")
+    open_ = _open_buckets(crowded, label, scratch).join(sets, "node")
+    more = scratch(_bucket_links(open_, bands, rows, threshold).distinct(), "more")
     if not more.isEmpty():
-        label = components(links.unionByName(more))
+        label = components(links.unionByName(more), scratch)
 
     classes = nodes.select("node", "key", "rep").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     best = classes.groupBy("component").agg(F.min(F.struct(F.isnull("rep").alias("none"), "rep", "key")).alias("best"))
-    return classes.join(best, "component").select("key", F.col("best.rep").alias("class_id"), F.col("best.key").alias("kept"))
+    return scratch.keep(classes.join(best, "component").select("key", F.col("best.rep").alias("class_id"), F.col("best.key").alias("kept")), "classes")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options: object) -> DataFrame:

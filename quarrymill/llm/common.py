@@ -28,18 +28,48 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/quarrymill").rstrip("/")
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local one serves a local
+    master, as in tests; on a cluster it has to be set, as executors would write to their own disks."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (named or "file:///tmp/checkpoints/quarrymill").rstrip("/")
+
+
+def _path(spark: SparkSession, name: str) -> tuple:
+    there = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return there, there.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+class Scratch:
+    """Tables written to the shared folder on the way to a result, and deleted as soon as that is written itself."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+    def __call__(self, df: DataFrame, label: str) -> DataFrame:
+        """Write df and read it back: lineage is cut, and a lost executor costs no rerun of what came before."""
+        spark = df.sparkSession
+        name = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+        df.write.parquet(name)
+        there, system = _path(spark, name)
+        system.deleteOnExit(there)  # results may read it as long as the driver lives
+        self.paths.append(name)
+        return spark.read.schema(df.schema).parquet(name)
+
+    def keep(self, df: DataFrame, label: str) -> DataFrame:
+        """Write df, delete what was written before."""
+        before, self.paths = self.paths, []
+        out = self(df, label)
+        for name in before:
+            there, system = _path(df.sparkSession, name)
+            system.delete(there, True)
+        return out
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage is cut, and a lost executor costs no rerun of what came before."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    there = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(there)  # results may read it as long as the driver lives
-    return spark.read.schema(df.schema).parquet(path)
+    """Write df to the shared folder and read it back; it stays there as long as the driver lives."""
+    return Scratch()(df, label)
 
 
 def tidy() -> None:

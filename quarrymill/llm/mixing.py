@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, spare
+from .common import Scratch, materialise, spare
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -115,7 +115,8 @@ def copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", s
     cut_last, cut: part is how many of its words are taken besides its copies, so that the source meets its target.
     """
     sized = docs.select(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(docs[text_col]).alias("tag"), docs[source_col].cast("string").alias("source"), word_count(docs[text_col]).alias("size"))
-    sized = materialise(_numbered(sized), "sizes")
+    scratch = Scratch()
+    sized = scratch(_numbered(sized), "sizes")
     targets = source_targets(sized, weights, most)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     blocks = F.greatest(F.ceil(F.col("n_docs") / BLOCK_ROWS), F.lit(1))
@@ -144,14 +145,14 @@ def copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", s
     out = rows.filter("due <= 0").withColumn("left", F.lit(False))  # whole already: without words, or due whole copies
     rows = rows.filter("due > 0")
     for level in range(levels):
-        settled = materialise(rows.groupBy("source", "block").applyInPandas(pair, _ROW), f"level{level}")
+        settled = scratch(rows.groupBy("source", "block").applyInPandas(pair, _ROW), f"level{level}")
         out = out.unionByName(settled.filter("not left"))
         rows = settled.filter("left")
     draw = F.pmod(F.xxhash64("doc_id", "tag", "source", F.lit(seed + 1)), F.lit(1 << 30)) / float(1 << 30)
     last = rows.withColumn("part", F.round(F.col("due") * F.col("size")).cast("long"))
     last = last.withColumn("due", F.when((draw < F.col("due")) & ~F.lit(cut_last), 1.0).otherwise(0.0)).withColumn("part", F.when(F.lit(cut_last), F.col("part")).otherwise(F.lit(0)))
     out = out.withColumn("part", F.lit(0).cast("long")).unionByName(last)
-    return out.select("doc_id", "tag", "source", "size", "source_size", "target", (F.col("sure") + F.round("due").cast("long")).alias("copies"), "part")
+    return scratch.keep(out.select("doc_id", "tag", "source", "size", "source_size", "target", (F.col("sure") + F.round("due").cast("long")).alias("copies"), "part"), "copies")
 
 
 def mix(docs: DataFrame, **options: object) -> DataFrame:
