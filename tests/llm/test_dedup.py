@@ -221,3 +221,13 @@ def test_long_texts_in_pieces_and_the_largest_id(spark, monkeypatch):
     found = S.surroundings(0, group, said, 3)
     marks = pa.concat_tables([S.sorted_marks(found.filter(pc.equal(found["p"], p)), 50) for p in range(3)])
     assert sorted((tuple(r.values()) for r in S.cut(group, marks).to_pylist()), key=str) == want
+
+
+def test_columns_that_look_like_the_operators_own(spark):
+    rows = near_rows()
+    names = ["doc_id", "text", "__own", "__key", "_id", "KEY", "___n"]
+    df = spark.createDataFrame([(*r, "a", "b", "c", "d", "e") for r in rows], "doc_id long, text string, __own string, __key string, _id string, KEY string, ___n string")
+    got = B.keep_one(df)
+    assert got.columns == names
+    assert all(tuple(r)[2:] == ("a", "b", "c", "d", "e") for r in got.collect())
+    assert got.count() == B.keep_one(df.select("doc_id", "text")).count()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 import zlib
 from pathlib import Path
 
@@ -236,3 +237,54 @@ def test_the_share_of_rows_visited_falls(n, centres, most):
     hit = np.mean([np.isin(part[a], b).mean() for a, b in zip(near, visited, strict=True)])
     share = np.bincount(part, minlength=parts)[visited].sum(1).mean() / n
     assert hit >= 0.9 and share <= most
+
+
+def test_quality_against_plain_sums(spark):
+    """Strengths, rates and posteriors from the operator's own document scores, taken with plain loops."""
+    rng = random.Random(4)
+    rows = []
+    for k in range(700):
+        host = rng.choice(["big", "big", "mid", None, f"h{rng.randrange(60)}"])
+        path = rng.choice(["/a", "/b", None])
+        good = rng.random() < {"big": 0.9, "mid": 0.3}.get(host, 0.6)
+        rows.append((k, " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) if good else "x%%" for _ in range(rng.randrange(5, 60))), host, path, int(good)))
+    df = spark.createDataFrame([r[:4] for r in rows], "doc_id long, text string, source string, lang string")
+    labels = spark.createDataFrame([(r[0], r[4]) for r in rows], "doc_id long, quality int")
+    got = {r.doc_id: r for r in quality.score_quality(df, labels).collect()}
+    p = {r[0]: got[r[0]].doc_score for r in rows}
+    hosts, paths = {}, {}
+    for i, _, h, q, _ in rows:
+        hosts.setdefault(h, []).append(p[i])
+        paths.setdefault((h, q), []).append(p[i])
+    mean = sum(p.values()) / len(p)
+
+    def strength(groups):
+        """groups: (sum, number, centre)."""
+        g = [x for x in groups if x[1] > 1]
+        n, k = sum(x[1] for x in g), len(g)
+        scale = sum(x[1] * x[2] * (1 - x[2]) for x in g)
+        between = (sum(m * (s / m - c) ** 2 for s, m, c in g) - sum(c * (1 - c) for _, _, c in g)) / n
+        return min(max(scale / n / max(between, 1e-9) - 1, 1.0), 1e4) if k >= 2 and n > k and scale else 100.0
+
+    k_host = strength([(sum(v), len(v), mean) for v in hosts.values()])
+    rate = {h: (sum(v) + k_host * mean) / (len(v) + k_host) for h, v in hosts.items()}
+    k_path = strength([(sum(v), len(v), rate[h]) for (h, _), v in paths.items()])
+    for i, _, h, q, _ in rows:
+        v = paths[h, q]
+        rest = min(max((sum(v) - p[i] + k_path * rate[h]) / (len(v) - 1 + k_path), 1e-6), 1 - 1e-6)
+        odds = p[i] / (1 - p[i]) * (rest / (1 - rest)) / (mean / (1 - mean))
+        assert got[i].host_rate == pytest.approx(rate[h], rel=1e-9) and got[i].path_rate == pytest.approx(rest, rel=1e-9)
+        assert got[i].score == pytest.approx(odds / (1 + odds), rel=1e-6) and got[i].keep == (got[i].score >= 0.5)
+
+
+@needs_data
+def test_stretched_words_score_like_plain_ones(spark):
+    """Held-out toxic documents with the vowels of every word repeated: however often, the scores hold."""
+    docs, labels = (table(spark, "/root/testdata/sf0.1", t) for t in ("documents", "labels"))
+    model = toxicity.fit(docs.select("doc_id", "text"), labels)
+    bad = {r.doc_id for r in labels.filter("toxic = 1").collect() if held(r.doc_id)}
+    texts = [r.text for r in docs.select("doc_id", "text").collect() if r.doc_id in bad]
+    plain = np.array(model.scores(texts))
+    caught = [np.mean(np.array(model.scores([re.sub("([aeiou])", lambda m, n=n: m[1] * n, t) for t in texts])) >= 0.5) for n in (3, 12, 40)]
+    assert len(texts) >= 10 and (plain >= 0.5).mean() > 0.85
+    assert min(caught) >= 0.95 * (plain >= 0.5).mean() and max(caught) - min(caught) <= 0.1

@@ -149,3 +149,30 @@ def test_few_open_windows_are_emitted_fullest_first():
     assert [w.place(n) for n in (60, 70, 35, 50, 30)] == [(0, 0), (1, 0), (0, 60), (2, 0), (1, 70)]
     # window 0 (95 of 100) was the fullest when 50 fitted nowhere
     assert w.free == [(50, 2)]
+
+
+def test_repeated_rows_keep_columns_that_look_like_the_operators_own(spark, rows):
+    df = spark.createDataFrame([(*r, 1, "x", "y", "z") for r in rows], "doc_id long, text string, source string, __n int, __tag string, _k string, Copies string")
+    out = mixing.repeat_rows(df)
+    assert out.columns == df.columns
+    assert {tuple(r)[3:] for r in out.collect()} == {(1, "x", "y", "z")}
+    assert out.count() == mixing.repeat_rows(df.select("doc_id", "text", "source")).count()
+
+
+def test_many_rows_of_one_id_or_none_go_to_many_blocks(spark, monkeypatch):
+    """Null ids, one id with one text, and rows without words: blocks stay small, counts stay right, reruns agree."""
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", 50)
+    monkeypatch.setattr(mixing, "_ALIKE", 16)
+    rows = [(None, f"w{k} x", "a") for k in range(400)] + [(7, "same words here", "a")] * 300 + [(None, None, "a")] * 200 + [(k, "y z", "b") for k in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    seen = []
+    settle = mixing.settle
+    monkeypatch.setattr(mixing, "settle", lambda size, due, rng: seen.append(len(size)) or settle(size, due, rng))
+    got = mixing.mix(df).collect()
+    assert len(got) == len(rows)
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, mixing.mix(df.repartition(5)).collect()), key=str)
+    for s, n in (("a", 1700), ("b", 60)):
+        mine = [r for r in got if r.source_size == n]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= 1, s
+    blocks = mixing._numbered(df.selectExpr("doc_id", "xxhash64(text) AS tag", "source", "1L AS size")).selectExpr("pmod(xxhash64(doc_id, tag, nth, 1), 18) AS b").groupBy("b").count().collect()
+    assert max(r["count"] for r in blocks) < 100
