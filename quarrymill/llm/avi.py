@@ -293,6 +293,8 @@ def parse_jpeg(frame: bytes) -> tuple[Layout, bytes]:
                 raise ValueError("only 8-bit frames")
             size = struct.unpack_from(">HH", body, 1)
             parts = [(body[6 + 3 * k], body[7 + 3 * k] >> 4, body[7 + 3 * k] & 15, body[8 + 3 * k]) for k in range(body[5])]
+            if not parts or not all(1 <= x <= 4 for p in parts for x in p[1:3]):
+                raise ValueError("a frame without components or with sampling factors beyond 1 to 4")
         elif 0xC2 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
             raise ValueError("only baseline frames")
         elif marker == 0xDD:
@@ -304,7 +306,12 @@ def parse_jpeg(frame: bytes) -> tuple[Layout, bytes]:
             used = tuple((c, h, v, chosen[c] >> 4, chosen[c] & 15) for c, h, v, _ in parts)
             need = sorted({(0, c[3]) for c in used} | {(1, c[4]) for c in used})
             end = frame.rfind(b"\xff\xd9")
-            return Layout(size[1], size[0], used, tuple((k, (tuple(tables[k][0]), bytes(tables[k][1]))) for k in need), tuple(tuple(quant[q]) for _, _, _, q in parts), restart), frame[at : end if end >= at else len(frame)]
+            layout = Layout(size[1], size[0], used, tuple((k, (tuple(tables[k][0]), bytes(tables[k][1]))) for k in need), tuple(tuple(quant[q]) for _, _, _, q in parts), restart)
+            scan = frame[at : end if end >= at else len(frame)]
+            pattern, across, down = _mcu(layout)
+            if len(pattern) * across * down > 4 * len(scan) + 64:  # a block takes two bits at least
+                raise ValueError("a frame of more blocks than its data can hold")
+            return layout, scan
     raise ValueError("a JPEG frame without a scan")
 
 

@@ -97,3 +97,14 @@ def test_frames_of_the_jvm_encoder_decode(spark):
     rgb = np.array([[back.getRGB(x, y) & 0xFFFFFF for x in range(40)] for y in range(24)])
     y = 0.299 * (rgb >> 16) + 0.587 * (rgb >> 8 & 255) + 0.114 * (rgb & 255)
     assert len(layout.components) == 3 and np.abs(luma - y).mean() < 2.5
+
+
+def test_hostile_headers_give_an_error_row(spark):
+    """A frame header of 65,535 by 65,535 over a few bytes of data, and one without sampling factors."""
+    movie = avi.store_payload([b"a" * 576])[0]
+    at = movie.index(b"\xff\xc0")
+    huge = movie[: at + 5] + b"\xff\xff\xff\xff" + movie[at + 9 :]
+    flat = movie[: at + 11] + b"\x00" + movie[at + 12 :]
+    df = spark.createDataFrame([(1, bytearray(huge)), (2, bytearray(flat)), (3, bytearray(movie))], "media_id long, data binary")
+    got = {r.media_id: r.error for r in avi.clip_rows(df).collect()}
+    assert "more blocks" in got[1] and "sampling" in got[2] and got[3] is None
