@@ -52,6 +52,6 @@ def test_run_and_odd_documents(spark):
         corpus_pipeline.STAGES[4][1](spark, docs, SF).count()
 
 
-def test_ten_queries_are_registered():
-    assert sorted(int(k[2:].split("_")[0]) for k in llm_queries.queries()) == list(range(1, 11))
+def test_thirteen_queries_are_registered():
+    assert sorted(int(k[2:].split("_")[0]) for k in llm_queries.queries()) == list(range(1, 14))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "pii", "mixing", "packing"]
