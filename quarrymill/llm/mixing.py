@@ -123,7 +123,7 @@ def copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", s
     t = targets.withColumnRenamed("source", "of")
     rows = (
         sized.join(t, F.col("source").eqNullSafe(F.col("of")))
-        .withColumn("sure", F.floor(ratio + 1e-12).cast("long"))
+        .withColumn("sure", F.when(F.col("size") > 0, F.floor(ratio + 1e-12)).otherwise(0).cast("long"))
         .withColumn("due", F.when(F.col("size") > 0, F.greatest(ratio - F.col("sure"), F.lit(0.0))).otherwise(0.0))
         .withColumn("block", F.pmod(F.xxhash64("doc_id", "tag", "nth", F.lit(seed)), blocks).cast("long"))
         .withColumn("left", F.lit(True))

@@ -176,3 +176,10 @@ def test_many_rows_of_one_id_or_none_go_to_many_blocks(spark, monkeypatch):
         assert abs(sum(r.taken for r in mine) - mine[0].target) <= 1, s
     blocks = mixing._numbered(df.selectExpr("doc_id", "xxhash64(text) AS tag", "source", "1L AS size")).selectExpr("pmod(xxhash64(doc_id, tag, nth, 1), 18) AS b").groupBy("b").count().collect()
     assert max(r["count"] for r in blocks) < 100
+
+
+def test_texts_without_words_are_never_taken(spark):
+    rows = [(k, "" if k % 8 == 0 else None if k % 8 == 1 else "a few words", "abc"[k % 3]) for k in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert all(r.text for r in mixing.repeat_rows(docs, weights=(1,)).collect())
+    assert {r.copies for r in mixing.copies(docs, weights=(1,)).filter("size = 0").collect()} == {0}
