@@ -3,9 +3,9 @@
 Three steps. (1) A character trigram model is counted over all documents (one pass, 27^3 counts whatever the corpus).
 (2) Disguised words - signs and digits for letters, letters spelled out with spaces or signs between them, stretched
 letters - become lattices of what each character may stand for; Viterbi search under the character model restores them,
-a batch of lattices at a time. Every word with a sign next to a letter or three equal letters in a row takes this way,
-whatever its length and other characters; letters beyond a-z pass as themselves, under the model as their base letter.
-Only words without any letter are left alone: they are numbers or punctuation. (3) A logistic model over words and word beginnings, of the plain and the restored words,
+a batch of lattices at a time. Every word with a sign next to a letter or to another sign, or three equal letters in a row takes this
+way, whatever its length and other characters, numbers included; letters beyond a-z pass as themselves, under the model
+as their base letter. Left alone are words in which no character stands for another: plain ones, and a lone sign. (3) A logistic model over words and word beginnings, of the plain and the restored words,
 scores the text. It is fitted on the driver from a bounded sample of labelled rows (``max_train``, 8,000 documents), of
 which only those beginnings and words are kept that labels tell apart.
 
@@ -39,7 +39,7 @@ SIGNS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "tl"
 
 _SIGN = "".join(map(re.escape, SIGNS))
 _LETTER = r"[^\W\d_]"
-_DISGUISED = re.compile(rf"{_LETTER}[{_SIGN}]|[{_SIGN}]{_LETTER}|({_LETTER})\1\1")
+_DISGUISED = re.compile(rf"{_LETTER}[{_SIGN}]|[{_SIGN}]{_LETTER}|({_LETTER})\1\1|[{_SIGN}]{{2}}")
 _ONE = rf"(?:[^\W_]|[{_SIGN}])"
 _SPELLED = re.compile(rf"(?<![^\W_])(?:{_ONE}(?:[.\-_*]| {{1,2}})){{3,}}{_ONE}(?![^\W_])")
 _STRETCHED = re.compile(r"(.)\1{3,}")

@@ -101,7 +101,7 @@ def test_every_kind_of_disguise_reaches_the_lattice():
     long = "consectetur" * 9 + "m0r0n" + "consectetur" * 9
     found = toxicity.disguised(long, {long})
     assert max(map(len, found)) <= 64 and any("moron" in x for x in toxicity.restore(model, found))
-    for word in ("idiot", "2024", "$50", "..."):
+    for word in ("idiot", "...", "5"):
         assert toxicity.disguised(word, {word}) == []
 
 
@@ -288,3 +288,14 @@ def test_stretched_words_score_like_plain_ones(spark):
     caught = [np.mean(np.array(model.scores([re.sub("([aeiou])", lambda m, n=n: m[1] * n, t) for t in texts])) >= 0.5) for n in (3, 12, 40)]
     assert len(texts) >= 10 and (plain >= 0.5).mean() > 0.85
     assert min(caught) >= 0.95 * (plain >= 0.5).mean() and max(caught) - min(caught) <= 0.1
+
+
+@pytest.mark.parametrize("word", ["455", "4$$", "@55", "5#1+", "2024", "$50"])
+def test_words_of_signs_alone_are_decoded(word):
+    """Numbers, too: nothing but the score tells a number from a disguise."""
+    assert toxicity.disguised(word, {word})
+
+
+def test_a_word_of_signs_becomes_letters():
+    counts = toxicity.trigram_counts(["the ass of an ass passes as an ass"] * 50)
+    assert toxicity.restore(toxicity.smoothed(counts.astype(float)), ["455", "@$$"]) == ["ass", "ass"]
