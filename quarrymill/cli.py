@@ -42,7 +42,7 @@ def answer(files: DataFrame, verb: str, words: list[str], *, kind: str | None =
         return search.search_and_expand(search.build_chunks(files, blocks, edges), files, edges, said)
     modules = catalog.build(blocks, edges)
     if verb == "plan":
-        return catalog.plan(modules, "dir", F.col("name"), F.col("resource_types"), F.col("reuse_count"), said)
+        return catalog.plan(modules, "dir", F.col("dir"), F.col("resource_types"), F.col("reuse_count"), said)
     doc = catalog.document(F.col("name"), F.col("dir"), F.col("resource_types"), F.col("inputs"), F.col("outputs"))
     return catalog.match(modules, "dir", doc, T.plain_tokens(F.col("name")), F.col("reuse_count"), said)
 

@@ -21,7 +21,7 @@ GENERIC = (
     "as", "env", "environment", "nonprod", "prod", "dev", "staging", "just", "some", "add", "make", "set", "up",
 )
 
-# Words that name the same thing in a directory and in a provider's type.
+# What a request's word may be called in a path or a type.
 ALIASES = {
     "ec2": ["instance", "ec2"], "vm": ["instance"], "instance": ["instance", "ec2"], "sg": ["security", "group"], "security_group": ["security", "group"],
     "database": ["db", "rds", "aurora", "postgres", "mysql"], "db": ["db", "rds"], "rds": ["db", "rds", "aurora"], "lb": ["lb", "alb", "elb", "nlb"], "alb": ["lb", "alb"],
@@ -36,7 +36,7 @@ def with_aliases(word: Column) -> Column:
 
 
 def module_relates(resource_type: Column, module: Column, types: Column) -> Column:
-    """Whether a module's name or provider types share a word with a resource type, aliases counted, `aws` not."""
+    """Whether a module's key (the whole path) or provider types share a word with a resource type, aliases counted, `aws` not."""
     ignored = F.array(F.lit("aws"))
     split = lambda c: F.array_except(plain_tokens(F.translate(c, "_-", "  ")), ignored)
     words = F.concat(F.array(F.lower(resource_type)), split(resource_type))
@@ -45,7 +45,8 @@ def module_relates(resource_type: Column, module: Column, types: Column) -> Colu
 
 
 def build(blocks: DataFrame, edges: DataFrame, prefix: str = "") -> DataFrame:
-    """(dir, name, resource_types, inputs, outputs, reuse_count, used_by) of each directory below a prefix that defines something.
+    """(dir, name, resource_types, inputs, outputs, reuse_count, used_by) of each directory below a prefix that has a resource, a
+    variable or a data source; outputs alone make no module.
 
     Reuse counts distinct files that import a module by its key or by the last part of a key, as one join on exploded keys.
     """
@@ -59,7 +60,8 @@ def build(blocks: DataFrame, edges: DataFrame, prefix: str = "") -> DataFrame:
         listed(F.col("type") == "resource", F.col("labels")[0]).alias("resource_types"),
         listed(F.col("type") == "variable", one).alias("inputs"),
         listed(F.col("type") == "output", F.col("labels")[0]).alias("outputs"),
-    )
+        F.bool_or(F.col("type") != "output").alias("defines"),
+    ).filter("defines").drop("defines")
     used = edges.filter("edge_type = 'module_source'").select("file", "module")
     keys = modules.select("dir", F.explode(F.array_distinct(F.array("dir", basename(F.col("dir"))))).alias("key"))
     by = used.select("file", F.explode(F.array_distinct(F.array("module", basename(F.col("module"))))).alias("key"))
@@ -89,14 +91,14 @@ def _words(df: DataFrame, text: str) -> list[str]:
     return df.sparkSession.range(1).select(tokenize_code(F.lit(text)).alias("t")).first()["t"]
 
 
-def planner_rank(modules: DataFrame, id_col: str, name: Column, types: Column, reuse: Column, intent: str, top: int = 3) -> DataFrame:
-    """(id, score): twice the request words among a module's types plus those in its name; a request of five words at most
+def planner_rank(modules: DataFrame, id_col: str, key: Column, types: Column, reuse: Column, intent: str, top: int = 3) -> DataFrame:
+    """(id, score): twice the request words among a module's types plus those in its key, the whole path; a request of five words at most
     must have half of them, aliases counted, covered. Ties by reuse, then id."""
     generic = F.array(*map(F.lit, GENERIC))
     words = F.array_except(plain_tokens(F.lit(intent)), generic)
     want = F.array_except(F.array_distinct(F.flatten(F.transform(words, with_aliases))), generic)
     type_words = F.array_except(plain_tokens(F.translate(F.concat_ws(" ", types), "_-", "  ")), generic)
-    name_words = F.array_except(plain_tokens(F.translate(name, "_-", "  ")), generic)
+    name_words = F.array_except(plain_tokens(key), generic)
     in_types, in_name = F.size(F.array_intersect(want, type_words)), F.size(F.array_intersect(want, name_words))
     hay = F.array_union(type_words, name_words)
     covered = F.size(F.filter(words, lambda w: F.arrays_overlap(with_aliases(w), hay)))
@@ -105,14 +107,17 @@ def planner_rank(modules: DataFrame, id_col: str, name: Column, types: Column, r
     return rows.orderBy(F.desc("score"), F.desc("reuse"), "id").limit(top).select("id", "score")
 
 
-def plan(modules: DataFrame, id_col: str, name: Column, types: Column, reuse: Column, intent: str) -> DataFrame:
+def plan(modules: DataFrame, id_col: str, key: Column, types: Column, reuse: Column, intent: str) -> DataFrame:
     """One row: reuse with its candidates, or write_new."""
-    ranked = planner_rank(modules, id_col, name, types, reuse, intent)
+    ranked = planner_rank(modules, id_col, key, types, reuse, intent)
     c = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("id").alias("id"))))
     return ranked.agg(F.when(F.count("*") > 0, "reuse").otherwise("write_new").alias("decision"), F.transform(c, lambda x: x["id"]).alias("candidates"))
 
 
 def upstream_pattern(modules: DataFrame, edges: DataFrame) -> DataFrame:
-    """(dir, module, output): what the consumers of each module read from others."""
-    users = modules.select("dir", F.explode("used_by").alias("file"))
-    return users.join(edges.filter("edge_type in ('remote_state', 'output_ref')"), "file").select("dir", "module", "output").distinct()
+    """(dir, names): what the consumers of each module read from others, each name where it first stands - by consumer, then
+    by kind and line - without the module's own name."""
+    users = modules.select("dir", F.col("name").alias("own"), F.explode("used_by").alias("file"))
+    reads = edges.filter("edge_type in ('remote_state', 'output_ref') and name <> ''").select("file", F.col("edge_type") == "output_ref", "line", "output", "name").toDF("file", "later", "line", "output", "name")
+    first = users.join(reads, "file").filter("name <> own").groupBy("dir", "name").agg(F.min(F.struct("file", "later", "line", "output")).alias("first"))
+    return first.groupBy("dir").agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "name"))), lambda r: r["name"]).alias("names"))

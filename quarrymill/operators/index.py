@@ -143,20 +143,30 @@ def importers(edge_table: DataFrame) -> DataFrame:
     return edge_table.filter("edge_type = 'module_source'").groupBy("module").agg(F.array_sort(F.collect_set("file")).alias("files"))
 
 
+def _importing(edge_table: DataFrame, names: list[str]) -> DataFrame:
+    """(name, file) of the files that import any of a few names: by the exact key or, only for names that are no key, where
+    the last part of a key is the name as given. One plan: the tier is a column."""
+    rows = edge_table.filter("edge_type = 'module_source'").select("file", "module")
+    asked = F.explode(F.array(*map(F.lit, names))).alias("name")
+    rows = rows.select("file", "module", asked).withColumn("tier", F.when(F.col("module") == F.col("name"), 0).when(basename(F.col("module")) == F.col("name"), 1)).filter("tier is not null")
+    best = rows.groupBy("name").agg(F.min("tier").alias("best"))
+    return rows.join(F.broadcast(best), "name").filter("tier = best").select("name", "file").distinct()  # as many rows as names
+
+
 def find_importers(edge_table: DataFrame, name: str) -> DataFrame:
-    """(file) that import a module: by its exact key or, only if there is none, by the last part of keys. One plan: the tier is a column."""
-    rows = edge_table.filter("edge_type = 'module_source'").withColumn("tier", F.when(F.col("module") == name, 0).when(basename(F.col("module")) == name.rsplit("/", 1)[-1], 1)).filter("tier is not null")
-    best = rows.agg(F.min("tier").alias("best"))
-    return rows.join(F.broadcast(best), F.col("tier") == F.col("best")).select("file").distinct()  # one row
+    """(file) that import a module: by its exact key or, only if there is none, by the last part of keys, which a name with slashes never is."""
+    return _importing(edge_table, [name]).select("file")
 
 
 def related(edge_table: DataFrame, file: str) -> DataFrame:
-    """(file, how): what a file imports, and what imports the directory it is in, one hop."""
-    there = file.rsplit("/", 1)[0] if "/" in file else ""
-    e = edge_table.filter("edge_type = 'module_source'")
-    out = e.filter(F.col("file") == file).select(F.col("module").alias("file"), F.lit("imports").alias("how"))
-    back = e.filter((F.col("module") == there) | (basename(F.col("module")) == there.rsplit("/", 1)[-1])).select("file", F.lit("importer").alias("how"))
-    return out.unionByName(back).filter(F.col("file") != file).distinct()
+    """(how, file, edge_type, module, name, output, line): every edge out of a file, and what imports the directory it is
+    in, one hop; file is the other end, as far as it is one."""
+    there = file.rsplit("/", 1)[0].strip("/") if "/" in file else ""
+    out = edge_table.filter(F.col("file") == file).select(F.lit("imports").alias("how"), "target_file", "edge_type", "module", "name", "output", "line").withColumnRenamed("target_file", "file")
+    null = F.lit(None).cast("string")
+    by = _importing(edge_table, sorted({there, there.rsplit("/", 1)[-1]})).select("file").distinct()
+    back = by.select(F.lit("importer").alias("how"), "file", F.lit("module_source").alias("edge_type"), F.lit(there).alias("module"), null.alias("name"), null.alias("output"), F.lit(None).cast("int").alias("line"))
+    return out.unionByName(back)
 
 
 def normalise_key(files: DataFrame, path: str, root: str = "") -> DataFrame:

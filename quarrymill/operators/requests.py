@@ -74,7 +74,7 @@ def find_module(modules: DataFrame, resource_type: str) -> DataFrame:
 def nearest_module(hits: DataFrame, modules: DataFrame, resource_type: str) -> DataFrame:
     """The module that the first of the ranked hits (file, rank) lies in whose module is related to a type, one row at most."""
     owned = index.longest_prefix(hits.select("file"), modules, "dir").withColumnRenamed("owner", "dir")
-    related = modules.filter(catalog.module_relates(F.lit(resource_type), F.col("name"), F.col("resource_types")))
+    related = modules.filter(catalog.module_relates(F.lit(resource_type), F.col("dir"), F.col("resource_types")))
     return hits.join(owned, "file").join(related, "dir").orderBy("rank").limit(1)
 
 
@@ -82,7 +82,7 @@ def entry_of(modules: DataFrame, component: str, tier_module: str) -> DataFrame:
     """A component's own module, one row at most: by the end of its path, else by its name below infrastructure, else a related one."""
     at = F.concat(F.lit("/"), F.rtrim(F.col("dir"), F.lit("/")))
     tier = F.when(F.endswith(at, F.lit(f"/infrastructure/{tier_module}/{component}")), 0).when((F.col("name") == component) & F.contains("dir", F.lit("infrastructure")), 1)
-    tier = tier.when(catalog.module_relates(F.lit(component), F.col("name"), F.col("resource_types")), 2)
+    tier = tier.when(catalog.module_relates(F.lit(component), F.col("dir"), F.col("resource_types")), 2)
     return modules.withColumn("tier", tier).filter("tier is not null").orderBy("tier", F.desc("reuse_count"), "dir").limit(1)
 
 

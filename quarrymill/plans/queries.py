@@ -175,9 +175,13 @@ def module_importers(spark: SparkSession, sf: str) -> DataFrame:
     return index.importers(_edges(spark, sf)).select("module", F.array_join("files", ",").alias("files"), F.size("files").cast("long").alias("reuse_count"))
 
 
-@query(_SYMBOLS_SQL + "SELECT DISTINCT file FROM edges WHERE edge_type = 'module_source' AND regexp_extract(module, '[^/]*$') = 'm3'")
+@query(_SYMBOLS_SQL + """SELECT DISTINCT q.name, file FROM edges, (VALUES ('m3'), ('elsewhere/m3'), ('live/n1/m3')) q(name) WHERE edge_type = 'module_source'
+  AND (module = q.name OR (regexp_extract(module, '[^/]*$') = q.name AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.edge_type = 'module_source' AND e.module = q.name)))""")
 def importers_by_basename(spark: SparkSession, sf: str) -> DataFrame:
-    return index.find_importers(_edges(spark, sf), "elsewhere/m3")
+    """By the last part of keys, by a path that is no key, by a key."""
+    edges = _edges(spark, sf).filter("edge_type = 'module_source'")
+    asked = [index.find_importers(edges, n).select(F.lit(n).alias("name"), "file") for n in ("m3", "elsewhere/m3", "live/n1/m3")]
+    return asked[0].unionByName(asked[1]).unionByName(asked[2])
 
 
 @query(_SYMBOLS_SQL + "SELECT file, name, kind FROM symbols WHERE contains(lower(name), 'aws_t2') OR contains(lower(signature), 'aws_t2')")
@@ -208,22 +212,28 @@ def link_importers(spark: SparkSession, sf: str) -> DataFrame:
     return index.importers(links).select(F.col("module").alias("target"), F.size("files").cast("long").alias("n"), F.get("files", F.lit(0)).alias("first_page"))
 
 
-#: Parts in the role of modules that the suppliers' files import.
+#: Parts in the role of modules; the first 35 are those that the suppliers' files import.
 _MODULE = """CONCAT('variable "size" {', CHR(10), '  type = number', CHR(10), '}', CHR(10), 'variable "v', p_partkey % 3, '" {', CHR(10), '  description = "A value"', CHR(10), '  default = 1', CHR(10), '}', CHR(10),
   'resource "aws_t', p_partkey % 4, '" "r" {', CHR(10), '}', CHR(10), 'resource "aws_u" "r" {', CHR(10), '}', CHR(10), 'output "id" {', CHR(10), '  value = 1', CHR(10), '}', CHR(10))"""
-_BOTH_SQL = _SYMBOLS_SQL + """, parts AS (SELECT p_partkey AS p, 'live/n' || p_partkey % 5 || '/m' || p_partkey % 7 AS dir FROM part WHERE p_partkey BETWEEN 1 AND 35)"""
+_PART_DIR = "CONCAT('live/n', p_partkey % 5, CASE WHEN p_partkey < 35 THEN CONCAT('/m', p_partkey % 7) ELSE CONCAT('/p', p_partkey) END)"
+_BOTH_SQL = _SYMBOLS_SQL + f""", parts AS (SELECT p_partkey AS p, {_PART_DIR} AS dir FROM part)"""
 
 
 def _both(spark: SparkSession, sf: str) -> DataFrame:
-    """Suppliers' files and the modules: as many as the files name."""
-    modules = table(spark, sf, "part").filter("p_partkey between 1 and 35").selectExpr("concat('live/n', p_partkey % 5, '/m', p_partkey % 7, '/main.tf') AS file", f"{_MODULE} AS text")
+    """Suppliers' files and the modules. Every part is one."""
+    modules = table(spark, sf, "part").selectExpr(f"concat({_PART_DIR}, '/main.tf') AS file", f"{_MODULE} AS text")
     return _tree(spark, sf).unionByName(modules)
 
 
-@query(_BOTH_SQL + """SELECT file, 'importer' AS how FROM f WHERE k % 7 = 3""")
+@query(_BOTH_SQL + """, asked(asked) AS (VALUES ('live/n1/m3/main.tf'), ('live/n15/s15/main.tf'), ('x/m3/main.tf'))
+SELECT asked, 'imports' AS how, target_file AS file, edge_type, module, name, output, line FROM edges JOIN asked ON file = asked
+UNION ALL SELECT DISTINCT asked, 'importer', file, 'module_source', regexp_replace(asked, '/main.tf$', ''), NULL, NULL, NULL::INT FROM f, asked
+  WHERE 'live/n' || n % 5 || '/m' || k % 7 = regexp_replace(asked, '/main.tf$', '') OR 'm' || k % 7 = regexp_extract(asked, '([^/]*)/main.tf$', 1)""")
 def related_files(spark: SparkSession, sf: str) -> DataFrame:
-    files = _both(spark, sf)
-    return index.related(index.edges(files, index.parse_blocks(files)), "live/n1/m3/main.tf")
+    """Of a module, of an importer and of a directory that is nobody's key but ends like one."""
+    edges = _edges(spark, sf)
+    asked = [index.related(edges, f).select(F.lit(f).alias("asked"), "*") for f in ("live/n1/m3/main.tf", "live/n15/s15/main.tf", "x/m3/main.tf")]
+    return asked[0].unionByName(asked[1]).unionByName(asked[2])
 
 
 @query(_BOTH_SQL + """SELECT DISTINCT regexp_replace(file, '/main.tf$', '') AS dir FROM f UNION SELECT dir FROM parts""")

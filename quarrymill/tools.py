@@ -13,9 +13,11 @@ from .cli import answer
 SYMBOLS, NEIGHBOURS = 30, 20
 
 
-def _lines(df: DataFrame, line: object, most: int, none: str) -> str:
-    rows = df.select(line.alias("line")).limit(most + 1).collect()  # most + 1 rows
-    shown = [r["line"] for r in rows[:most]] + ["..."] * (len(rows) > most)
+def _lines(df: DataFrame, line: object, most: int | None, none: str) -> str:
+    """The first `most` rows as lines; without it all, where a file bounds them."""
+    lines = df.select(line.alias("line"))
+    rows = (lines if most is None else lines.limit(most + 1)).collect()
+    shown = [r["line"] for r in rows[:most]] + ["..."] * (most is not None and len(rows) > most)
     return "\n".join(shown) if rows else none
 
 
@@ -31,11 +33,11 @@ def tools(files: DataFrame) -> dict[str, Callable[..., str]]:
     def outline(path: str) -> str:
         """The symbols of a file."""
         got = answer(files, "outline", [path]).orderBy("line_start", F.desc("line_end"))
-        return _lines(got, F.concat(F.when(F.col("parent").isNull(), "").otherwise("  "), F.concat_ws(" ", "kind", "name", F.concat_ws("-", "line_start", "line_end"))), 1000, f"nothing in {path!r}")
+        return _lines(got, F.concat(F.when(F.col("parent").isNull(), "").otherwise("  "), F.concat_ws(" ", "kind", "name", F.concat_ws("-", "line_start", "line_end"))), None, f"nothing in {path!r}")
 
     def related(path: str) -> str:
         """What a file imports and what imports its directory."""
-        return _lines(answer(files, "related", [path]).orderBy("how", "file"), F.concat_ws(" ", "how", "file"), NEIGHBOURS, f"nothing is related to {path!r}")
+        return _lines(answer(files, "related", [path]).orderBy("how", "file", "line", "name"), F.concat_ws(" ", "how", F.coalesce("file", F.concat_ws(" ", "edge_type", "module"))), NEIGHBOURS, f"nothing is related to {path!r}")
 
     def search(query: str) -> str:
         """Hits of the hybrid search, then what they depend on."""

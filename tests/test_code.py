@@ -71,9 +71,11 @@ def test_all_five_edge_types(edges):
 
 def test_lookups(files, blocks, edges):
     users = {"live/nonprod/pay/web/terragrunt.hcl", "live/nonprod/pay/db/terragrunt.hcl"}
-    for name in ("modules/aws/web", "other/web"):
-        assert {r.file for r in index.find_importers(edges, name).collect()} == users
-    assert {r.file for r in index.related(edges, "modules/aws/web/main.tf").collect()} == users
+    for name, found in (("modules/aws/web", users), ("web", users), ("other/web", set()), ("sg", set())):
+        assert {r.file for r in index.find_importers(edges, name).collect()} == found
+    assert {r.file for r in index.related(edges, "modules/aws/web/main.tf").filter("how = 'importer'").collect()} == users
+    out = {(r.edge_type, r.name) for r in index.related(edges, "live/nonprod/pay/web/terragrunt.hcl").filter("how = 'imports'").collect()}
+    assert {("module_source", "terraform"), ("remote_state", "sg"), ("output_ref", "net"), ("terragrunt", "root"), ("terragrunt", "net")} <= out
     assert index.normalise_key(files, "aws/sg/main.tf").first().file == "modules/aws/sg/main.tf"
     assert {r.dir for r in index.module_dirs(index.symbols(blocks)).collect()} == {"modules/aws/web", "modules/aws/sg"}
     assert {r.name for r in index.find_symbol(index.symbols(blocks), "AWS_", "resource").collect()} == {"aws_instance.web", "aws_eip.ip", "aws_security_group.sg"}
@@ -86,14 +88,22 @@ def test_catalog_and_planner(blocks, edges):
     assert [(i.name, i.required) for i in web.inputs] == [("ami", True), ("disks", False)]
     assert web.inputs[0].description == "An image" and web.inputs[1].type == "list(object({"
     assert [r.r for r in c.filter("dir = 'modules/aws/web'").select(catalog.required_inputs(F.col("inputs")).alias("r")).collect()] == [["ami"]]
-    ask = lambda q: catalog.plan(c, "dir", F.col("name"), F.col("resource_types"), F.col("reuse_count"), q).first()
+    ask = lambda q: catalog.plan(c, "dir", F.col("dir"), F.col("resource_types"), F.col("reuse_count"), q).first()
     assert ask("create an ec2 instance for pay nonprod project").candidates == ["modules/aws/web"]
     assert ask("a kinesis stream").decision == "write_new"
-    assert {tuple(r)[1:] for r in catalog.upstream_pattern(c, edges).collect()} == {("sg", "sg_id"), ("net", "vpc_id")}
+    assert {r.dir: r.names for r in catalog.upstream_pattern(c, edges).collect()} == {"modules/aws/web": ["sg", "net"]}
+    deep = c.withColumn("dir", F.lit("modules/aws/infrastructure/database/main1")).withColumn("name", F.lit("main1"))
+    assert catalog.plan(deep, "dir", F.col("dir"), F.array(), F.col("reuse_count"), "a database").first().decision == "reuse"
     found = catalog.match(c, "dir", catalog.document(F.col("name"), F.col("dir"), F.col("resource_types"), F.col("inputs"), F.col("outputs")), T.plain_tokens(F.col("name")), F.col("reuse_count"), "nothing alike")
     assert [r.id for r in found.collect()] == ["modules/aws/web"]  # reuse alone suffices
 
 
+def test_outputs_alone_are_no_module(spark):
+    files = spark.createDataFrame([("m/a/outputs.tf", 'output "x" {\n}\n'), ("m/b/main.tf", 'data "d" "e" {\n}\n'), ("m/b/outputs.tf", 'output "y" {\n}\n')], "file string, text string")
+    blocks = index.parse_blocks(files)
+    assert [(r.dir, r.outputs) for r in catalog.build(blocks, index.edges(files, blocks)).collect()] == [("m/b", ["y"])]
+
+
 def test_expansion_meets_each_file_once(spark, files, edges):
     hits = spark.createDataFrame([("live/nonprod/pay/web/terragrunt.hcl",), ("modules/aws/web/main.tf",)], "file string")
     e = edges.filter("edge_type = 'module_source'").select("file", F.col("module").alias("target"))
@@ -188,7 +198,7 @@ def test_verbs(files):
 
     ask = lambda verb, *words, **kw: cli.answer(files, verb, list(words), **kw).collect()
     assert {r.kind for r in ask("stats")} >= {"resource", "module_source", "var_ref"}
-    assert {r.file for r in ask("importers", "modules/aws/web")} == {r.file for r in ask("related", "modules/aws/web/main.tf")}
+    assert {r.file for r in ask("importers", "modules/aws/web")} == {r.file for r in ask("related", "modules/aws/web/main.tf") if r.how == "importer"}
     assert [r.name for r in ask("outline", "modules/aws/web/outputs.tf")] == ["id"]
     assert ask("find", "sg", kind="resource")[0].name == "aws_security_group.sg"
     assert {r.edge_type for r in ask("imports", "modules/aws/web/main.tf")} == {"var_ref"}

@@ -61,6 +61,12 @@ def test_modules_for_a_type(spark):
     assert one(R.entry_of(m, "db", "main")) == ["db"] and one(R.entry_of(m, "web", "elsewhere")) == ["web"] and one(R.entry_of(m, "sqs", "x")) == ["queue"]
 
 
+def test_the_whole_path_says_what_a_module_is(spark):
+    m = spark.createDataFrame([("modules/aws/infrastructure/database/main1", "main1", [], 0)], "dir string, name string, resource_types array<string>, reuse_count int")
+    hits = spark.createDataFrame([("modules/aws/infrastructure/database/main1/main.tf", 0)], "file string, rank int")
+    assert R.nearest_module(hits, m, "database").first()["name"] == R.entry_of(m, "database", "x").first()["name"] == "main1"
+
+
 def test_verdicts_and_samples(spark):
     s = spark.createDataFrame([("a", "fmt", True, False), ("a", "plan", False, True), ("b", "fmt", False, False), ("b", "plan", True, False), ("c", "plan", False, True)], "run string, stage string, ok boolean, skipped boolean")
     assert sorted(rows(R.verdict(s, ("run",)))) == [("a", True, []), ("b", False, ["fmt"]), ("c", True, [])]
@@ -85,6 +91,6 @@ def test_tools_answer_with_text(spark):
     assert t["find"]("AMI") == "variable ami modules/web/main.tf:1"
     assert t["find"]("zzz").startswith("no symbol")
     assert t["outline"]("app/main.tf") == "module web 1-3"
-    assert t["related"]("modules/web/main.tf") == "importer app/main.tf"
+    assert t["related"]("modules/web/main.tf") == "importer app/main.tf\nimports var_ref ami"
     assert t["search"]("web ami instance").startswith("[retrieved] modules/web/main.tf:2")
     assert "modules/web" in t["catalog"]("web instance") and t["plan"]("an ec2 instance for web").startswith("reuse: modules/web")
