@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import catalog, index, inventory, layout, search
+from .operators import catalog, dataset, index, inventory, layout, search
 from .session import build_session
-from .sources import trees
+from .sources import sinks, trees
 
-VERBS = ("stats", "outline", "find", "imports", "importers", "related", "search", "catalog", "plan", "list", "convention")
+VERBS = ("stats", "outline", "find", "imports", "importers", "related", "search", "catalog", "plan", "list", "convention", "dataset")
 
 
 def answer(files: DataFrame, verb: str, words: list[str], *, kind: str | None = None, project: str | None = None, where: list[str] | None = None) -> DataFrame:
@@ -47,6 +47,13 @@ def answer(files: DataFrame, verb: str, words: list[str], *, kind: str | None =
     return catalog.match(modules, "dir", doc, T.plain_tokens(F.col("name")), F.col("reuse_count"), said)
 
 
+def write_dataset(files: DataFrame, path: str, **options: object) -> str:
+    """Write the training examples of files as JSON lines; what was written, as JSON."""
+    sinks.write_jsonl(dataset.build(files, **options), path)
+    written = files.sparkSession.read.schema("text string").json(path)
+    return dataset.totals(written, F.col("text")).toJSON().first()
+
+
 def main(argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(description=__doc__)
     p.add_argument("root")
@@ -55,7 +62,13 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--kind")
     p.add_argument("--project")
     p.add_argument("--where", action="append", default=[])
+    p.add_argument("--max-chars", type=int, default=dataset.MAX_CHARS)
+    p.add_argument("--no-grouping", action="store_true")
     a = p.parse_args(argv)
+    if a.verb == "dataset":
+        files = trees.read_tree(build_session("cli"), a.root, dataset.VALID_EXTENSIONS)
+        print(write_dataset(files, a.words[0], max_chars=a.max_chars, grouped=not a.no_grouping))
+        return
     files = trees.read_tree(build_session("cli"), a.root)
     for row in answer(files, a.verb, a.words, kind=a.kind, project=a.project, where=a.where).toJSON().toLocalIterator():
         print(row)

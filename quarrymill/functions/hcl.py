@@ -503,13 +503,52 @@ def coerce(value: object, kind: str) -> object:
     return value
 
 
+_VISIBLE = re.compile(r'\\.|"(?:\\.|[^"\\])*"?|/\*|//|[#{}]', re.S)
+_IN_COMMENT = re.compile(r'\\.|"(?:\\.|[^"\\])*"?|\*/', re.S)
+
+
+def depth_change(line: str) -> int:
+    """How many braces a line opens, less those it closes. Each line stands for itself: a comment hides braces up to its end
+    or the line's; quoted parts and characters after a backslash count wherever they stand, as the measure has it."""
+    n, at, hidden, to_the_end = 0, 0, False, False
+    while m := (_IN_COMMENT if hidden else _VISIBLE).search(line, at):
+        token, at = m[0], m.end()
+        if token[0] in '"\\':
+            n += token.count("{") - token.count("}")
+        elif hidden:
+            hidden = to_the_end
+        elif token in "{}":
+            n += 1 if token == "{" else -1
+        else:
+            hidden, to_the_end = True, token != "/*"
+    return n
+
+
+class Cutter:
+    """Lines in, chunks out. A chunk ends after the first line that leaves no brace open once max_chars are there, so the
+    limit is soft; blanks at a chunk's end go. Kept are the lines of the chunk that is open, nothing else."""
+
+    def __init__(self, max_chars: int) -> None:
+        self.max_chars = max_chars
+        self.lines: list[str] = []
+        self.chars = self.depth = 0
+
+    def add(self, line: str) -> str:
+        """The chunk that the line completes, if it does."""
+        self.lines.append(line)
+        self.chars += len(line)
+        self.depth += depth_change(line)
+        return self.rest() if not self.depth and self.chars >= self.max_chars else ""
+
+    def rest(self) -> str:
+        out = "".join(self.lines).rstrip()
+        self.lines, self.chars, self.depth = [], 0, 0
+        return out
+
+
 def smart_chunks(text: str, max_chars: int) -> list[str]:
-    """Pieces of a text, cut after lines where no brace is open once max_chars is passed: the limit is soft."""
-    out, start, depth = [], 0, 0
-    opened = {p.start: (text[p.start] == "{") - (text[p.start] == "}") for p in scan(text) if p.kind == "sign" and text[p.start] in "{}"}
-    for k, c in enumerate(text):
-        depth += opened.get(k, 0)
-        if c == "\n" and depth <= 0 and k + 1 - start >= max_chars:
-            out.append(text[start : k + 1])
-            start = k + 1
-    return [*out, text[start:]] if text[start:].strip() or not out else out
+    """A text that is short enough as it is, else its chunks."""
+    if len(text) <= max_chars:
+        return [text]
+    cutter = Cutter(max_chars)
+    return [x for x in [*map(cutter.add, text.splitlines(keepends=True)), cutter.rest()] if x]

@@ -537,6 +537,39 @@ def dataset_totals(spark: SparkSession, sf: str) -> DataFrame:
     return dataset.totals(group_concat_dataset(spark, sf), F.col("text")).select("examples", "chars", "tokens", F.round("mean_chars", 6).alias("mean_chars"))
 
 
+#: Documents in the role of files: eight to a directory, of which four are grouped, two stand alone and two are left out.
+#: Signs of strings and comments are blanked, so that SQL can count braces; a closing line is added to some, an opening one to others.
+_NAMES = ("main.tf", "variables.tf", "outputs.tf", "inputs.hcl", "config.yml", "live.tfvars", "terragrunt.hcl", "README.md")
+_DOC_DIR = "CONCAT('src/', coalesce(source, 'none'), '/d', CAST(floor(doc_id / 8) AS INT))"
+_DOC_TEXT = """CONCAT(CASE WHEN doc_id % 8 = 1 THEN CONCAT('a {', CHR(10)) ELSE '' END, translate(text, CONCAT(CHR(34), CHR(92), '#/*'), '     '), CASE WHEN doc_id % 8 = 0 THEN CONCAT(CHR(10), '}', CHR(10)) ELSE CHR(10) END)"""
+_BLANK_SQL = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+def _doc_files(spark: SparkSession, sf: str) -> DataFrame:
+    name = F.get(F.array(*map(F.lit, _NAMES)), (F.col("doc_id") % 8).cast("int"))
+    return table(spark, sf, "documents").select(F.concat_ws("/", F.expr(_DOC_DIR), name).alias("file"), F.expr(_DOC_TEXT).alias("text"))
+
+
+_EXAMPLES_SQL = f"""WITH d AS (SELECT {_DOC_DIR} AS dir, {list(_NAMES)}[doc_id % 8 + 1] AS name, doc_id % 8 AS k, {_DOC_TEXT} AS t FROM documents WHERE text IS NOT NULL),
+f AS (SELECT *, dir || '/' || name AS file FROM d WHERE k < 6 AND length(trim(t, {_BLANK_SQL})) >= 15),
+g AS (SELECT dir AS label, string_agg('# file: ' || file || chr(10) || rtrim(t, {_BLANK_SQL}), chr(10) || chr(10) ORDER BY [2, 1, 3, 4][k + 1]) AS t, false AS alone FROM f WHERE k < 4 GROUP BY dir
+  UNION ALL SELECT file, t, true FROM f WHERE k >= 4),
+short AS (SELECT label, t AS text FROM g WHERE alone AND length(t) <= 4000),
+l AS (SELECT label, list_transform(string_split(t, chr(10)), lambda x, k: CASE WHEN k < len(string_split(t, chr(10))) THEN x || chr(10) ELSE x END) AS lines FROM (SELECT label, t FROM g WHERE NOT (alone AND length(t) <= 4000))),
+w AS (SELECT label, lines, list_reduce(list_transform(lines, lambda x, k: [{{'first': k, 'last': k, 'chars': length(x), 'depth': length(replace(x, '}}', '')) - length(replace(x, '{{', ''))}}]),
+  lambda a, x: CASE WHEN a[-1].depth = 0 AND a[-1].chars >= 4000 THEN list_concat(a, x)
+    ELSE list_concat(a[1:len(a) - 1], [{{'first': a[-1].first, 'last': x[1].last, 'chars': a[-1].chars + x[1].chars, 'depth': a[-1].depth + x[1].depth}}]) END) AS windows FROM l),
+u AS (SELECT label, generate_subscripts(windows, 1) AS part, lines, unnest(windows) AS v FROM w),
+c AS (SELECT label, part, rtrim(array_to_string(lines[v.first:v.last], ''), {_BLANK_SQL}) AS text FROM u),
+n AS (SELECT label, text, row_number() OVER (PARTITION BY label ORDER BY part) - 1 AS i, count(*) OVER (PARTITION BY label) AS parts FROM c WHERE text <> '')
+SELECT label, text FROM short UNION ALL SELECT label || CASE WHEN parts > 1 THEN '::part' || i ELSE '' END, text FROM n"""
+
+
+@query(_EXAMPLES_SQL)
+def dataset_examples(spark: SparkSession, sf: str) -> DataFrame:
+    return dataset.build(_doc_files(spark, sf), max_chars=4000)
+
+
 @query("SELECT page_id, CAST(length(replace(html, '}', '')) - length(replace(html, '{', '')) AS INT) AS balance FROM pages")
 def brace_balance(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", T.brace_balance(F.col("html")).alias("balance"))

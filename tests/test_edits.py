@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import pytest
+
 from quarrymill.functions import hcl
 from quarrymill.operators import compose
 from quarrymill.sources import sinks
@@ -37,9 +39,15 @@ def test_coercion():
 
 
 def test_chunks_end_where_no_brace_is_open():
-    text = "a {\n  x = 1\n}\nb {\n}\n"
-    chunks = hcl.smart_chunks(text, 5)
-    assert chunks == ["a {\n  x = 1\n}\n", "b {\n}\n"] and "".join(chunks) == text
+    text = "a {\n  x = 1\n}\n\nb {\n}\n"
+    assert hcl.smart_chunks(text, 5) == ["a {\n  x = 1\n}", "\nb {\n}"] and hcl.smart_chunks(text, 100) == [text]
+    assert hcl.smart_chunks("}\n}\n{\n" * 3, 2) == ["}\n}\n{\n}\n}\n{\n}\n}\n{"]  # a stray brace is no end
+    assert hcl.smart_chunks("x = 1\n   \n" * 3, 4)[0] == "x = 1"
+
+
+@pytest.mark.parametrize("line, n", [("a { b {", 2), ("} # {{", -1), ("// {", 0), ("a /* { */ {", 1), ("/* { /*/ {", 1), ("*// {", 0), ('"{" {', 2), ('# "{" {', 1), ("# \\{", 1), ('"\\"{" }', 0), ('"open { # {', 2), ("/* a\n", 0), ("\\", 0)])
+def test_depths_of_lines(line, n):
+    assert hcl.depth_change(line) == n
 
 
 def intent(text="", **kw):
