@@ -9,14 +9,15 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .operators import catalog, dataset, index, inventory, layout, search
+from .operators.kept import KeptIndex
 from .session import build_session
 from .sources import sinks, trees
 
 VERBS = ("stats", "outline", "find", "imports", "importers", "related", "search", "catalog", "plan", "list", "convention", "dataset")
 
 
-def answer(files: DataFrame, verb: str, words: list[str], *, kind: str | None = None, project: str | None = None, where: list[str] | None = None) -> DataFrame:
-    """The rows of a verb over a table of files."""
+def answer(files: DataFrame, verb: str, words: list[str], *, kind: str | None = None, project: str | None = None, where: list[str] | None = None, facts: DataFrame | None = None) -> DataFrame:
+    """The rows of a verb over a table of files; facts are those of a kept index, or else parsed here."""
     said = " ".join(words)
     if verb == "convention":
         return layout.convention(files.withColumn("repo", F.lit(".")))
@@ -24,11 +25,12 @@ def answer(files: DataFrame, verb: str, words: list[str], *, kind: str | None =
         found, unresolved = inventory.find(trees.components(files), words[0], project=project, where=where)
         warnings = unresolved.select(F.concat(F.lit("no component has "), "key").alias("warning"))
         return found.unionByName(warnings, allowMissingColumns=True)
-    blocks = index.parse_blocks(files)
+    facts = index.parse(files) if facts is None else facts
+    blocks = index.blocks(facts)
     if verb in ("outline", "find"):
         s = index.symbols(blocks)
         return s.filter(F.col("file") == said) if verb == "outline" else index.find_symbol(s, said, kind)
-    edges = index.edges(files, blocks)
+    edges = index.edges(facts)
     if verb == "stats":
         n = index.symbols(blocks).groupBy("kind").agg(F.count("*").alias("n"))
         return n.unionByName(edges.groupBy(F.col("edge_type").alias("kind")).agg(F.count("*").alias("n"))).orderBy(F.desc("n"), "kind")
@@ -59,6 +61,7 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("root")
     p.add_argument("verb", choices=VERBS)
     p.add_argument("words", nargs="*")
+    p.add_argument("--index", help="a folder to keep what was parsed in, from call to call")
     p.add_argument("--kind")
     p.add_argument("--project")
     p.add_argument("--where", action="append", default=[])
@@ -69,8 +72,14 @@ def main(argv: list[str] | None = None) -> None:
         files = trees.read_tree(build_session("cli"), a.root, dataset.VALID_EXTENSIONS)
         print(write_dataset(files, a.words[0], max_chars=a.max_chars, grouped=not a.no_grouping))
         return
-    files = trees.read_tree(build_session("cli"), a.root)
-    for row in answer(files, a.verb, a.words, kind=a.kind, project=a.project, where=a.where).toJSON().toLocalIterator():
+    spark = build_session("cli")
+    files = trees.read_tree(spark, a.root)
+    facts = None
+    if a.index:
+        kept = KeptIndex(spark, a.index)
+        kept.refresh(files)
+        facts = kept.facts()
+    for row in answer(files, a.verb, a.words, kind=a.kind, project=a.project, where=a.where, facts=facts).toJSON().toLocalIterator():
         print(row)
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
+
 # Fixed value: licences that may be kept.
 LICENSES = ("MIT", "Apache-2.0", "BSD-3-Clause")
 MIN_SIZE_KB = 5
@@ -33,6 +35,28 @@ def files_job(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return first_per_key(files.filter(clean), ["sha1"], F.col("repo_id"), F.col("path")), counts
 
 
+def run_files_job(files: DataFrame, path: str) -> DataFrame:
+    """Run the files job into a folder partitioned by extension, and count its stages: one row.
+
+    files is read once, whatever it costs to make: the rows that pass are written while all are observed, and what is
+    written is then taken one per content, observed again. Both observations are made in the tasks that write, so a lost
+    executor's tasks count once; no scan serves counting. The rows in between are deleted.
+    """
+    spark = files.sparkSession
+    seen, kept = Observation(), Observation()
+    clean = F.col("parse_ok") & ~F.col("has_secret")
+    counted = files.observe(seen, F.count(F.lit(1)).alias("files"), F.count_if(F.col("parse_ok")).alias("parse_ok"), F.count_if(clean).alias("no_secret"))
+    between = scratch_path(spark, "extracted")
+    counted.filter(clean).write.parquet(between)
+    rows = spark.read.schema(files.schema).parquet(between)
+    unique = first_per_key(rows, ["sha1"], F.col("repo_id"), F.col("path"))
+    unique.observe(kept, F.count(F.lit(1)).alias("unique")).write.mode("overwrite").partitionBy("ext").parquet(path)
+    there = spark._jvm.org.apache.hadoop.fs.Path(between)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+    counts = seen.get | kept.get
+    return spark.createDataFrame([tuple(int(counts[c]) for c in ("files", "parse_ok", "no_secret", "unique"))], 'files long, parse_ok long, no_secret long, `unique` long')
+
+
 def metadata_stages(repos: DataFrame, *, licenses: tuple[str, ...] = LICENSES, min_size_kb: int = MIN_SIZE_KB) -> dict[str, DataFrame]:
     """licensed, active, deduped, sized - in this order, which matters: a size filter must not move across the dedup."""
     licensed = repos.filter(F.col("License").isin(*licenses))

@@ -29,9 +29,10 @@ class Code:
     modules: DataFrame
 
     @classmethod
-    def of(cls, files: DataFrame) -> Code:
-        blocks = index.parse_blocks(files)
-        edges = index.edges(files, blocks)
+    def of(cls, files: DataFrame, facts: DataFrame | None = None) -> Code:
+        """facts: those of a kept index; without, the texts are parsed once and their facts held as long as there is room."""
+        facts = index.parse(files).persist() if facts is None else facts
+        blocks, edges = index.blocks(facts), index.edges(facts)
         return cls(files, blocks, edges, catalog.build(blocks, edges))
 
     def text(self, file: str) -> str | None:

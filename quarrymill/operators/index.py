@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BooleanType
 
 from ..functions import hcl
@@ -28,26 +31,15 @@ MODULE_OUTPUT = r"\bmodule\.([A-Za-z_][\w-]*)\.([A-Za-z_][\w-]*)"
 DEPENDENCY_OUTPUT = r"\bdependency\.([A-Za-z_][\w-]*)\.outputs\.([A-Za-z_][\w-]*)"
 TOOL_CALLS = r"\b(find_in_parent_folders|read_terragrunt_config|path_relative_to_include|path_relative_from_include|get_repo_root|get_terragrunt_dir|get_parent_terragrunt_dir)\s*\("
 
-_BLOCKS = "file string, block_id int, parent_id int, depth int, type string, labels array<string>, header string, line_start int, line_end int, char_start int, body string"
+#: One row per file, per block and per reference; what a kind of row doesn't have is null.
+FACTS = (
+    "file string, fact string, file_hash string, block_id int, parent_id int, depth int, type string, labels array<string>, header string, line_start int, line_end int, char_start int, body string, "
+    "parent_type string, parent_labels array<string>, edge_type string, module string, output string, raw string"
+)
+_BLOCK = ("file", "block_id", "parent_id", "depth", "type", "labels", "header", "line_start", "line_end", "char_start", "body", "parent_type", "parent_labels")
 _EDGE = ("file", "edge_type", "module", "name", "output", "line")
 
 
-def parse_blocks(files: DataFrame) -> DataFrame:
-    """One row per block of (file, text): the parse is done once; everything downstream is native. body has comments blanked."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for file, text in zip(batch["file"], batch["text"], strict=True):
-                clean = hcl.blank_comments(text or "")
-                rows += [(file, b.block_id, b.parent_id, b.depth, b.type, b.labels, b.header, b.line_start, b.line_end, b.char_start, clean[b.body_start : b.body_end]) for b in hcl.blocks(text or "")]
-            out = pd.DataFrame(rows, columns=[x.split()[0] for x in _BLOCKS.split(", ")])
-            out["parent_id"] = out["parent_id"].astype("Int32")
-            yield out
-
-    return files.select("file", "text").mapInPandas(run, _BLOCKS)
-
-
 #: What each reference pattern means: its edge type, and which groups name the module and the output.
 REFERENCES = (
     ("remote_state", REMOTE_STATE, 2),
@@ -56,28 +48,50 @@ REFERENCES = (
     ("output_ref", DEPENDENCY_OUTPUT, 2),
     ("terragrunt", TOOL_CALLS, None),
 )
-_REFERENCE = "file string, edge_type string, module string, name string, output string, line int, raw string, target_file string, pos int"
 
 
-def references(files: DataFrame) -> DataFrame:
-    """Edges that stand in the text itself, wherever lines end: values read from elsewhere, and tool functions."""
-    compiled = [(kind, re.compile(pattern), output) for kind, pattern, output in REFERENCES]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _facts_of(file: str, text: str) -> Iterator[dict]:
+    """The rows of one file. Bodies have comments blanked; references stand in the text itself, wherever lines end."""
+    yield {"file": file, "fact": "file", "file_hash": hashlib.md5(text.encode()).hexdigest()}
+    clean = hcl.blank_comments(text)
+    found = hcl.blocks(text)
+    for b in found:
+        up = found[b.parent_id] if b.parent_id is not None else None
+        own = {"block_id": b.block_id, "parent_id": b.parent_id, "depth": b.depth, "type": b.type, "labels": b.labels, "header": b.header, "line_start": b.line_start, "line_end": b.line_end}
+        yield own | {"file": file, "fact": "block", "char_start": b.char_start, "body": clean[b.body_start : b.body_end], "parent_type": up and up.type, "parent_labels": up and up.labels}
+    ends = [m.start() for m in re.finditer("\n", clean)]
+    for kind, pattern, output in REFERENCES:
+        for m in re.finditer(pattern, clean):
+            if kind != "output_ref" or not m.group().startswith("module.remote_state."):
+                raw = m.group() + ")" * (kind == "terragrunt")
+                yield {"file": file, "fact": "reference", "edge_type": kind, "module": m[1], "output": m[output] if output else None, "line_start": bisect_left(ends, m.start()) + 1, "raw": raw, "char_start": m.start()}
+
+
+def parse(files: DataFrame) -> DataFrame:
+    """FACTS of (file, text): the one pass over the texts that needs Python; everything else is read off these rows."""
+    schema = to_arrow_schema(files.sparkSession.createDataFrame([], FACTS).schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[dict] = []
         for batch in batches:
-            rows = []
-            for file, text in zip(batch["file"], batch["text"], strict=True):
-                clean = hcl.blank_comments(text or "")
-                ends = [m.start() for m in re.finditer("\n", clean)]
-                for kind, pattern, output in compiled:
-                    for m in pattern.finditer(clean):
-                        if kind == "output_ref" and m.group().startswith("module.remote_state."):
-                            continue
-                        raw = m.group() + ")" * (kind == "terragrunt")
-                        rows.append((file, kind, m[1], m[1], m[output] if output else None, bisect_left(ends, m.start()) + 1, raw, None, m.start()))
-            yield pd.DataFrame(rows, columns=[x.split()[0] for x in _REFERENCE.split(", ")])
+            for file, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                rows += _facts_of(file, text.as_py() or "")
+                if len(rows) > 2000:
+                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                    rows = []
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    return files.select("file", "text").mapInArrow(run, FACTS)
 
-    return files.select("file", "text").mapInPandas(run, _REFERENCE)
+
+def blocks(facts: DataFrame) -> DataFrame:
+    """One row per block, with its body and what its parent is."""
+    return facts.filter("fact = 'block'").select(*_BLOCK)
+
+
+def parse_blocks(files: DataFrame) -> DataFrame:
+    return blocks(parse(files))
 
 
 @F.pandas_udf(BooleanType())
@@ -86,49 +100,48 @@ def sound(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: not hcl.problems(t or ""))
 
 
-def symbol_name() -> Column:
-    two = F.col("type").isin("resource", "data") & (F.size("labels") >= 2)
-    return F.when(two, F.concat_ws(".", F.col("labels")[0], F.col("labels")[1])).when(F.size("labels") > 0, F.col("labels")[0]).otherwise(F.col("type"))
+def symbol_name(prefix: str = "") -> Column:
+    kind, labels = F.col(f"{prefix}type"), F.col(f"{prefix}labels")
+    two = kind.isin("resource", "data") & (F.size(labels) >= 2)
+    return F.when(two, F.concat_ws(".", labels[0], labels[1])).when(F.size(labels) > 0, labels[0]).otherwise(kind)
 
 
 def symbols(blocks: DataFrame) -> DataFrame:
     """(file, name, kind, line_start, line_end, signature, parent): nested blocks of unlisted types are of kind block."""
-    named = blocks.withColumn("name", symbol_name())
-    parents = named.select("file", F.col("block_id").alias("parent_id"), F.col("name").alias("parent"))
     kind = F.when(F.col("depth") == 0, F.col("type")).when(F.col("type").isin(*NESTED_KINDS), F.col("type")).otherwise("block")
-    return named.join(parents, ["file", "parent_id"], "left").select("file", "name", kind.alias("kind"), "line_start", "line_end", F.col("header").alias("signature"), "parent")
+    parent = F.when(F.col("parent_id").isNotNull(), symbol_name("parent_"))
+    return blocks.select("file", symbol_name().alias("name"), kind.alias("kind"), "line_start", "line_end", F.col("header").alias("signature"), parent.alias("parent"))
 
 
-def edges(files: DataFrame, blocks: DataFrame, *, strict: bool = False) -> DataFrame:
+def edges(facts: DataFrame, *, strict: bool = False) -> DataFrame:
     """(file, edge_type, module, name, output, line, raw, target_file), one row for each of the first six.
 
     Types: module_source, remote_state, var_ref, output_ref, terragrunt. A module's source is the first `source = "..."`
     in its block, wherever it stands; with strict, `data_source = ...` and the like don't count. A reference names what it
     refers to as module and as name; raw is the code it was read from (of repeated rows, the first), target_file a resolved
-    path. An include and a dependency without a path name themselves as module; inputs.hcl files get a row as such.
+    path. An include and a dependency without a path name themselves as module; inputs.hcl files get a row as such. A row
+    of facts is one edge at most, so this is one pass.
     """
-    null = F.lit(None).cast("string")
+    null, fact, kind = F.lit(None).cast("string"), F.col("fact"), F.col("type")
     pattern = r'(?m)^\s*source\s*=\s*"([^"]+)"' if strict else SOURCE
-    body, label, at = F.col("body"), F.coalesce(F.get("labels", F.lit(0)), F.lit("")), F.col("char_start").alias("pos")
-
-    def rows(df: DataFrame, kind: str, module: Column, name: Column, raw: Column, target: Column, line: Column, pos: Column) -> DataFrame:
-        return df.select("file", F.lit(kind).alias("edge_type"), module.alias("module"), name.alias("name"), null.alias("output"), line.cast("int").alias("line"), raw.alias("raw"), target.alias("target_file"), pos)
-
-    said = F.regexp_extract("body", pattern, 1)
-    key, first = resolve_relative(F.col("file"), said), F.col("line_start")
-    source = rows(blocks.filter(F.col("type").isin("module", "terraform") & body.rlike(pattern)), "module_source", key, symbol_name(), said, key, first, at)
-    found = F.coalesce(F.nullif(F.regexp_extract("body", SOURCE, 0), F.lit("")), F.nullif(F.trim(F.regexp_extract("body", INCLUDE_PATH, 0)), F.lit("")), F.lit("include"))
-    include = rows(blocks.filter("type = 'include'"), "terragrunt", F.lit("include"), label, found, null, first, at)
-    there = F.nullif(resolve_relative(F.col("file"), F.regexp_extract("body", CONFIG_PATH, 1)), F.lit(""))
-    path = F.coalesce(F.nullif(F.regexp_extract("body", CONFIG_PATH, 0), F.lit("")), F.lit("dependency"))
-    dependency = rows(blocks.filter("type = 'dependency'"), "terragrunt", F.coalesce(there, F.lit("dependency")), label, path, there, first, at)
-    inputs = F.lit("inputs.hcl")
-    marker = rows(files.filter(basename(F.col("file")) == inputs), "terragrunt", inputs, inputs, inputs, null, F.lit(1), F.lit(0).alias("pos"))
-    out = references(files)
-    for x in (source, include, dependency, marker):
-        out = out.unionByName(x)
-    best = F.min(F.struct("pos", "raw", "target_file")).alias("best")
-    return out.groupBy(*_EDGE).agg(best).select(*_EDGE, "best.raw", "best.target_file")
+    body, label = F.col("body"), F.coalesce(F.get("labels", F.lit(0)), F.lit(""))
+    found = lambda p, group: F.nullif(F.trim(F.regexp_extract("body", p, group)), F.lit(""))
+
+    def edge(edge_type: Column, module: Column, name: Column, raw: Column, target: Column, output: Column = null, line: Column | None = None, pos: Column | None = None) -> Column:
+        line, pos = F.col("line_start") if line is None else line, F.col("char_start") if pos is None else pos
+        return F.struct(edge_type.alias("edge_type"), module.alias("module"), name.alias("name"), output.alias("output"), line.cast("int").alias("line"), raw.alias("raw"), target.alias("target_file"), pos.alias("pos"))
+
+    said, there, inputs, tool = F.regexp_extract("body", pattern, 1), F.nullif(resolve_relative(F.col("file"), F.regexp_extract("body", CONFIG_PATH, 1)), F.lit("")), F.lit("inputs.hcl"), F.lit("terragrunt")
+    key = resolve_relative(F.col("file"), said)
+    e = (
+        F.when(fact == "reference", edge(F.col("edge_type"), F.col("module"), F.col("module"), F.col("raw"), null, F.col("output")))
+        .when((fact == "block") & kind.isin("module", "terraform") & body.rlike(pattern), edge(F.lit("module_source"), key, symbol_name(), said, key))
+        .when((fact == "block") & (kind == "include"), edge(tool, F.lit("include"), label, F.coalesce(found(SOURCE, 0), found(INCLUDE_PATH, 0), F.lit("include")), null))
+        .when((fact == "block") & (kind == "dependency"), edge(tool, F.coalesce(there, F.lit("dependency")), label, F.coalesce(found(CONFIG_PATH, 0), F.lit("dependency")), there))
+        .when((fact == "file") & (basename(F.col("file")) == inputs), edge(tool, inputs, inputs, inputs, null, line=F.lit(1), pos=F.lit(0)))
+    )
+    rows = facts.select("file", e.alias("e")).filter("e is not null").select("file", "e.*")
+    return rows.groupBy(*_EDGE).agg(F.min(F.struct("pos", "raw", "target_file")).alias("best")).select(*_EDGE, "best.raw", "best.target_file")
 
 
 def find_symbol(table: DataFrame, query: str, kind: str | None = None) -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import catalog, corpus, dataset, index, inventory, layout, requests, retrieval, search
+from ..operators.kept import KeptIndex
+from ..session import scratch_path
 from ..sources import trees
 from ..streaming import events as streaming
 
@@ -56,7 +58,8 @@ _FILES_SQL = f"""WITH f AS (SELECT doc_id, text, sha1(text) AS sha1,
 @query(f"""{_FILES_SQL} SELECT count(*) AS files, count(*) FILTER (WHERE parse_ok) AS parse_ok, count(*) FILTER (WHERE parse_ok AND NOT has_secret) AS no_secret,
   count(DISTINCT CASE WHEN parse_ok AND NOT has_secret THEN sha1 END) AS "unique" FROM f""")
 def corpus_funnel(spark: SparkSession, sf: str) -> DataFrame:
-    return corpus.files_job(_files(spark, sf))[1]
+    """The whole job: rows are written as they pass, counts come from the writes."""
+    return corpus.run_files_job(_files(spark, sf).withColumn("ext", F.lit(".txt")), scratch_path(spark, "files"))
 
 
 @query(f"""{_FILES_SQL} SELECT min(doc_id) AS doc_id, sha1 FROM f WHERE parse_ok AND NOT has_secret GROUP BY sha1""")
@@ -160,9 +163,16 @@ def hcl_symbols(spark: SparkSession, sf: str) -> DataFrame:
     return index.symbols(index.parse_blocks(_tree(spark, sf)))
 
 
+def _kept(spark: SparkSession, files: DataFrame) -> KeptIndex:
+    """An index of files for queries that read it more than once, so that texts are parsed once."""
+    out = KeptIndex(spark, scratch_path(spark, "index"))
+    out.refresh(files)
+    return out
+
+
 def _edges(spark: SparkSession, sf: str) -> DataFrame:
     files = _tree(spark, sf)
-    return index.edges(files, index.parse_blocks(files))
+    return index.edges(index.parse(files))
 
 
 @query(_SYMBOLS_SQL + "SELECT * FROM edges")
@@ -179,7 +189,7 @@ def module_importers(spark: SparkSession, sf: str) -> DataFrame:
   AND (module = q.name OR (regexp_extract(module, '[^/]*$') = q.name AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.edge_type = 'module_source' AND e.module = q.name)))""")
 def importers_by_basename(spark: SparkSession, sf: str) -> DataFrame:
     """By the last part of keys, by a path that is no key, by a key."""
-    edges = _edges(spark, sf).filter("edge_type = 'module_source'")
+    edges = index.edges(_kept(spark, _tree(spark, sf)).facts())
     asked = [index.find_importers(edges, n).select(F.lit(n).alias("name"), "file") for n in ("m3", "elsewhere/m3", "live/n1/m3")]
     return asked[0].unionByName(asked[1]).unionByName(asked[2])
 
@@ -191,8 +201,9 @@ def symbol_find(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(_SYMBOLS_SQL + "SELECT kind, count(*) AS n FROM symbols GROUP BY kind UNION ALL SELECT edge_type, count(*) FROM edges GROUP BY edge_type")
 def kind_histogram(spark: SparkSession, sf: str) -> DataFrame:
-    s = index.symbols(index.parse_blocks(_tree(spark, sf))).groupBy("kind").agg(F.count("*").alias("n"))
-    return s.unionByName(_edges(spark, sf).groupBy(F.col("edge_type").alias("kind")).agg(F.count("*").alias("n")))
+    facts = _kept(spark, _tree(spark, sf)).facts()
+    s = index.symbols(index.blocks(facts)).groupBy("kind").agg(F.count("*").alias("n"))
+    return s.unionByName(index.edges(facts).groupBy(F.col("edge_type").alias("kind")).agg(F.count("*").alias("n")))
 
 
 @query(_SYMBOLS_SQL + "SELECT name, kind, line_start, line_end FROM symbols WHERE file = 'live/n15/s0/main.tf' OR file LIKE 'live/n1/%'")
@@ -201,6 +212,34 @@ def outline(spark: SparkSession, sf: str) -> DataFrame:
     return s.filter((F.col("file") == "live/n15/s0/main.tf") | F.col("file").startswith("live/n1/")).select("name", "kind", "line_start", "line_end")
 
 
+#: The suppliers' tree later on: every third file says another size, every tenth is gone.
+_LATER_SQL = _SYMBOLS_SQL + """, later AS (SELECT file, k, CASE WHEN k % 3 = 0 THEN 'big_' ELSE 'size_' END || k % 3 AS name FROM f WHERE k % 10 <> 7)"""
+
+
+def _later(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.regexp_extract("file", r"/s(\d+)/", 1).cast("long")
+    return _tree(spark, sf).filter(k % 10 != 7).select("file", F.when(k % 3 == 0, F.replace("text", F.lit("var.size_"), F.lit("var.big_"))).otherwise(F.col("text")).alias("text"))
+
+
+@query(_LATER_SQL + "SELECT file, 'var_ref' AS edge_type, name, 4 AS line FROM later UNION ALL SELECT file, 'output_ref', 's' || k, 9 FROM later")
+def kept_index(spark: SparkSession, sf: str) -> DataFrame:
+    """What an index says after the tree has changed: only changed files were parsed again."""
+    kept = _kept(spark, _tree(spark, sf))
+    kept.refresh(_later(spark, sf))
+    return index.edges(kept.facts()).filter("edge_type in ('var_ref', 'output_ref')").select("file", "edge_type", "name", "line")
+
+
+@query(_LATER_SQL + """SELECT 0 AS run, (SELECT count(*) FROM f) AS parsed, 0 AS gone UNION ALL SELECT 1, (SELECT count(*) FROM later WHERE k % 3 = 0), (SELECT count(*) FROM f WHERE k % 10 = 7)
+UNION ALL SELECT 2, 0, 0 UNION ALL SELECT 3, (SELECT count(*) FROM f WHERE (k % 3 = 0 OR k % 10 = 7) AND k % 2 = 0), 0""")
+def kept_index_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """How many files each refresh parses and drops: first, after changes, again without any, and of half of the paths as they were."""
+    kept = KeptIndex(spark, scratch_path(spark, "index"))
+    first, later = _tree(spark, sf), _later(spark, sf)
+    half = first.filter(F.regexp_extract("file", r"/s(\d+)/", 1).cast("long") % 2 == 0)
+    done = [kept.refresh(first), kept.refresh(later), kept.refresh(later), kept.refresh(half, half.select("file"))]
+    return spark.createDataFrame([(k, d["parsed"], d["gone"]) for k, d in enumerate(done)], "run int, parsed long, gone int")
+
+
 @query("""SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS target FROM pages""")
 def link_edges(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1))).alias("target"))
@@ -231,7 +270,7 @@ UNION ALL SELECT DISTINCT asked, 'importer', file, 'module_source', regexp_repla
   WHERE 'live/n' || n % 5 || '/m' || k % 7 = regexp_replace(asked, '/main.tf$', '') OR 'm' || k % 7 = regexp_extract(asked, '([^/]*)/main.tf$', 1)""")
 def related_files(spark: SparkSession, sf: str) -> DataFrame:
     """Of a module, of an importer and of a directory that is nobody's key but ends like one."""
-    edges = _edges(spark, sf)
+    edges = index.edges(_kept(spark, _tree(spark, sf)).facts())
     asked = [index.related(edges, f).select(F.lit(f).alias("asked"), "*") for f in ("live/n1/m3/main.tf", "live/n15/s15/main.tf", "x/m3/main.tf")]
     return asked[0].unionByName(asked[1]).unionByName(asked[2])
 
@@ -246,7 +285,7 @@ def expand_hop(spark: SparkSession, sf: str) -> DataFrame:
     """One hop from every second supplier's file along its module source."""
     files = _both(spark, sf)
     hits = files.filter(F.regexp_extract("file", r"/s(\d+)/", 1).try_cast("long") % 2 == 0).select("file")
-    edges = index.edges(files, index.parse_blocks(files)).filter("edge_type = 'module_source'").select("file", F.col("module").alias("target"))
+    edges = index.edges(index.parse(files)).filter("edge_type = 'module_source'").select("file", F.col("module").alias("target"))
     return retrieval.expand(hits, edges, files.select("file"))
 
 
@@ -254,8 +293,8 @@ def expand_hop(spark: SparkSession, sf: str) -> DataFrame:
 UNION ALL SELECT dir || '/main.tf', 'aws_t' || p % 4 || '.r', 'resource', 8, 9 FROM parts UNION ALL SELECT dir || '/main.tf', 'aws_u.r', 'resource', 10, 11 FROM parts""")
 def code_chunks(spark: SparkSession, sf: str) -> DataFrame:
     files = _both(spark, sf)
-    blocks = index.parse_blocks(files)
-    return search.build_chunks(files, blocks, index.edges(files, blocks)).select("file", "symbol", "kind", "line_start", "line_end")
+    facts = _kept(spark, files).facts()
+    return search.build_chunks(files, index.blocks(facts), index.edges(facts)).select("file", "symbol", "kind", "line_start", "line_end")
 
 
 # ---------------------------------------------------------------------------------------------------------------
@@ -363,8 +402,8 @@ used AS (SELECT DISTINCT m.dir, f.file FROM modules m JOIN f ON m.name = 'm' ||
 
 def _catalog_of_both(spark: SparkSession, sf: str) -> DataFrame:
     files = _both(spark, sf)
-    blocks = index.parse_blocks(files)
-    return catalog.build(blocks, index.edges(files, blocks), "live/")
+    facts = _kept(spark, files).facts()
+    return catalog.build(index.blocks(facts), index.edges(facts), "live/")
 
 
 @query(_MODULES_SQL + "SELECT * FROM modules")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -24,3 +26,15 @@ def build_session(app: str = "quarrymill", *, cores: str = "*", shuffle_partitio
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new path in the folder that driver and executors share, spark.checkpoint.dir, deleted when the driver ends. Where that
+    is unset a local folder serves a local master; on a cluster it has to be set."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    name = f"{(named or 'file:///tmp/checkpoints/quarrymill').rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    there = spark._jvm.org.apache.hadoop.fs.Path(name)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(there)
+    return name

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cli import answer
+from . import cli
+from .operators import index
 
 #: How many rows an answer shows.
 SYMBOLS, NEIGHBOURS = 30, 20
@@ -21,8 +23,10 @@ def _lines(df: DataFrame, line: object, most: int | None, none: str) -> str:
     return "\n".join(shown) if rows else none
 
 
-def tools(files: DataFrame) -> dict[str, Callable[..., str]]:
-    """find, outline, related, search, catalog and plan over a table of files."""
+def tools(files: DataFrame, facts: DataFrame | None = None) -> dict[str, Callable[..., str]]:
+    """find, outline, related, search, catalog and plan over a table of files, which is parsed once; facts: those of a kept index."""
+    facts = index.parse(files).persist() if facts is None else facts
+    answer = partial(cli.answer, facts=facts)
     at = F.concat_ws(":", "file", "line_start")
 
     def find(query: str, kind: str = "") -> str:

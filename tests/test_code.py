@@ -34,13 +34,18 @@ def files(spark, tmp_path_factory):
 
 
 @pytest.fixture(scope="module")
-def blocks(files):
-    return index.parse_blocks(files).cache()
+def facts(files):
+    return index.parse(files).cache()
 
 
 @pytest.fixture(scope="module")
-def edges(files, blocks):
-    return index.edges(files, blocks).cache()
+def blocks(facts):
+    return index.blocks(facts).cache()
+
+
+@pytest.fixture(scope="module")
+def edges(facts):
+    return index.edges(facts).cache()
 
 
 def test_files_are_listed(files):
@@ -101,7 +106,7 @@ def test_catalog_and_planner(blocks, edges):
 def test_outputs_alone_are_no_module(spark):
     files = spark.createDataFrame([("m/a/outputs.tf", 'output "x" {\n}\n'), ("m/b/main.tf", 'data "d" "e" {\n}\n'), ("m/b/outputs.tf", 'output "y" {\n}\n')], "file string, text string")
     blocks = index.parse_blocks(files)
-    assert [(r.dir, r.outputs) for r in catalog.build(blocks, index.edges(files, blocks)).collect()] == [("m/b", ["y"])]
+    assert [(r.dir, r.outputs) for r in catalog.build(blocks, index.edges(index.parse(files))).collect()] == [("m/b", ["y"])]
 
 
 def test_expansion_meets_each_file_once(spark, files, edges):
@@ -188,7 +193,7 @@ def test_expansion_meets_the_files_that_define_variables(spark):
     ]
     files = spark.createDataFrame(rows, "file string, text string")
     blocks = index.parse_blocks(files)
-    edges = index.edges(files, blocks)
+    edges = index.edges(index.parse(files))
     got = search.search_and_expand(search.build_chunks(files, blocks, edges), files, edges, "aws_instance web").collect()
     assert [(r.file, r.reason) for r in got] == [("app/main.tf", "retrieved"), ("app/settings.tf", "dep:var_ref")]
 
@@ -231,7 +236,7 @@ def test_postings_as_a_table_and_counts_without_arrays(spark, tmp_path):
 def test_references_run_over_line_ends_and_inputs_are_marked(spark):
     texts = {"a/b/inputs.hcl": "x = 1\n", "a/b/terragrunt.hcl": 'include {\n  path = find_in_parent_folders\n  (\n"r")\n}\ndependency "d" {\n}\ny = module.remote_state.components[\n  var.upstream_modules.sg\n]["id"] # var.no\nz = var.k + var.k\n'}
     files = spark.createDataFrame(list(texts.items()), "file string, text string")
-    got = {tuple(r) for r in index.edges(files, index.parse_blocks(files)).collect()}
+    got = {tuple(r) for r in index.edges(index.parse(files)).collect()}
     t = "a/b/terragrunt.hcl"
     assert ("a/b/inputs.hcl", "terragrunt", "inputs.hcl", "inputs.hcl", None, 1, "inputs.hcl", None) in got
     assert (t, "terragrunt", "include", "", None, 1, "path = find_in_parent_folders", None) in got
