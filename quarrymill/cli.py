@@ -42,7 +42,8 @@ def answer(files: DataFrame, verb: str, words: list[str], *, kind: str | None =
         return index.related(edges, said)
     if verb == "search":
         return search.search_and_expand(search.build_chunks(files, blocks, edges), files, edges, said)
-    modules = catalog.build(blocks, edges)
+    schema = layout.repo_schemas(files.select(F.lit("").alias("repo"), "file", "text")).first()  # one repository
+    modules = catalog.build(blocks, edges, schema["prefix"] if schema else "")
     if verb == "plan":
         return catalog.plan(modules, "dir", F.col("dir"), F.col("resource_types"), F.col("reuse_count"), said)
     doc = catalog.document(F.col("name"), F.col("dir"), F.col("resource_types"), F.col("inputs"), F.col("outputs"))

@@ -70,6 +70,12 @@ def build(blocks: DataFrame, edges: DataFrame, prefix: str = "") -> DataFrame:
     return out.withColumn("name", basename(F.col("dir"))).withColumn("reuse_count", F.size("used_by"))
 
 
+def contract(inputs: Column) -> Column:
+    """The declared types of a module's inputs by name, empty where none is declared; the required ones first."""
+    pairs = lambda wanted: F.transform(F.filter(inputs, lambda i: i["required"] == wanted), lambda i: F.struct(i["name"], F.coalesce(i["type"], F.lit(""))))
+    return F.map_from_entries(F.concat(pairs(F.lit(True)), pairs(F.lit(False))))
+
+
 def required_inputs(inputs: Column) -> Column:
     return F.transform(F.filter(inputs, lambda i: i["required"]), lambda i: i["name"])
 

@@ -33,7 +33,8 @@ class Code:
         """facts: those of a kept index; without, the texts are parsed once and their facts held as long as there is room."""
         facts = index.parse(files).persist() if facts is None else facts
         blocks, edges = index.blocks(facts), index.edges(facts)
-        return cls(files, blocks, edges, catalog.build(blocks, edges))
+        schema = layout.repo_schemas(files.select(F.lit("").alias("repo"), "file", "text")).first()  # one repository
+        return cls(files, blocks, edges, catalog.build(blocks, edges, schema["prefix"] if schema else ""))
 
     def text(self, file: str) -> str | None:
         row = self.files.filter(F.col("file") == file).select("text").first()

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import catalog, corpus, dataset, index, inventory, layout, requests, retrieval, search
+from ..operators import catalog, corpus, dataset, edits, index, inventory, layout, requests, retrieval, search
 from ..operators.kept import KeptIndex
 from ..session import scratch_path
 from ..sources import trees
@@ -529,6 +529,56 @@ def inventory_rows(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("project", "env", "name", "size", F.col("`tags.seg`"), T.norm_value(F.col("values")["on"]).alias("on_"), F.col("values")["nets[0].id"].alias("net"))
 
 
+#: Edits of every second customer's inputs, and of a file that isn't there; the fifth finds no place, the seventh says a type.
+_EDITS = [(1, "size", "set", '"9"', "number"), (2, "extra", "set", '"x"', None), (3, "on", "remove", None, None), (4, "tags", "add", '{"k": "v"}', None), (5, "nets[5].id", "set", "1", None), (6, "nets", "remove", '"x"', None), (7, "flag", "set", '"Yes"', "bool")]
+_HOW = ["replaced", "injected", "removed", "added", "skipped", "removed", "injected"]
+_EDITED_SQL = f"""WITH c AS (SELECT *, 'c' || c_custkey || '/inputs.hcl' AS file FROM customer), e(seq, path, op, how) AS (VALUES {", ".join(f"({s}, '{p}', '{o}', '{h}')" for (s, p, o, *_), h in zip(_EDITS, _HOW, strict=True))})
+SELECT file, seq, path, op, how, seq <> 5 AS verified, CASE WHEN seq = 5 THEN 'no such path: nets[5].id' ELSE '' END AS error, NULL AS text FROM c, e WHERE c_custkey % 2 = 0
+UNION ALL SELECT 'gone', seq, path, op, 'skipped', false, 'no such file', NULL FROM e
+UNION ALL SELECT file, NULL, NULL, NULL, NULL, NULL, NULL, CONCAT('inputs = {{', CHR(10), '  cluster_name = "c', c_custkey, '"', CHR(10), '  size = 9', CHR(10), '  tags = {{', CHR(10), '    seg = "', c_mktsegment, '"', CHR(10), '  k = "v"', CHR(10), '  }}', CHR(10),
+  '  nets = [{{ id = ', c_nationkey, ' }}]', CHR(10), '  extra = "x"', CHR(10), '  flag = true', CHR(10), '}}', CHR(10)) FROM c WHERE c_custkey % 2 = 0"""
+
+
+@query(_EDITED_SQL)
+def edited_inputs(spark: SparkSession, sf: str) -> DataFrame:
+    c = table(spark, sf, "customer")
+    files = c.selectExpr("concat('c', c_custkey, '/inputs.hcl') AS file", f"{_INPUTS} AS text")
+    said = F.explode(F.array(*[F.struct(F.lit(s).cast("long").alias("seq"), F.lit(p).alias("path"), F.lit(o).alias("op"), F.lit(v).cast("string").alias("value"), F.lit(k).cast("string").alias("kind")) for s, p, o, v, k in _EDITS])).alias("e")
+    named = c.filter("c_custkey % 2 = 0").selectExpr("concat('c', c_custkey, '/inputs.hcl') AS file").unionByName(spark.createDataFrame([("gone",)], "file string"))
+    null = F.lit(None)
+    asked = named.select("file", said).select("file", "e.*", null.cast("int").alias("index"), null.cast("string").alias("match"))
+    return edits.apply_edits(files, asked)
+
+
+#: Suppliers in the role of repositories of five kinds: a root included by name with a computed source, one included without a
+#: name with a literal source, a usual name that nobody includes, plain modules, a component without any root.
+_ROOTS_SQL = """SELECT 'r' || s_suppkey AS repo, [CASE WHEN s_suppkey % 2 = 0 THEN 'live/root.hcl' ELSE 'live/a/root.hcl' END, 'terragrunt.hcl', 'account.hcl', NULL, NULL][s_suppkey % 5 + 1] AS root_file,
+  ['root.hcl', 'terragrunt.hcl', 'account.hcl', '', 'root.hcl'][s_suppkey % 5 + 1] AS include_target,
+  ['modules/p' || s_nationkey || '/infrastructure/{terraform_module}/{component}', 'modules/aws/x' || s_suppkey, 'modules/{provider}/infrastructure/{terraform_module}/{component}', 'modules/{component}', 'modules/{provider}/infrastructure/{terraform_module}/{component}'][s_suppkey % 5 + 1] AS template,
+  ['env.yml', 'config.yml', 'config.yml', 'terraform.tfvars', 'config.yml'][s_suppkey % 5 + 1] AS env_config, ['tier,region', 'terraform_module,region,account_id', 'terraform_module,region,account_id', 'environment,region', 'terraform_module,region,account_id'][s_suppkey % 5 + 1] AS fields,
+  ['gcs', 's3', 's3', '', 's3'][s_suppkey % 5 + 1] AS backend, ['aws', 'aws', 'google', '', 'aws'][s_suppkey % 5 + 1] AS provider, ['full', 'partial', 'partial', 'full', 'fallback'][s_suppkey % 5 + 1] AS confidence,
+  ['modules/p' || s_nationkey || '/infrastructure', 'modules/aws/x' || s_suppkey, 'modules', 'modules', 'modules'][s_suppkey % 5 + 1] AS prefix FROM supplier"""
+
+
+@query(_ROOTS_SQL)
+def root_schemas(spark: SparkSession, sf: str) -> DataFrame:
+    k, lit = F.col("s_suppkey") % 5, F.lit
+    include = lambda said: lit(f"include {{\n  path = find_in_parent_folders({said})\n}}\n")
+    source = F.concat(lit('source = "${get_parent_terragrunt_dir()}/modules//p'), "s_nationkey", lit('/infrastructure/${local.env_cfg.tier_terraform_module}/${basename(get_original_terragrunt_dir())}/"\n'))
+    dynamic = F.concat(lit("c = find_in_parent_folders('env.yml')\nt = local.env_cfg.tier\nr = local.env_cfg.region\nt = local.env_cfg.tier\nbackend = \"gcs\"\n"), F.replace(source, lit("local.env_cfg.tier_"), lit("x.")))
+    literal = F.concat(lit('source = "../../modules/aws/x'), F.col("s_suppkey").cast("string"), lit('/"\n'))
+    near = F.when(F.col("s_suppkey") % 2 == 0, "live/root.hcl").otherwise("live/a/root.hcl")
+    entry = lambda when, file, text: F.when(when, F.struct((file if not isinstance(file, str) else lit(file)).alias("file"), text.alias("text")))
+    files = F.array(
+        entry(k == 0, "live/a/b/terragrunt.hcl", include('"root.hcl"')), entry(k == 0, near, dynamic), entry(k == 0, "root.hcl", lit("")),
+        entry(k == 1, "live/terragrunt.hcl", include("")), entry(k == 1, "terragrunt.hcl", literal),
+        entry(k == 2, "live/terragrunt.hcl", include('"none.hcl"')), entry(k == 2, "common.hcl", lit("")), entry(k == 2, "account.hcl", lit('provider "google" {\n}\n')),
+        entry(k == 3, "main.tf", lit('module "m" {\n}\n')), entry(k == 3, "root.hcl", literal), entry(k == 4, "live/terragrunt.hcl", include('"root.hcl"')),
+    )
+    rows = table(spark, sf, "supplier").select(F.concat(lit("r"), "s_suppkey").alias("repo"), F.explode(files).alias("f")).filter("f is not null").select("repo", "f.*")
+    return layout.repo_schemas(rows).withColumn("fields", F.array_join("fields", ","))
+
+
 @query("SELECT 'p' || c_custkey AS project, 'aws' AS provider, 'e' || c_nationkey AS env FROM customer WHERE c_custkey % 10 <> 0 AND c_custkey % 3 = 2")
 def envs_with_component(spark: SparkSession, sf: str) -> DataFrame:
     return requests.envs_with(_components(spark, sf), "t2")
