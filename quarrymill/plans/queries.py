@@ -180,6 +180,26 @@ def hcl_edges(spark: SparkSession, sf: str) -> DataFrame:
     return _edges(spark, sf)
 
 
+#: Suppliers in the role of components: a terragrunt.hcl each, and an inputs.hcl for every third.
+_COMPONENT = """CONCAT('include "root" {', CHR(10), '  path = find_in_parent_folders("root.hcl")', CHR(10), '}', CHR(10), 'dependency "net" {', CHR(10), '  config_path = "../n', s_suppkey % 4, '"', CHR(10), '}', CHR(10),
+  'inputs = {', CHR(10), '  a = dependency.net.outputs.vpc_id', CHR(10), '  b = module.remote_state.components[var.upstream_modules.sg', s_suppkey % 3, ']["sg_id"]', CHR(10), '}', CHR(10))"""
+
+
+@query("""WITH c AS (SELECT s_suppkey AS k, 'live/n' || s_nationkey AS base, base || '/s' || s_suppkey || '/terragrunt.hcl' AS file FROM supplier)
+SELECT file, 'terragrunt' AS edge_type, 'include' AS module, 'root' AS name, NULL AS output, 1 AS line, 'path = find_in_parent_folders("root.hcl")' AS raw, NULL AS target_file FROM c
+UNION ALL SELECT file, 'terragrunt', 'find_in_parent_folders', 'find_in_parent_folders', NULL, 2, 'find_in_parent_folders()', NULL FROM c
+UNION ALL SELECT file, 'terragrunt', base || '/n' || k % 4, 'net', NULL, 4, 'config_path = "../n' || k % 4 || '"', base || '/n' || k % 4 FROM c
+UNION ALL SELECT file, 'output_ref', 'net', 'net', 'vpc_id', 8, 'dependency.net.outputs.vpc_id', NULL FROM c
+UNION ALL SELECT file, 'remote_state', 'sg' || k % 3, 'sg' || k % 3, 'sg_id', 9, 'module.remote_state.components[var.upstream_modules.sg' || k % 3 || ']["sg_id"]', NULL FROM c
+UNION ALL SELECT file, 'var_ref', 'upstream_modules', 'upstream_modules', NULL, 9, 'var.upstream_modules', NULL FROM c
+UNION ALL SELECT replace(file, 'terragrunt', 'inputs'), 'terragrunt', 'inputs.hcl', 'inputs.hcl', NULL, 1, 'inputs.hcl', NULL FROM c WHERE k % 3 = 0""")
+def component_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """Includes, dependencies, tool functions, remote states and inputs files."""
+    s = table(spark, sf, "supplier")
+    files = s.selectExpr("concat('live/n', s_nationkey, '/s', s_suppkey, '/terragrunt.hcl') AS file", f"{_COMPONENT} AS text")
+    return index.edges(index.parse(files.unionByName(s.filter("s_suppkey % 3 = 0").selectExpr("concat('live/n', s_nationkey, '/s', s_suppkey, '/inputs.hcl') AS file", "'inputs = {}' AS text"))))
+
+
 @query(_SYMBOLS_SQL + "SELECT module, string_agg(file, ',' ORDER BY file) AS files, count(*) AS reuse_count FROM edges WHERE edge_type = 'module_source' GROUP BY module")
 def module_importers(spark: SparkSession, sf: str) -> DataFrame:
     return index.importers(_edges(spark, sf)).select("module", F.array_join("files", ",").alias("files"), F.size("files").cast("long").alias("reuse_count"))
@@ -417,6 +437,21 @@ def reuse_count(spark: SparkSession, sf: str) -> DataFrame:
     return _catalog_of_both(spark, sf).select("dir", F.col("reuse_count").cast("long"), F.array_join("used_by", ",").alias("used_by"))
 
 
+@query(_MODULES_SQL + """SELECT dir, string_agg(regexp_extract(file, '/(s[0-9]+)/', 1), ',' ORDER BY file) AS names FROM used GROUP BY dir""")
+def upstream_names(spark: SparkSession, sf: str) -> DataFrame:
+    """What the consumers of each module read from others, in order."""
+    facts = _kept(spark, _both(spark, sf)).facts()
+    edges = index.edges(facts)
+    return catalog.upstream_pattern(catalog.build(index.blocks(facts), edges, "live/"), edges).select("dir", F.array_join("names", ",").alias("names"))
+
+
+@query(_BOTH_SQL + """SELECT dir, 'size:number,v' || p % 3 || ':' AS contract FROM parts UNION ALL SELECT DISTINCT regexp_replace(file, '/main.tf$', ''), '' FROM f""")
+def module_contracts(spark: SparkSession, sf: str) -> DataFrame:
+    """Declared types of inputs, the required ones first."""
+    entries = F.transform(F.map_entries(catalog.contract(F.col("inputs"))), lambda e: F.concat_ws(":", e["key"], e["value"]))
+    return _catalog_of_both(spark, sf).select("dir", F.array_join(entries, ",").alias("contract"))
+
+
 @query(_MODULES_SQL + """SELECT m.dir, count(file) AS reuse_count FROM modules m LEFT JOIN used USING (dir) WHERE list_contains(string_split(resource_types, ','), 'aws_t2') GROUP BY m.dir ORDER BY 2 DESC, 1 LIMIT 1""")
 def module_choice(spark: SparkSession, sf: str) -> DataFrame:
     return requests.find_module(_catalog_of_both(spark, sf), "AWS_T2").select("dir", F.col("reuse_count").cast("long"))
@@ -579,6 +614,14 @@ def root_schemas(spark: SparkSession, sf: str) -> DataFrame:
     return layout.repo_schemas(rows).withColumn("fields", F.array_join("fields", ","))
 
 
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 4 = 1 THEN 'top/p1/aws/e' || c_nationkey || '/t1' WHEN c_custkey % 4 = 2 THEN 'p1/aws/e' || c_nationkey || '/t1' END AS dir FROM customer""")
+def component_dirs(spark: SparkSession, sf: str) -> DataFrame:
+    """The component a hit's path lies in: below other folders, at the top, of another project, and too short."""
+    ends = F.array(F.lit("p2/aws/e/t1/inputs.hcl"), F.concat(F.lit("top/p1/aws/e"), "c_nationkey", F.lit("/t1/sub/main.tf")), F.concat(F.lit("p1/aws/e"), "c_nationkey", F.lit("/t1/inputs.hcl")), F.lit("p1/aws/t1"))
+    file = F.get(ends, (F.col("c_custkey") % 4).cast("int"))
+    return table(spark, sf, "customer").select("c_custkey", requests.component_dir(file, "p1", "aws", "t1").alias("dir"))
+
+
 @query("SELECT 'p' || c_custkey AS project, 'aws' AS provider, 'e' || c_nationkey AS env FROM customer WHERE c_custkey % 10 <> 0 AND c_custkey % 3 = 2")
 def envs_with_component(spark: SparkSession, sf: str) -> DataFrame:
     return requests.envs_with(_components(spark, sf), "t2")
