@@ -63,6 +63,7 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("verb", choices=VERBS)
     p.add_argument("words", nargs="*")
     p.add_argument("--index", help="a folder to keep what was parsed in, from call to call")
+    p.add_argument("--ignore-file", action="append", default=[], help="heed the rules in files of this name, .gitignore say")
     p.add_argument("--kind")
     p.add_argument("--project")
     p.add_argument("--where", action="append", default=[])
@@ -70,11 +71,11 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--no-grouping", action="store_true")
     a = p.parse_args(argv)
     if a.verb == "dataset":
-        files = trees.read_tree(build_session("cli"), a.root, dataset.VALID_EXTENSIONS)
+        files = trees.read_tree(build_session("cli"), a.root, dataset.VALID_EXTENSIONS, ignore_files=tuple(a.ignore_file))
         print(write_dataset(files, a.words[0], max_chars=a.max_chars, grouped=not a.no_grouping))
         return
     spark = build_session("cli")
-    files = trees.read_tree(spark, a.root)
+    files = trees.read_tree(spark, a.root, ignore_files=tuple(a.ignore_file))
     facts = None
     if a.index:
         kept = KeptIndex(spark, a.index)

@@ -14,7 +14,7 @@ from ..functions import text as T
 from ..operators import catalog, corpus, dataset, edits, index, inventory, layout, requests, retrieval, search
 from ..operators.kept import KeptIndex
 from ..session import scratch_path
-from ..sources import trees
+from ..sources import ignore, trees
 from ..streaming import events as streaming
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -500,6 +500,20 @@ def longest_prefix_owner(spark: SparkSession, sf: str) -> DataFrame:
     return index.longest_prefix(files, dirs)
 
 
+#: Pages in the role of files; rules at the top and in the folder of one host each.
+_RULES = {".gitignore": "de/\n*7\n*.html\n!*1.html\n", "{host}/.gitignore": "!*7\n/fr/**\n"}
+
+
+@query(_PATHS_SQL + """, p AS (SELECT DISTINCT file, regexp_extract(file, '^[^/]+') AS host, regexp_extract(file, '[^/]*$') AS name FROM f WHERE NOT file LIKE '%/'), own AS (SELECT min(host) AS own FROM p)
+SELECT file FROM p, own WHERE regexp_matches(file, '(^|/)de/') OR regexp_matches(file, '7/') OR (name LIKE '%.html' AND NOT name LIKE '%1.html' AND NOT (host = own AND name LIKE '%7')) OR (name LIKE '%7' AND host <> own)
+  OR (host = own AND file LIKE own || '/fr/%')""")
+def ignored_paths(spark: SparkSession, sf: str) -> DataFrame:
+    files = _paths(spark, sf).select("file").filter("file not like '%/'").distinct().withColumn("text", F.lit(""))
+    host = files.agg(F.min(F.regexp_extract("file", "^[^/]+", 0))).first()[0] or ""
+    given = spark.createDataFrame([(k.format(host=host), v) for k, v in _RULES.items()], "file string, text string")
+    return ignore.ignored(files, given_in=given)
+
+
 @query(_PATHS_SQL + "SELECT DISTINCT owner AS dir FROM up WHERE k = 1")
 def ancestor_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return layout.directories(_paths(spark, sf), 1)

@@ -6,21 +6,46 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import basename, dirname, extension
+from . import ignore
 
 # Directories never looked into, and files of interest.
 IGNORE_PARTS = (".git", ".terraform", ".terragrunt-cache", "node_modules")
 EXTENSIONS = (".tf", ".hcl", ".tfvars")
 
 
-def read_tree(spark: SparkSession, root: str, extensions: tuple[str, ...] = EXTENSIONS) -> DataFrame:
-    """(file, text, file_hash, modified) of the files under a root; bytes that are no UTF-8 are replaced."""
+def read_tree(spark: SparkSession, root: str, extensions: tuple[str, ...] = EXTENSIONS, *, ignore_files: tuple[str, ...] = ()) -> DataFrame:
+    """(file, text, file_hash, modified) of the files under a root; bytes that are no UTF-8 are replaced. With ignore_files,
+    names such as .gitignore, files that the rules in them leave out are left out. Spark lists no empty files."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = "/" + root.split("://", 1)[-1].strip("/") + "/"
     path = F.regexp_replace("path", r"^[a-z0-9]+:/+", "/")
     file = F.expr(f"substring(regexp_replace(path, '^[a-z0-9]+:/+', '/'), {len(base) + 1})") if base else path
     rows = raw.select(file.alias("file"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"), F.col("modificationTime").alias("modified"))
     skip = F.arrays_overlap(F.split("file", "/"), F.array(*map(F.lit, IGNORE_PARTS)))
-    return rows.filter(extension(F.col("file")).isin(*extensions) & ~skip).withColumn("file_hash", F.md5(F.col("text").cast("binary")))
+    wanted = extension(F.col("file")).isin(*extensions)
+    if ignore_files:
+        rows = ignore.listed(rows.filter(wanted), ignore_files, hidden_files(spark, root, ignore_files))
+    return rows.filter(wanted & ~skip).withColumn("file_hash", F.md5(F.col("text").cast("binary")))
+
+
+def hidden_files(spark: SparkSession, root: str, names: tuple[str, ...], deepest: int = 64) -> DataFrame:
+    """(file, text) of the files of a few names in a tree, hidden ones, which Spark never lists, included. They are found level
+    by level by the file system's globs and are few and short, one for each folder that has rules at most."""
+    jvm = spark._jvm
+    there = jvm.org.apache.hadoop.fs.Path(root)
+    system = there.getFileSystem(spark._jsc.hadoopConfiguration())
+    base = system.getFileStatus(there).getPath().toString().rstrip("/") + "/"
+    rows = []
+    for depth in range(deepest):
+        level = base + "*/" * depth
+        for name in names:
+            for found in system.globStatus(jvm.org.apache.hadoop.fs.Path(level + name)) or []:
+                stream = system.open(found.getPath())
+                rows.append((found.getPath().toString().removeprefix(base), jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
+                stream.close()
+        if not len(system.globStatus(jvm.org.apache.hadoop.fs.Path(level + "*")) or []):
+            break
+    return spark.createDataFrame(rows, "file string, text string")
 
 
 def named(files: DataFrame, *names: str) -> DataFrame:
