@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import catalog, corpus, dataset, edits, index, inventory, layout, requests, retrieval, search
+from ..operators import catalog, corpus, dataset, depths, edits, index, inventory, layout, requests, retrieval, search
 from ..operators.kept import KeptIndex
 from ..session import scratch_path
 from ..sources import ignore, trees
@@ -721,6 +721,30 @@ def brace_balance(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", T.brace_balance(F.col("html")).alias("balance"))
 
 
+#: Documents in the role of code: under a head that opens a block or, in every third, a string that runs on over lines.
+_CODE = """CONCAT(CASE WHEN doc_id % 3 = 0 THEN 'a = [ "{' ELSE 'a = [ {' END, CHR(10), text)"""
+#: Strings (whole, or open to the end) keep their line ends only, comments go.
+_PIECE = r"""'"(?:[^"\\]|(?s:\\.))*(?:"|\\?\z)|(?:#|//)[^\n]*|[^"#/]+|/'"""
+_LINES_SQL = rf"""WITH s AS (SELECT doc_id, regexp_extract_all({_CODE}, {_PIECE}) AS pieces FROM documents),
+plain AS (SELECT doc_id, array_to_string(list_transform(pieces, lambda p: CASE WHEN p[1] = '"' THEN regexp_replace(p, '[^\n]', '', 'g') WHEN p[1] = '#' OR p[1:2] = '//' THEN '' ELSE p END), '') AS text FROM s),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS code, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM plain),
+c AS (SELECT doc_id, line, length(translate(code, '}}])', '')) - length(translate(code, '{{[(', '')) AS change FROM l)"""
+
+
+@query(_LINES_SQL + " SELECT doc_id, line, CAST(sum(change) OVER (PARTITION BY doc_id ORDER BY line) - change AS BIGINT) AS depth FROM c")
+def line_depths(spark: SparkSession, sf: str) -> DataFrame:
+    """Of every line, by blocks of 256 lines."""
+    texts = table(spark, sf, "documents").select("doc_id", F.expr(_CODE).alias("text"))
+    return depths.line_depths(depths.lines_of(texts, "doc_id", F.col("text")), "doc_id", block=256)
+
+
+@query(_LINES_SQL + " SELECT doc_id, CAST(sum(change) AS BIGINT) AS depth FROM c GROUP BY doc_id")
+def text_balance(spark: SparkSession, sf: str) -> DataFrame:
+    """What each text leaves open."""
+    texts = table(spark, sf, "documents").select("doc_id", F.expr(_CODE).alias("text"))
+    return depths.balances(depths.lines_of(texts, "doc_id", F.col("text")), "doc_id").select("doc_id", "depth")
+
+
 @query("SELECT 'live/n' || s_nationkey || '/s' || s_suppkey || '/main.tf' AS file, s_suppkey % 2 = 0 AS sound FROM supplier")
 def structural_check(spark: SparkSession, sf: str) -> DataFrame:
     odd = F.regexp_extract("file", r"s(\d+)/", 1).cast("long") % 2 == 1
