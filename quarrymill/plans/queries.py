@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import catalog, corpus, dataset, depths, edits, index, inventory, layout, requests, retrieval, search
+from ..operators.encoding import EncodedTexts
 from ..operators.kept import KeptIndex
 from ..session import scratch_path
 from ..sources import ignore, trees
@@ -760,6 +761,33 @@ def incremental_refresh(spark: SparkSession, sf: str) -> DataFrame:
     return index.refresh(old, new, d.filter("doc_id % 2 = 0").select("doc_id"), key="doc_id")
 
 
+def _signs(texts: list[str]) -> list[list[int]]:
+    """A stand-in for a model: how long a text is, its vowels a, and its blanks."""
+    return [[len(t), t.count("a"), t.count(" ")] for t in texts]
+
+
+_SIGNS_SQL = "length(t) AS n, length(t) - length(replace(t, 'a', '')) AS n_a, length(t) - length(replace(t, ' ', '')) AS n_blank"
+
+
+@query(f"""SELECT doc_id, {_SIGNS_SQL} FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)""")
+def encoded_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Each document beside the vector of its text; equal texts were encoded once."""
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    e = EncodedTexts(spark, scratch_path(spark, "vectors"), "signs")
+    e.encode(d, _signs, commits=4)
+    return e.lookup(d).select("doc_id", *[F.get("vector", F.lit(k)).cast("long").alias(c) for k, c in enumerate(("n", "n_a", "n_blank"))])
+
+
+@query("""WITH d AS (SELECT doc_id % 3 = 0 AS early, coalesce(text, '') AS t FROM documents)
+SELECT 0 AS run, count(DISTINCT t) FILTER (WHERE early) AS encoded FROM d UNION ALL SELECT 1, count(DISTINCT t) - count(DISTINCT t) FILTER (WHERE early) FROM d UNION ALL SELECT 2, 0""")
+def encoding_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """How many texts are encoded when a third of the documents are there, when all are, and again."""
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    e = EncodedTexts(spark, scratch_path(spark, "vectors"), "signs")
+    done = [e.encode(x, _signs, commits=4) for x in (d.filter("doc_id % 3 = 0"), d, d)]
+    return spark.createDataFrame(list(enumerate(done)), "run int, encoded long")
+
+
 @query("""SELECT s_suppkey, ['ec2,instance', 'security_group,security,group', 'vpc,network', 'zebra', 'db,rds'][s_suppkey % 5 + 1] AS words FROM supplier""")
 def alias_expansion(spark: SparkSession, sf: str) -> DataFrame:
     word = F.get(F.array(*map(F.lit, ["ec2", "security_group", "vpc", "zebra", "db"])), (F.col("s_suppkey") % 5).cast("int"))
