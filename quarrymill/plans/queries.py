@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import catalog, corpus, dataset, depths, edits, index, inventory, layout, requests, retrieval, search
+from ..operators import catalog, corpus, dataset, depths, edits, index, inventory, layout, requests, retrieval, search, sweep
 from ..operators.encoding import EncodedTexts
 from ..operators.kept import KeptIndex
 from ..session import scratch_path
@@ -672,6 +672,43 @@ def precision_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return q.select("n", *[F.round(c, 6).alias(c) for c in ("strict", "lenient", "false_reuse")])
 
 
+#: Orders in the role of repositories: each part ordered is a module, its type made of the part's type and noun, some with a second one.
+_SWEEP_SQL = """WITH m AS (SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS scope, 'live/p' || p_partkey || '/' || lower(split_part(p_name, ' ', 1)) AS dir, 'aws_' || lower(p_type) || '_' || split_part(p_name, ' ', 2) AS t,
+  CASE WHEN p_size % 2 = 0 THEN [t] ELSE [t, 'aws_' || split_part(p_name, ' ', 2)] END AS types, p_size % 5 AS reuse FROM lineitem JOIN part ON l_partkey = p_partkey),
+w AS (SELECT *, list_sort(types)[1] AS first_type, list_distinct(flatten(list_transform(types, lambda x: regexp_extract_all(x, '[a-z0-9]+')))) AS type_words,
+  list_distinct(regexp_extract_all(dir, '[a-z0-9]+')) AS names FROM m),
+u AS (SELECT scope, count(*) AS n, min({{'draw': ('0x' || substr(md5('42' || chr(31) || scope || chr(31) || dir), 1, 8))::BIGINT, 'dir': dir, 'want': first_type}}).want AS want FROM w GROUP BY scope HAVING count(*) >= 2),
+asked AS (SELECT scope, want FROM u)"""
+_GENERIC_SQL = str(list(catalog.GENERIC))
+
+
+def _order_modules(spark: SparkSession, sf: str) -> DataFrame:
+    li, p = table(spark, sf, "lineitem"), table(spark, sf, "part")
+    rows = li.join(p, li["l_partkey"] == p["p_partkey"]).select(F.col("l_orderkey").cast("string").alias("scope"), "p_partkey", "p_name", "p_type", "p_size").distinct()
+    noun = F.split("p_name", " ")[1]
+    type_, second = F.concat(F.lit("aws_"), F.lower("p_type"), F.lit("_"), noun), F.concat(F.lit("aws_"), noun)
+    types = F.when(F.col("p_size") % 2 == 0, F.array(type_)).otherwise(F.array(type_, second))
+    return rows.select("scope", F.concat_ws("/", F.concat(F.lit("live/p"), "p_partkey"), F.lower(F.split("p_name", " ")[0])).alias("dir"), types.alias("resource_types"), (F.col("p_size") % 5).alias("reuse_count"))
+
+
+@query(_SWEEP_SQL.replace("{{", "{").replace("}}", "}") + f""", r AS (SELECT a.scope, want, dir, reuse, list_filter(string_split(replace(substr(want, 5), '_', ' '), ' '), lambda x: NOT list_contains({_GENERIC_SQL}, x)) AS q,
+  list_filter(type_words, lambda x: NOT list_contains({_GENERIC_SQL}, x)) AS tw, list_filter(names, lambda x: NOT list_contains({_GENERIC_SQL}, x)) AS nw FROM asked a JOIN w USING (scope)),
+s AS (SELECT scope, want, dir, reuse, 2 * len(list_intersect(q, tw)) + len(list_intersect(q, nw)) AS score, len(list_intersect(q, list_concat(tw, nw))) AS covered, len(q) AS n FROM r)
+SELECT scope, want, dir, CAST(score AS INT) AS score, CAST(row_number() OVER (PARTITION BY scope ORDER BY s.score DESC, reuse DESC, dir) AS INT) AS rank FROM s WHERE score > 0 AND 2 * covered >= n QUALIFY rank <= 3""")
+def ranked_requests(spark: SparkSession, sf: str) -> DataFrame:
+    """A request for each repository, ranked against its modules, all in one job."""
+    modules = _order_modules(spark, sf)
+    asked = sweep.cases(modules).filter("kind = 'positive'").select("scope", "want", "intent")
+    return sweep.rank_requests(asked, modules).select("scope", "want", "dir", "score", "rank")
+
+
+@query()
+def sweep_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Strict, lenient and false reuse of the planner and the composer, and whether they pass the thresholds."""
+    modules = _order_modules(spark, sf)
+    return sweep.report(sweep.decisions(sweep.cases(modules), modules))
+
+
 @query("SELECT conv_id, string_agg('# ' || role || chr(10) || text, chr(10) || chr(10) ORDER BY turn, role, text) AS text FROM conversations GROUP BY conv_id")
 def group_concat_dataset(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "conversations")
