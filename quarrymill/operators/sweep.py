@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import plain_tokens
+from ..session import scratch_path
 from . import catalog
 
 # What counts as a provider's type, and the thresholds of a sweep.
@@ -128,7 +129,7 @@ def cases(modules: DataFrame, seed: int = 42) -> DataFrame:
     usable = rows.filter(F.size("provided") > 0).groupBy("scope").agg(F.count("*").alias("n"), F.min(F.struct(_draw(seed, "scope", "dir").alias("draw"), "dir", F.get("provided", F.lit(0)).alias("want"))).alias("best")).filter("n >= 2")
     positive = usable.select("scope", F.lit("positive").alias("kind"), F.col("best.want").alias("want"))
     inside = rows.join(usable.select("scope"), "scope", "left_semi")
-    types = inside.select(F.explode("provided").alias("want")).distinct().withColumn("range", F.pmod(F.xxhash64("want"), F.lit(RANGES)))
+    types = inside.select(F.explode("provided").alias("want")).distinct().withColumn("range", _draw(0, "want") % RANGES)
     types = types.withColumn("at", F.row_number().over(Window.partitionBy("range").orderBy("want")) - 1)
     ranges = types.groupBy("range").agg(F.count("*").alias("size"))  # RANGES rows
     ahead = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
@@ -157,6 +158,16 @@ def decisions(asked: DataFrame, modules: DataFrame) -> DataFrame:
     return rows.select("scope", "kind", "want", "who", "dir", strict.alias("strict"), (strict | related).alias("lenient"))
 
 
+def sweep(modules: DataFrame, seed: int = 42) -> DataFrame:
+    """The decisions on the cases of many repositories. Modules and cases are read by several legs, so both are written once."""
+    spark = modules.sparkSession
+    at = scratch_path(spark, "sweep")
+    modules.select(*MODULES).write.parquet(f"{at}/modules")
+    kept = spark.read.parquet(f"{at}/modules")
+    cases(kept, seed).write.parquet(f"{at}/cases")
+    return decisions(spark.read.parquet(f"{at}/cases"), kept)
+
+
 def report(rows: DataFrame, min_lenient: float = MIN_LENIENT, max_false_reuse: float = MAX_FALSE_REUSE) -> DataFrame:
     """(who, positives, strict, lenient, negatives, false_reuse, ok), shares over the cases of their kind; of none, zero."""
     positive, negative = F.col("kind") == "positive", F.col("kind") == "negative"

@@ -702,11 +702,26 @@ def ranked_requests(spark: SparkSession, sf: str) -> DataFrame:
     return sweep.rank_requests(asked, modules).select("scope", "want", "dir", "score", "rank")
 
 
-@query()
+@query(_SWEEP_SQL.replace("{{", "{").replace("}}", "}") + """, v AS (SELECT want, row_number() OVER (ORDER BY ('0x' || substr(md5('0' || chr(31) || want), 1, 8))::BIGINT % 64, want) - 1 AS number, count(*) OVER () AS total
+  FROM (SELECT DISTINCT unnest(types) AS want FROM w JOIN u USING (scope))),
+said AS (SELECT scope, list_distinct(flatten(list(list_concat(names, flatten(list_transform(type_words, lambda x: string_split(x, '_'))))))) AS words, any_value(('0x' || substr(md5('42' || chr(31) || scope), 1, 8))::BIGINT) AS start FROM w JOIN u USING (scope) GROUP BY scope),
+no AS (SELECT scope, min_by(want, (number - start % total + total) % total) AS want FROM said, v WHERE NOT list_has_any(words, string_split(substr(want, 5), '_')) GROUP BY scope),
+c AS (SELECT scope, 'positive' AS kind, want FROM u UNION ALL SELECT scope, 'negative', want FROM no),
+r AS (SELECT c.scope, kind, c.want, dir, reuse, types, string_split(substr(c.want, 5), '_') AS words, list_concat(names, type_words) AS hay, list_filter(words, lambda x: NOT list_contains(@GENERIC, x)) AS q,
+  list_filter(type_words, lambda x: NOT list_contains(@GENERIC, x)) AS tw, list_filter(names, lambda x: NOT list_contains(@GENERIC, x)) AS nw FROM c JOIN w USING (scope)),
+s AS (SELECT *, 2 * len(list_intersect(q, tw)) + len(list_intersect(q, nw)) AS score, 2 * len(list_intersect(q, list_concat(tw, nw))) >= len(q) AS covered,
+  CASE WHEN list_contains(types, substr(want, 5)) OR dir = substr(want, 5) THEN 2 WHEN contains(dir, substr(want, 5)) OR len(list_filter(types, lambda x: contains(x, substr(want, 5)))) > 0 THEN 1 ELSE 0 END AS tier FROM r),
+took AS (SELECT 'planner' AS who, scope, kind, min_by(s, (-score, -reuse, dir)) AS b FROM s WHERE score > 0 AND covered GROUP BY scope, kind
+  UNION ALL SELECT 'compose', scope, kind, min_by(s, (-tier, -reuse, dir)) FROM s WHERE tier > 0 GROUP BY scope, kind),
+d AS (SELECT x.who, c.kind, b IS NOT NULL AS reused, coalesce(list_contains(b.types, c.want), false) AS strict, coalesce(list_has_any(b.hay, b.words), false) AS related FROM c CROSS JOIN (VALUES ('planner'), ('compose')) x(who) LEFT JOIN took USING (who, scope, kind)),
+t AS (SELECT who, count(*) FILTER (WHERE kind = 'positive') AS positives, count(*) FILTER (WHERE kind = 'positive' AND strict) / positives AS strict, count(*) FILTER (WHERE kind = 'positive' AND (strict OR related)) / positives AS lenient,
+  count(*) FILTER (WHERE kind = 'negative') AS negatives, count(*) FILTER (WHERE kind = 'negative' AND reused) / greatest(negatives, 1) AS false_reuse FROM d GROUP BY who)
+SELECT who, positives, round(strict, 6) AS strict, round(lenient, 6) AS lenient, negatives, round(false_reuse, 6) AS false_reuse, lenient >= 0.85 AND false_reuse <= 0.05 AS ok FROM t""".replace("@GENERIC", _GENERIC_SQL))
 def sweep_report(spark: SparkSession, sf: str) -> DataFrame:
     """Strict, lenient and false reuse of the planner and the composer, and whether they pass the thresholds."""
     modules = _order_modules(spark, sf)
-    return sweep.report(sweep.decisions(sweep.cases(modules), modules))
+    told = sweep.report(sweep.sweep(modules))
+    return told.select("who", "positives", "negatives", *[F.round(c, 6).alias(c) for c in ("strict", "lenient", "false_reuse")], "ok")
 
 
 @query("SELECT conv_id, string_agg('# ' || role || chr(10) || text, chr(10) || chr(10) ORDER BY turn, role, text) AS text FROM conversations GROUP BY conv_id")
