@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import BooleanType
+from pyspark.sql.types import BooleanType, StructType
 
 from ..functions import hcl
 from ..functions.text import basename, dirname, resolve_relative
@@ -67,22 +67,26 @@ def _facts_of(file: str, text: str) -> Iterator[dict]:
                 yield {"file": file, "fact": "reference", "edge_type": kind, "module": m[1], "output": m[output] if output else None, "line_start": bisect_left(ends, m.start()) + 1, "raw": raw, "char_start": m.start()}
 
 
-def parse(files: DataFrame) -> DataFrame:
-    """FACTS of (file, text): the one pass over the texts that needs Python; everything else is read off these rows."""
-    schema = to_arrow_schema(files.sparkSession.createDataFrame([], FACTS).schema)
+def parse(files: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """FACTS of (file, text): the one pass over the texts that needs Python; everything else is read off these rows.
+    Columns named in carry stand beside every fact of their file."""
+    facts = files.sparkSession.createDataFrame([], FACTS).schema
+    out = StructType([*facts.fields, *(files.schema[c] for c in carry)])
+    schema = to_arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[dict] = []
         for batch in batches:
-            for file, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                rows += _facts_of(file, text.as_py() or "")
+            beside = batch.select(list(carry)).to_pylist() if carry else [{}] * batch.num_rows
+            for file, text, more in zip(batch.column(0).to_pylist(), batch.column(1), beside, strict=True):
+                rows += [fact | more for fact in _facts_of(file, text.as_py() or "")]
                 if len(rows) > 2000:
                     yield pa.RecordBatch.from_pylist(rows, schema=schema)
                     rows = []
         if rows:
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return files.select("file", "text").mapInArrow(run, FACTS)
+    return files.select("file", "text", *carry).mapInArrow(run, out)
 
 
 def blocks(facts: DataFrame) -> DataFrame:
@@ -113,15 +117,8 @@ def symbols(blocks: DataFrame) -> DataFrame:
     return blocks.select("file", symbol_name().alias("name"), kind.alias("kind"), "line_start", "line_end", F.col("header").alias("signature"), parent.alias("parent"))
 
 
-def edges(facts: DataFrame, *, strict: bool = False) -> DataFrame:
-    """(file, edge_type, module, name, output, line, raw, target_file), one row for each of the first six.
-
-    Types: module_source, remote_state, var_ref, output_ref, terragrunt. A module's source is the first `source = "..."`
-    in its block, wherever it stands; with strict, `data_source = ...` and the like don't count. A reference names what it
-    refers to as module and as name; raw is the code it was read from (of repeated rows, the first), target_file a resolved
-    path. An include and a dependency without a path name themselves as module; inputs.hcl files get a row as such. A row
-    of facts is one edge at most, so this is one pass.
-    """
+def edge_of(strict: bool = False) -> Column:
+    """The edge that a row of facts is, with where it stands (pos), or null."""
     null, fact, kind = F.lit(None).cast("string"), F.col("fact"), F.col("type")
     pattern = r'(?m)^\s*source\s*=\s*"([^"]+)"' if strict else SOURCE
     body, label = F.col("body"), F.coalesce(F.get("labels", F.lit(0)), F.lit(""))
@@ -133,13 +130,25 @@ def edges(facts: DataFrame, *, strict: bool = False) -> DataFrame:
 
     said, there, inputs, tool = F.regexp_extract("body", pattern, 1), F.nullif(resolve_relative(F.col("file"), F.regexp_extract("body", CONFIG_PATH, 1)), F.lit("")), F.lit("inputs.hcl"), F.lit("terragrunt")
     key = resolve_relative(F.col("file"), said)
-    e = (
+    return (
         F.when(fact == "reference", edge(F.col("edge_type"), F.col("module"), F.col("module"), F.col("raw"), null, F.col("output")))
         .when((fact == "block") & kind.isin("module", "terraform") & body.rlike(pattern), edge(F.lit("module_source"), key, symbol_name(), said, key))
         .when((fact == "block") & (kind == "include"), edge(tool, F.lit("include"), label, F.coalesce(found(SOURCE, 0), found(INCLUDE_PATH, 0), F.lit("include")), null))
         .when((fact == "block") & (kind == "dependency"), edge(tool, F.coalesce(there, F.lit("dependency")), label, F.coalesce(found(CONFIG_PATH, 0), F.lit("dependency")), there))
         .when((fact == "file") & (basename(F.col("file")) == inputs), edge(tool, inputs, inputs, inputs, null, line=F.lit(1), pos=F.lit(0)))
     )
+
+
+def edges(facts: DataFrame, *, strict: bool = False) -> DataFrame:
+    """(file, edge_type, module, name, output, line, raw, target_file), one row for each of the first six.
+
+    Types: module_source, remote_state, var_ref, output_ref, terragrunt. A module's source is the first `source = "..."`
+    in its block, wherever it stands; with strict, `data_source = ...` and the like don't count. A reference names what it
+    refers to as module and as name; raw is the code it was read from (of repeated rows, the first), target_file a resolved
+    path. An include and a dependency without a path name themselves as module; inputs.hcl files get a row as such. A row
+    of facts is one edge at most, so this is one pass.
+    """
+    e = edge_of(strict)
     rows = facts.select("file", e.alias("e")).filter("e is not null").select("file", "e.*")
     return rows.groupBy(*_EDGE).agg(F.min(F.struct("pos", "raw", "target_file")).alias("best")).select(*_EDGE, "best.raw", "best.target_file")
 
