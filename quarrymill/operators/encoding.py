@@ -69,7 +69,7 @@ class EncodedTexts:
     def missing(self, texts: DataFrame, text: str = "text") -> DataFrame:
         """(hash, text) of each different text without a vector."""
         hashed = texts.select(text_hash(self.model, F.col(text)).alias("hash"), F.coalesce(text, F.lit("")).alias("text"))
-        return hashed.join(self.vectors().select("hash"), "hash", "left_anti").dropDuplicates(["hash"])
+        return hashed.dropDuplicates(["hash"]).join(self.vectors().select("hash"), "hash", "left_anti")  # folded before rows are dealt
 
     def encode(self, texts: DataFrame, encoder: Encoder, *, text: str = "text", batch: int = 64, commits: int = 16, retries: int = 3, backoff: float = 0.5) -> int:
         """Vectors for all texts; how many texts were encoded. Raises EncodingFailed after everything else is kept."""
