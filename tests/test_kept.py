@@ -47,6 +47,26 @@ def test_named_paths_only(spark, tmp_path):
     assert kept.refresh(table(spark, TREE)) == {"parsed": 22, "gone": 0}
 
 
+def test_a_bucket_of_many_texts_is_written_by_several_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("quarrymill.operators.kept.SHARE_CHARS", 200)
+    kept = KeptIndex(spark, f"file://{tmp_path}/index", buckets=2)
+    assert kept.refresh(table(spark, TREE)) == {"parsed": 22, "gone": 0}
+    same(kept, spark, TREE)
+    assert max(len(list(b.glob("*.parquet"))) for b in (tmp_path / "index").glob("bucket=*")) > 1
+    later = TREE | {"m/d1/main.tf": None}
+    del later["m/d2/main.tf"]
+    assert kept.refresh(table(spark, later)) == {"parsed": 1, "gone": 1}
+    same(kept, spark, later)
+    assert max(len(list(b.glob("*.parquet"))) for b in (tmp_path / "index").glob("bucket=*")) > 1  # those that stay are dealt as well
+
+
+def test_a_split_of_many_texts_is_parsed_by_several_tasks(spark):
+    one = table(spark, TREE).coalesce(1)
+    parsed = index.parse(one)
+    assert len(set(r["p"] for r in parsed.select(F.spark_partition_id().alias("p")).collect())) > 1
+    assert sorted(map(str, parsed.collect())) == sorted(map(str, index.parse(table(spark, TREE)).collect()))
+
+
 def test_a_lost_bucket_is_parsed_again(spark, tmp_path):
     import shutil
 
