@@ -3,7 +3,7 @@ from __future__ import annotations
 import pytest
 
 from quarrymill.functions import hcl
-from quarrymill.operators import compose
+from quarrymill.operators import compose, edits
 from quarrymill.sources import sinks
 
 TEXT = 'inputs = {\n  name = "a" # keep\n  on = true\n  nets = [\n    {\n      name = "n1"\n      size = 2\n    },\n  ]\n  ids = ["x", "y"]\n}\n'
@@ -34,6 +34,23 @@ def test_edits_are_verified_and_failures_recorded():
     assert [v["ok"] for v in hcl.verify_edits(text, edits[:2])] == [True, True] and not hcl.problems(text)
 
 
+def test_each_text_is_read_once(monkeypatch):
+    read, reads = hcl.read_tree, []
+    monkeypatch.setattr(hcl, "read_tree", lambda text: reads.append(text) or read(text))
+    text, tree = TEXT, None
+    for path, op, value in [("name", "set", '"b"'), ("no.such[1]", "remove", None), ("ids", "add", '"z"'), ("on", "remove", None)]:
+        text, tree, how, verified, error = edits._apply(text, tree, {"path": path, "op": op, "value": value, "index": None, "match": None, "kind": None})
+        assert verified == (not error) == (how != "skipped")
+    assert len(reads) == len(set(reads)) == 4 and reads[-1] == text and tree == read(text)
+
+
+def test_few_edits_are_dealt_to_several_tasks(spark):
+    files = spark.createDataFrame([(f"f{k}", TEXT) for k in range(12)], "file string, text string").coalesce(1)
+    asked = files.selectExpr("file", "1L AS seq", "'name' AS path", "'set' AS op", "'\"b\"' AS value", "cast(null AS int) AS index", "cast(null AS string) AS match", "cast(null AS string) AS kind")
+    rows = edits.apply_edits(files, asked).selectExpr("*", "spark_partition_id() AS task").collect()
+    assert len(rows) == 24 and len({r["task"] for r in rows}) > 1 and all(r["verified"] or r["text"] == TEXT.replace('"a"', '"b"') for r in rows)
+
+
 def test_coercion():
     assert hcl.coerce("Yes", "bool") is True and hcl.coerce("12", "number") == 12 and hcl.coerce(5, "string") == "5" and hcl.coerce("x", "number") == "x"
 
