@@ -21,9 +21,19 @@ SHARES = 16
 #: Ranges of a hash by which types are numbered.
 RANGES = 64
 
+#: A repository of up to so many modules is ranked whole, as one array; of a larger one only what shares rare words.
+FEW = 64
+
 MODULES = ("scope", "dir", "resource_types", "reuse_count")
 
 
+def written(rows: DataFrame, label: str) -> DataFrame:
+    """Rows that several legs read, written once to the shared folder; of what is small there, Spark knows that it is."""
+    at = scratch_path(rows.sparkSession, label)
+    rows.write.parquet(at)
+    return rows.sparkSession.read.parquet(at)
+
+
 def candidates(requests: DataFrame, groups: Column, probes: Column, modules: DataFrame, words: Column) -> DataFrame:
     """(scope, ask, dir): modules (scope, dir) that can meet a request (scope, ask).
 
@@ -48,6 +58,22 @@ def _best(rows: DataFrame, top: int, *order: Column) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("scope", "ask").orderBy(*order))).filter(F.col("rank") <= top)
 
 
+def _by_size(modules: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(few, large): (scope, modules) of each repository of at most FEW modules, an array of their rows; the scopes of larger
+    ones, none if there are none, as is usual."""
+    large = written(modules.groupBy("scope").agg(F.count("*").alias("n")).filter(F.col("n") > FEW).select("scope"), "large")
+    none = large.isEmpty()
+    rest = modules if none else modules.join(large, "scope", "left_anti")
+    rows = rest.filter("scope is not null and dir is not null").select("scope", F.struct("dir", "resource_types", "reuse_count").alias("m"))
+    return rows.groupBy("scope").agg(F.collect_list("m").alias("modules")), None if none else large
+
+
+def _first(rows: Column, top: int, key: Callable[[Column], Column]) -> Column:
+    """The first rows of an array (dir, reuse_count, ...) by a key, then by reuse, of nulls last, and dir."""
+    order = F.transform(rows, lambda m: F.struct(key(m).alias("key"), m["reuse_count"].isNull().alias("unknown"), (-m["reuse_count"]).alias("reuse"), m["dir"].alias("dir")))
+    return F.slice(F.array_sort(order), 1, top)
+
+
 def _folded(requests: DataFrame, ask: Column, rank: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Requests that ask a repository for the same are ranked once."""
     rows = requests.withColumn("ask", ask)
@@ -56,14 +82,38 @@ def _folded(requests: DataFrame, ask: Column, rank: Callable[[DataFrame], DataFr
 
 def rank_requests(requests: DataFrame, modules: DataFrame, top: int = 3) -> DataFrame:
     """The columns of requests (scope, intent, ...) with (dir, score, rank): what catalog.planner_rank gives for each request
-    over the modules (scope, dir, resource_types, reuse_count) of its scope, all in one job.
+    over the modules (scope, dir, resource_types, reuse_count) of its scope, all in one job. Modules are read more than once,
+    so they should be a table.
+
+    A small repository's modules are one array beside each of its requests, so that only they and the requests are moved.
 
     Edge cases: a null scope has no modules; a request without words, or without a module, has no rows; null types are none;
     a module that stands twice is ranked twice; other columns of requests stay, those of modules are ignored.
     """
     generic = F.array(*map(F.lit, catalog.GENERIC))
     split = lambda c: F.array_except(plain_tokens(F.translate(c, "_-", "  ")), generic)
-    described = modules.select(*MODULES, split(F.concat_ws(" ", "resource_types")).alias("types"), F.array_except(plain_tokens(F.col("dir")), generic).alias("names"))
+    type_words, name_words = (lambda t: split(F.concat_ws(" ", t))), (lambda d: F.array_except(plain_tokens(d), generic))
+    asked = F.array_sort(F.array_except(plain_tokens(F.col("intent")), generic))
+    few, large = _by_size(modules)
+
+    own = {"ask": asked, "groups": F.transform("__ask", catalog.with_aliases), "want": F.array_distinct(F.flatten(F.transform("__groups", lambda g: F.array_except(g, generic))))}
+    rows = requests
+    for name, value in own.items():  # names that a request's columns don't have
+        rows = rows.withColumn(f"__{name}", value)
+    words = F.transform("modules", lambda m: F.struct(m["dir"].alias("dir"), m["reuse_count"].alias("reuse_count"), type_words(m["resource_types"]).alias("types"), name_words(m["dir"]).alias("names")))
+    rows = rows.filter(F.size("__ask") > 0).join(few.select("scope", words.alias("__modules")), "scope")
+    n, want, groups = F.size("__ask"), F.col("__want"), F.col("__groups")
+    scored = F.transform("__modules", lambda m: F.struct(
+        m["dir"].alias("dir"), m["reuse_count"].alias("reuse_count"), (2 * F.size(F.array_intersect(want, m["types"])) + F.size(F.array_intersect(want, m["names"]))).alias("score"),
+        F.size(F.filter(groups, lambda g: F.arrays_overlap(g, F.concat(m["types"], m["names"])))).alias("covered"),
+    ))
+    met = F.filter(scored, lambda m: (m["score"] > 0) & ((n > SHORT) | (2 * m["covered"] >= n)))
+    best = rows.select(*requests.columns, F.posexplode(_first(met, top, lambda m: -m["score"])).alias("__place", "__m"))
+    out = best.select(*requests.columns, F.col("__m.dir").alias("dir"), (-F.col("__m.key")).alias("score"), (F.col("__place") + 1).alias("rank"))
+    if large is None:
+        return out
+
+    described = modules.join(large, "scope", "left_semi").select(*MODULES, type_words(F.col("resource_types")).alias("types"), name_words(F.col("dir")).alias("names"))
 
     def rank(asks: DataFrame) -> DataFrame:
         n = F.size("ask")
@@ -77,7 +127,7 @@ def rank_requests(requests: DataFrame, modules: DataFrame, top: int = 3) -> Data
         rows = rows.filter((F.col("score") > 0) & ((F.col("n") > SHORT) | (2 * F.col("covered") >= F.col("n"))))
         return _best(rows, top, F.desc("score"), F.desc("reuse_count"), F.col("dir")).select("scope", "ask", "dir", "score", "rank")
 
-    return _folded(requests, F.array_sort(F.array_except(plain_tokens(F.col("intent")), generic)), rank)
+    return out.unionByName(_folded(requests.join(large, "scope", "left_semi"), asked, rank))
 
 
 def _grams(text: Column, sizes: tuple[int, ...] = (1, 2, 3)) -> Column:
@@ -92,20 +142,32 @@ def find_modules(requests: DataFrame, modules: DataFrame) -> DataFrame:
 
     Edge cases as in rank_requests; an empty or null type finds nothing.
     """
-    described = modules.select(*MODULES, F.lower("dir").alias("key"), F.transform("resource_types", F.lower).alias("types"))
+    few, large = _by_size(modules)
+    lowered = F.transform("modules", lambda m: F.struct(m["dir"].alias("dir"), m["reuse_count"].alias("reuse_count"), F.lower(m["dir"]).alias("key"), F.transform(m["resource_types"], F.lower).alias("types")))
+
+    def tier(t: Column, key: Column, types: Column) -> Column:
+        exact = (key == t) | F.coalesce(F.array_contains(types, t), F.lit(False))
+        part = F.contains(key, t) | F.coalesce(F.exists(types, lambda x: F.contains(x, t)), F.lit(False))
+        return F.when(exact, 2).when(part, 1)
+
+    rows = requests.withColumn("__ask", F.lower("resource_type")).filter("__ask <> ''").join(few.select("scope", lowered.alias("__modules")), "scope")
+    tiers = F.transform("__modules", lambda m: F.struct(m["dir"].alias("dir"), m["reuse_count"].alias("reuse_count"), tier(F.col("__ask"), m["key"], m["types"]).alias("tier")))
+    best = _first(F.filter(tiers, lambda m: m["tier"].isNotNull()), 1, lambda m: -m["tier"])
+    out = rows.select(*requests.columns, F.explode(best).alias("__m")).select(*requests.columns, F.col("__m.dir").alias("dir"))
+    if large is None:
+        return out
+
+    described = modules.join(large, "scope", "left_semi").select(*MODULES, F.lower("dir").alias("key"), F.transform("resource_types", F.lower).alias("types"))
 
     def rank(asks: DataFrame) -> DataFrame:
         asks = asks.filter("ask <> ''")
         own = F.when(F.length("ask") >= 3, _grams(F.col("ask"), (3,))).otherwise(F.array("ask"))
         within = F.array_distinct(F.flatten(F.transform(F.concat(F.array("key"), F.coalesce("types", F.array().cast("array<string>"))), lambda x: _grams(x))))
         found = candidates(asks, F.transform(own, lambda g: F.array(g)), F.lit(1), described, within).join(described, ["scope", "dir"])
-        t, types = F.col("ask"), F.col("types")
-        exact = (F.col("key") == t) | F.coalesce(F.array_contains(types, t), F.lit(False))
-        part = F.contains("key", t) | F.coalesce(F.exists(types, lambda x: F.contains(x, t)), F.lit(False))
-        rows = found.withColumn("tier", F.when(exact, 2).when(part, 1)).filter("tier is not null")
+        rows = found.withColumn("tier", tier(F.col("ask"), F.col("key"), F.col("types"))).filter("tier is not null")
         return _best(rows, 1, F.desc("tier"), F.desc("reuse_count"), F.col("dir")).select("scope", "ask", "dir")
 
-    return _folded(requests, F.lower("resource_type"), rank)
+    return out.unionByName(_folded(requests.join(large, "scope", "left_semi"), F.lower("resource_type"), rank))
 
 
 def _draw(seed: int, *c: str) -> Column:
@@ -117,32 +179,44 @@ def words_of(type_: Column) -> Column:
     return F.translate(F.substring(type_, 5, 1 << 30), "_", " ")
 
 
+def _usable(modules: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(rows, usable): modules with their provider types, and of each repository with two that have some the one drawn."""
+    provided = F.array_sort(F.array_distinct(F.filter("resource_types", lambda t: F.regexp_like(t, F.lit(PROVIDER_TYPE)) & (F.length(F.translate(F.substring(t, 5, 1 << 30), "_", "")) > 0))))
+    rows = modules.select("scope", "dir", "resource_types", provided.alias("provided"))
+    return rows, rows.filter(F.size("provided") > 0).groupBy("scope").agg(F.count("*").alias("n"), F.min(F.struct(_draw(seed, "scope", "dir").alias("draw"), "dir", F.get("provided", F.lit(0)).alias("want"))).alias("best")).filter("n >= 2")
+
+
+def positives(modules: DataFrame, seed: int = 42) -> DataFrame:
+    """The positive cases alone, which need one pass."""
+    usable = _usable(modules, seed)[1]
+    return usable.select("scope", F.lit("positive").alias("kind"), F.col("best.want").alias("want")).withColumn("intent", words_of(F.col("want")))
+
+
 def cases(modules: DataFrame, seed: int = 42) -> DataFrame:
     """(scope, kind, want, intent): for each repository with two modules of provider types at least, the first type of a module
     drawn at random (`positive`) and a type drawn at random that shares no word with any module of the repository (`negative`).
 
     Types are numbered. The negative is the first number, from a start drawn for the repository, that its words don't block:
     the first gap in its blocked numbers. Nothing pairs repositories with all types; a repository without a gap has no negative.
+    The numbered types are written, so that Spark knows whether they are few: then blocked numbers stay where their
+    repository's words are.
     """
-    provided = F.array_sort(F.array_distinct(F.filter("resource_types", lambda t: F.regexp_like(t, F.lit(PROVIDER_TYPE)) & (F.length(F.translate(F.substring(t, 5, 1 << 30), "_", "")) > 0))))
-    rows = modules.select("scope", "dir", "resource_types", provided.alias("provided"))
-    usable = rows.filter(F.size("provided") > 0).groupBy("scope").agg(F.count("*").alias("n"), F.min(F.struct(_draw(seed, "scope", "dir").alias("draw"), "dir", F.get("provided", F.lit(0)).alias("want"))).alias("best")).filter("n >= 2")
-    positive = usable.select("scope", F.lit("positive").alias("kind"), F.col("best.want").alias("want"))
+    rows, usable = _usable(modules, seed)
     inside = rows.join(usable.select("scope"), "scope", "left_semi")
     types = inside.select(F.explode("provided").alias("want")).distinct().withColumn("range", _draw(0, "want") % RANGES)
     types = types.withColumn("at", F.row_number().over(Window.partitionBy("range").orderBy("want")) - 1)
     ranges = types.groupBy("range").agg(F.count("*").alias("size"))  # RANGES rows
     ahead = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.select("range", F.coalesce(F.sum("size").over(ahead), F.lit(0)).alias("first"), F.sum("size").over(Window.partitionBy()).alias("total"))
-    numbered = types.join(F.broadcast(ranges), "range").select("want", (F.col("first") + F.col("at")).alias("number"), "total")
-    said = inside.select("scope", F.explode(plain_tokens(F.translate(F.concat_ws(" ", "dir", F.concat_ws(" ", "resource_types")), "_", " "))).alias("word")).distinct()
+    numbered = written(types.join(F.broadcast(ranges), "range").select("want", (F.col("first") + F.col("at")).alias("number"), "total"), "types")
+    said = inside.repartition("scope").select("scope", F.explode(plain_tokens(F.translate(F.concat_ws(" ", "dir", F.concat_ws(" ", "resource_types")), "_", " "))).alias("word")).distinct()
     blocked = said.join(numbered.select("number", "total", F.explode(F.array_distinct(plain_tokens(words_of(F.col("want"))))).alias("word")), "word").select("scope", "number", "total").distinct()
     turned = blocked.withColumn("start", F.pmod(_draw(seed, "scope"), F.col("total"))).withColumn("turned", F.pmod(F.col("number") - F.col("start"), F.col("total")))
     turned = turned.withColumn("nth", F.row_number().over(Window.partitionBy("scope").orderBy("turned")) - 1)
     gaps = turned.groupBy("scope", "start", "total").agg(F.coalesce(F.min(F.when(F.col("turned") != F.col("nth"), F.col("nth"))), F.count("*")).alias("gap")).filter("gap < total")
     free = gaps.select("scope", F.pmod(F.col("gap") + F.col("start"), F.col("total")).alias("number"))
     negative = free.join(numbered, "number").select("scope", F.lit("negative").alias("kind"), "want")
-    return positive.unionByName(negative).withColumn("intent", words_of(F.col("want")))
+    return positives(modules, seed).unionByName(negative.withColumn("intent", words_of(F.col("want"))))
 
 
 def decisions(asked: DataFrame, modules: DataFrame) -> DataFrame:
@@ -160,12 +234,8 @@ def decisions(asked: DataFrame, modules: DataFrame) -> DataFrame:
 
 def sweep(modules: DataFrame, seed: int = 42) -> DataFrame:
     """The decisions on the cases of many repositories. Modules and cases are read by several legs, so both are written once."""
-    spark = modules.sparkSession
-    at = scratch_path(spark, "sweep")
-    modules.select(*MODULES).write.parquet(f"{at}/modules")
-    kept = spark.read.parquet(f"{at}/modules")
-    cases(kept, seed).write.parquet(f"{at}/cases")
-    return decisions(spark.read.parquet(f"{at}/cases"), kept)
+    kept = written(modules.select(*MODULES), "modules")
+    return decisions(written(cases(kept, seed), "cases"), kept)
 
 
 def report(rows: DataFrame, min_lenient: float = MIN_LENIENT, max_false_reuse: float = MAX_FALSE_REUSE) -> DataFrame:

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from quarrymill.operators import catalog, requests, sweep
 
+MODULES = "scope string, dir string, resource_types array<string>, reuse_count int"
 TYPES = "aws_instance aws_db_instance aws_s3_bucket aws_security_group aws_lb aws_vpc aws_subnet aws_eks_cluster aws_iam_role aws_sns_topic azurerm_vm google_sql".split()
 INTENTS = ["create an s3 bucket", "database", "a new vm like prod", "", "zebra", "security group for the lb in vpc", "db instance", "kubernetes cluster with iam role and sns topic and subnet and lb", "iam role", "the", None]
 WANTED = ["s3_bucket", "AWS_LB", "db", "", None, "instance", "lb", "x", "modules/m1", "nothing", "b"]
@@ -43,6 +45,31 @@ def test_finds_as_one_request_at_a_time(spark):
             assert got.get((f"r{s}", k)) == (one and one["dir"]), (s, t)
 
 
+@pytest.mark.parametrize("few", [0, 8, 64])
+def test_small_and_large_repositories_are_ranked_alike(spark, monkeypatch, few):
+    monkeypatch.setattr(sweep, "FEW", few)
+    test_ranks_as_one_request_at_a_time(spark)
+    test_finds_as_one_request_at_a_time(spark)
+
+
+def test_modules_of_unknown_reuse_come_last_and_twins_twice(spark, monkeypatch):
+    m = spark.createDataFrame([("r", "m/a", ["aws_lb"], None), ("r", "m/b", ["aws_lb"], 0), ("r", "m/c", ["aws_lb"], 2), ("r", "m/c", ["aws_lb"], 2), ("r", None, ["aws_lb"], 9)], MODULES)
+    asked = spark.createDataFrame([("r", "lb", "aws_lb", 1, 2)], "scope string, intent string, resource_type string, want int, ask_ int")
+    got = {}
+    for few in (0, 64):
+        monkeypatch.setattr(sweep, "FEW", few)
+        got[few] = sorted(map(str, sweep.rank_requests(asked, m, top=9).collect())), sorted(map(str, sweep.find_modules(asked, m).collect()))
+    assert got[0] == got[64] and [r["dir"] for r in sweep.rank_requests(asked, m, top=9).orderBy("rank").collect()] == ["m/c", "m/c", "m/b", "m/a"]
+
+
+def test_small_repositories_shuffle_no_words(spark):
+    m = sweep.written(modules(spark).select("scope", "dir", "resource_types", "reuse_count"), "modules")
+    asked = spark.createDataFrame([("r1", "lb", "lb")], "scope string, intent string, resource_type string")
+    for rows in (sweep.rank_requests(asked, m), sweep.find_modules(asked, m)):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange ") <= 3 and "posexplode(ask" not in plan  # by repository: the requests, and modules as arrays
+
+
 def test_a_frequent_word_is_no_candidate(spark):
     m = spark.range(3000).selectExpr("'r' AS scope", "concat('modules/k', id) AS dir", "array('aws_cluster', concat('aws_t', id)) AS resource_types", "0 AS reuse_count")
     asked = spark.createDataFrame([("r", ["cluster", "t7"])], "scope string, ask array<string>")
