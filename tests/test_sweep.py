@@ -98,6 +98,12 @@ def test_cases_share_no_word(spark):
             assert (s, "negative") not in c or c[s, "negative"] in free
 
 
+def test_a_sweep_of_small_repositories_is_a_short_plan(spark):
+    """The driver holds the plan, and again for each change that adaptive execution makes."""
+    rows = sweep.report(sweep.sweep(modules(spark)))
+    assert len(rows._jdf.queryExecution().executedPlan().toString()) < 60_000 and {r["who"] for r in rows.collect()} == {"planner", "compose"}
+
+
 def test_report_and_thresholds(spark):
     rows = [("a", "positive", "aws_x", "planner", "m", True, True), ("b", "positive", "aws_x", "planner", "m", False, True), ("a", "negative", "aws_y", "planner", None, False, False), ("b", "negative", "aws_y", "planner", "m", False, False), ("a", "positive", "aws_x", "compose", "m", True, True)]
     df = spark.createDataFrame(rows, "scope string, kind string, want string, who string, dir string, strict boolean, lenient boolean")
