@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quarrymill import cli
 from quarrymill.operators import corpus, grounding, index
 from quarrymill.operators.kept import KeptIndex
+from quarrymill.plans import queries
 from quarrymill.sources import archives
 
 TREE = {f"m/d{k}/main.tf": f'variable "v{k}" {{\n}}\nresource "aws_r" "x" {{\n  a = var.v{k}\n}}\n' for k in range(20)} | {"m/empty.tf": "", "live/inputs.hcl": "inputs = {\n}\n"}
@@ -67,6 +68,20 @@ def test_a_split_of_many_texts_is_parsed_by_several_tasks(spark):
     assert sorted(map(str, parsed.collect())) == sorted(map(str, index.parse(table(spark, TREE)).collect()))
 
 
+@pytest.mark.parametrize("name", ["expand_hop", "module_choice", "reuse_count", "upstream_names"])
+def test_queries_deal_texts_before_they_parse_them(spark, monkeypatch, name):
+    parse, plans = index.parse, []
+
+    def seen(files, *carry):
+        out = parse(files, *carry)
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(index, "parse", seen)
+    queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert plans and all("REPARTITION_BY_NUM" in p.split("MapInArrow", 1)[1] for p in plans)
+
+
 def test_a_lost_bucket_is_parsed_again(spark, tmp_path):
     import shutil
 
