@@ -115,6 +115,44 @@ def test_expansion_meets_each_file_once(spark, files, edges):
     assert {r.file for r in retrieval.expand(hits, e, files).collect()} == {"modules/aws/web/variables.tf", "modules/aws/web/outputs.tf"}
 
 
+def test_expansion_of_crowded_directories(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "SHARE_FILES", 20)
+    tree = [(f"live/m{k % 3}/d{k}/main.tf",) for k in range(300)] + [("top.tf",)]
+    hits = [(f"live/m0/d{k}/main.tf",) for k in range(0, 300, 3)]
+    files, named = spark.createDataFrame(tree, "file string"), spark.createDataFrame(hits, "file string")
+    for targets in (["live/m1"], ["live", "live/m1", "none"], ["", "live/m2/d2"], ["live/m1/d4"]):
+        edges = spark.createDataFrame([(f, t) for (f,) in hits for t in targets if (f, t) != ("live/m0/d0/main.tf", "live/m2/d2")], "file string, target string")
+        got = retrieval.expand(named, edges, files)
+        below = lambda f, t: t == "" or f.startswith(t + "/")
+        want = {}
+        for f, t in edges.collect():
+            for (x,) in tree:
+                if below(x, t) and (x,) not in hits:
+                    want[x] = min(want.get(x, f), f)
+        assert {r.file: r.via for r in got.collect()} == want
+    made = joined_rows(retrieval.expand(named, spark.createDataFrame([(f, "live") for (f,) in hits], "file string, target string"), files))
+    assert made and max(made) <= 4 * len(tree)  # files with their ancestors, not files times hits
+
+
+def joined_rows(df):
+    """What each join of a plan gave, counted as it ran."""
+    df.collect()
+    out, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        if "Join" in name and node.metrics().contains("numOutputRows"):
+            out.append(node.metrics().apply("numOutputRows").value())
+        if name == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+        elif "QueryStage" in name:
+            todo.append(node.plan())
+        else:
+            children = node.children()
+            todo += [children.apply(k) for k in range(children.size())]
+    return out
+
+
 def test_inventory(files):
     comps = trees.components(files)
     rows, missing = inventory.find(comps, "web", where=["size=t3.large"])
