@@ -82,6 +82,24 @@ def test_queries_deal_texts_before_they_parse_them(spark, monkeypatch, name):
     assert plans and all("REPARTITION_BY_NUM" in p.split("MapInArrow", 1)[1] for p in plans)
 
 
+def test_a_first_index_joins_nothing(spark, tmp_path, monkeypatch):
+    parse, plans = index.parse, []
+
+    def seen(files, *carry):
+        plans.append(files._jdf.queryExecution().executedPlan().toString())
+        return parse(files, *carry)
+
+    monkeypatch.setattr(index, "parse", seen)
+    kept = KeptIndex(spark, str(tmp_path / "index"), buckets=4)
+    twice = table(spark, TREE).unionByName(table(spark, {"m/d1/main.tf": 'variable "again" {\n}\n'}))
+    assert kept.refresh(twice.unionByName(spark.createDataFrame([(None, "x {\n}\n")], "file string, text string"))) == {"parsed": 22, "gone": 0}
+    assert len(plans) == 1 and "Join" not in plans[0] and "md5" not in plans[0]
+    assert sorted(map(str, kept.facts().collect())) == sorted(map(str, parse(twice).collect()))
+    some = KeptIndex(spark, str(tmp_path / "some"), buckets=4)
+    assert some.refresh(twice, spark.createDataFrame([("m/d1/main.tf",), ("m/d2/main.tf",), ("none",)], "file string")) == {"parsed": 2, "gone": 0}
+    assert {r.file for r in some.files().collect()} == {"m/d1/main.tf", "m/d2/main.tf"}
+
+
 def test_a_lost_bucket_is_parsed_again(spark, tmp_path):
     import shutil
 
