@@ -281,3 +281,25 @@ def test_references_run_over_line_ends_and_inputs_are_marked(spark):
     assert (t, "terragrunt", "dependency", "d", None, 6, "dependency", None) in got
     assert (t, "terragrunt", "find_in_parent_folders", "find_in_parent_folders", None, 2, "find_in_parent_folders\n  ()", None) in got
     assert {(r[1], r[2], r[4], r[5]) for r in got if r[1] in ("remote_state", "output_ref", "var_ref")} == {("remote_state", "sg", "id", 8), ("var_ref", "upstream_modules", None, 9), ("var_ref", "k", None, 11)}
+
+
+def test_edges_of_some_types_are_those_of_all(spark):
+    texts = {
+        "a/terragrunt.hcl": 'include "root" {\n  path = find_in_parent_folders("root.hcl")\n}\ndependency "net" {\n  config_path = "../n"\n}\nterraform {\n  source = "../m"\n}\n',
+        "a/main.tf": 'module "m" {\n  source = "../../m"\n  v = var.x\n  w = module.n.id\n  z = module.remote_state.components[var.upstream_modules.sg]["id"]\n}\nmodule "none" {\n}\n',
+        "a/inputs.hcl": "inputs = {\n}\n", "inputs.hcl": "", "a/no_inputs.hcl": "",
+    }
+    facts = index.parse(spark.createDataFrame(list(texts.items()), "file string, text string")).cache()
+    all_ = sorted(index.edges(facts).collect(), key=str)
+    kinds = ("module_source", "remote_state", "var_ref", "output_ref", "terragrunt")
+    assert {r.edge_type for r in all_} == set(kinds)
+    for only in [(k,) for k in kinds] + [("remote_state", "output_ref"), ("module_source", "terragrunt")]:
+        assert sorted(index.edges(facts, only=only).collect(), key=str) == [r for r in all_ if r.edge_type in only]
+
+
+def test_names_and_folders_of_odd_paths(spark):
+    from quarrymill.functions.text import basename, dirname
+
+    paths = ["a", "a/b", "/a", "a/", "", "a//b", "é/ü/🙂.tf", "a/b\n", "/", None]
+    rows = spark.createDataFrame([(p,) for p in paths], "p string").select("p", basename(F.col("p")).alias("b"), dirname(F.col("p")).alias("d")).collect()
+    assert [(r.b, r.d) for r in rows] == [(p and p.rsplit("/", 1)[-1], p.rsplit("/", 1)[0] if p and "/" in p else "") if p is not None else (None, "") for p in paths]

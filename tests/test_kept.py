@@ -5,10 +5,12 @@ from __future__ import annotations
 import io
 import tarfile
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from quarrymill import cli
+from quarrymill.functions import hcl
 from quarrymill.operators import corpus, grounding, index
 from quarrymill.operators.kept import KeptIndex
 from quarrymill.plans import queries
@@ -100,6 +102,32 @@ def test_a_first_index_joins_nothing(spark, tmp_path, monkeypatch):
     assert {r.file for r in some.files().collect()} == {"m/d1/main.tf", "m/d2/main.tf"}
 
 
+def test_equal_texts_are_parsed_once(monkeypatch):
+    texts = ['resource "a" "b" {\n  c = var.d\n}\n', None, 'x {\n}\n', 'resource "a" "b" {\n  c = var.d\n}\n', "", "# none", 'x {\n}\n']
+    scan, seen = hcl.scan, []
+    monkeypatch.setattr(index, "FACT_ROWS", 2)
+    monkeypatch.setattr(hcl, "scan", lambda text: seen.append(text) or scan(text))
+    files = pa.RecordBatch.from_pydict({"file": [f"f{k}" for k in range(7)], "text": texts, "version": list(range(7))})
+    names = ["file", "fact", "file_hash", "block_id", "type", "labels", "body", "edge_type", "module", "raw"]
+    schema = pa.schema([(n, pa.list_(pa.string()) if n == "labels" else pa.int32() if n == "block_id" else pa.string()) for n in names] + [("version", pa.int64())])
+    got = [row for batch in index._facts_of_all(files, schema) for row in batch.to_pylist()]
+    assert sorted(seen) == sorted({t or "" for t in texts})
+    assert got == [{n: None for n in names} | {k: v for k, v in fact.items() if k in names} | {"file": f"f{k}", "version": k} for k, t in enumerate(texts) for fact in index._facts_of(t or "")]
+
+
+def test_a_large_first_index_shuffles_texts_only(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("quarrymill.operators.kept.SHARE_CHARS", 200)
+    save, plans = KeptIndex._save, []
+    monkeypatch.setattr(KeptIndex, "_save", lambda self, rows: plans.append(rows._jdf.queryExecution().executedPlan().toString()) or save(self, rows))
+    kept = KeptIndex(spark, f"file://{tmp_path}/index", buckets=3)
+    assert kept.refresh(table(spark, TREE)) == {"parsed": 22, "gone": 0}
+    assert len(plans) == 1 and "Exchange" not in plans[0].split("MapInArrow")[0] and plans[0].count("Exchange") == 1
+    same(kept, spark, TREE)
+    later = {k: v for k, v in TREE.items() if "d3" not in k}
+    assert kept.refresh(table(spark, later)) == {"parsed": 0, "gone": 1}
+    same(kept, spark, later)
+
+
 def test_a_lost_bucket_is_parsed_again(spark, tmp_path):
     import shutil
 
