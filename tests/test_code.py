@@ -303,3 +303,18 @@ def test_names_and_folders_of_odd_paths(spark):
     paths = ["a", "a/b", "/a", "a/", "", "a//b", "é/ü/🙂.tf", "a/b\n", "/", None]
     rows = spark.createDataFrame([(p,) for p in paths], "p string").select("p", basename(F.col("p")).alias("b"), dirname(F.col("p")).alias("d")).collect()
     assert [(r.b, r.d) for r in rows] == [(p and p.rsplit("/", 1)[-1], p.rsplit("/", 1)[0] if p and "/" in p else "") if p is not None else (None, "") for p in paths]
+
+
+def test_importers_by_key_and_by_name(spark):
+    """Of a key that is a module's, of one that only ends like it, of a name alone; each importer once."""
+    define = 'variable "v" {\n}\n'
+    texts = {"live/vpc/main.tf": define, "x/vpc/main.tf": define, "vpc/main.tf": define, "lone/main.tf": define, "main.tf": define} | {
+        "u/1.tf": 'module "a" {\n  source = "../live/vpc"\n}\nmodule "b" {\n  source = "../x/vpc"\n}\n', "u/2.tf": 'module "a" {\n  source = "vpc"\n}\n', "u/3.tf": 'module "a" {\n  source = "git/elsewhere/vpc"\n}\n',
+        "u/4.tf": 'module "a" {\n  source = "git/other"\n}\n',
+    }
+    facts = index.parse(spark.createDataFrame(list(texts.items()), "file string, text string")).cache()
+    made = catalog.build(index.blocks(facts), index.edges(facts))
+    got = {r.dir: (r.used_by, r.reuse_count) for r in made.collect()}
+    every = ["u/1.tf", "u/2.tf", "u/3.tf"]
+    assert got == {"live/vpc": (every, 3), "x/vpc": (every, 3), "vpc": (every, 3), "lone": ([], 0), "": ([], 0)}
+    assert made.select("dir", "used_by")._jdf.queryExecution().optimizedPlan().toString().count("InMemoryRelation") == 2  # blocks once, edges once
