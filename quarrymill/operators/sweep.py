@@ -23,6 +23,8 @@ RANGES = 64
 
 #: A repository of up to so many modules is ranked whole, as one array; of a larger one only what shares rare words.
 FEW = 64
+#: Up to so many types, a small repository's cases are drawn and decided beside its modules.
+FEW_TYPES = 256
 
 MODULES = ("scope", "dir", "resource_types", "reuse_count")
 
@@ -136,6 +138,12 @@ def _grams(text: Column, sizes: tuple[int, ...] = (1, 2, 3)) -> Column:
     return F.array_distinct(F.concat(*map(of, sizes)))
 
 
+def _tier(t: Column, key: Column, types: Column) -> Column:
+    exact = (key == t) | F.coalesce(F.array_contains(types, t), F.lit(False))
+    part = F.contains(key, t) | F.coalesce(F.exists(types, lambda x: F.contains(x, t)), F.lit(False))
+    return F.when(exact, 2).when(part, 1)
+
+
 def find_modules(requests: DataFrame, modules: DataFrame) -> DataFrame:
     """The columns of requests (scope, resource_type, ...) with (dir): what requests.find_module gives for each, all in one job.
     A key or type that holds the wanted one holds its rarest run of three characters, which is what is looked up.
@@ -144,14 +152,8 @@ def find_modules(requests: DataFrame, modules: DataFrame) -> DataFrame:
     """
     few, large = _by_size(modules)
     lowered = F.transform("modules", lambda m: F.struct(m["dir"].alias("dir"), m["reuse_count"].alias("reuse_count"), F.lower(m["dir"]).alias("key"), F.transform(m["resource_types"], F.lower).alias("types")))
-
-    def tier(t: Column, key: Column, types: Column) -> Column:
-        exact = (key == t) | F.coalesce(F.array_contains(types, t), F.lit(False))
-        part = F.contains(key, t) | F.coalesce(F.exists(types, lambda x: F.contains(x, t)), F.lit(False))
-        return F.when(exact, 2).when(part, 1)
-
     rows = requests.withColumn("__ask", F.lower("resource_type")).filter("__ask <> ''").join(few.select("scope", lowered.alias("__modules")), "scope")
-    tiers = F.transform("__modules", lambda m: F.struct(m["dir"].alias("dir"), m["reuse_count"].alias("reuse_count"), tier(F.col("__ask"), m["key"], m["types"]).alias("tier")))
+    tiers = F.transform("__modules", lambda m: F.struct(m["dir"].alias("dir"), m["reuse_count"].alias("reuse_count"), _tier(F.col("__ask"), m["key"], m["types"]).alias("tier")))
     best = _first(F.filter(tiers, lambda m: m["tier"].isNotNull()), 1, lambda m: -m["tier"])
     out = rows.select(*requests.columns, F.explode(best).alias("__m")).select(*requests.columns, F.col("__m.dir").alias("dir"))
     if large is None:
@@ -164,13 +166,13 @@ def find_modules(requests: DataFrame, modules: DataFrame) -> DataFrame:
         own = F.when(F.length("ask") >= 3, _grams(F.col("ask"), (3,))).otherwise(F.array("ask"))
         within = F.array_distinct(F.flatten(F.transform(F.concat(F.array("key"), F.coalesce("types", F.array().cast("array<string>"))), lambda x: _grams(x))))
         found = candidates(asks, F.transform(own, lambda g: F.array(g)), F.lit(1), described, within).join(described, ["scope", "dir"])
-        rows = found.withColumn("tier", tier(F.col("ask"), F.col("key"), F.col("types"))).filter("tier is not null")
+        rows = found.withColumn("tier", _tier(F.col("ask"), F.col("key"), F.col("types"))).filter("tier is not null")
         return _best(rows, 1, F.desc("tier"), F.desc("reuse_count"), F.col("dir")).select("scope", "ask", "dir")
 
     return out.unionByName(_folded(requests.join(large, "scope", "left_semi"), F.lower("resource_type"), rank))
 
 
-def _draw(seed: int, *c: str) -> Column:
+def _draw(seed: int, *c: str | Column) -> Column:
     """A number below 2^32 that a seed and some values fix."""
     return F.conv(F.substring(F.md5(F.concat_ws("\x1f", F.lit(str(seed)), *c).cast("binary")), 1, 8), 16, 10).cast("long")
 
@@ -179,9 +181,13 @@ def words_of(type_: Column) -> Column:
     return F.translate(F.substring(type_, 5, 1 << 30), "_", " ")
 
 
+def _is_provided(type_: Column) -> Column:
+    return F.regexp_like(type_, F.lit(PROVIDER_TYPE)) & (F.length(F.translate(F.substring(type_, 5, 1 << 30), "_", "")) > 0)
+
+
 def _usable(modules: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
     """(rows, usable): modules with their provider types, and of each repository with two that have some the one drawn."""
-    provided = F.array_sort(F.array_distinct(F.filter("resource_types", lambda t: F.regexp_like(t, F.lit(PROVIDER_TYPE)) & (F.length(F.translate(F.substring(t, 5, 1 << 30), "_", "")) > 0))))
+    provided = F.array_sort(F.array_distinct(F.filter("resource_types", _is_provided)))
     rows = modules.select("scope", "dir", "resource_types", provided.alias("provided"))
     return rows, rows.filter(F.size("provided") > 0).groupBy("scope").agg(F.count("*").alias("n"), F.min(F.struct(_draw(seed, "scope", "dir").alias("draw"), "dir", F.get("provided", F.lit(0)).alias("want"))).alias("best")).filter("n >= 2")
 
@@ -203,12 +209,22 @@ def cases(modules: DataFrame, seed: int = 42) -> DataFrame:
     """
     rows, usable = _usable(modules, seed)
     inside = rows.join(usable.select("scope"), "scope", "left_semi")
-    types = inside.select(F.explode("provided").alias("want")).distinct().withColumn("range", _draw(0, "want") % RANGES)
+    return _cases(modules, _numbered(inside.select(F.explode("provided").alias("want"))), seed)
+
+
+def _numbered(types: DataFrame) -> DataFrame:
+    """(want, number, total) of each type that stands among some (want)."""
+    types = types.distinct().withColumn("range", _draw(0, "want") % RANGES)
     types = types.withColumn("at", F.row_number().over(Window.partitionBy("range").orderBy("want")) - 1)
     ranges = types.groupBy("range").agg(F.count("*").alias("size"))  # RANGES rows
     ahead = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.select("range", F.coalesce(F.sum("size").over(ahead), F.lit(0)).alias("first"), F.sum("size").over(Window.partitionBy()).alias("total"))
-    numbered = written(types.join(F.broadcast(ranges), "range").select("want", (F.col("first") + F.col("at")).alias("number"), "total"), "types")
+    return written(types.join(F.broadcast(ranges), "range").select("want", (F.col("first") + F.col("at")).alias("number"), "total"), "types")
+
+
+def _cases(modules: DataFrame, numbered: DataFrame, seed: int) -> DataFrame:
+    rows, usable = _usable(modules, seed)
+    inside = rows.join(usable.select("scope"), "scope", "left_semi")
     said = inside.repartition("scope").select("scope", F.explode(plain_tokens(F.translate(F.concat_ws(" ", "dir", F.concat_ws(" ", "resource_types")), "_", " "))).alias("word")).distinct()
     blocked = said.join(numbered.select("number", "total", F.explode(F.array_distinct(plain_tokens(words_of(F.col("want"))))).alias("word")), "word").select("scope", "number", "total").distinct()
     turned = blocked.withColumn("start", F.pmod(_draw(seed, "scope"), F.col("total"))).withColumn("turned", F.pmod(F.col("number") - F.col("start"), F.col("total")))
@@ -232,10 +248,87 @@ def decisions(asked: DataFrame, modules: DataFrame) -> DataFrame:
     return rows.select("scope", "kind", "want", "who", "dir", strict.alias("strict"), (strict | related).alias("lenient"))
 
 
+def lots(modules: DataFrame, seed: int = 42) -> DataFrame:
+    """(scope, n, modules): the n modules of each repository in arrays of at most FEW, best first among equals, with their words,
+    the first of their provider types and a number drawn. One shuffle by repository; none if modules come dealt by scope."""
+    order = Window.partitionBy("scope").orderBy(F.desc("reuse_count"), "dir")
+    rows = modules.select(*MODULES, F.row_number().over(order).alias("k"), F.count("*").over(Window.partitionBy("scope")).alias("n"))
+    first = F.array_min(F.filter("resource_types", _is_provided))
+    words = plain_tokens(F.concat_ws(" ", "resource_types")).alias("types"), plain_tokens(F.col("dir")).alias("names")
+    m = F.struct("k", "dir", "resource_types", "reuse_count", first.alias("first"), _draw(seed, "scope", "dir").alias("draw"), *words)
+    rows = rows.select("scope", "n", F.floor((F.col("k") - 1) / max(FEW, 1)).alias("lot"), m.alias("m"))
+    return rows.groupBy("scope", "n", "lot").agg(F.collect_list("m").alias("modules")).drop("lot")
+
+
+def _requests_of(want: Column) -> list[Column]:
+    """What a case of a type asks of the planner (ask, wanted, groups), of the composer (type) and of a related module (related)."""
+    without = lambda words, *no: F.array_except(words, F.array(*map(F.lit, no)))
+    ask, said = without(plain_tokens(words_of(want)), *catalog.GENERIC), F.substring(want, 5, 1 << 30)
+    groups = F.transform(ask, catalog.with_aliases)
+    related = F.flatten(F.transform(F.concat(F.array(F.lower(said)), plain_tokens(said)), catalog.with_aliases))
+    wanted = without(F.array_distinct(F.flatten(groups)), *catalog.GENERIC)
+    return [groups.alias("groups"), wanted.alias("wanted"), F.lower(F.translate(words_of(want), " ", "_")).alias("type"), without(F.array_distinct(related), "aws").alias("related")]
+
+
+def _decided(rows: DataFrame, numbered: DataFrame, seed: int) -> DataFrame:
+    """What decisions(cases) gives for repositories in one array each (scope, modules), without a shuffle: few numbered types
+    stand beside each."""
+    numbered = numbered.withColumn("words", F.array_distinct(plain_tokens(words_of(F.col("want")))))
+    by_word = numbered.select("number", F.explode("words").alias("word")).groupBy("word").agg(F.collect_list("number").alias("numbers"))
+    blocks = by_word.agg(F.map_from_entries(F.collect_list(F.struct("word", "numbers"))).alias("blocks"))
+    every = numbered.agg(F.transform(F.array_sort(F.collect_list(F.struct("number", "want"))), lambda t: t["want"]).alias("wants"))
+    rows = rows.crossJoin(F.broadcast(every.crossJoin(blocks)))
+
+    typed, total = F.filter("modules", lambda m: m["first"].isNotNull()), F.size("wants")
+    best = F.array_min(F.transform(typed, lambda m: F.struct(m["draw"], m["dir"], m["first"].alias("want"))))
+    said = F.array_distinct(F.flatten(F.transform("modules", lambda m: F.concat(m["types"], m["names"]))))
+    rows = rows.withColumn("typed", F.size(typed)).filter("typed >= 2").select("*", best["want"].alias("positive"), said.alias("said"), F.when(total > 0, F.pmod(_draw(seed, "scope"), F.greatest(total, F.lit(1)))).alias("start"))
+    blocked = F.flatten(F.transform(F.array_intersect(F.map_keys("blocks"), F.col("said")), lambda w: F.col("blocks")[w]))
+    free = F.array_except(F.when(total > 0, F.sequence(F.lit(0), F.greatest(total, F.lit(1)) - 1).cast("array<bigint>")), blocked)
+    gap = F.array_min(F.transform(free, lambda f: F.when(f >= F.col("start"), f - F.col("start")).otherwise(f - F.col("start") + total)))
+    rows = rows.withColumn("gap", F.when(F.col("scope").isNotNull(), gap))
+    negative = F.get("wants", F.pmod(F.col("gap") + F.col("start"), F.greatest(total, F.lit(1))).cast("int"))
+    case = lambda kind, want: F.struct(F.lit(kind).alias("kind"), want.alias("want"))
+    asked = F.filter(F.array(case("positive", F.col("positive")), case("negative", negative)), lambda c: c["want"].isNotNull())
+    rows = rows.select("scope", "modules", "said", F.inline(asked)).join(F.broadcast(numbered.select("want", *_requests_of(F.col("want")))), "want", "left")
+
+    own = F.filter("modules", lambda m: m["dir"].isNotNull() & F.col("scope").isNotNull())
+    hits = lambda words: F.size(F.array_intersect(F.col("wanted"), words))
+    scored = F.filter(F.transform(own, lambda m: F.struct((2 * hits(m["types"]) + hits(m["names"])).alias("rate"), (-m["k"]).alias("place"), m.alias("m"))), lambda r: r["rate"] > 0)
+    n = F.size("groups")
+    covered = lambda m: F.size(F.filter("groups", lambda g: F.arrays_overlap(g, F.concat(m["types"], m["names"]))))
+    planner = F.when(F.arrays_overlap("wanted", "said"), F.array_max(F.filter(scored, lambda r: (n > SHORT) | (2 * covered(r["m"]) >= n))))
+    tier = lambda m: _tier(F.col("type"), F.lower(m["dir"]), F.transform(m["resource_types"], F.lower))
+    compose = F.array_max(F.filter(F.transform(own, lambda m: F.struct(tier(m).alias("rate"), (-m["k"]).alias("place"), m.alias("m"))), lambda r: r["rate"].isNotNull()))
+    told = rows.withColumns({"planner": planner, "compose": compose})
+    took = F.array(*[F.struct(F.lit(who).alias("who"), F.col(who)["m"].alias("m")) for who in ("planner", "compose")])
+    told = told.select("scope", "kind", "want", "related", F.inline(took))
+    strict = F.coalesce(F.array_contains("m.resource_types", F.col("want")), F.lit(False))
+    related = F.coalesce(F.arrays_overlap("related", F.concat("m.types", "m.names")), F.lit(False))
+    return told.select("scope", "kind", "want", "who", F.col("m.dir").alias("dir"), strict.alias("strict"), (strict | related).alias("lenient"))
+
+
 def sweep(modules: DataFrame, seed: int = 42) -> DataFrame:
-    """The decisions on the cases of many repositories. Modules and cases are read by several legs, so both are written once."""
-    kept = written(modules.select(*MODULES), "modules")
-    return decisions(written(cases(kept, seed), "cases"), kept)
+    """The decisions on the cases of many repositories: modules are written once, as an array of each repository. Small ones are
+    decided beside their array; the modules of larger ones, and of all if there are more than FEW_TYPES types, are rows again."""
+    kept = written(lots(modules.select(*MODULES), seed), "lots")
+    typed = F.size(F.filter("modules", lambda m: m["first"].isNotNull()))
+    usable = kept.filter("scope is not null").select("scope", "n", "modules", typed.alias("typed"))
+    large = F.col("n") > FEW
+    none = kept.filter(large).isEmpty()
+    types = usable.filter(~large & (F.col("typed") >= 2))
+    if not none:
+        more = usable.filter(large)
+        types = types.unionByName(more.join(more.groupBy("scope").agg(F.sum("typed").alias("all")).filter("all >= 2").select("scope"), "scope", "left_semi"))
+    types = types.select(F.explode(F.flatten(F.transform("modules", lambda m: F.coalesce(m["resource_types"], F.array().cast("array<string>"))))).alias("want")).distinct()
+    numbered = _numbered(types.filter(_is_provided(F.col("want"))))
+    if numbered.count() > FEW_TYPES:
+        large, none = F.lit(True), False
+    out = _decided(kept.filter(~large), numbered, seed)
+    if none:
+        return out
+    rest = written(kept.filter(large).select("scope", F.explode("modules").alias("m")).select("scope", "m.dir", "m.resource_types", "m.reuse_count"), "modules")
+    return out.unionByName(decisions(written(_cases(rest, numbered, seed), "cases"), rest))
 
 
 def report(rows: DataFrame, min_lenient: float = MIN_LENIENT, max_false_reuse: float = MAX_FALSE_REUSE) -> DataFrame:

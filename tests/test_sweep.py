@@ -104,6 +104,23 @@ def test_a_sweep_of_small_repositories_is_a_short_plan(spark):
     assert len(rows._jdf.queryExecution().executedPlan().toString()) < 60_000 and {r["who"] for r in rows.collect()} == {"planner", "compose"}
 
 
+@pytest.mark.parametrize(("few", "types"), [(64, 256), (8, 256), (0, 256), (64, 3)])
+def test_a_sweep_decides_as_its_cases_do(spark, monkeypatch, few, types):
+    lost = spark.createDataFrame([(None, "modules/lost", ["aws_lb"], 9), ("r9", "modules/a", ["x", None, "aws_lb"], None), ("r9", "modules/b-db", ["aws_lb", "aws_db_lb"], 1), ("r9", None, ["aws_lb"], 3), ("r9", "modules/c", [], 3)], MODULES)
+    m = sweep.written(modules(spark, 9).select(*sweep.MODULES).unionByName(lost), "modules")
+    want = sorted(map(str, sweep.decisions(sweep.written(sweep.cases(m), "cases"), m).collect()))
+    monkeypatch.setattr(sweep, "FEW", few)
+    monkeypatch.setattr(sweep, "FEW_TYPES", types)
+    assert sorted(map(str, sweep.sweep(m).collect())) == want and len(want) > 20
+
+
+def test_a_sweep_of_small_repositories_shuffles_modules_once(spark):
+    """Cases are drawn and decided beside a repository's array: nothing but the few types' words is moved."""
+    rows = sweep.sweep(modules(spark))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(scope" not in plan and "SortMergeJoin" not in plan and sweep.lots(modules(spark).select(*sweep.MODULES))._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+
+
 def test_report_and_thresholds(spark):
     rows = [("a", "positive", "aws_x", "planner", "m", True, True), ("b", "positive", "aws_x", "planner", "m", False, True), ("a", "negative", "aws_y", "planner", None, False, False), ("b", "negative", "aws_y", "planner", "m", False, False), ("a", "positive", "aws_x", "compose", "m", True, True)]
     df = spark.createDataFrame(rows, "scope string, kind string, want string, who string, dir string, strict boolean, lenient boolean")
@@ -116,3 +133,4 @@ def test_no_rows(spark):
     none = modules(spark).filter("false")
     asked = sweep.cases(none)
     assert asked.count() == 0 and sweep.report(sweep.decisions(asked, none)).count() == 0
+    assert sweep.sweep(none.select(*sweep.MODULES)).count() == 0 and sweep.sweep(modules(spark).withColumn("resource_types", F.array(F.lit("x")))).count() == 0
