@@ -248,16 +248,23 @@ def decisions(asked: DataFrame, modules: DataFrame) -> DataFrame:
     return rows.select("scope", "kind", "want", "who", "dir", strict.alias("strict"), (strict | related).alias("lenient"))
 
 
-def lots(modules: DataFrame, seed: int = 42) -> DataFrame:
-    """(scope, n, modules): the n modules of each repository in arrays of at most FEW, best first among equals, with their words,
-    the first of their provider types and a number drawn. One shuffle by repository; none if modules come dealt by scope."""
-    order = Window.partitionBy("scope").orderBy(F.desc("reuse_count"), "dir")
-    rows = modules.select(*MODULES, F.row_number().over(order).alias("k"), F.count("*").over(Window.partitionBy("scope")).alias("n"))
+def described(modules: DataFrame) -> DataFrame:
+    """Modules with what they say (about): their words, the first of their provider types, all as one lower-cased text. It depends
+    on dir and types alone, so where many repositories share modules it is best asked before they are dealt to them."""
     first = F.array_min(F.filter("resource_types", _is_provided))
     words = plain_tokens(F.concat_ws(" ", "resource_types")).alias("types"), plain_tokens(F.col("dir")).alias("names")
-    m = F.struct("k", "dir", "resource_types", "reuse_count", first.alias("first"), _draw(seed, "scope", "dir").alias("draw"), *words)
+    return modules.withColumn("about", F.struct(first.alias("first"), *words, F.lower(F.concat_ws("\n", "dir", "resource_types")).alias("text")))
+
+
+def lots(modules: DataFrame, seed: int = 42) -> DataFrame:
+    """(scope, n, typed, modules): the n modules of each repository in arrays of at most FEW, each with its place among equals, what
+    it says and a number drawn; typed have a provider type. One shuffle by repository; none if modules come dealt by scope."""
+    order = Window.partitionBy("scope").orderBy(F.desc("reuse_count"), "dir")
+    rows = modules if "about" in modules.columns else described(modules)
+    rows = rows.select(*MODULES, "about", F.row_number().over(order).alias("k"), F.count("*").over(Window.partitionBy("scope")).alias("n"))
+    m = F.struct("k", "dir", "resource_types", "reuse_count", _draw(seed, "scope", "dir").alias("draw"), "about.*")
     rows = rows.select("scope", "n", F.floor((F.col("k") - 1) / max(FEW, 1)).alias("lot"), m.alias("m"))
-    return rows.groupBy("scope", "n", "lot").agg(F.collect_list("m").alias("modules")).drop("lot")
+    return rows.groupBy("scope", "n", "lot").agg(F.count("m.first").alias("typed"), F.collect_list("m").alias("modules")).drop("lot")
 
 
 def _requests_of(want: Column) -> list[Column]:
@@ -282,15 +289,15 @@ def _decided(rows: DataFrame, numbered: DataFrame, seed: int) -> DataFrame:
     typed, total = F.filter("modules", lambda m: m["first"].isNotNull()), F.size("wants")
     best = F.array_min(F.transform(typed, lambda m: F.struct(m["draw"], m["dir"], m["first"].alias("want"))))
     said = F.array_distinct(F.flatten(F.transform("modules", lambda m: F.concat(m["types"], m["names"]))))
-    rows = rows.withColumn("typed", F.size(typed)).filter("typed >= 2").select("*", best["want"].alias("positive"), said.alias("said"), F.when(total > 0, F.pmod(_draw(seed, "scope"), F.greatest(total, F.lit(1)))).alias("start"))
+    rows = rows.filter("typed >= 2").select("*", best["want"].alias("positive"), said.alias("said"), F.when(total > 0, F.pmod(_draw(seed, "scope"), F.greatest(total, F.lit(1)))).alias("start"))
     blocked = F.flatten(F.transform(F.array_intersect(F.map_keys("blocks"), F.col("said")), lambda w: F.col("blocks")[w]))
     free = F.array_except(F.when(total > 0, F.sequence(F.lit(0), F.greatest(total, F.lit(1)) - 1).cast("array<bigint>")), blocked)
     gap = F.array_min(F.transform(free, lambda f: F.when(f >= F.col("start"), f - F.col("start")).otherwise(f - F.col("start") + total)))
     rows = rows.withColumn("gap", F.when(F.col("scope").isNotNull(), gap))
     negative = F.get("wants", F.pmod(F.col("gap") + F.col("start"), F.greatest(total, F.lit(1))).cast("int"))
     case = lambda kind, want: F.struct(F.lit(kind).alias("kind"), want.alias("want"))
-    asked = F.filter(F.array(case("positive", F.col("positive")), case("negative", negative)), lambda c: c["want"].isNotNull())
-    rows = rows.select("scope", "modules", "said", F.inline(asked)).join(F.broadcast(numbered.select("want", *_requests_of(F.col("want")))), "want", "left")
+    asked = F.array(case("positive", F.col("positive")), case("negative", negative))
+    rows = rows.select("scope", "modules", "said", F.inline(asked)).filter("want is not null").join(F.broadcast(numbered.select("want", *_requests_of(F.col("want")))), "want", "left")
 
     own = F.filter("modules", lambda m: m["dir"].isNotNull() & F.col("scope").isNotNull())
     hits = lambda words: F.size(F.array_intersect(F.col("wanted"), words))
@@ -299,7 +306,8 @@ def _decided(rows: DataFrame, numbered: DataFrame, seed: int) -> DataFrame:
     covered = lambda m: F.size(F.filter("groups", lambda g: F.arrays_overlap(g, F.concat(m["types"], m["names"]))))
     planner = F.when(F.arrays_overlap("wanted", "said"), F.array_max(F.filter(scored, lambda r: (n > SHORT) | (2 * covered(r["m"]) >= n))))
     tier = lambda m: _tier(F.col("type"), F.lower(m["dir"]), F.transform(m["resource_types"], F.lower))
-    compose = F.array_max(F.filter(F.transform(own, lambda m: F.struct(tier(m).alias("rate"), (-m["k"]).alias("place"), m.alias("m"))), lambda r: r["rate"].isNotNull()))
+    holds = F.filter(own, lambda m: F.contains(m["text"], F.col("type")))  # else neither its key nor a type does
+    compose = F.array_max(F.filter(F.transform(holds, lambda m: F.struct(tier(m).alias("rate"), (-m["k"]).alias("place"), m.alias("m"))), lambda r: r["rate"].isNotNull()))
     told = rows.withColumns({"planner": planner, "compose": compose})
     took = F.array(*[F.struct(F.lit(who).alias("who"), F.col(who)["m"].alias("m")) for who in ("planner", "compose")])
     told = told.select("scope", "kind", "want", "related", F.inline(took))
@@ -311,17 +319,15 @@ def _decided(rows: DataFrame, numbered: DataFrame, seed: int) -> DataFrame:
 def sweep(modules: DataFrame, seed: int = 42) -> DataFrame:
     """The decisions on the cases of many repositories: modules are written once, as an array of each repository. Small ones are
     decided beside their array; the modules of larger ones, and of all if there are more than FEW_TYPES types, are rows again."""
-    kept = written(lots(modules.select(*MODULES), seed), "lots")
-    typed = F.size(F.filter("modules", lambda m: m["first"].isNotNull()))
-    usable = kept.filter("scope is not null").select("scope", "n", "modules", typed.alias("typed"))
-    large = F.col("n") > FEW
+    kept = written(lots(modules, seed), "lots")
+    usable, large = kept.filter("scope is not null"), F.col("n") > FEW
     none = kept.filter(large).isEmpty()
-    types = usable.filter(~large & (F.col("typed") >= 2))
+    lists = usable.filter(~large & (F.col("typed") >= 2))
     if not none:
         more = usable.filter(large)
-        types = types.unionByName(more.join(more.groupBy("scope").agg(F.sum("typed").alias("all")).filter("all >= 2").select("scope"), "scope", "left_semi"))
-    types = types.select(F.explode(F.flatten(F.transform("modules", lambda m: F.coalesce(m["resource_types"], F.array().cast("array<string>"))))).alias("want")).distinct()
-    numbered = _numbered(types.filter(_is_provided(F.col("want"))))
+        lists = lists.unionByName(more.join(more.groupBy("scope").agg(F.sum("typed").alias("all")).filter("all >= 2").select("scope"), "scope", "left_semi"))
+    lists = written(lists.select(F.explode("modules.resource_types").alias("types")).distinct(), "lists")  # repositories share them
+    numbered = _numbered(lists.select(F.explode("types").alias("want")).filter(_is_provided(F.col("want"))))
     if numbered.count() > FEW_TYPES:
         large, none = F.lit(True), False
     out = _decided(kept.filter(~large), numbered, seed)
