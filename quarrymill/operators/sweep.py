@@ -257,12 +257,12 @@ def described(modules: DataFrame) -> DataFrame:
 
 
 def lots(modules: DataFrame, seed: int = 42) -> DataFrame:
-    """(scope, n, typed, modules): the n modules of each repository in arrays of at most FEW, each with its place among equals, what
-    it says and a number drawn; typed have a provider type. One shuffle by repository; none if modules come dealt by scope."""
+    """(scope, n, typed, modules): the n modules of each repository in arrays of at most FEW, each with its place among equals and what
+    it says, and a number drawn if it has a provider type, as typed of them have. One shuffle by repository; none if modules come dealt by scope."""
     order = Window.partitionBy("scope").orderBy(F.desc("reuse_count"), "dir")
     rows = modules if "about" in modules.columns else described(modules)
     rows = rows.select(*MODULES, "about", F.row_number().over(order).alias("k"), F.count("*").over(Window.partitionBy("scope")).alias("n"))
-    m = F.struct("k", "dir", "resource_types", "reuse_count", _draw(seed, "scope", "dir").alias("draw"), "about.*")
+    m = F.struct("k", "dir", "resource_types", "reuse_count", F.when(F.col("about.first").isNotNull(), _draw(seed, "scope", "dir")).alias("draw"), "about.*")
     rows = rows.select("scope", "n", F.floor((F.col("k") - 1) / max(FEW, 1)).alias("lot"), m.alias("m"))
     return rows.groupBy("scope", "n", "lot").agg(F.count("m.first").alias("typed"), F.collect_list("m").alias("modules")).drop("lot")
 
@@ -283,37 +283,41 @@ def _decided(rows: DataFrame, numbered: DataFrame, seed: int) -> DataFrame:
     numbered = numbered.withColumn("words", F.array_distinct(plain_tokens(words_of(F.col("want")))))
     by_word = numbered.select("number", F.explode("words").alias("word")).groupBy("word").agg(F.collect_list("number").alias("numbers"))
     blocks = by_word.agg(F.map_from_entries(F.collect_list(F.struct("word", "numbers"))).alias("blocks"))
-    every = numbered.agg(F.transform(F.array_sort(F.collect_list(F.struct("number", "want"))), lambda t: t["want"]).alias("wants"))
-    rows = rows.crossJoin(F.broadcast(every.crossJoin(blocks)))
-
-    typed, total = F.filter("modules", lambda m: m["first"].isNotNull()), F.size("wants")
-    best = F.array_min(F.transform(typed, lambda m: F.struct(m["draw"], m["dir"], m["first"].alias("want"))))
-    said = F.array_distinct(F.flatten(F.transform("modules", lambda m: F.concat(m["types"], m["names"]))))
-    rows = rows.filter("typed >= 2").select("*", best["want"].alias("positive"), said.alias("said"), F.when(total > 0, F.pmod(_draw(seed, "scope"), F.greatest(total, F.lit(1)))).alias("start"))
+    every = numbered.agg(F.transform(F.array_sort(F.collect_list(F.struct("number", "want"))), lambda t: t["want"]).alias("wants"), F.array_sort(F.collect_list("number")).alias("numbers"))
+    rows = rows.filter("typed >= 2").crossJoin(F.broadcast(every.crossJoin(blocks)))
+
+    drawn = F.filter("modules", lambda m: m["draw"] == F.col("draw"))
+    best = F.array_min(F.transform(drawn, lambda m: F.struct(m["dir"], m["first"].alias("want"))))["want"]
+    start = F.when(F.col("scope").isNotNull() & (F.size("wants") > 0), F.pmod(_draw(seed, "scope"), F.greatest(F.size("wants"), F.lit(1))))
+    said = F.concat(F.flatten("modules.types"), F.flatten("modules.names"))
+    rows = rows.withColumns({"draw": F.array_min("modules.draw"), "said": said, "start": start})
     blocked = F.flatten(F.transform(F.array_intersect(F.map_keys("blocks"), F.col("said")), lambda w: F.col("blocks")[w]))
-    free = F.array_except(F.when(total > 0, F.sequence(F.lit(0), F.greatest(total, F.lit(1)) - 1).cast("array<bigint>")), blocked)
-    gap = F.array_min(F.transform(free, lambda f: F.when(f >= F.col("start"), f - F.col("start")).otherwise(f - F.col("start") + total)))
-    rows = rows.withColumn("gap", F.when(F.col("scope").isNotNull(), gap))
-    negative = F.get("wants", F.pmod(F.col("gap") + F.col("start"), F.greatest(total, F.lit(1))).cast("int"))
+    rows = rows.select("scope", "modules", "wants", "said", "start", best.alias("positive"), F.array_except("numbers", blocked).alias("free"))
+    number = F.coalesce(F.array_min(F.filter("free", lambda f: f >= F.col("start"))), F.array_min("free"))  # round from the start
+    negative = F.when(F.col("start").isNotNull(), F.get("wants", number.cast("int")))
     case = lambda kind, want: F.struct(F.lit(kind).alias("kind"), want.alias("want"))
     asked = F.array(case("positive", F.col("positive")), case("negative", negative))
     rows = rows.select("scope", "modules", "said", F.inline(asked)).filter("want is not null").join(F.broadcast(numbered.select("want", *_requests_of(F.col("want")))), "want", "left")
 
-    own = F.filter("modules", lambda m: m["dir"].isNotNull() & F.col("scope").isNotNull())
     hits = lambda words: F.size(F.array_intersect(F.col("wanted"), words))
-    scored = F.filter(F.transform(own, lambda m: F.struct((2 * hits(m["types"]) + hits(m["names"])).alias("rate"), (-m["k"]).alias("place"), m.alias("m"))), lambda r: r["rate"] > 0)
+    best = lambda rate, m: F.struct(rate.alias("rate"), (-m["k"]).alias("place"), m.alias("m"))
+    scored = F.filter(F.transform("modules", lambda m: best(2 * hits(m["types"]) + hits(m["names"]), m)), lambda r: (r["rate"] > 0) & r["m"]["dir"].isNotNull())
     n = F.size("groups")
     covered = lambda m: F.size(F.filter("groups", lambda g: F.arrays_overlap(g, F.concat(m["types"], m["names"]))))
-    planner = F.when(F.arrays_overlap("wanted", "said"), F.array_max(F.filter(scored, lambda r: (n > SHORT) | (2 * covered(r["m"]) >= n))))
+    planner = F.array_max(F.filter(scored, lambda r: (n > SHORT) | (2 * covered(r["m"]) >= n)))
     tier = lambda m: _tier(F.col("type"), F.lower(m["dir"]), F.transform(m["resource_types"], F.lower))
-    holds = F.filter(own, lambda m: F.contains(m["text"], F.col("type")))  # else neither its key nor a type does
-    compose = F.array_max(F.filter(F.transform(holds, lambda m: F.struct(tier(m).alias("rate"), (-m["k"]).alias("place"), m.alias("m"))), lambda r: r["rate"].isNotNull()))
-    told = rows.withColumns({"planner": planner, "compose": compose})
-    took = F.array(*[F.struct(F.lit(who).alias("who"), F.col(who)["m"].alias("m")) for who in ("planner", "compose")])
-    told = told.select("scope", "kind", "want", "related", F.inline(took))
-    strict = F.coalesce(F.array_contains("m.resource_types", F.col("want")), F.lit(False))
-    related = F.coalesce(F.arrays_overlap("related", F.concat("m.types", "m.names")), F.lit(False))
-    return told.select("scope", "kind", "want", "who", F.col("m.dir").alias("dir"), strict.alias("strict"), (strict | related).alias("lenient"))
+    holds = F.filter("modules", lambda m: F.contains(m["text"], F.col("type")) & m["dir"].isNotNull())  # else neither its key nor a type does
+    compose = F.array_max(F.filter(F.transform(holds, lambda m: best(tier(m), m)), lambda r: r["rate"].isNotNull()))
+    known = F.col("scope").isNotNull()
+    told = rows.withColumns({"planner": F.when(known & F.arrays_overlap("wanted", "said"), planner)["m"], "compose": F.when(known, compose)["m"]})
+
+    def verdict(who: str) -> Column:
+        m = F.col(who)
+        strict = F.coalesce(F.array_contains(m["resource_types"], F.col("want")), F.lit(False))
+        related = F.coalesce(F.arrays_overlap("related", m["types"]) | F.arrays_overlap("related", m["names"]), F.lit(False))
+        return F.struct(F.lit(who).alias("who"), m["dir"].alias("dir"), strict.alias("strict"), (strict | related).alias("lenient"))
+
+    return told.select("scope", "kind", "want", F.inline(F.array(verdict("planner"), verdict("compose"))))
 
 
 def sweep(modules: DataFrame, seed: int = 42) -> DataFrame:
